@@ -60,7 +60,7 @@ def rank_by_draw(df: DataFrame, keys: str | Sequence[str], key: str = "row_id",
     whole = Window.partitionBy(*keys)
     offsets = counts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_size"))
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_group_size"))
     same = F.col("_bucket") == F.col("_b")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
@@ -68,8 +68,8 @@ def rank_by_draw(df: DataFrame, keys: str | Sequence[str], key: str = "row_id",
     ranked = rows.withColumn("_rn", F.row_number().over(inside)).join(offsets, same)
     ranked = ranked.withColumn(rank, F.col("_before") + F.col("_rn"))
     if size:
-        ranked = ranked.withColumn(size, F.col("_size"))
-    return ranked.drop("_draw", "_bucket", "_rn", "_before", "_size", "_b", *[f"_k{i}" for i in range(len(keys))])
+        ranked = ranked.withColumn(size, F.col("_group_size"))
+    return ranked.drop("_draw", "_bucket", "_rn", "_before", "_group_size", "_b", *[f"_k{i}" for i in range(len(keys))])
 
 
 def rank_by_id(df: DataFrame, keys: str | Sequence[str], key: str = "row_id", rank: str = "rank",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import corpus  # noqa: F401
+from tallyspark.plans import corpus, metrics, sampling  # noqa: F401
 from tallyspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -157,6 +157,21 @@ SELECT l.doc_id AS row_id,
 FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
 """
 
+PREDICTIONS = """
+SELECT row_id, text_input AS text, log_type AS backend, latency_ms, intent AS exp_intent,
+       CASE row_id % 5 WHEN 0 THEN 'Action' WHEN 1 THEN 'chitchat' ELSE intent END AS pred_intent,
+       CASE WHEN intent = 'Record' THEN CASE WHEN row_id % 2 = 0 THEN 'Expense' ELSE 'Income' END END AS exp_rec,
+       CASE WHEN row_id % 3 = 0 THEN 'Income' ELSE 'Expense' END AS pred_rec,
+       CASE WHEN intent = 'Action' THEN CASE row_id % 4 WHEN 0 THEN 'SET_LIMIT' WHEN 1 THEN 'REPORT_GENERAL'
+            WHEN 2 THEN 'SET_TONE' ELSE 'SEARCH_RECORD' END END AS exp_act,
+       CASE row_id % 3 WHEN 0 THEN 'SET_LIMIT' WHEN 1 THEN 'REPORT_GENERAL' ELSE 'SET_TONE' END AS pred_act,
+       CASE user_id % 3 WHEN 0 THEN 'Food' WHEN 1 THEN 'Transport' END AS exp_cat,
+       CASE WHEN row_id % 7 = 0 THEN 'null' WHEN user_id % 4 = 0 THEN 'Food' ELSE 'Transport' END AS pred_cat,
+       row_id % 100 AS exp_amount, CASE WHEN row_id % 9 = 0 THEN 0 ELSE row_id % 100 END AS pred_amount,
+       CASE WHEN row_id % 8 = 0 THEN '{{broken' ELSE payload END AS raw_json
+FROM {feedback} f
+"""
+
 SQL_VIEWS = {
     "U": UTTERANCES,
     "A": ACTIONS,
@@ -175,6 +190,8 @@ def duck_view(code: str) -> str:
     if code == "R":
         body = RECEIPT_BOXES.format(items="items")
         return f"(WITH items AS ({RECEIPT_ITEMS.format(**_PLAIN)}) {body})".replace("AS STRING)", "AS VARCHAR)")
+    if code == "P":
+        return f"({PREDICTIONS.format(feedback=duck_view('F'))})"
     return f"({SQL_VIEWS[code].format(**_PLAIN)})".replace("AS STRING)", "AS VARCHAR)")
 
 
@@ -215,6 +232,10 @@ class Inputs:
     def L(self) -> DataFrame:
         return self._view(LEDGER, "orders")
 
+    @cached_property
+    def P(self) -> DataFrame:
+        return self._view(PREDICTIONS, feedback=self.F)
+
     @cached_property
     def Y(self) -> DataFrame:
         return self._view(PAIRS, "labels", "documents")
