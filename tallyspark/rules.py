@@ -248,6 +248,18 @@ ROW_EXCLUDE = (
     KIE_EXCLUDE + r"|thoi|tra|chuyen\s*khoan|visa|mastercard|atm|momo|vnpay|zalopay|thanh\s*toan\s*qua|tien\s*the|ck"
 )
 ROW_DISCOUNT = r"da\s*giam|đã\s*giảm|giam\s*gia|giảm\s*giá|discount|chiet\s*khau|chiết\s*khấu|km"
+MERCHANTS = [
+    ("WinMart", r"winmart|vinmart|win\s*\+"), ("Grab", r"grab"), ("Circle K", r"circle\s*k"),
+    ("Phúc Long", r"phuc\s*long|phúc\s*long"), ("Highlands Coffee", r"highlands"), ("Starbucks", r"starbucks"),
+    ("Lotte Mart", r"lotte"), ("Aeon Mall", r"aeon"), ("KFC", r"kfc"), ("McDonald's", r"mcdonald"),
+    ("Jollibee", r"jollibee"), ("Phano Pharmacy", r"phano"), ("Nhà Thuốc An Khang", r"an\s*khang"),
+    ("Pharmacity", r"pharmacity"),
+    ("Co.opmart", r"co\.?op\s*smart|coop\s*smart|coop\s*mart|co\.?op\s*mart"),
+    ("Bách Hóa Xanh", r"bach\s*hoa\s*xanh|bách\s*hóa\s*xanh"), ("Gong Cha", r"gong\s*cha"),
+    ("The Coffee House", r"the\s*coffee\s*house"), ("Mixue", r"mixue"), ("Katinat", r"katinat"),
+    ("Phúc Lộc Thọ", r"phuc\s*loc\s*tho|phúc\s*lộc\s*thọ"), ("GS25", r"gs25"), ("FamilyMart", r"family\s*mart"),
+    ("7-Eleven", r"7\s*-\s*eleven|7\s*eleven"), ("MiniStop", r"ministop|mini\s*stop"),
+]
 MERCHANT_SKIP = (
     r"hoa don|hóa đơn|phiếu|phieu|mst|tel|phone|ngày|ngay|date|thu ngân|thu ngan|địa chỉ|dia chi|address"
 )
@@ -288,20 +300,43 @@ CATEGORY_ALIASES = {
 }
 
 # --- fixed values: rule baseline -----------------------------------------------------------------
+# Spellings are folded with fold_marks before use; a word listed with and without accents counts twice.
 BASELINE_KEYWORDS = {
-    "Housing": ["tien dien", "tien nuoc", "internet", "wifi", "thue nha", "tien nha"],
-    "Health": ["thuoc", "kham benh", "benh vien", "nha thuoc", "y te"],
-    "Beauty": ["my pham", "son moi", "kem duong", "dau goi"],
+    "Food": [
+        "an ", "ăn", "phở", "pho", "bun", "bún", "com", "cơm", "trà sữa", "tra sua", "cafe", "cà phê", "ca phe",
+        "highlands", "phuc long", "starbucks", "grabfood", "ship đồ ăn", "ship do an", "banh", "bánh", "kem", "sữa",
+    ],
+    "Shopping": [
+        "ao", "áo", "quan", "quần", "giày", "giay", "tui xach", "túi xách", "điện thoại", "dien thoai", "laptop",
+        "tai nghe", "shopee", "lazada", "tiki",
+    ],
+    "Essentials": [
+        "rau", "thịt", "thit", "gạo", "gao", "đi chợ", "di cho", "siêu thị", "sieu thi", "vinmart", "bach hoa",
+        "bách hóa", "giấy vệ sinh", "giay ve sinh", "xà phòng", "nước giặt",
+    ],
+    "Transport": [
+        "xăng", "xang", "grab bike", "grabbike", "grab car", "be ", "be xe", "taxi", "xe ôm", "xe om", "vé xe",
+        "ve xe", "gửi xe", "gui xe",
+    ],
+    "Housing": [
+        "tiền điện", "tien dien", "tiền nước", "tien nuoc", "internet", "wifi", "thuê nhà", "thue nha", "tiền nhà",
+    ],
+    "Health": [
+        "thuốc", "thuoc", "khám bệnh", "kham benh", "bệnh viện", "benh vien", "nha thuoc", "nhà thuốc", "y tế",
+    ],
+    "Beauty": ["mỹ phẩm", "my pham", "son môi", "kem dưỡng", "dầu gội"],
     "Entertainment": ["netflix", "spotify", "xem phim", "cgv", "game", "youtube premium"],
-    "Education": ["hoc phi", "sach", "khoa hoc"],
-    "Social": ["qua", "qua tang", "sinh nhat", "dam cuoi"],
+    "Education": ["học phí", "hoc phi", "sách", "sach", "khóa học", "khoa hoc"],
+    "Social": ["quà", "qua tang", "sinh nhật", "sinh nhat", "đám cưới", "dam cuoi"],
 }
 BASELINE_INCOME = [
-    "luong", "thuong", "duoc cho", "me cho", "ba cho", "bo cho", "tien ban", "thu nhap", "freelance", "nhan tien",
+    "lương", "luong", "thưởng", "thuong", "được cho", "duoc cho", "mẹ cho", "me cho", "ba cho", "bố cho", "bo cho",
+    "tiền bán", "tien ban", "thu nhập", "thu nhap", "freelance", "nhận tiền", "nhan tien",
 ]
 BASELINE_ACTION = [
-    "dat", "thiet lap", "doi", "bao cao", "tong chi", "thong ke", "xem chi tieu", "tong thu", "thu nhap",
-    "tong tien gui", "tong tien rut", "tien gui", "tien rut",
+    "đặt", "dat", "thiết lập", "thiet lap", "đổi", "doi", "báo cáo", "bao cao", "tổng chi", "tong chi", "thống kê",
+    "thong ke", "xem chi tiêu", "tổng thu", "tong thu", "thu nhập", "thu nhap", "tổng tiền gửi", "tong tien gui",
+    "tổng tiền rút", "tong tien rut", "tiền gửi", "tien gui", "tiền rút", "tien rut",
 ]
 
 # --- fixed values: generation --------------------------------------------------------------------
