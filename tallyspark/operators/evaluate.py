@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark import rules
+from tallyspark.operators import scan
 
 NO_CLASS = ["", "none", "null"]
 
@@ -193,24 +194,23 @@ def golden_eval(predicted: DataFrame, expected: DataFrame) -> DataFrame:
                       ((F.col("n") > 0) & (F.col("a") >= 0.85) & (F.col("c") >= 0.80)).alias("pass"))
 
 
-def entity_chunks(tokens: DataFrame, tag: str, doc: str = "receipt_id", pos: str = "pos") -> DataFrame:
+def entity_chunks(tokens: DataFrame, tag: str, doc: str = "receipt_id", pos: str = "pos", width: int | None = None) -> DataFrame:
     """Entity spans (doc, start, end, type) of IOB tags; a chunk starts on B or where the type changes."""
     kind = F.when(F.col(tag) != "O", F.substring(tag, 3, 100))
-    order = Window.partitionBy(doc).orderBy(pos)
     rows = tokens.select(doc, pos, F.col(tag).alias("_tag"), kind.alias("_kind"))
-    starts = F.col("_kind").isNotNull() & (
-        F.col("_tag").startswith("B-") | ~F.col("_kind").eqNullSafe(F.lag("_kind").over(order)))
-    rows = rows.withColumn("_new", starts.cast("int"))
-    rows = rows.withColumn("_chunk", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = scan.lag_value(rows, doc, [pos], "_kind", "_last_kind", width)
+    starts = F.col("_kind").isNotNull() & (F.col("_tag").startswith("B-") | ~F.col("_kind").eqNullSafe(F.col("_last_kind")))
+    rows = scan.running_sum(rows, doc, [pos], starts.cast("bigint"), "_chunk", width)
     return rows.filter("_kind IS NOT NULL").groupBy(doc, "_chunk").agg(
         F.min(pos).alias("start"), F.max(pos).alias("end"), F.first("_kind").alias("type")).drop("_chunk")
 
 
-def entity_scores(tokens: DataFrame, true: str = "tag_true", pred: str = "tag_pred", doc: str = "receipt_id") -> DataFrame:
+def entity_scores(tokens: DataFrame, true: str = "tag_true", pred: str = "tag_pred", doc: str = "receipt_id",
+                  width: int | None = None) -> DataFrame:
     """Entity-level precision, recall and F1 per type plus micro, macro and weighted rows."""
     keys = [doc, "start", "end", "type"]
-    gold = entity_chunks(tokens, true, doc).withColumn("g", F.lit(1))
-    found = entity_chunks(tokens, pred, doc).withColumn("p", F.lit(1))
+    gold = entity_chunks(tokens, true, doc, width=width).withColumn("g", F.lit(1))
+    found = entity_chunks(tokens, pred, doc, width=width).withColumn("p", F.lit(1))
     both = gold.join(found, keys, "full_outer")
     sums = both.groupBy(F.col("type").alias("label")).agg(
         F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count("g").alias("support"),

@@ -2,7 +2,8 @@
 
 ``boxes`` has receipt_id, box_id, x1, y1, x2, y2, text, conf; ``lines`` has receipt_id, line_no, line_text and
 the line's box; ``words`` has receipt_id, pos, word, a tag column and the box of the word. Everything joins on
-receipt_id plus a vertical band, so no step forms all pairs of a receipt.
+receipt_id plus a vertical band, so no step forms all pairs of a receipt. ``width`` comes from
+``scan.width_for``: None while every receipt fits one task, a band width otherwise.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ def _bands(low: Column, high: Column, size: float) -> Column:
 
 
 # --- lines -----------------------------------------------------------------------------------------
-def group_lines(boxes: DataFrame, threshold: int = 30) -> DataFrame:
+def group_lines(boxes: DataFrame, threshold: int = 30, width: int | None = None) -> DataFrame:
     """A new line starts where the centre moves by more than ``threshold`` from the previous box."""
     rows = boxes.withColumn("_yc", _y_center())
-    rows = scan.lag_value(rows, RECEIPT, READING_ORDER, "_yc", "_prev")
+    rows = scan.lag_value(rows, RECEIPT, READING_ORDER, "_yc", "_prev", width)
     moved = F.coalesce(F.abs(F.col("_yc") - F.col("_prev")) > threshold, F.lit(True))
-    rows = scan.running_sum(rows, RECEIPT, READING_ORDER, moved.cast("bigint"), "line_no")
+    rows = scan.running_sum(rows, RECEIPT, READING_ORDER, moved.cast("bigint"), "line_no", width)
     parts = F.array_sort(F.collect_list(F.struct("x1", "y1", "box_id", "text")))
     text = F.array_join(F.transform(F.filter(parts, lambda p: p["text"] != ""), lambda p: p["text"]), " ")
     return rows.groupBy(RECEIPT, "line_no").agg(
@@ -42,10 +43,10 @@ def group_lines(boxes: DataFrame, threshold: int = 30) -> DataFrame:
         F.max("y2").alias("y2"))
 
 
-def text_lines(lines: DataFrame) -> DataFrame:
+def text_lines(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Stripped non-blank lines, numbered from 1 again."""
     rows = lines.select(RECEIPT, "line_no", strip(F.col("line_text")).alias("line")).filter("line <> ''")
-    return scan.position(rows, RECEIPT, ["line_no"], "n").select(RECEIPT, F.col("n").alias("line_no"), "line")
+    return scan.position(rows, RECEIPT, ["line_no"], "n", width).select(RECEIPT, F.col("n").alias("line_no"), "line")
 
 
 _MERGED = "struct<x1:int,y1:int,x2:int,y2:int,text:string,conf:double>"
@@ -71,7 +72,7 @@ def _merge_row(row: Column, scale: float) -> Column:
     return F.aggregate(ordered, F.array().cast(f"array<{_MERGED}>"), step)
 
 
-def merge_fragments(boxes: DataFrame, scale: float = 1.8) -> DataFrame:
+def merge_fragments(boxes: DataFrame, scale: float = 1.8, width: int | None = None) -> DataFrame:
     """Horizontally split boxes joined again.
 
     A box joins the first open row whose first box it overlaps by half, or whose centre is within 40% of the
@@ -79,7 +80,7 @@ def merge_fragments(boxes: DataFrame, scale: float = 1.8) -> DataFrame:
     over each vertical run of touching boxes, not over the receipt.
     """
     rows = boxes.filter(F.col("y2") > F.col("y1"))
-    rows = scan.segments(rows, RECEIPT, "y1", "y2", ["x1", "box_id"], "_seg")
+    rows = scan.segments(rows, RECEIPT, "y1", "y2", ["x1", "box_id"], "_seg", width=width)
     box = F.struct("y1", "x1", "box_id", "x2", "y2", "text", F.coalesce("conf", F.lit(None).cast("double")).alias("conf"))
     runs = rows.groupBy(RECEIPT, "_seg").agg(F.array_sort(F.collect_list(box)).alias("run"), F.min("y1").alias("_top"))
     item = "struct<y1:int,x1:int,box_id:bigint,x2:int,y2:int,text:string,conf:double>"
@@ -104,12 +105,11 @@ def merge_fragments(boxes: DataFrame, scale: float = 1.8) -> DataFrame:
 
 
 # --- item names and prices -------------------------------------------------------------------------
-def names_and_prices(boxes: DataFrame, split: float = 0.55) -> tuple[DataFrame, DataFrame]:
+def names_and_prices(boxes: DataFrame, split: float = 0.55, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Price boxes right of ``split`` of the page width, product names everywhere else."""
-    widths = boxes.groupBy(RECEIPT).agg(F.max("x2").alias("_w"))
     token = r"\b[0-9]{1,3}(?:[.,][0-9]{3})+\b|\b[0-9]{4,9}\b"
     found = F.regexp_extract_all(strip(F.col("text")), F.lit(token), F.lit(0))
-    rows = boxes.join(widths, RECEIPT).withColumn("_found", found).withColumn(
+    rows = scan.group_totals(boxes, RECEIPT, width, _w=F.max("x2")).withColumn("_found", found).withColumn(
         "_right", (F.size("_found") > 0) & (F.col("x1") >= F.col("_w") * split))
     prices = rows.filter("_right").withColumn("amount", money.parse_receipt_amount(F.element_at("_found", -1))).filter(
         "amount >= 1000").select(RECEIPT, F.col("box_id").alias("price_id"), "amount",
@@ -121,13 +121,13 @@ def names_and_prices(boxes: DataFrame, split: float = 0.55) -> tuple[DataFrame,
     return names, prices
 
 
-def match_items(boxes: DataFrame, skew: float = 0.0, band: int = 64) -> DataFrame:
+def match_items(boxes: DataFrame, skew: float = 0.0, band: int = 64, width: int | None = None) -> DataFrame:
     """Each name, from the top down, takes the nearest free price on its base line; 0 if there is none.
 
     Candidates come from a join on vertical bands. Names that share no candidate are independent, so the greedy
     choice folds over each run of names that do.
     """
-    names, prices = names_and_prices(boxes)
+    names, prices = names_and_prices(boxes, width=width)
     slope = F.tan(F.lit(skew))
     left = names.withColumn("_base", F.col("ny") - F.col("nx") * slope).withColumn("_reach", F.col("h") * 1.5)
     left = left.withColumn("_band", _bands(F.col("_base") - F.col("_reach"), F.col("_base") + F.col("_reach"), band))
@@ -139,7 +139,7 @@ def match_items(boxes: DataFrame, skew: float = 0.0, band: int = 64) -> DataFram
     options = pairs.groupBy(RECEIPT, "name_id", "ny1").agg(
         F.array_sort(F.collect_list(F.struct(dist.alias("dist"), "price_id", "amount"))).alias("options"),
         F.min("_pbase").alias("_lo"), F.max("_pbase").alias("_hi"))
-    runs = scan.segments(options, RECEIPT, "_lo", "_hi", ["name_id"], "_run", strict=True)
+    runs = scan.segments(options, RECEIPT, "_lo", "_hi", ["name_id"], "_run", strict=True, width=width)
     turns = runs.groupBy(RECEIPT, "_run").agg(
         F.array_sort(F.collect_list(F.struct("ny1", "name_id", "options"))).alias("turns"))
 
@@ -156,27 +156,24 @@ def match_items(boxes: DataFrame, skew: float = 0.0, band: int = 64) -> DataFram
 
 
 # --- products, brands, categories ------------------------------------------------------------------
-def products_from_lines(lines: DataFrame) -> DataFrame:
+def products_from_lines(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Names between the table header and the first total line; a middle slice of the lines if that is empty.
 
     ``lines`` comes from ``text_lines``.
     """
-    rows = lines.withColumn("_head", matches(F.col("line"), rules.TABLE_HEADER)).withColumn(
-        "_total", money.line_total_score(F.col("line")) >= 70)
-    heads = rows.filter("_head").groupBy(RECEIPT).agg(F.min("line_no").alias("_start"))
-    sizes = rows.groupBy(RECEIPT).agg(F.max("line_no").alias("_n"))
-    rows = rows.join(sizes, RECEIPT).join(heads, RECEIPT, "left")
-    in_table = F.col("line_no") > F.col("_start")
-    stops = rows.filter(in_table & F.col("_total") & ~F.col("_head")).groupBy(RECEIPT).agg(F.min("line_no").alias("_stop"))
-    rows = rows.join(stops, RECEIPT, "left").withColumn("name", ln.product_name(F.col("line")))
-    table = F.coalesce(in_table & ~F.col("_head") & (F.col("line_no") < F.coalesce("_stop", F.col("_n") + 1)), F.lit(False))
+    line, at = F.col("line"), F.col("line_no")
+    rows = lines.withColumn("_head", matches(line, rules.TABLE_HEADER)).withColumn(
+        "_total", money.line_total_score(line) >= 70).withColumn("name", ln.product_name(line))
+    rows = scan.group_totals(rows, RECEIPT, width, _n=F.max("line_no"), _start=F.min(F.when(F.col("_head"), at)))
+    in_table = F.coalesce(at > F.col("_start"), F.lit(False)) & ~F.col("_head")
+    rows = scan.group_totals(rows, RECEIPT, width, _stop=F.min(F.when(in_table & F.col("_total"), at)))
+    table = in_table & (at < F.coalesce("_stop", F.col("_n") + 1))
     start = F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.col("_n") / 5)))
     end = F.greatest(start + 1, F.col("_n") - F.greatest(F.lit(2), F.floor(F.col("_n") / 4)))
-    middle = (F.col("_n") > 4) & (F.col("line_no") > start) & (F.col("line_no") <= end)
+    middle = (F.col("_n") > 4) & (at > start) & (at <= end)
     named = rows.filter("name IS NOT NULL").withColumn("_t", table).filter(F.col("_t") | middle)
-    any_table = named.groupBy(RECEIPT).agg(F.max("_t").alias("_any"))
-    kept = named.join(any_table, RECEIPT).filter(F.col("_t") | ~F.col("_any"))
-    return kept.select(RECEIPT, "line_no", "name")
+    named = scan.group_totals(named, RECEIPT, width, _any=F.max("_t"))
+    return named.filter(F.col("_t") | ~F.col("_any")).select(RECEIPT, "line_no", "name")
 
 
 def seller_text(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
@@ -199,6 +196,10 @@ def merchants(lines: DataFrame, head: int = 6) -> DataFrame:
     return found.select(RECEIPT, F.coalesce("m", "p").alias("merchant"))
 
 
+def _tag(words: Column, category: str) -> Column:
+    return F.transform(words, lambda w: F.struct(F.lit(category).alias("category"), w.alias("word")))
+
+
 def lexicon_scores(lines: DataFrame) -> DataFrame:
     """Category scores: 3 per keyword and line, plus 1 per keyword anywhere in the joined text.
 
@@ -213,8 +214,7 @@ def lexicon_scores(lines: DataFrame) -> DataFrame:
 
     def long(df: DataFrame, text: str, *keys: str) -> DataFrame:
         hits = F.flatten(F.array(*[
-            F.transform(h, lambda w, c=c: F.struct(F.lit(c).alias("category"), w.alias("word")))
-            for c, h in ln.keyword_hits(F.col(text)).items()]))
+            _tag(h, c) for c, h in ln.keyword_hits(F.col(text)).items()]))
         return df.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
 
     per_line = long(rows.filter("_body"), "low", RECEIPT).groupBy(RECEIPT, "category").agg(
@@ -230,17 +230,17 @@ def best_category(scores: DataFrame) -> DataFrame:
     return scores.groupBy(RECEIPT).agg(F.max_by("category", key).alias("category"), F.max("score").alias("score"))
 
 
-def classify_receipt(lines: DataFrame, model: DataFrame | None = None) -> DataFrame:
+def classify_receipt(lines: DataFrame, model: DataFrame | None = None, width: int | None = None) -> DataFrame:
     """Strong lexicon score, else model, else weak score, else mart words, else Others.
 
     The lexicon reads the product names where there are any. ``model`` has receipt_id and category.
     """
-    products = products_from_lines(lines).select(RECEIPT, "line_no", F.col("name").alias("line"))
+    products = products_from_lines(lines, width).select(RECEIPT, "line_no", F.col("name").alias("line"))
     rest = lines.filter(ln.is_category_line(F.col("line")))
     named = products.select(RECEIPT).distinct()
     source = products.unionByName(rest.join(named, RECEIPT, "left_anti"))
     none = lines.join(source.select(RECEIPT).distinct(), RECEIPT, "left_anti")
-    numbered = scan.position(source.unionByName(none), RECEIPT, ["line_no"], "_n").select(
+    numbered = scan.position(source.unionByName(none), RECEIPT, ["line_no"], "_n", width).select(
         RECEIPT, F.col("_n").alias("line_no"), "line")
     best = best_category(lexicon_scores(numbered)).select(RECEIPT, F.col("category").alias("_c"), F.col("score").alias("_s"))
     head = lines.filter("line_no <= 6").groupBy(RECEIPT).agg(F.max(F.exists(
@@ -301,24 +301,21 @@ def total_candidates(lines: DataFrame) -> DataFrame:
     return rows.filter("amount IS NOT NULL").select(RECEIPT, "line_no", "score", "amount")
 
 
-def total_amount(lines: DataFrame) -> DataFrame:
+def total_amount(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Best total line, checked against item lines when weak; else the item sum; else the largest late amount."""
     line = F.col("line")
-    size = lines.groupBy(RECEIPT).agg(F.max("line_no").alias("_n"))
     item_row = money.parse_receipt_amount(F.regexp_extract(line, r"^\s*[0-9]+\s+[0-9.,]+\s+([0-9.,]+)\s*$", 1))
-    amounts = money.amounts_in_line(line)
-    rows = lines.join(size, RECEIPT).select(
-        RECEIPT, "line_no", "_n", money.line_total_score(line).alias("score"), money.pick_total(amounts, line).alias("picked"),
+    rows = lines.withColumn("_amounts", money.amounts_in_line(line)).select(
+        RECEIPT, "line_no", money.line_total_score(line).alias("score"), money.pick_total(F.col("_amounts"), line).alias("picked"),
         money.item_line_amount(line).alias("item"), F.when(item_row >= 1000, item_row).alias("row"),
-        F.array_max(amounts).alias("largest"))
+        F.array_max("_amounts").alias("largest"))
     hit = F.col("picked").isNotNull() & (F.col("score") > 0)
-    best = rows.groupBy(RECEIPT).agg(
-        F.max(F.when(hit, F.struct(F.col("score").alias("s"), F.col("picked").alias("a")))).alias("best"),
-        F.max("item").alias("max_item"), F.sum(F.coalesce("item", "row")).alias("items"),
-        F.max(F.when(F.col("line_no") > F.floor(F.col("_n") / 2), F.col("largest"))).alias("late"))
-    same = rows.filter("item IS NOT NULL").join(best.select(RECEIPT, "best"), RECEIPT).groupBy(RECEIPT).agg(
-        F.max(F.col("item") == F.col("best.a")).alias("known"))
-    out = best.join(same, RECEIPT, "left")
+    best = F.max(F.when(hit, F.struct(F.col("score").alias("s"), F.col("picked").alias("a"))))
+    rows = scan.group_totals(rows, RECEIPT, width, _n=F.max("line_no"), _best=best)
+    out = rows.groupBy(RECEIPT).agg(
+        F.first("_best").alias("best"), F.max("item").alias("max_item"), F.sum(F.coalesce("item", "row")).alias("items"),
+        F.max(F.when(F.col("line_no") > F.floor(F.col("_n") / 2), F.col("largest"))).alias("late"),
+        F.max(F.col("item") == F.col("_best.a")).alias("known"))
     weak = (F.col("best.s") <= 80) & F.col("max_item").isNotNull() & ~F.coalesce("known", F.lit(False))
     return out.select(RECEIPT, first_match([
         (F.col("best").isNotNull() & weak, F.col("max_item")), (F.col("best").isNotNull(), F.col("best.a")),
@@ -334,14 +331,14 @@ def checked_total(totals: DataFrame, items: DataFrame) -> DataFrame:
 
 
 # --- entities --------------------------------------------------------------------------------------
-def label_boxes(boxes: DataFrame) -> DataFrame:
+def label_boxes(boxes: DataFrame, width: int | None = None) -> DataFrame:
     """Rule labels: the first fitting top box is the seller, every other box takes its first matching rule."""
     text, low = strip(F.col("text")), fold_marks(strip(F.col("text")))
-    rows = scan.position(boxes, RECEIPT, READING_ORDER, "_pos")
-    sizes = boxes.groupBy(RECEIPT).agg(F.count(F.lit(1)).alias("_n"))
+    rows = scan.position(boxes, RECEIPT, READING_ORDER, "_pos", width)
+    rows = scan.group_totals(rows, RECEIPT, width, _n=F.count(F.lit(1)))
     total, stamp = matches(low, rules.KIE_TOTAL), text.rlike(rules.KIE_TIMESTAMP)
     amounts = F.size(money.amounts_in_line(text)) > 0
-    rows = rows.join(sizes, RECEIPT).select(
+    rows = rows.select(
         "*", total.alias("_total"), stamp.alias("_stamp"), amounts.alias("_amt"),
         (matches(low, rules.KIE_ADDRESS) & (F.length(text) > 8)).alias("_addr"),
         (matches(low, rules.KIE_EXCLUDE) | matches(low, rules.KIE_DISCOUNT)).alias("_no"),
@@ -349,8 +346,7 @@ def label_boxes(boxes: DataFrame) -> DataFrame:
     top = (F.col("_pos") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 8))) & F.col("_long") & ~F.col("_total")
     rows = rows.withColumn("_top", top)
     fits = F.col("_top") & ~F.col("_stamp") & ~F.col("_amt")
-    sellers = rows.filter(fits).groupBy(RECEIPT).agg(F.min("_pos").alias("_seller"))
-    rows = rows.join(sellers, RECEIPT, "left")
+    rows = scan.group_totals(rows, RECEIPT, width, _seller=F.min(F.when(fits, F.col("_pos"))))
     waiting = F.col("_top") & F.coalesce(F.col("_pos") < F.col("_seller"), F.lit(True))
     late = F.col("_pos") > F.col("_n") - 5
     total_row = F.col("_total") & ~F.col("_no")
@@ -367,32 +363,37 @@ def label_boxes(boxes: DataFrame) -> DataFrame:
 
 def entity_fields(labelled: DataFrame) -> DataFrame:
     """One row per receipt: texts joined per entity in reading order, and the largest amount of the total."""
-    rows = labelled.withColumn("_t", strip(F.col("text"))).filter((F.col("_t") != "") & F.col("entity").isin(rules.ENTITIES))
-    texts = rows.groupBy(RECEIPT, "entity").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(*READING_ORDER, F.col("_t").alias("t")))), lambda s: s["t"]), " ").alias("t"))
+    text = strip(F.col("text"))
+    used = (text != "") & F.col("entity").isin(rules.ENTITIES)
+    part = F.when(used, F.struct(*READING_ORDER, text.alias("t")))
+    texts = labelled.groupBy(RECEIPT, F.when(used, F.col("entity")).alias("entity")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(part)), lambda p: p["t"]), " ").alias("t"))
     wide = texts.groupBy(RECEIPT).agg(*[
         F.max(F.when(F.col("entity") == e, F.col("t"))).alias(e) for e in rules.ENTITIES])
-    all_receipts = labelled.select(RECEIPT).distinct()
     value = F.coalesce(F.array_max(money.amounts_in_line(F.col("TOTAL_COST"))),
                        money.parse_receipt_amount(F.col("TOTAL_COST")))
-    return all_receipts.join(wide, RECEIPT, "left").withColumn("TOTAL_COST_VALUE", value)
+    return wide.withColumn("TOTAL_COST_VALUE", value)
+
 
+def _page_totals(boxes: DataFrame) -> DataFrame:
+    rows = scan.group_totals(boxes, RECEIPT, None, _a=F.min("y1"), _b=F.min("y2"), _c=F.max("y1"), _d=F.max("y2"), _xmax=F.max("x2"))
+    return rows.withColumn("_ymin", F.least("_a", "_b")).withColumn("_ymax", F.greatest("_c", "_d")).drop("_a", "_b", "_c", "_d")
 
-def reconcile_total(labelled: DataFrame, totals: DataFrame) -> DataFrame:
+
+def reconcile_total(labelled: DataFrame, totals: DataFrame, width: int | None = None) -> DataFrame:
     """TOTAL_COST kept on the best amount box and the total labels of its row; ``totals`` has the final amount."""
-    page = labelled.groupBy(RECEIPT).agg(
-        F.least(F.min("y1"), F.min("y2")).alias("_ymin"), F.greatest(F.max("y1"), F.max("y2")).alias("_ymax"),
-        F.max("x2").alias("_xmax"))
-    rows = labelled.join(page, RECEIPT).join(
-        totals.select(RECEIPT, F.when(F.col("amount") != 0, F.col("amount")).alias("_final")), RECEIPT, "left")
+    rows = scan.group_totals(
+        labelled, RECEIPT, width, _ymin=F.least(F.min("y1"), F.min("y2")), _ymax=F.greatest(F.max("y1"), F.max("y2")),
+        _xmax=F.max("x2")) if width else _page_totals(labelled)
+    rows = rows.join(totals.select(RECEIPT, F.when(F.col("amount") != 0, F.col("amount")).alias("_final")), RECEIPT, "left")
     text = strip(F.col("text"))
     low, amounts = fold_marks(text), money.amounts_in_line(text)
     height = F.greatest(F.col("_ymax") - F.col("_ymin"), F.lit(1)).cast("double")
     rows = rows.withColumn("_h", height).withColumn("_tol", F.greatest(F.lit(12.0), F.col("_h") * 0.035)).withColumn(
-        "_yc", _y_center()).withColumn("_has", F.size(amounts) > 0)
+        "_yc", _y_center()).withColumn("_amounts", amounts).withColumn("_has", F.size("_amounts") > 0)
     rows = rows.withColumn("_disc", matches(low, rules.KIE_DISCOUNT)).withColumn(
         "_label", matches(low, rules.KIE_TOTAL_LABEL) & ~F.col("_has") & ~F.col("_disc"))
-    fits = F.col("_has") & (F.array_contains(amounts, F.col("_final"))
+    fits = F.col("_has") & (F.array_contains("_amounts", F.col("_final"))
                             | F.coalesce(money.parse_receipt_amount(text) == F.col("_final"), F.lit(False)))
     rows = rows.withColumn("_fits", F.coalesce(fits, F.lit(False)))
     noise = (F.col("entity") == "TOTAL_COST") & (F.col("_disc") | (F.col("_has") & ~F.col("_fits")))
@@ -423,14 +424,14 @@ def reconcile_total(labelled: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 # --- words and tags --------------------------------------------------------------------------------
-def box_words(boxes: DataFrame, label: Column) -> DataFrame:
+def box_words(boxes: DataFrame, label: Column, width: int | None = None) -> DataFrame:
     """Words of labelled boxes in reading order with B/I tags: the first word of a segment is B."""
     words = F.filter(F.split(F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " "), " "), lambda w: w != "")
-    rows = scan.position(boxes.withColumn("_label", label), RECEIPT, READING_ORDER, "_o")
+    rows = scan.position(boxes.withColumn("_label", label), RECEIPT, READING_ORDER, "_o", width)
     rows = rows.select("*", F.posexplode(words).alias("_i", "word"))
     tag = F.when(F.coalesce("_label", F.lit("")).isin("", "O", "OTHER"), "O").otherwise(
         F.concat(F.when(F.col("_i") == 0, "B-").otherwise("I-"), F.col("_label")))
-    numbered = scan.position(rows, RECEIPT, ["_o", "_i"], "pos")
+    numbered = scan.position(rows, RECEIPT, ["_o", "_i"], "pos", width)
     return numbered.select(RECEIPT, "pos", "box_id", "word", tag.alias("tag"), "x1", "y1", "x2", "y2")
 
 
@@ -470,20 +471,20 @@ def resolve_word_labels(tokens: DataFrame) -> DataFrame:
         F.min_by("tag", F.when(tagged, F.col("token_pos"))), F.lit("O")).alias("tag"))
 
 
-def limit_positions(words: DataFrame, seller: float = 0.45, low: float = 0.35, high: float = 0.75) -> DataFrame:
+def limit_positions(words: DataFrame, seller: float = 0.45, low: float = 0.35, high: float = 0.75,
+                    width: int | None = None) -> DataFrame:
     """Sellers far down and unit words tagged as address in the middle of the page become O."""
-    page = words.groupBy(RECEIPT).agg(F.max("y2").alias("_h"))
-    rows = words.join(page, RECEIPT)
+    rows = scan.group_totals(words, RECEIPT, width, _h=F.max("y2"))
     far = F.contains("tag", F.lit("SELLER")) & (F.col("y1") > F.col("_h") * seller)
     unit = (F.contains("tag", F.lit("ADDRESS")) & (F.col("y1") > F.col("_h") * low) & (F.col("y1") < F.col("_h") * high)
             & F.lower("word").isin(rules.UNIT_WORDS))
     return rows.withColumn("tag", F.when(far | unit, "O").otherwise(F.col("tag"))).select(*words.columns)
 
 
-def limit_timestamps(words: DataFrame) -> DataFrame:
+def limit_timestamps(words: DataFrame, width: int | None = None) -> DataFrame:
     """Timestamp words without digit or date word survive only next to a digit (two words either side)."""
     digit = F.col("word").rlike("[0-9]").cast("int")
-    rows = scan.neighbours(words, RECEIPT, "pos", digit, 2, "_near")
+    rows = scan.neighbours(words, RECEIPT, "pos", digit, 2, "_near", width)
     lone = (F.contains("tag", F.lit("TIMESTAMP")) & ~F.lower("word").rlike("[0-9]")
             & ~matches(F.lower("word"), rules.DATE_WORDS) & (F.col("_near") == 0))
     return rows.withColumn("tag", F.when(lone, "O").otherwise(F.col("tag"))).select(*words.columns)
@@ -527,9 +528,9 @@ def limit_totals(words: DataFrame) -> DataFrame:
     return rows.withColumn("tag", F.when(off, "O").otherwise(F.col("tag"))).select(*words.columns)
 
 
-def post_process(words: DataFrame) -> DataFrame:
+def post_process(words: DataFrame, width: int | None = None) -> DataFrame:
     """Position limits, timestamp neighbours, then one total row."""
-    return words.transform(limit_positions).transform(limit_timestamps).transform(limit_totals)
+    return limit_totals(limit_timestamps(limit_positions(words, width=width), width))
 
 
 def box_vote(words: DataFrame) -> DataFrame:
@@ -632,11 +633,12 @@ def page_skew(quads: DataFrame) -> DataFrame:
 
 
 # --- jobs ------------------------------------------------------------------------------------------
-def summarise(boxes: DataFrame, fields: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+def summarise(boxes: DataFrame, fields: DataFrame | None = None, model: DataFrame | None = None,
+              width: int | None = None) -> DataFrame:
     """Seller, amount, warning, category and item count per receipt."""
-    lines = text_lines(group_lines(boxes))
-    items = match_items(merge_fragments(boxes))
-    totals = total_amount(lines)
+    lines = text_lines(group_lines(boxes, width=width), width)
+    items = match_items(merge_fragments(boxes, width=width), width=width)
+    totals = total_amount(lines, width)
     if fields is not None:
         totals = totals.join(fields.select(RECEIPT, F.col("TOTAL_COST_VALUE").alias("_kie")), RECEIPT, "left").select(
             RECEIPT, F.coalesce("_kie", "amount").alias("amount"))
@@ -650,12 +652,12 @@ def summarise(boxes: DataFrame, fields: DataFrame | None = None, model: DataFram
                       brand.isNotNull().alias("brand_routed"), F.coalesce("items_count", F.lit(0)).alias("items_count"))
 
 
-def backfill_total(labelled: DataFrame, summary: DataFrame) -> DataFrame:
+def backfill_total(labelled: DataFrame, summary: DataFrame, width: int | None = None) -> DataFrame:
     """Missing totals filled by the largest box amount, then the labels reconciled with it."""
     largest = labelled.groupBy(RECEIPT).agg(F.max(F.array_max(money.amounts_in_line(strip(F.col("text"))))).alias("_largest"))
     totals = largest.join(summary.select(RECEIPT, F.col("amount").alias("_a")), RECEIPT, "left").select(
         RECEIPT, F.coalesce(F.when(F.col("_a") != 0, F.col("_a")), "_largest").alias("amount"))
-    return reconcile_total(labelled, totals)
+    return reconcile_total(labelled, totals, width)
 
 
 def expense_rows(lines: DataFrame, suggestion: DataFrame, model: DataFrame | None = None) -> DataFrame:
@@ -682,19 +684,19 @@ def _brand_rank(line: Column) -> Column:
     return first_match([(matches(low, pattern), i) for i, (_, pattern) in enumerate(rules.BRANDS)])
 
 
-def personal_keyword(lines: DataFrame, fields: DataFrame) -> DataFrame:
+def personal_keyword(lines: DataFrame, fields: DataFrame, width: int | None = None) -> DataFrame:
     """First product name, else the seller."""
-    first = products_from_lines(lines).groupBy(RECEIPT).agg(F.min_by("name", "line_no").alias("_p"))
+    first = products_from_lines(lines, width).groupBy(RECEIPT).agg(F.min_by("name", "line_no").alias("_p"))
     rest = lines.filter(ln.is_category_line(F.col("line"))).groupBy(RECEIPT).agg(F.min_by("line", "line_no").alias("_l"))
     return fields.join(first, RECEIPT, "left").join(rest, RECEIPT, "left").select(
         RECEIPT, F.coalesce("_p", "_l", strip(F.col("SELLER"))).alias("keyword"))
 
 
-def tagged_box_words(boxes: DataFrame) -> DataFrame:
+def tagged_box_words(boxes: DataFrame, width: int | None = None) -> DataFrame:
     """Words of boxes that already carry a tag: only the first word of a B box keeps B."""
     words = F.filter(F.split(F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " "), " "), lambda w: w != "")
-    rows = scan.position(boxes, RECEIPT, READING_ORDER, "_o").select("*", F.posexplode(words).alias("_i", "word"))
+    rows = scan.position(boxes, RECEIPT, READING_ORDER, "_o", width).select("*", F.posexplode(words).alias("_i", "word"))
     inner = F.col("tag").startswith("B-") & (F.col("_i") > 0)
     tag = F.when(inner, F.concat(F.lit("I-"), F.substring("tag", 3, 100))).otherwise(F.col("tag"))
-    numbered = scan.position(rows, RECEIPT, ["_o", "_i"], "pos")
+    numbered = scan.position(rows, RECEIPT, ["_o", "_i"], "pos", width)
     return numbered.select(RECEIPT, "pos", "box_id", "word", tag.alias("tag"), "x1", "y1", "x2", "y2")

@@ -1,8 +1,9 @@
-"""Ordered scans inside groups, in two levels.
+"""Ordered scans and group totals that stay exact and parallel for groups of any size.
 
-A group is cut into bands of its position column. Windows run per (group, band); one row per band carries
-the state over to the next band. A group of any size is thus spread over many tasks, and the result equals
-the plain window over the whole group.
+Most tables hold only small groups (a receipt has some dozens of boxes); one shuffle by the group key then
+serves every window. ``width_for`` measures the largest group first. If one is too large for a task, the scans
+run in two levels instead: windows per (group, band of positions), and one row per band that carries the state
+over to the next band. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,77 +14,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BAND = 4096
+LARGE_GROUP = 200_000
+FIRST, BEFORE, HERE = Window.unboundedPreceding, -1, Window.currentRow
 
 
-def _banded(df: DataFrame, order: Sequence[str], width: int) -> DataFrame:
-    return df.withColumn("_band", F.floor(F.col(order[0]) / width))
+def width_for(df: DataFrame, group: str, limit: int = LARGE_GROUP) -> int | None:
+    """None if every group fits one task, else the band width to use."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    return None if sizes.filter(F.col("n") > limit).isEmpty() else BAND
 
 
-def _inside(group: str, order: Sequence[str]):
-    return Window.partitionBy(group, "_band").orderBy(*order)
+def _banded(df: DataFrame, order: Sequence[str], width: int) -> DataFrame:
+    return df.withColumn("_band", F.floor(F.col(order[0]) / width))
 
 
 def _bands(group: str):
     return Window.partitionBy(group).orderBy("_band")
 
 
-def _with_carry(rows: DataFrame, carry: DataFrame, group: str) -> DataFrame:
-    return rows.join(carry, [group, "_band"])
+def group_totals(df: DataFrame, group: str, width: int | None = None, **aggregates: Column) -> DataFrame:
+    """Every row with aggregates over its whole group."""
+    if width is None:
+        whole = Window.partitionBy(group)
+        return df.select("*", *[a.over(whole).alias(name) for name, a in aggregates.items()])
+    totals = df.groupBy(group).agg(*[a.alias(name) for name, a in aggregates.items()])
+    return df.join(totals, group)
 
 
-def lag_value(df: DataFrame, group: str, order: Sequence[str], value: str, out: str, width: int = BAND) -> DataFrame:
+def lag_value(df: DataFrame, group: str, order: Sequence[str], value: str, out: str, width: int | None = None) -> DataFrame:
     """Value of the previous row of the group."""
+    if width is None:
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(group).orderBy(*order)))
     rows = _banded(df, order, width)
     last = rows.groupBy(group, "_band").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carry = last.select(group, "_band", F.lag("_last").over(_bands(group)).alias("_carry"))
-    w = _inside(group, order)
+    w = Window.partitionBy(group, "_band").orderBy(*order)
     rows = rows.withColumn("_in", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    joined = _with_carry(rows, carry, group)
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in"))).drop(
-        "_band", "_in", "_first", "_carry")
+    return rows.join(carry, [group, "_band"]).withColumn(
+        out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in"))).drop("_band", "_in", "_first", "_carry")
 
 
-def running_sum(df: DataFrame, group: str, order: Sequence[str], value: Column, out: str, width: int = BAND) -> DataFrame:
+def running_sum(df: DataFrame, group: str, order: Sequence[str], value: Column, out: str, width: int | None = None) -> DataFrame:
     """Sum of ``value`` over the group up to and including the row."""
+    if width is None:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(FIRST, HERE)))
     rows = _banded(df.withColumn("_v", value), order, width)
     sums = rows.groupBy(group, "_band").agg(F.sum("_v").alias("_s"))
-    before = _bands(group).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(group, "_band", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry"))
-    w = _inside(group, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_in", F.sum("_v").over(w))
-    return _with_carry(rows, carry, group).withColumn(out, F.col("_carry") + F.col("_in")).drop(
-        "_band", "_in", "_carry", "_v")
+    carry = sums.select(group, "_band", F.coalesce(F.sum("_s").over(_bands(group).rowsBetween(FIRST, BEFORE)), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(group, "_band").orderBy(*order).rowsBetween(FIRST, HERE)
+    return rows.withColumn("_in", F.sum("_v").over(inside)).join(carry, [group, "_band"]).withColumn(
+        out, F.col("_carry") + F.col("_in")).drop("_band", "_in", "_carry", "_v")
 
 
-def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: Column, out: str, width: int = BAND) -> DataFrame:
+def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: Column, out: str,
+                       width: int | None = None) -> DataFrame:
     """Maximum of ``value`` over the rows of the group before this one; NULL on the first row."""
+    if width is None:
+        return df.withColumn(out, F.max(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(FIRST, BEFORE)))
     rows = _banded(df.withColumn("_v", value), order, width)
     tops = rows.groupBy(group, "_band").agg(F.max("_v").alias("_s"))
-    before = Window.unboundedPreceding
-    carry = tops.select(group, "_band", F.max("_s").over(_bands(group).rowsBetween(before, -1)).alias("_carry"))
-    rows = rows.withColumn("_in", F.max("_v").over(_inside(group, order).rowsBetween(before, -1)))
-    return _with_carry(rows, carry, group).withColumn(out, F.greatest("_carry", "_in")).drop(
-        "_band", "_in", "_carry", "_v")
+    carry = tops.select(group, "_band", F.max("_s").over(_bands(group).rowsBetween(FIRST, BEFORE)).alias("_carry"))
+    inside = Window.partitionBy(group, "_band").orderBy(*order).rowsBetween(FIRST, BEFORE)
+    return rows.withColumn("_in", F.max("_v").over(inside)).join(carry, [group, "_band"]).withColumn(
+        out, F.greatest("_carry", "_in")).drop("_band", "_in", "_carry", "_v")
 
 
-def position(df: DataFrame, group: str, order: Sequence[str], out: str, width: int = BAND) -> DataFrame:
+def position(df: DataFrame, group: str, order: Sequence[str], out: str, width: int | None = None) -> DataFrame:
     """1-based position of the row in its group."""
     return running_sum(df, group, order, F.lit(1).cast("bigint"), out, width)
 
 
-def segments(df: DataFrame, group: str, low: str, high: str, tie: Sequence[str], out: str, strict: bool = False) -> DataFrame:
+def segments(df: DataFrame, group: str, low: str, high: str, tie: Sequence[str], out: str, strict: bool = False,
+             width: int | None = None) -> DataFrame:
     """Number of the connected run of intervals [low, high] each row belongs to."""
     order = [low, *tie]
-    rows = running_max_before(df, group, order, F.col(high), "_top")
+    rows = running_max_before(df, group, order, F.col(high), "_top", width)
     gap = F.col(low) > F.col("_top") if strict else F.col(low) >= F.col("_top")
     starts = F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0).cast("bigint")
-    return running_sum(rows, group, order, starts, out).drop("_top")
+    return running_sum(rows, group, order, starts, out, width).drop("_top")
 
 
-def neighbours(df: DataFrame, group: str, pos: str, value: Column, reach: int, out: str, width: int = BAND) -> DataFrame:
+def neighbours(df: DataFrame, group: str, pos: str, value: Column, reach: int, out: str, width: int | None = None) -> DataFrame:
     """``value`` maximised over the rows whose position is within ``reach``. Band edges are copied over."""
+    if width is None:
+        return df.withColumn(out, F.max(value).over(Window.partitionBy(group).orderBy(pos).rangeBetween(-reach, reach)))
     halo = F.array_distinct(F.array(F.floor((F.col(pos) - reach) / width), F.floor((F.col(pos) + reach) / width)))
     rows = df.withColumn("_v", value).withColumn("_band", F.explode(halo))
-    w = Window.partitionBy(group, "_band").orderBy(pos).rangeBetween(-reach, reach)
-    near = rows.withColumn(out, F.max("_v").over(w))
+    near = rows.withColumn(out, F.max("_v").over(Window.partitionBy(group, "_band").orderBy(pos).rangeBetween(-reach, reach)))
     return near.filter(F.col("_band") == F.floor(F.col(pos) / width)).drop("_v", "_band")

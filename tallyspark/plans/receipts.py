@@ -8,7 +8,7 @@ from tallyspark import rules
 from tallyspark.functions import lines as ln
 from tallyspark.functions import money
 from tallyspark.functions.text import short_name
-from tallyspark.operators import evaluate, receipts
+from tallyspark.operators import evaluate, receipts, scan
 from tallyspark.plans import duck
 from tallyspark.plans.registry import query
 
@@ -122,27 +122,38 @@ words AS (SELECT receipt_id, CAST(row_number() OVER (PARTITION BY receipt_id ORD
           CASE WHEN lab = 'O' THEN 'O' WHEN i = 0 THEN 'B-' || lab ELSE 'I-' || lab END AS tag, x1, y1, x2, y2 FROM wi)"""
 
 
+def _width(t):
+    """Measured once per query over the boxes."""
+    if not hasattr(t, "box_width"):
+        t.box_width = scan.width_for(t.R, "receipt_id")
+    return t.box_width
+
+
 def _lines(t):
-    return receipts.text_lines(receipts.group_lines(t.R))
+    return receipts.text_lines(receipts.group_lines(t.R, width=_width(t)), _width(t))
 
 
 def _items(t):
-    return receipts.match_items(receipts.merge_fragments(t.R))
+    return receipts.match_items(receipts.merge_fragments(t.R, width=_width(t)), width=_width(t))
 
 
 def _words(t):
-    return receipts.box_words(t.R, ln.fix_typo(F.expr(GOLD)))
+    return receipts.box_words(t.R, ln.fix_typo(F.expr(GOLD)), _width(t))
+
+
+def _labelled(t):
+    return receipts.label_boxes(t.R, _width(t))
 
 
 # --- lines and boxes -------------------------------------------------------------------------------
 @query("w1_group_lines", f"WITH {LINES} SELECT * FROM lines")
 def _(t):
-    return receipts.group_lines(t.R)
+    return receipts.group_lines(t.R, width=_width(t))
 
 
 @query("w2_merge_fragments", f"WITH {MERGED} SELECT * FROM mb")
 def _(t):
-    return receipts.merge_fragments(t.R).drop("box_id")
+    return receipts.merge_fragments(t.R, width=_width(t)).drop("box_id")
 
 
 @query("j11_match_items", f"WITH {ITEMS} SELECT * FROM items")
@@ -161,12 +172,12 @@ v AS (SELECT *, n > 4 AND line_no > lo AND line_no <= greatest(lo + 1, n - great
 x AS (SELECT *, max(tab) OVER (PARTITION BY receipt_id) AS has FROM v WHERE tab OR mid)
 SELECT receipt_id, line_no, name FROM x WHERE tab OR NOT has""")
 def _(t):
-    return receipts.products_from_lines(_lines(t))
+    return receipts.products_from_lines(_lines(t), _width(t))
 
 
 @query("w4_label_boxes", f"WITH {R}, {LABELLED} SELECT receipt_id, box_id, entity, confidence FROM labelled")
 def _(t):
-    return receipts.label_boxes(t.R).select("receipt_id", "box_id", "entity", "confidence")
+    return _labelled(t).select("receipt_id", "box_id", "entity", "confidence")
 
 
 @query("w5_limit_timestamps", f"""WITH {R}, {WORDS},
@@ -177,7 +188,7 @@ SELECT receipt_id, pos, word, CASE WHEN contains(tag, 'TIMESTAMP') AND NOT regex
 AND NOT {duck.rx('lower(word)', rules.DATE_WORDS)} AND near = 0 THEN 'O' ELSE tag END AS tag FROM n""")
 def _(t):
     words = _words(t).withColumn("tag", F.expr("CASE WHEN pos % 4 = 0 THEN 'I-TIMESTAMP' ELSE tag END"))
-    return receipts.limit_timestamps(words).select("receipt_id", "pos", "word", "tag")
+    return receipts.limit_timestamps(words, _width(t)).select("receipt_id", "pos", "word", "tag")
 
 
 @query("w6_box_words", f"WITH {R}, {WORDS} SELECT receipt_id, pos, box_id, word, tag FROM words")
@@ -228,7 +239,7 @@ PRED_TAG = """CASE WHEN pos % 7 = 0 THEN 'O' WHEN pos % 11 = 0 AND tag <> 'O' TH
 
 @query("w8_entity_chunks", f"WITH {R}, {WORDS} {CHUNKS.replace('{tag}', 'tag')}")
 def _(t):
-    return evaluate.entity_chunks(_words(t), "tag")
+    return evaluate.entity_chunks(_words(t), "tag", width=_width(t))
 
 
 @query("a15_entity_scores", f"""WITH {R}, {WORDS}, g AS ({CHUNKS.replace('{tag}', 'tag')}), p AS ({CHUNKS.replace('{tag}', PRED_TAG)}),
@@ -244,7 +255,7 @@ d AS (SELECT * FROM c UNION ALL SELECT 'macro', avg(precision), avg(recall), avg
 SELECT label, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, CAST(support AS BIGINT) AS support FROM d""")
 def _(t):
     tokens = _words(t).select("receipt_id", "pos", F.col("tag").alias("tag_true"), F.expr(PRED_TAG).alias("tag_pred"))
-    return evaluate.entity_scores(tokens)
+    return evaluate.entity_scores(tokens, width=_width(t))
 
 
 TOKENS = "CASE (pos * 3 + k) % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'I-SELLER' WHEN 2 THEN tag ELSE 'O' END"
@@ -301,7 +312,7 @@ max(y2) OVER (PARTITION BY receipt_id) AS h FROM words)
 SELECT receipt_id, pos, word, {LIMIT_POS} AS tag FROM n""")
 def _(t):
     words = _words(t).withColumn("tag", F.expr(NOISY_POS)).withColumn("word", F.expr("CASE WHEN pos % 9 = 1 THEN 'lon' ELSE word END"))
-    return receipts.limit_positions(words).select("receipt_id", "pos", "word", "tag")
+    return receipts.limit_positions(words, width=_width(t)).select("receipt_id", "pos", "word", "tag")
 
 
 @query("a19_box_vote", f"""WITH {R}, {WORDS}, v AS (SELECT receipt_id, box_id, CASE WHEN {PRED_TAG} <> 'O' THEN substr({PRED_TAG}, 3) ELSE 'O' END AS lab,
@@ -322,7 +333,7 @@ AND NOT {duck.rx('lower(word)', rules.DATE_WORDS)} AND near = 0 THEN 'O' ELSE ta
 SELECT receipt_id, pos, word, tag FROM limited""")
 def _(t):
     words = _words(t).withColumn("tag", F.expr(NOISY_TOTAL))
-    return receipts.post_process(words).select("receipt_id", "pos", "word", "tag")
+    return receipts.post_process(words, _width(t)).select("receipt_id", "pos", "word", "tag")
 
 
 # --- brands, merchants, lexicon --------------------------------------------------------------------
@@ -378,7 +389,7 @@ WHEN bid IS NOT NULL AND entity = 'TOTAL_COST' THEN 'OTHER' ELSE entity END AS e
 {RECONCILED} SELECT * FROM reconciled""")
 def _(t):
     totals = t.I.groupBy("receipt_id").agg((F.sum("qty") * 1000).alias("amount"))
-    return receipts.reconcile_total(receipts.label_boxes(t.R), totals).select("receipt_id", "box_id", "entity")
+    return receipts.reconcile_total(_labelled(t), totals, _width(t)).select("receipt_id", "box_id", "entity")
 
 
 @query("j14_images_exist", """SELECT receipt_id, box_id FROM @R r WHERE receipt_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
@@ -390,7 +401,7 @@ def _(t):
 # --- totals ----------------------------------------------------------------------------------------
 @query("w15_total_amount", f"WITH {LINES}{TOTALS} SELECT * FROM totals")
 def _(t):
-    return receipts.total_amount(_lines(t))
+    return receipts.total_amount(_lines(t), _width(t))
 
 
 @query("w16_total_candidates", f"WITH {LINES}{TOTALS} SELECT receipt_id, line_no, score, picked AS amount FROM tc WHERE score > 0 AND picked IS NOT NULL")
@@ -410,7 +421,7 @@ FROM totals LEFT JOIN su USING (receipt_id))"""
 
 @query("f19_checked_total", f"WITH {ITEMS}{TOTALS}{CHECKED} SELECT * FROM checked")
 def _(t):
-    return receipts.checked_total(receipts.total_amount(_lines(t)), _items(t))
+    return receipts.checked_total(receipts.total_amount(_lines(t), _width(t)), _items(t))
 
 
 # --- categories ------------------------------------------------------------------------------------
@@ -554,7 +565,7 @@ CASE WHEN tag LIKE 'B-%' AND i > 0 THEN 'I-' || substr(tag, 3) ELSE tag END AS t
 
 @query("r3_matched_tokens", f"WITH {R}, {J10}, {R3_WORDS}, {TOKEN_SQL} SELECT * FROM tk")
 def _(t):
-    return receipts.token_rows(receipts.tagged_box_words(_matched(t)), receipts.page_size(t.R))
+    return receipts.token_rows(receipts.tagged_box_words(_matched(t), _width(t)), receipts.page_size(t.R))
 
 
 @query("r4_merge_increments", f"""WITH {R}, {WORDS}, {TOKEN_SQL}, q AS ({SEQUENCES}) SELECT receipt_id, labels FROM q WHERE receipt_id % 2 = 0
@@ -569,7 +580,7 @@ def _(t):
 
 @query("r5_entity_fields", f"WITH {R}, {LABELLED}{FIELDS} SELECT * FROM fields")
 def _(t):
-    return receipts.entity_fields(receipts.label_boxes(t.R))
+    return receipts.entity_fields(_labelled(t))
 
 
 SUMMARY = f"""{ITEMS}, {LABELLED}{FIELDS}{TOTALS.replace('totals AS (SELECT receipt_id, coalesce(best, late) AS amount FROM tb)',
@@ -583,7 +594,7 @@ summary AS (SELECT receipt_id, seller, amount, warning, coalesce({cascade(duck.f
 
 
 def _summary(t):
-    return receipts.summarise(t.R, receipts.entity_fields(receipts.label_boxes(t.R)))
+    return receipts.summarise(t.R, receipts.entity_fields(_labelled(t)), width=_width(t))
 
 
 @query("r7_summary", f"WITH {SUMMARY} SELECT * FROM summary")
@@ -595,8 +606,8 @@ def _(t):
 + CASE WHEN coalesce(f.SELLER, '') <> '' THEN 0.04 ELSE 0 END + CASE WHEN coalesce(f.TIMESTAMP, '') <> '' THEN 0.03 ELSE 0 END
 - CASE WHEN warning IS NULL THEN 0 ELSE 0.03 END), 4) END AS confidence FROM summary JOIN fields f USING (receipt_id)""")
 def _(t):
-    fields = receipts.entity_fields(receipts.label_boxes(t.R))
-    rows = receipts.summarise(t.R, fields).drop("seller").join(fields, "receipt_id")
+    fields = receipts.entity_fields(_labelled(t))
+    rows = receipts.summarise(t.R, fields, width=_width(t)).drop("seller").join(fields, "receipt_id")
     return rows.select("receipt_id", ln.receipt_confidence(
         F.col("amount"), F.lit("heuristic"), F.col("SELLER"), F.col("TIMESTAMP"),
         F.when(F.col("warning").isNull(), 0).otherwise(1)).alias("confidence"))
@@ -607,8 +618,8 @@ bx AS (SELECT receipt_id, max(list_max({amounts('text')})) AS lg FROM r GROUP BY
 fin AS (SELECT receipt_id, coalesce(CASE WHEN receipt_id % 4 <> 0 THEN nullif(amount, 0) END, lg) AS final FROM bx LEFT JOIN totals USING (receipt_id))
 {RECONCILED} SELECT * FROM reconciled""")
 def _(t):
-    totals = receipts.total_amount(_lines(t)).filter("receipt_id % 4 <> 0")
-    return receipts.backfill_total(receipts.label_boxes(t.R), totals).select("receipt_id", "box_id", "entity")
+    totals = receipts.total_amount(_lines(t), _width(t)).filter("receipt_id % 4 <> 0")
+    return receipts.backfill_total(_labelled(t), totals, _width(t)).select("receipt_id", "box_id", "entity")
 
 
 CATEGORY_LINE = f"""length(line) >= 3 AND NOT {duck.rx('line', rules.HEADER_SKIP)} AND NOT {duck.rx('line', rules.SKIP_LINE)}
@@ -638,7 +649,7 @@ SELECT receipt_id, CASE WHEN coalesce(s, 0) >= 3 THEN c WHEN m IS NOT NULL AND c
 WHEN mart THEN 'Essentials' ELSE coalesce(m, 'Others') END AS category FROM md LEFT JOIN bc USING (receipt_id)""")
 def _(t):
     model = t.R.filter("box_id = 0 AND receipt_id % 3 = 0").select("receipt_id", F.lit("Social").alias("category"))
-    return receipts.classify_receipt(_lines(t), model)
+    return receipts.classify_receipt(_lines(t), model, _width(t))
 
 
 @query("r9_expense_rows", f"""WITH {ITEMS}{TOTALS}{VOTES}, {MERCHANT},
@@ -651,7 +662,7 @@ FROM merch m LEFT JOIN bm USING (receipt_id) LEFT JOIN totals t USING (receipt_i
 def _(t):
     lines = _lines(t)
     voted = receipts.vote_category(receipts.item_categories(_items(t))).select("receipt_id", "category")
-    suggestion = receipts.total_amount(lines).join(voted, "receipt_id", "left")
+    suggestion = receipts.total_amount(lines, _width(t)).join(voted, "receipt_id", "left")
     return receipts.expense_rows(lines, suggestion)
 
 
@@ -674,7 +685,7 @@ def _golden(t):
 
 @query("a14_golden_eval", f"WITH {LINES}{TOTALS}, e AS ({GOLDEN}), p AS (SELECT receipt_id, amount, 'Food' AS category, 'WinMart' AS seller FROM totals) {GOLD_EVAL}")
 def _(t):
-    pred = receipts.total_amount(_lines(t)).select(F.col("receipt_id").alias("fixture_id"), "amount", F.lit("Food").alias("category"), F.lit("WinMart").alias("seller"))
+    pred = receipts.total_amount(_lines(t), _width(t)).select(F.col("receipt_id").alias("fixture_id"), "amount", F.lit("Food").alias("category"), F.lit("WinMart").alias("seller"))
     return evaluate.golden_eval(pred, _golden(t))
 
 
@@ -702,7 +713,7 @@ fp AS (SELECT receipt_id, arg_min(name, line_no) AS p FROM prod GROUP BY 1),
 fl AS (SELECT receipt_id, arg_min(line, line_no) AS l FROM tl WHERE {CATEGORY_LINE} GROUP BY 1)
 SELECT receipt_id, coalesce(p, l, SELLER) AS keyword FROM fields LEFT JOIN fp USING (receipt_id) LEFT JOIN fl USING (receipt_id)""")
 def _(t):
-    return receipts.personal_keyword(_lines(t), receipts.entity_fields(receipts.label_boxes(t.R)))
+    return receipts.personal_keyword(_lines(t), receipts.entity_fields(_labelled(t)), _width(t))
 
 
 # --- receipt functions on boxes --------------------------------------------------------------------

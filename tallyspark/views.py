@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -140,6 +141,36 @@ SELECT receipt_id, 1002, 20, 950, 300, 974, 'Tien thua 5.000', 0.75
 FROM {{items}} WHERE receipt_id % 5 = 0 GROUP BY receipt_id) b
 """
 
+# The same boxes in two passes over the items instead of one per box kind (Spark side).
+_BOX = "named_struct('box_id', CAST({0} AS BIGINT), 'x1', CAST({1} AS INT), 'y1', CAST({2} AS INT), 'x2', CAST({3} AS INT), " \
+       "'y2', CAST({4} AS INT), 'text', {5}, 'conf', CAST({6} AS DOUBLE))"
+
+
+def _boxes(*rows: tuple) -> str:
+    parts = []
+    for cond, *fields in rows:
+        box = _BOX.format(*fields)
+        parts.append(box if cond is None else f"CASE WHEN {cond} THEN {box} END")
+    return f"inline(array_compact(array({', '.join(parts)})))"
+
+
+ITEM_BOXES = _boxes(
+    (None, "10 * line_no", 20, "100 + 40 * line_no", 400, "124 + 40 * line_no", "name", "0.5 + 0.25 * (part_id % 3)"),
+    (None, "10 * line_no + 1", 700, "102 + 40 * line_no", 800, "126 + 40 * line_no", "concat(qty, '.000')", 0.75),
+    ("part_id % 3 = 0", "10 * line_no + 2", 415, "101 + 40 * line_no", 480, "125 + 40 * line_no", "'loai mot'", 0.5))
+PAGE_BOXES = _boxes(
+    (None, 0, 20, 0, 500, 30, "CASE receipt_id % 5 WHEN 0 THEN 'WinMart' WHEN 1 THEN 'Highlands Coffee' WHEN 2 THEN 'Pharmacity' "
+     "WHEN 3 THEN 'Circle K' ELSE 'Tap hoa 88' END", 1.0),
+    ("receipt_id % 2 = 0", 1, 20, 40, 500, 64, "concat('So ', receipt_id % 90, ' duong Le Loi quan 1')", 0.75),
+    ("receipt_id % 3 <> 0", 2, 20, 74, 500, 98, "concat('Ngày ', 10 + receipt_id % 18, '/03/2024 10:15')", 0.75),
+    ("receipt_id % 4 <> 0", 3, 20, 108, 800, 132, "'Mat hang SL Don gia'", 0.75),
+    ("receipt_id % 7 = 0", 999, 20, 850, 500, 874, "'Giam gia 10.000'", 0.75),
+    ("receipt_id % 11 <> 0", 1000, 20, 900, 300, 924, "CASE receipt_id % 6 WHEN 0 THEN 'Tổng tiền' WHEN 1 THEN 'Thanh toan' "
+     "WHEN 2 THEN 'Tổng cộng' ELSE 'Tong cong' END", 0.75),
+    ("receipt_id % 11 <> 0", 1001, 700, 902, 800, 926, "CASE WHEN receipt_id % 9 = 0 THEN concat(100 * total) "
+     "ELSE concat(total, '.000') END", 0.75),
+    ("receipt_id % 5 = 0", 1002, 20, 950, 300, 974, "'Tien thua 5.000'", 0.75))
+
 LEDGER = """
 SELECT o_orderkey AS row_id, o_custkey AS user_id, o_orderdate AS ts,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Food' WHEN '2' THEN 'Transport' WHEN '3' THEN 'Shopping'
@@ -226,7 +257,8 @@ class Inputs:
 
     @cached_property
     def R(self) -> DataFrame:
-        return self._view(RECEIPT_BOXES, items=self.I)
+        pages = self.I.groupBy("receipt_id").agg(F.sum("qty").alias("total"))
+        return self.I.selectExpr("receipt_id", ITEM_BOXES).unionByName(pages.selectExpr("receipt_id", PAGE_BOXES))
 
     @cached_property
     def L(self) -> DataFrame:
