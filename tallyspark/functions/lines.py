@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import rules
 from tallyspark.functions import money
-from tallyspark.functions.text import first_match, fold_marks, lookup, matches, strip
+from tallyspark.functions.text import contains_any, first_match, fold_marks, lookup, matches, strip
 
 LETTER = "[a-zA-Zà-ỹÀ-Ỹ]"
 
@@ -64,16 +64,20 @@ def keyword_hits(text: Column) -> dict[str, Column]:
             for cat, words in rules.CATEGORY_KEYWORDS.items()}
 
 
-def item_category(name: Column) -> Column:
-    """Lexicon category of one item: struct(category, confidence)."""
-    low = fold_marks(name)
+def keyword_count(text: Column, words: list[str]) -> Column:
+    """Number of the words found in folded text, as plain generated code."""
+    return sum((F.contains(text, F.lit(w)).cast("int") for w in words[1:]), F.contains(text, F.lit(words[0])).cast("int"))
+
+
+def item_category(name: Column, low: Column) -> Column:
+    """Lexicon category of one item: struct(category, confidence). ``low`` is its folded name, as a column."""
     weight = F.when(matches(name, rules.HEADER_SKIP), 1).otherwise(4)
-    scores = {cat: F.size(hits) * weight for cat, hits in keyword_hits(low).items()}
-    best = F.greatest(*scores.values())
-    category = first_match([(score == best, cat) for cat, score in scores.items()], "Others")
-    found = best > 0
-    return F.struct(F.when(found, category).otherwise("Others").alias("category"),
-                    F.when(found, 0.8).otherwise(0.5).alias("confidence"))
+    ranked = F.array(*[F.struct((keyword_count(low, words) * weight).alias("s"), F.lit(-i).alias("i"), F.lit(cat).alias("c"))
+                       for i, (cat, words) in enumerate(rules.CATEGORY_KEYWORDS.items())])
+    best = F.transform(F.array(F.array_max(ranked)), lambda b: F.struct(
+        F.when(b["s"] > 0, b["c"]).otherwise("Others").alias("category"),
+        F.when(b["s"] > 0, 0.8).otherwise(0.5).alias("confidence")))
+    return F.get(best, F.lit(0))
 
 
 def canonical_category(label: Column, predicted: Column | None = None) -> Column:
@@ -104,7 +108,7 @@ def fix_entity_label(label: Column, text: Column) -> Column:
     free = ~start.isin("SELLER", "ADDRESS")
 
     def has(words: list[str]) -> Column:
-        return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+        return contains_any(low, words)
 
     worded = (F.when(free & has(rules.LABEL_TOTAL_WORDS), "TOTAL_COST")
               .when(free & has(rules.LABEL_TIME_WORDS), "TIMESTAMP").otherwise(start))
@@ -130,8 +134,8 @@ def label_fixes(label: Column, text: Column) -> Column:
     """How many corrections ``fix_entity_label`` makes on the way."""
     raw, start, low = strip(label), fix_typo(label), F.lower(text)
     free = ~start.isin("SELLER", "ADDRESS")
-    timed = free & F.exists(F.array(*map(F.lit, rules.LABEL_TIME_WORDS)), lambda w: F.contains(low, w))
-    total = free & F.exists(F.array(*map(F.lit, rules.LABEL_TOTAL_WORDS)), lambda w: F.contains(low, w))
+    timed = free & contains_any(low, rules.LABEL_TIME_WORDS)
+    total = free & contains_any(low, rules.LABEL_TOTAL_WORDS)
     after = F.when(timed, "TIMESTAMP").otherwise(start)
     final = F.when(total, "TOTAL_COST").otherwise(after)
     steps = [raw != start, timed & (start != "TIMESTAMP"), total & (after != "TOTAL_COST"),

@@ -82,7 +82,7 @@ def parse_receipt_amount(token: Column) -> Column:
 def is_noise_amount(value: Column, line: Column, token: Column) -> Column:
     """Too small, too large, undelimited long numbers and document numbers."""
     digits = F.length(value.cast("string"))
-    document = matches(line, rules.DOCUMENT_NUMBER) & (digits >= 10)
+    document = (digits >= 10) & matches(line, rules.DOCUMENT_NUMBER)
     return (value < 1000) | (value > 50_000_000) | ((digits >= 8) & ~token.rlike("[.,]")) | document
 
 
@@ -160,15 +160,24 @@ def _decimal_text(value: Column, digits: int) -> Column:
     return F.regexp_replace(text, r"\.?0+$", "")
 
 
+def _one_decimal(value: Column, unit: int) -> Column:
+    """value / unit with one decimal, rounded by the exact binary quotient as C and Python print it."""
+    quotient = value.cast("double") / float(unit)
+    tenth = F.floor(F.pmod(value, F.lit(unit)) * 10 / unit).cast("bigint")
+    exact = ((quotient - F.floor(quotient)) * float(2**57)).cast("bigint") * 20  # the fraction has at most 57 bits
+    half = (2 * tenth + 1) * F.lit(2**57)
+    up = (exact > half) | ((exact == half) & (tenth % 2 == 1))
+    tenths = F.floor(value / unit).cast("bigint") * 10 + tenth + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def compact_money(value: Column) -> Column:
     """``1.5tr`` from a million on, else ``12.5k``."""
-    def unit(size: float, name: str) -> Column:
+    def unit(size: int, name: str) -> Column:
         whole = F.pmod(value, F.lit(size)) == 0
-        scaled = value.cast("double") / size
-        text = F.when(whole, F.format_string("%.0f", scaled)).otherwise(F.format_string("%.1f", scaled))
-        return F.concat(text, F.lit(name))
+        return F.concat(F.when(whole, F.floor(value / size).cast("string")).otherwise(_one_decimal(value, size)), F.lit(name))
 
-    return F.when(value >= 1_000_000, unit(1_000_000.0, "tr")).otherwise(unit(1_000.0, "k"))
+    return F.when(value >= 1_000_000, unit(1_000_000, "tr")).otherwise(unit(1_000, "k"))
 
 
 def dotted_thousands(value: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark import rules
 from tallyspark.functions import lines as ln
 from tallyspark.functions import money
-from tallyspark.functions.text import first_match, fold_marks, matches, strip
+from tallyspark.functions.text import contains_any, first_match, fold_marks, matches, strip
 from tallyspark.operators import scan
 
 READING_ORDER = ["y1", "x1", "box_id"]
@@ -243,8 +243,8 @@ def classify_receipt(lines: DataFrame, model: DataFrame | None = None, width: in
     numbered = scan.position(source.unionByName(none), RECEIPT, ["line_no"], "_n", width).select(
         RECEIPT, F.col("_n").alias("line_no"), "line")
     best = best_category(lexicon_scores(numbered)).select(RECEIPT, F.col("category").alias("_c"), F.col("score").alias("_s"))
-    head = lines.filter("line_no <= 6").groupBy(RECEIPT).agg(F.max(F.exists(
-        F.array(*map(F.lit, rules.MART_WORDS)), lambda w: F.contains(fold_marks(F.col("line")), w))).alias("_mart"))
+    head = lines.filter("line_no <= 6").groupBy(RECEIPT).agg(
+        F.max(contains_any(fold_marks(F.col("line")), rules.MART_WORDS)).alias("_mart"))
     out = head.join(best, RECEIPT, "left")
     score = F.coalesce("_s", F.lit(0))
     if model is None:
@@ -259,7 +259,8 @@ def classify_receipt(lines: DataFrame, model: DataFrame | None = None, width: in
 
 def item_categories(items: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """Model answer at 0.9, else lexicon at 0.8, else Others at 0.5."""
-    rows = items.withColumn("_c", ln.item_category(F.col("name")))
+    rows = items.withColumn("_low", fold_marks(F.col("name")))
+    rows = rows.withColumn("_c", ln.item_category(F.col("name"), F.col("_low"))).drop("_low")
     if model is None:
         return rows.withColumn("category", F.col("_c.category")).withColumn("confidence", F.col("_c.confidence")).drop("_c")
     joined = rows.join(model.select(RECEIPT, "name_id", F.col("category").alias("_m")), [RECEIPT, "name_id"], "left")
@@ -297,7 +298,7 @@ def total_candidates(lines: DataFrame) -> DataFrame:
     """Scored total lines with the amount picked on each."""
     line = F.col("line")
     rows = lines.withColumn("score", money.line_total_score(line)).filter("score > 0")
-    rows = rows.withColumn("amount", money.pick_total(money.amounts_in_line(line), line))
+    rows = rows.withColumn("_amounts", money.amounts_in_line(line)).withColumn("amount", money.pick_total(F.col("_amounts"), line))
     return rows.filter("amount IS NOT NULL").select(RECEIPT, "line_no", "score", "amount")
 
 
