@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import rules
@@ -43,6 +43,15 @@ def strip_accents(col: Column) -> Column:
     return F.regexp_replace(F.translate(col, letters, bases), r"\p{Mn}+", "")
 
 
+def let(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once.
+
+    Later filters on a plain computed column are pushed below it by copying its expression; a generated column
+    stays where it is. Meant for long rule chains.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fold_marks(col: Column) -> Column:
     """Lower case without accents; d-bar is kept."""
     return F.lower(strip_accents(col))

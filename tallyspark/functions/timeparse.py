@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import first_match, fold, lookup
+from tallyspark.functions.text import first_match, fold, let, lookup
 
 # --- fixed values: phrases (folded text) and the labels shown for them ---------------------------
 DAY_RANGE = (r"(?:tu\s+)?(?:ngay\s+)?([0-9]{1,2})\s+(?:den|toi)\s+(?:ngay\s+)?([0-9]{1,2})"
@@ -45,18 +45,18 @@ def with_time_range(df: DataFrame, phrase: Column, anchor: Column, out: str) ->
     The first matching rule is named in one step, its dates are computed in the next.
     """
     text, today = F.col("_text"), F.col("_today")
-    rows = df.withColumn("_text", fold(phrase)).withColumn("_today", anchor.cast("date"))
+    rows = let(df, _text=fold(phrase), _today=anchor.cast("date"))
     named = _int(text, DAY_RANGE, 3)
     before = F.regexp_extract(text, DAY_RANGE, 4) == "truoc"
     base = F.when(named.isNull() & before, F.date_sub(F.trunc(today, "month"), 1)).otherwise(today)
-    rows = rows.withColumn("_y", F.year(base)).withColumn("_m", F.coalesce(named, F.month(base)))
-    rows = rows.withColumn("_d", F.when(~text.rlike("[0-9]{1,2}/[0-9]{1,2}"), F.struct(
+    rows = let(rows, _y=F.year(base), _m=F.coalesce(named, F.month(base)), _n=_int(text, DAYS_BACK, 1))
+    days_range = F.when(~text.rlike("[0-9]{1,2}/[0-9]{1,2}"), F.struct(
         _date(F.col("_y"), F.col("_m"), _int(text, DAY_RANGE, 1)).alias("a"),
-        _date(F.col("_y"), F.col("_m"), _int(text, DAY_RANGE, 2)).alias("b"))))
-    rows = rows.withColumn("_s", F.struct(
+        _date(F.col("_y"), F.col("_m"), _int(text, DAY_RANGE, 2)).alias("b")))
+    slash_range = F.struct(
         _date(F.coalesce(_int(text, SLASH_RANGE, 3), F.year(today)), _int(text, SLASH_RANGE, 2), _int(text, SLASH_RANGE, 1)).alias("a"),
-        _date(F.coalesce(_int(text, SLASH_RANGE, 6), F.year(today)), _int(text, SLASH_RANGE, 5), _int(text, SLASH_RANGE, 4)).alias("b")))
-    rows = rows.withColumn("_n", _int(text, DAYS_BACK, 1))
+        _date(F.coalesce(_int(text, SLASH_RANGE, 6), F.year(today)), _int(text, SLASH_RANGE, 5), _int(text, SLASH_RANGE, 4)).alias("b"))
+    rows = let(rows, _d=days_range, _s=slash_range)
 
     def both(r: str) -> Column:
         return F.col(f"{r}.a").isNotNull() & F.col(f"{r}.b").isNotNull()
@@ -72,8 +72,7 @@ def with_time_range(df: DataFrame, phrase: Column, anchor: Column, out: str) ->
         *[(text.rlike(p), name) for p, name, _ in WEEKDAYS],
         (text.rlike(r"\bthang\b"), "month"), (text.rlike(r"\btuan\b"), "week"), (text.rlike(r"\bngay\b"), "day"),
         (text.rlike(r"\bnam\b"), "year")])
-    rows = rows.withColumn("_rule", rule).withColumn("_week", F.date_trunc("week", today).cast("date")).withColumn(
-        "_month", F.trunc(today, "month"))
+    rows = let(rows, _rule=rule, _week=F.date_trunc("week", today).cast("date"), _month=F.trunc(today, "month"))
     week, month, back = F.col("_week"), F.col("_month"), F.greatest(F.col("_n") - 1, F.lit(0))
     days = {name: i for i, (_, name, _) in enumerate(WEEKDAYS)}
 
@@ -90,7 +89,7 @@ def with_time_range(df: DataFrame, phrase: Column, anchor: Column, out: str) ->
         "days": F.col("_d.b"), "slashes": F.col("_s.b"), "yesterday": F.date_sub(today, 1), "last_week": F.date_sub(week, 1),
         "last_month": F.date_sub(month, 1), "weekend": F.date_add(week, 6), "weekday": F.date_add(week, 4),
         **{name: F.date_add(week, i) for name, i in days.items()}}, today)
-    rows = rows.withColumn("_start", start).withColumn("_end", end)
+    rows = let(rows, _start=start, _end=end)
     custom = F.col("_rule").isin("days", "slashes")
     count = F.col("_n").cast("string")
     granularity = F.when(custom, "custom").when(F.col("_rule") == "rolling", F.concat(F.lit("rolling_"), count, F.lit("d"))).otherwise(F.col("_rule"))

@@ -70,7 +70,7 @@ def baseline_category(norm: Column) -> Column:
 
 def rule_baseline(df: DataFrame) -> DataFrame:
     """Intent, confidence, amount, category and record type by rules alone."""
-    rows = df.select("row_id", "text", fold_marks(F.col("text")).alias("norm"), loose_amounts(F.col("text")).alias("amounts"))
+    rows = tx.let(df.select("row_id", "text"), norm=fold_marks(F.col("text")), amounts=loose_amounts(F.col("text")))
     action = contains_any(F.col("norm"), [folded(w) for w in rules.BASELINE_ACTION])
     has = F.size("amounts") > 0
     short = F.size(F.split(tx.collapse_ws(F.col("norm")), " ")) <= 5
@@ -86,7 +86,7 @@ def rule_baseline(df: DataFrame) -> DataFrame:
 
 def plain_receipts(texts: DataFrame) -> DataFrame:
     """Line count, largest amount and category of receipts given as plain text."""
-    rows = texts.select("row_id", "text", fold_marks(F.col("text")).alias("norm"), loose_amounts(F.col("text")).alias("_a"))
+    rows = tx.let(texts.select("row_id", "text"), norm=fold_marks(F.col("text")), _a=loose_amounts(F.col("text")))
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     return rows.select("row_id", lines.alias("lines"), F.array_max("_a").alias("amount"), baseline_category(F.col("norm")).alias("category"))
 

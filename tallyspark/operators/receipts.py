@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark import rules
 from tallyspark.functions import lines as ln
 from tallyspark.functions import money
-from tallyspark.functions.text import contains_any, first_match, fold_marks, matches, strip
+from tallyspark.functions.text import contains_any, first_match, fold_marks, let, matches, strip
 from tallyspark.operators import scan
 
 READING_ORDER = ["y1", "x1", "box_id"]
@@ -109,13 +109,14 @@ def names_and_prices(boxes: DataFrame, split: float = 0.55, width: int | None =
     """Price boxes right of ``split`` of the page width, product names everywhere else."""
     token = r"\b[0-9]{1,3}(?:[.,][0-9]{3})+\b|\b[0-9]{4,9}\b"
     found = F.regexp_extract_all(strip(F.col("text")), F.lit(token), F.lit(0))
-    rows = scan.group_totals(boxes, RECEIPT, width, _w=F.max("x2")).withColumn("_found", found).withColumn(
-        "_right", (F.size("_found") > 0) & (F.col("x1") >= F.col("_w") * split))
+    rows = scan.group_totals(boxes, RECEIPT, width, _w=F.max("x2"))
+    rows = let(rows, _found=found)
+    rows = rows.withColumn("_right", (F.size("_found") > 0) & (F.col("x1") >= F.col("_w") * split))
     prices = rows.filter("_right").withColumn("amount", money.parse_receipt_amount(F.element_at("_found", -1))).filter(
         "amount >= 1000").select(RECEIPT, F.col("box_id").alias("price_id"), "amount",
                                  ((F.col("x1") + F.col("x2")) / 2).alias("px"), _y_center().alias("py"))
     name = ln.product_name(F.regexp_replace(strip(F.col("text")), r"^\s*[0-9]+[\s.-]+", ""))
-    names = rows.filter("NOT _right").withColumn("name", name).filter("name IS NOT NULL").select(
+    names = let(rows.filter("NOT _right"), name=name).filter("name IS NOT NULL").select(
         RECEIPT, F.col("box_id").alias("name_id"), F.col("y1").alias("ny1"), "name",
         ((F.col("x1") + F.col("x2")) / 2).alias("nx"), _y_center().alias("ny"), (F.col("y2") - F.col("y1")).alias("h"))
     return names, prices
@@ -162,8 +163,7 @@ def products_from_lines(lines: DataFrame, width: int | None = None) -> DataFrame
     ``lines`` comes from ``text_lines``.
     """
     line, at = F.col("line"), F.col("line_no")
-    rows = lines.withColumn("_head", matches(line, rules.TABLE_HEADER)).withColumn(
-        "_total", money.line_total_score(line) >= 70).withColumn("name", ln.product_name(line))
+    rows = let(lines, _head=matches(line, rules.TABLE_HEADER), _total=money.line_total_score(line) >= 70, name=ln.product_name(line))
     rows = scan.group_totals(rows, RECEIPT, width, _n=F.max("line_no"), _start=F.min(F.when(F.col("_head"), at)))
     in_table = F.coalesce(at > F.col("_start"), F.lit(False)) & ~F.col("_head")
     rows = scan.group_totals(rows, RECEIPT, width, _stop=F.min(F.when(in_table & F.col("_total"), at)))
@@ -259,8 +259,8 @@ def classify_receipt(lines: DataFrame, model: DataFrame | None = None, width: in
 
 def item_categories(items: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """Model answer at 0.9, else lexicon at 0.8, else Others at 0.5."""
-    rows = items.withColumn("_low", fold_marks(F.col("name")))
-    rows = rows.withColumn("_c", ln.item_category(F.col("name"), F.col("_low"))).drop("_low")
+    rows = let(items, _low=fold_marks(F.col("name")))
+    rows = let(rows, _c=ln.item_category(F.col("name"), F.col("_low"))).drop("_low")
     if model is None:
         return rows.withColumn("category", F.col("_c.category")).withColumn("confidence", F.col("_c.confidence")).drop("_c")
     joined = rows.join(model.select(RECEIPT, "name_id", F.col("category").alias("_m")), [RECEIPT, "name_id"], "left")
@@ -297,8 +297,8 @@ def vote_category(items: DataFrame, dominance: float = 0.65) -> DataFrame:
 def total_candidates(lines: DataFrame) -> DataFrame:
     """Scored total lines with the amount picked on each."""
     line = F.col("line")
-    rows = lines.withColumn("score", money.line_total_score(line)).filter("score > 0")
-    rows = rows.withColumn("_amounts", money.amounts_in_line(line)).withColumn("amount", money.pick_total(F.col("_amounts"), line))
+    rows = let(lines, score=money.line_total_score(line)).filter("score > 0")
+    rows = let(let(rows, _amounts=money.amounts_in_line(line)), amount=money.pick_total(F.col("_amounts"), line))
     return rows.filter("amount IS NOT NULL").select(RECEIPT, "line_no", "score", "amount")
 
 
@@ -306,7 +306,7 @@ def total_amount(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Best total line, checked against item lines when weak; else the item sum; else the largest late amount."""
     line = F.col("line")
     item_row = money.parse_receipt_amount(F.regexp_extract(line, r"^\s*[0-9]+\s+[0-9.,]+\s+([0-9.,]+)\s*$", 1))
-    rows = lines.withColumn("_amounts", money.amounts_in_line(line)).select(
+    rows = let(lines, _amounts=money.amounts_in_line(line)).select(
         RECEIPT, "line_no", money.line_total_score(line).alias("score"), money.pick_total(F.col("_amounts"), line).alias("picked"),
         money.item_line_amount(line).alias("item"), F.when(item_row >= 1000, item_row).alias("row"),
         F.array_max("_amounts").alias("largest"))
@@ -337,13 +337,12 @@ def label_boxes(boxes: DataFrame, width: int | None = None) -> DataFrame:
     text, low = strip(F.col("text")), fold_marks(strip(F.col("text")))
     rows = scan.position(boxes, RECEIPT, READING_ORDER, "_pos", width)
     rows = scan.group_totals(rows, RECEIPT, width, _n=F.count(F.lit(1)))
-    total, stamp = matches(low, rules.KIE_TOTAL), text.rlike(rules.KIE_TIMESTAMP)
+    stamp = text.rlike(rules.KIE_TIMESTAMP)
     amounts = F.size(money.amounts_in_line(text)) > 0
-    rows = rows.select(
-        "*", total.alias("_total"), stamp.alias("_stamp"), amounts.alias("_amt"),
-        (matches(low, rules.KIE_ADDRESS) & (F.length(text) > 8)).alias("_addr"),
-        (matches(low, rules.KIE_EXCLUDE) | matches(low, rules.KIE_DISCOUNT)).alias("_no"),
-        matches(low, rules.KIE_TOTAL_LABEL).alias("_label"), (F.length(text) >= 3).alias("_long"))
+    rows = let(let(rows, _low=low), _total=matches(F.col("_low"), rules.KIE_TOTAL), _stamp=stamp, _amt=amounts,
+               _addr=matches(F.col("_low"), rules.KIE_ADDRESS) & (F.length(text) > 8),
+               _no=matches(F.col("_low"), rules.KIE_EXCLUDE) | matches(F.col("_low"), rules.KIE_DISCOUNT),
+               _label=matches(F.col("_low"), rules.KIE_TOTAL_LABEL), _long=F.length(text) >= 3)
     top = (F.col("_pos") <= F.greatest(F.lit(3), F.floor(F.col("_n") / 8))) & F.col("_long") & ~F.col("_total")
     rows = rows.withColumn("_top", top)
     fits = F.col("_top") & ~F.col("_stamp") & ~F.col("_amt")
@@ -391,8 +390,8 @@ def reconcile_total(labelled: DataFrame, totals: DataFrame, width: int | None =
     low, amounts = fold_marks(text), money.amounts_in_line(text)
     height = F.greatest(F.col("_ymax") - F.col("_ymin"), F.lit(1)).cast("double")
     rows = rows.withColumn("_h", height).withColumn("_tol", F.greatest(F.lit(12.0), F.col("_h") * 0.035)).withColumn(
-        "_yc", _y_center()).withColumn("_amounts", amounts).withColumn("_has", F.size("_amounts") > 0)
-    rows = rows.withColumn("_disc", matches(low, rules.KIE_DISCOUNT)).withColumn(
+        "_yc", _y_center())
+    rows = let(rows, _amounts=amounts, _disc=matches(low, rules.KIE_DISCOUNT)).withColumn("_has", F.size("_amounts") > 0).withColumn(
         "_label", matches(low, rules.KIE_TOTAL_LABEL) & ~F.col("_has") & ~F.col("_disc"))
     fits = F.col("_has") & (F.array_contains("_amounts", F.col("_final"))
                             | F.coalesce(money.parse_receipt_amount(text) == F.col("_final"), F.lit(False)))

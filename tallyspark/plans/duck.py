@@ -95,12 +95,15 @@ LABEL_FIXED = (
     "THEN 'Business' ELSE label END")
 
 
+def drop_words(x: str, words: str) -> str:
+    """Whole words gone; run twice because neighbours share the character between them."""
+    pattern = r"(^|[^\pL\pN_])(?:" + words + r")([^\pL\pN_]|$)"
+    return rsub(rsub(x, pattern, r"\1 \2"), pattern, r"\1 \2")
+
+
 def clean_category(x: str) -> str:
-    """Word boundaries in the twin are blanks, which is what the views hold around these words."""
     money = rsub(f"lower(trim({x}))", rules.CATEGORY_MONEY, " ")
-    padded = f"replace(' ' || {money} || ' ', ' ', '  ')"
-    out = rsub(padded, rf" (?:{rules.PAYMENT_WORDS}) ", " ")
-    return ws(rsub(f"replace({ws(out)}, ' ', ' ')", rf"(?:^| )(?:{rules.RECEIPT_WORDS})(?: |$)", " "))
+    return ws(drop_words(drop_words(money, rules.PAYMENT_WORDS), rules.RECEIPT_WORDS))
 
 
 def blank(x: str) -> str:

@@ -71,9 +71,9 @@ def _(t):
     return t.U.select("row_id", money.clean_content(F.col("text")).alias("content"))
 
 
-@query("f8_clean_category_text", f"SELECT row_id, {duck.clean_category('text')} AS text FROM (SELECT row_id, concat(text, ' momo tiền mặt') AS text FROM @U u) x")
+@query("f8_clean_category_text", f"SELECT row_id, {duck.clean_category('text')} AS text FROM (SELECT row_id, concat(text, ' momo x tiền mặt') AS text FROM @U u) x")
 def _(t):
-    return t.U.select("row_id", tx.clean_category_text(F.concat("text", F.lit(" momo tiền mặt"))).alias("text"))
+    return t.U.select("row_id", tx.clean_category_text(F.concat("text", F.lit(" momo x tiền mặt"))).alias("text"))
 
 
 @query("f9_ascii_tokens", """SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS h FROM (SELECT doc_id,
