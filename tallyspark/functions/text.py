@@ -207,7 +207,7 @@ def short_name(col: Column) -> Column:
 
 
 def topic_label(col: Column) -> Column:
-    low = fold(col)
+    low = F.lower(col)
     return first_match([(contains_any(low, words), label) for label, words in rules.TOPIC_LABELS], "Essentials")
 
 

@@ -1,12 +1,163 @@
-"""Models on Spark ML and routing by confidence."""
+"""Models on Spark ML (M1-M6, M9) and routing by confidence (M7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import money
+from tallyspark.functions import text as tx
+from tallyspark.operators.ordering import keep_first
+
+# Model parameters are bounded by vocabulary size x classes, whatever the number of rows.
+
+
+def ngrams(tokens: Column, upto: int = 3) -> Column:
+    """Word n-grams of 1..``upto`` words."""
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[grams(n) for n in range(1, upto + 1)])
+
+
+def ngram_idf(df: DataFrame, key: str, text: Column, top: int) -> DataFrame:
+    """The ``top`` most frequent n-grams with document frequency and smoothed idf."""
+    rows = df.select(key, tx.ascii_tokens(text).alias("_w"))
+    terms = rows.select(key, F.explode(ngrams(F.col("_w"))).alias("term"))
+    per_doc = terms.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    stats = per_doc.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    kept = stats.orderBy(F.desc("tf"), "term").limit(top).join(F.broadcast(total))  # one-row side
+    return kept.select("term", "tf", "df", F.round(F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0, 6).alias("idf"))
+
+
+def feature_stages(vocabulary: int) -> list:
+    return [CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf"),
+            Normalizer(inputCol="tfidf", outputCol="features")]
+
+
+def with_grams(df: DataFrame, text: Column) -> DataFrame:
+    rows = tx.let(df, _w=tx.letter_tokens(text))
+    return rows.withColumn("grams", ngrams(F.col("_w"))).drop("_w")
+
+
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """Balanced weights n / (classes * class size)."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(F.lit(1))  # one row per class
+    weights = counts.select(label, (F.sum("_c").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_c"))).alias("weight"))
+    return df.join(F.broadcast(weights), label)  # as many rows as classes
+
+
+def fit_text_classifier(df: DataFrame, text: Column, label: str, vocabulary: int, linear_svm: bool = False, iterations: int = 20) -> PipelineModel:
+    """TF-IDF of 1-3 grams into a balanced linear classifier."""
+    rows = class_weights(with_grams(df, text), label)
+    if linear_svm:
+        base = LinearSVC(maxIter=iterations, weightCol="weight")
+        model = OneVsRest(classifier=base, labelCol="y", featuresCol="features", weightCol="weight")
+    else:
+        model = LogisticRegression(maxIter=iterations, labelCol="y", featuresCol="features", weightCol="weight")
+    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc")
+    return Pipeline(stages=[index, *feature_stages(vocabulary), model]).fit(rows)
+
+
+def labels_of(model: PipelineModel) -> list[str]:
+    return next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
+
+
+def predict(model: PipelineModel, df: DataFrame, text: Column, out: str = "label_pred") -> DataFrame:
+    """Predicted label, confidence and distribution where the model has one."""
+    labels = F.array(*map(F.lit, labels_of(model)))
+    stages = [s for s in model.stages if not isinstance(s, StringIndexerModel)]
+    scored = PipelineModel(stages).transform(with_grams(df, text))
+    rows = scored.withColumn(out, F.get(labels, F.col("prediction").cast("int")))
+    if "probability" in scored.columns:
+        p = vector_to_array("probability")
+        rows = rows.withColumn("confidence", F.round(F.array_max(p), 4)).withColumn(
+            "distribution", F.map_from_arrays(labels, F.transform(p, lambda x: F.round(x, 4))))
+    else:
+        rows = rows.withColumn("confidence", F.lit(None).cast("double"))
+    return rows.drop("grams", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction")
+
+
+def embedding_classifier(df: DataFrame, label: str = "label", folds: int = 2) -> DataFrame:
+    """Classifier over an embedding column with sigmoid calibration on held-out margins.
+
+    Each fold is scored by a model fitted on the other one; per class a one-feature logistic regression maps the
+    margin to a probability.
+    """
+    rows = df.select("vec_id", F.col(label).cast("double").alias("y"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                     (F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("bigint") % folds).alias("fold"))
+    parts = []
+    for fold in range(folds):
+        model = LogisticRegression(maxIter=20, regParam=0.01, labelCol="y").fit(rows.filter(F.col("fold") != fold))
+        held = model.transform(rows.filter(F.col("fold") == fold))
+        parts.append(held.select("vec_id", "y", vector_to_array("rawPrediction").alias("margin"), "prediction"))
+    held = parts[0]
+    for part in parts[1:]:
+        held = held.unionByName(part)
+    top = F.element_at("margin", (F.col("prediction") + 1).cast("int"))
+    held = held.withColumn("m", top).withColumn("hit", (F.col("y") == F.col("prediction")).cast("double"))
+    vector = VectorAssembler(inputCols=["m"], outputCol="mv")
+    platt = LogisticRegression(featuresCol="mv", labelCol="hit", maxIter=20, predictionCol="_p", rawPredictionCol="_r", probabilityCol="platt")
+    scored = platt.fit(vector.transform(held)).transform(vector.transform(held))
+    confidence = F.round(F.element_at(vector_to_array("platt"), -1), 4)
+    return scored.select("vec_id", F.col("y").cast("int").alias("label"), F.col("prediction").cast("int").alias("label_pred"), confidence.alias("confidence"))
+
+
+def predict_slots(train: DataFrame, rows: DataFrame, fields: Sequence[str], vocabulary: int = 500) -> DataFrame:
+    """Slot values per text: exact text first, then a classifier per field; amounts by log-scale regression."""
+    out = rows
+    for field in fields:
+        known = train.filter(tx.blank_to_null(F.col(field)).isNotNull()).select("row_id", "text", tx.blank_to_null(F.col(field)).alias(field))
+        exact = keep_first(known, "text").select(F.col("text").alias("_t"), F.col(field).alias("_exact"))
+        joined = out.join(exact, F.col("text") == F.col("_t"), "left").drop("_t")
+        if field == "value":
+            numbers = known.withColumn("log", F.log1p(F.col("value").try_cast("double"))).filter("log IS NOT NULL")
+            model = Pipeline(stages=[*feature_stages(vocabulary), LinearRegression(labelCol="log", regParam=0.01, maxIter=20)]).fit(
+                with_grams(numbers, F.col("text")))
+            scored = model.transform(with_grams(joined, F.col("text")))
+            amount = F.get(money.extract_amounts(F.col("text")), F.lit(0))
+            guess = F.coalesce(amount, F.bround(F.expm1("prediction")).cast("bigint")).cast("string")
+        else:
+            model = fit_text_classifier(known, F.col("text"), field, vocabulary, iterations=10)
+            scored = predict(model, joined, F.col("text"), "_guess")
+            guess = F.col("_guess")
+        out = scored.withColumn(f"{field}_pred", F.coalesce("_exact", guess)).select(*out.columns, f"{field}_pred")
+    return out
+
 
 def review_route(df: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Low or missing confidence goes to review."""
     low = F.coalesce(F.col("confidence") < threshold, F.lit(True))
     return df.withColumn("route", F.when(low, "review").otherwise("accept"))
+
+
+def understand(rows: DataFrame, intent_model: PipelineModel, category_model: PipelineModel, corrections: DataFrame | None = None) -> DataFrame:
+    """Result row per utterance: intent, amounts, content, category.
+
+    The category of the whole sentence goes before the category of its content where they differ; a correction
+    (row_id, category_code) goes before both.
+    """
+    text = F.col("text")
+    staged = predict(intent_model, rows, text, "intent").withColumnRenamed("confidence", "intent_confidence").drop("distribution")
+    staged = tx.let(staged, amounts=money.extract_amounts(text), content=money.clean_content(text))
+    staged = predict(category_model, staged, tx.clean_category_text(text), "_sentence").drop("confidence")
+    staged = predict(category_model, staged, F.col("content"), "_span").drop("confidence")
+    if corrections is None:
+        staged = staged.withColumn("_fix", F.lit(None).cast("string"))
+    else:
+        staged = staged.join(corrections.select("row_id", F.col("category_code").alias("_fix")), "row_id", "left")
+    category = F.coalesce("_fix", F.when(F.lower("_sentence") != F.lower("_span"), F.col("_sentence")), "_span", "_sentence")
+    record = F.col("intent") == "Record"
+    return staged.select("row_id", "intent", "intent_confidence", F.when(record, F.get("amounts", F.lit(0))).alias("amount"),
+                         "content", F.when(record, category).alias("category"))

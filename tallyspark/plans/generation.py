@@ -28,7 +28,7 @@ def _pick(values, index: str) -> str:
 
 
 def _topic_label(x: str) -> str:
-    low = duck.fold(x)
+    low = f"lower({x})"
     return "CASE " + " ".join(f"WHEN {duck.contains_any(low, w)} THEN '{c}'" for c, w in rules.TOPIC_LABELS) + " ELSE 'Essentials' END"
 
 

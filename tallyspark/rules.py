@@ -340,16 +340,20 @@ BASELINE_ACTION = [
 ]
 
 # --- fixed values: generation --------------------------------------------------------------------
+# Raw lower-case text.
 TOPIC_LABELS = [
-    ("Food", ["thit", "pho", "bun", "com", "banh", "tra", "sua", "gao", "trung", "chuoi"]),
-    ("Transport", ["grab", "xang", "xe", "bus"]),
-    ("Housing", ["dien", "nuoc", "wifi", "internet", "4g", "data"]),
-    ("Shopping", ["shopee", "lazada", "tiktok", "tiki", "sac", "chuot", "ban phim", "ao", "quan", "balo", "tui"]),
-    ("Beauty", ["son", "serum", "kem", "my pham", "make up", "nails", "toc"]),
-    ("Health", ["thuoc", "kham"]),
-    ("Education", ["hoc", "sach", "photocopy"]),
-    ("Entertainment", ["phim", "netflix", "spotify", "game", "du lich", "cafe", "bar", "karaoke"]),
-    ("Social", ["qua", "sinh nhat"]),
+    ("Food", ["thịt", "phở", "bún", "cơm", "bánh", "trà", "sữa", "mì", "gạo", "cá", "tôm", "trứng", "chuối", "cam"]),
+    ("Transport", ["grab", "xăng", "xe", "bus"]),
+    ("Housing", ["điện", "nước", "wifi", "internet", "4g", "data"]),
+    ("Shopping", ["shopee", "lazada", "tiktok", "tiki", "sạc", "chuột", "bàn phím", "áo", "quần", "giày", "balo", "túi"]),
+    ("Beauty", ["son", "serum", "kem", "mỹ phẩm", "make up", "nails", "tóc", "cắt tóc"]),
+    ("Health", ["thuốc", "khám"]),
+    ("Education", ["học", "sách", "photocopy"]),
+    ("Entertainment", ["phim", "netflix", "spotify", "game", "du lịch", "cafe", "bar", "pub", "club", "spa", "massage",
+                       "bida", "karaoke"]),
+    ("Social", ["quà", "sinh nhật"]),
+    ("Essentials", ["dầu gội", "giấy", "bột giặt", "nước rửa", "muối", "đường", "tỏi", "gas", "gạo"]),
+    ("Housing", ["máy giặt", "tủ", "kệ", "đèn", "giặt"]),
 ]
 SHORT_NAME_FILLERS = ["nguyên", "dinh", "ít", "không", "loại", "truyền", "cao", "trẻ"]
 PRICES = [
