@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import rules
 from tallyspark.functions import money
-from tallyspark.functions.text import contains_any, first_match, fold_marks, lookup, matches, strip
+from tallyspark.functions.text import bind, contains_any, first_match, fold_marks, lookup, matches, strip
 
 LETTER = "[a-zA-Zà-ỹÀ-Ỹ]"
 
@@ -20,16 +20,21 @@ def _numeric_line(line: Column) -> Column:
 
 def product_name(line: Column) -> Column:
     """The product named by a line, NULL for headers, totals, discounts and number rows."""
-    s = strip(line)
-    skip = (
-        (F.length(s) < 3) | matches(s, rules.HEADER_SKIP) | matches(s, rules.SKIP_LINE)
-        | matches(s, rules.TABLE_HEADER) | (money.line_total_score(s) >= 70)
-        | matches(fold_marks(s), rules.DISCOUNT_LINE) | _numeric_line(s))
-    name = strip(F.regexp_replace(s, r"^\s*[0-9]+[\s.\-]+", ""))
-    name = strip(F.regexp_replace(name, r"\s+[0-9]{1,3}(?:[.,][0-9]{3})+\s*$", ""))
-    bad = ((F.length(name) < 3) | ~name.rlike(LETTER + "{2,}")
-           | ((F.size(money.amounts_in_line(name)) > 0) & ~name.rlike(LETTER + "{4,}")))
-    return F.when(~skip & ~bad, name)
+    boilerplate = "|".join([rules.HEADER_SKIP, rules.SKIP_LINE, rules.TABLE_HEADER])
+
+    def name_of(s: Column) -> Column:
+        skip = ((F.length(s) < 3) | matches(s, boilerplate) | (money.line_total_score(s) >= 70)
+                | matches(fold_marks(s), rules.DISCOUNT_LINE) | _numeric_line(s))
+        cut = strip(F.regexp_replace(s, r"^\s*[0-9]+[\s.\-]+", ""))
+        cut = strip(F.regexp_replace(cut, r"\s+[0-9]{1,3}(?:[.,][0-9]{3})+\s*$", ""))
+        return F.when(~skip, bind(cut, usable))
+
+    def usable(name: Column) -> Column:
+        ok = (F.length(name) >= 3) & name.rlike(LETTER + "{2,}") & (
+            name.rlike(LETTER + "{4,}") | (F.size(money.amounts_in_line(name)) == 0))
+        return F.when(ok, name)
+
+    return bind(strip(line), name_of)
 
 
 def is_category_line(line: Column) -> Column:

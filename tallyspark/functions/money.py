@@ -6,18 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark import rules
-from tallyspark.functions.text import FLAGS, collapse_ws, first_match, fold_marks, matches, strip
+from tallyspark.functions.text import FLAGS, collapse_ws, bind, first_match, fold_marks, matches, strip, strip_accents
 
 
 def preprocess_slang(col: Column) -> Column:
     """Number words before a unit, "half", and "and a half" become digits."""
-    text = F.lower(strip(col))
-    for digit, words in rules.NUMBER_WORDS.items():
-        text = F.regexp_replace(text, rf"{FLAGS}\b(?:{words})\b(?=\s*(?:{rules.NUMBER_WORD_UNITS})\b)", digit)
-    text = F.regexp_replace(text, rf"{FLAGS}\b(?:nửa|nua)\s+(?:triệu|trieu|củ|cu)\b", "500k")
-    text = F.regexp_replace(
-        text, rf"{FLAGS}(?<![0-9.,])([0-9]+)\s*(?:triệu|trieu|củ|cu)\s*(?:rưỡi|ruoi)\b", "$1.5 triệu")
-    return F.regexp_replace(text, rf"{FLAGS}\b(?:triệu|trieu|củ|cu)\s*(?:rưỡi|ruoi)\b", "1.5 triệu")
+    slang = "|".join([*rules.NUMBER_WORDS.values(), "nửa|nua|rưỡi|ruoi"])
+
+    def rewrite(text: Column) -> Column:
+        out = text
+        for digit, words in rules.NUMBER_WORDS.items():
+            out = F.regexp_replace(out, rf"(?U)\b(?:{words})\b(?=\s*(?:{rules.NUMBER_WORD_UNITS})\b)", digit)
+        out = F.regexp_replace(out, r"(?U)\b(?:nửa|nua)\s+(?:triệu|trieu|củ|cu)\b", "500k")
+        out = F.regexp_replace(out, r"(?U)(?<![0-9.,])([0-9]+)\s*(?:triệu|trieu|củ|cu)\s*(?:rưỡi|ruoi)\b", "$1.5 triệu")
+        out = F.regexp_replace(out, r"(?U)\b(?:triệu|trieu|củ|cu)\s*(?:rưỡi|ruoi)\b", "1.5 triệu")
+        return F.when(text.rlike(rf"(?U)\b(?:{slang})\b"), out).otherwise(text)
+
+    return bind(F.lower(strip(col)), rewrite)
 
 
 def _whole(col: Column) -> Column:
@@ -33,16 +38,21 @@ def parse_plain_amount(token: Column) -> Column:
 
 def extract_amounts(col: Column) -> Column:
     """All amounts: million composites, then amounts with a unit, then plain numbers."""
-    text = preprocess_slang(col)
+    return bind(preprocess_slang(col), lambda text: F.when(text.rlike("[0-9]"), _amounts(text)).otherwise(
+        F.array().cast("array<bigint>")))
+
+
+def _amounts(text: Column) -> Column:
+    """Amounts of lower-case text whose slang is already digits."""
     composite = r"([0-9]+)\s*(?:tr|trieu|triệu)\s*([0-9]{1,3})(?![0-9])"
-    millions = F.regexp_extract_all(text, F.lit(FLAGS + composite), F.lit(1))
-    rests = F.regexp_extract_all(text, F.lit(FLAGS + composite), F.lit(2))
+    millions = F.regexp_extract_all(text, F.lit("(?U)" + composite), F.lit(1))
+    rests = F.regexp_extract_all(text, F.lit("(?U)" + composite), F.lit(2))
     composites = F.zip_with(millions, rests, lambda m, r: m.try_cast("bigint") * 1_000_000 + F.when(
         F.length(r) == 1, r.try_cast("bigint") * 100_000).otherwise(r.try_cast("bigint") * 1_000))
 
     amount = rf"([0-9]+(?:[.,][0-9]+)?)\s*({rules.AMOUNT_UNITS})"
-    numbers = F.regexp_extract_all(text, F.lit(FLAGS + amount), F.lit(1))
-    units = F.regexp_extract_all(text, F.lit(FLAGS + amount), F.lit(2))
+    numbers = F.regexp_extract_all(text, F.lit("(?U)" + amount), F.lit(1))
+    units = F.regexp_extract_all(text, F.lit("(?U)" + amount), F.lit(2))
 
     def value(number: Column, unit: Column) -> Column:
         factor = first_match([(unit.isin(names), float(mult)) for mult, names in rules.UNIT_VALUES.items()], 1.0)
@@ -52,7 +62,7 @@ def extract_amounts(col: Column) -> Column:
     plain = (r"(?<![0-9.])([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})"
              rf"(?!\s*(?:{rules.PLAIN_STOP_UNITS})\b)")
     plains = F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(FLAGS + plain), F.lit(1)), parse_plain_amount),
+        F.transform(F.regexp_extract_all(text, F.lit("(?U)" + plain), F.lit(1)), parse_plain_amount),
         lambda v: v.isNotNull())
     return F.concat(composites, with_units, plains)
 
@@ -92,11 +102,15 @@ def repair_ocr_amount(line: Column) -> Column:
 
 
 def amounts_in_line(line: Column) -> Column:
-    fixed = repair_ocr_amount(line)
-    tokens = F.regexp_extract_all(fixed, F.lit(rules.AMOUNT_TOKEN), F.lit(1))
-    pairs = F.transform(tokens, lambda t: F.struct(t.alias("t"), parse_receipt_amount(t).alias("v")))
-    kept = F.filter(pairs, lambda p: p["v"].isNotNull() & ~is_noise_amount(p["v"], fixed, p["t"]))
-    return F.transform(kept, lambda p: p["v"])
+    def read(fixed: Column) -> Column:
+        tokens = F.regexp_extract_all(fixed, F.lit(rules.AMOUNT_TOKEN), F.lit(1))
+        pairs = F.transform(tokens, lambda t: F.struct(t.alias("t"), parse_receipt_amount(t).alias("v")))
+        kept = F.filter(pairs, lambda p: p["v"].isNotNull() & ~is_noise_amount(p["v"], fixed, p["t"]))
+        return F.transform(kept, lambda p: p["v"])
+
+    # Lines without four digits or a grouped number cannot hold an amount.
+    return F.when(line.rlike(r"[0-9]{4}|[0-9][.,][0-9(]"), bind(repair_ocr_amount(line), read)).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def item_line_amount(line: Column) -> Column:
@@ -109,10 +123,15 @@ def item_line_amount(line: Column) -> Column:
 
 def line_total_score(line: Column) -> Column:
     """How much a line looks like the total line; 0 for lines that never are."""
-    best = F.greatest(F.lit(0), F.lit(0), *[
-        F.when(matches(line, pattern), score).otherwise(0) for score, pattern in rules.TOTAL_LINE_SCORES])
-    return F.when(matches(line, rules.SKIP_LINE), 0).when(
-        fold_marks(line).contains(rules.CHANGE_LINE), 30).otherwise(best)
+    ordered = sorted(rules.TOTAL_LINE_SCORES, reverse=True)  # the highest score is the first that matches
+    any_rule = "|".join(pattern for _, pattern in rules.TOTAL_LINE_SCORES)
+
+    def score(low: Column) -> Column:
+        best = first_match([(low.rlike("(?U)" + pattern), value) for value, pattern in ordered], 0)
+        return F.when(low.rlike("(?U)" + rules.SKIP_LINE), 0).when(
+            strip_accents(low).contains(rules.CHANGE_LINE), 30).otherwise(F.when(low.rlike("(?U)" + any_rule), best).otherwise(0))
+
+    return bind(F.lower(line), score)
 
 
 def pick_total(amounts: Column, line: Column) -> Column:

@@ -67,7 +67,13 @@ def collapse_ws(col: Column) -> Column:
 
 
 def matches(col: Column, pattern: str) -> Column:
-    return col.rlike(FLAGS + pattern)
+    """Case-insensitive search. Patterns are lower case, so lowering the text saves the slow Unicode case folding."""
+    return F.lower(col).rlike("(?U)" + pattern)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
