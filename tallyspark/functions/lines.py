@@ -74,15 +74,15 @@ def keyword_count(text: Column, words: list[str]) -> Column:
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words[1:]), F.contains(text, F.lit(words[0])).cast("int"))
 
 
-def item_category(name: Column, low: Column) -> Column:
-    """Lexicon category of one item: struct(category, confidence). ``low`` is its folded name, as a column."""
-    weight = F.when(matches(name, rules.HEADER_SKIP), 1).otherwise(4)
-    ranked = F.array(*[F.struct((keyword_count(low, words) * weight).alias("s"), F.lit(-i).alias("i"), F.lit(cat).alias("c"))
+def item_category(low: Column) -> Column:
+    """Lexicon category of one folded item name (a column): struct(category, confidence).
+
+    Every keyword of one line weighs the same, so counts decide; the first category wins ties.
+    """
+    ranked = F.array(*[F.struct(keyword_count(low, words).alias("s"), F.lit(-i).alias("i"), F.lit(cat).alias("c"))
                        for i, (cat, words) in enumerate(rules.CATEGORY_KEYWORDS.items())])
-    best = F.transform(F.array(F.array_max(ranked)), lambda b: F.struct(
-        F.when(b["s"] > 0, b["c"]).otherwise("Others").alias("category"),
-        F.when(b["s"] > 0, 0.8).otherwise(0.5).alias("confidence")))
-    return F.get(best, F.lit(0))
+    return bind(F.array_max(ranked), lambda b: F.struct(
+        F.when(b["s"] > 0, b["c"]).otherwise("Others").alias("category"), F.when(b["s"] > 0, 0.8).otherwise(0.5).alias("confidence")))
 
 
 def canonical_category(label: Column, predicted: Column | None = None) -> Column:

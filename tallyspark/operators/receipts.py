@@ -134,26 +134,27 @@ def match_items(boxes: DataFrame, skew: float = 0.0, band: int = 64, width: int
     left = left.withColumn("_band", _bands(F.col("_base") - F.col("_reach"), F.col("_base") + F.col("_reach"), band))
     right = prices.withColumn("_pbase", F.col("py") - F.col("px") * slope).withColumn(
         "_band", F.floor(F.col("_pbase") / band))
-    pairs = left.join(right, [RECEIPT, "_band"]).filter(
-        (F.col("px") > F.col("nx")) & (F.abs(F.col("_pbase") - F.col("_base")) < F.col("_reach")))
+    near = (F.col("px") > F.col("nx")) & (F.abs(F.col("_pbase") - F.col("_base")) < F.col("_reach"))
+    right = right.withColumnsRenamed({RECEIPT: "_r", "_band": "_b"})
+    pairs = left.join(right, (F.col(RECEIPT) == F.col("_r")) & (F.col("_band") == F.col("_b")) & near, "left")
     dist = F.sqrt(F.pow(F.col("px") - F.col("nx"), 2) + F.pow(F.col("py") - F.col("ny"), 2))
-    options = pairs.groupBy(RECEIPT, "name_id", "ny1").agg(
-        F.array_sort(F.collect_list(F.struct(dist.alias("dist"), "price_id", "amount"))).alias("options"),
-        F.min("_pbase").alias("_lo"), F.max("_pbase").alias("_hi"))
+    option = F.when(F.col("price_id").isNotNull(), F.struct(dist.alias("dist"), "price_id", "amount"))
+    options = pairs.groupBy(RECEIPT, "name_id").agg(
+        F.first("ny1").alias("ny1"), F.first("name").alias("name"), F.array_sort(F.collect_list(option)).alias("options"),
+        F.coalesce(F.min("_pbase"), F.first("_base")).alias("_lo"), F.coalesce(F.max("_pbase"), F.first("_base")).alias("_hi"))
     runs = scan.segments(options, RECEIPT, "_lo", "_hi", ["name_id"], "_run", strict=True, width=width)
     turns = runs.groupBy(RECEIPT, "_run").agg(
-        F.array_sort(F.collect_list(F.struct("ny1", "name_id", "options"))).alias("turns"))
+        F.array_sort(F.collect_list(F.struct("ny1", "name_id", "name", "options"))).alias("turns"))
 
     def take(acc: Column, turn: Column) -> Column:
-        free = F.filter(turn["options"], lambda o: ~F.exists(acc, lambda t: t["price_id"] == o["price_id"]))
+        free = F.filter(turn["options"], lambda o: ~F.exists(acc, lambda t: t["price_id"].eqNullSafe(o["price_id"])))
         best = F.get(free, F.lit(0))
-        chosen = F.struct(turn["name_id"].alias("name_id"), best["price_id"].alias("price_id"), best["amount"].alias("amount"))
-        return F.when(F.size(free) == 0, acc).otherwise(F.concat(acc, F.array(chosen)))
+        return F.concat(acc, F.array(F.struct(
+            turn["name_id"].alias("name_id"), turn["ny1"].alias("ny1"), turn["name"].alias("name"),
+            best["price_id"].alias("price_id"), F.coalesce(best["amount"], F.lit(0)).cast("bigint").alias("price"))))
 
-    empty = F.array().cast("array<struct<name_id:bigint,price_id:bigint,amount:bigint>>")
-    chosen = turns.select(RECEIPT, F.explode(F.aggregate("turns", empty, take)).alias("c")).select(RECEIPT, "c.*")
-    return names.join(chosen, [RECEIPT, "name_id"], "left").select(
-        RECEIPT, "name_id", "ny1", "name", F.coalesce("amount", F.lit(0)).cast("bigint").alias("price"))
+    empty = F.array().cast("array<struct<name_id:bigint,ny1:int,name:string,price_id:bigint,price:bigint>>")
+    return turns.select(RECEIPT, F.inline(F.aggregate("turns", empty, take))).drop("price_id")
 
 
 # --- products, brands, categories ------------------------------------------------------------------
@@ -260,7 +261,7 @@ def classify_receipt(lines: DataFrame, model: DataFrame | None = None, width: in
 def item_categories(items: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """Model answer at 0.9, else lexicon at 0.8, else Others at 0.5."""
     rows = let(items, _low=fold_marks(F.col("name")))
-    rows = let(rows, _c=ln.item_category(F.col("name"), F.col("_low"))).drop("_low")
+    rows = let(rows, _c=ln.item_category(F.col("_low"))).drop("_low")
     if model is None:
         return rows.withColumn("category", F.col("_c.category")).withColumn("confidence", F.col("_c.confidence")).drop("_c")
     joined = rows.join(model.select(RECEIPT, "name_id", F.col("category").alias("_m")), [RECEIPT, "name_id"], "left")
@@ -271,9 +272,9 @@ def item_categories(items: DataFrame, model: DataFrame | None = None) -> DataFra
 def split_amounts(items: DataFrame, threshold: float = 0.60) -> DataFrame:
     """Amount and vote per category; ``items`` has name_id, ny1, price, category, confidence."""
     label = F.when(F.col("confidence") >= threshold, F.col("category")).otherwise("Others")
-    return items.groupBy(RECEIPT, label.alias("category")).agg(
+    return items.groupBy(RECEIPT, label.alias("_label")).agg(
         F.sum("price").alias("amount"), F.sum(F.col("price") * F.col("confidence")).alias("vote"),
-        F.min(F.struct("ny1", "name_id")).alias("_first"))
+        F.min(F.struct("ny1", "name_id", "category")).alias("_first")).withColumnRenamed("_label", "category")
 
 
 def vote_category(items: DataFrame, dominance: float = 0.65) -> DataFrame:
@@ -281,16 +282,13 @@ def vote_category(items: DataFrame, dominance: float = 0.65) -> DataFrame:
 
     Without any price the first item decides. Ties go to the category seen first.
     """
-    votes = split_amounts(items)
-    first = items.groupBy(RECEIPT).agg(F.min_by("category", F.struct("ny1", "name_id")).alias("_c"))
     lead = F.struct(F.col("vote").alias("v"), (-F.col("_first.ny1")).alias("y"), (-F.col("_first.name_id")).alias("n"))
-    sums = votes.groupBy(RECEIPT).agg(
+    sums = split_amounts(items).groupBy(RECEIPT).agg(
         F.max_by("category", lead).alias("top"), F.max("vote").alias("best"), F.sum("vote").alias("all"),
-        F.sum("amount").alias("amount"))
-    out = sums.join(first, RECEIPT)
+        F.sum("amount").alias("amount"), F.min("_first").alias("first"))
     clear = F.round(F.col("best") / F.col("all"), 9) >= dominance
-    return out.select(RECEIPT, first_match([
-        (F.col("amount") == 0, F.col("_c")), (clear, F.col("top"))], "Essentials").alias("category"), "amount")
+    return sums.select(RECEIPT, first_match([
+        (F.col("amount") == 0, F.col("first.category")), (clear, F.col("top"))], "Essentials").alias("category"), "amount")
 
 
 # --- totals ----------------------------------------------------------------------------------------
