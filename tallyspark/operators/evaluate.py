@@ -145,11 +145,11 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, e
     return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("percentile"))
 
 
-def latency(df: DataFrame, key: str = "backend", value: str = "latency_ms") -> DataFrame:
+def latency(df: DataFrame, key: str = "backend", value: str = "latency_ms", digits: int = 2) -> DataFrame:
     """Mean and 95th percentile per backend."""
-    means = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(value), 2).alias("avg_latency_ms"))
+    means = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(value), digits).alias("avg_latency_ms"))
     tail = exact_percentile(df, [key], value, 0.95)
-    return means.join(tail, key).withColumn("p95_latency_ms", F.round("percentile", 2)).drop("percentile")
+    return means.join(tail, key).withColumn("p95_latency_ms", F.round("percentile", digits)).drop("percentile")
 
 
 def eval_exact(preds: DataFrame) -> DataFrame:
