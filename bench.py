@@ -18,12 +18,10 @@ from tallyspark.plans import catalog  # noqa: E402
 from tallyspark.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "a3_weak_labels", "a1_distributions", "p14_fix_chain", "p17_validate_record", "d2_dedupe_masked", "d3_dedupe_folded",
-    "d5_dedupe_mode", "j2_append_new_masked", "j4_merge_feedback", "j5_match_correction", "a9_averages",
-    "a11_eval_hierarchical", "a12_latency", "k5_subsample", "k7_stratified_split", "f5_extract_amounts", "f12_multi_records",
-    "f22_parse_time_range", "j16_rows_in_phrase", "a25_profile", "m8_rule_baseline", "g5_short_records", "w1_group_lines",
-    "w2_merge_fragments", "w4_label_boxes", "j10_match_annotations", "j11_match_items", "w15_total_amount", "a15_entity_scores",
-    "r2_token_sequences", "r7_summary", "j6_similar_correction",
+    "a3_weak_labels", "p14_fix_chain", "d2_dedupe_masked", "d3_dedupe_folded", "d5_dedupe_mode", "j2_append_new_masked",
+    "j4_merge_feedback", "a9_averages", "a11_eval_hierarchical", "a12_latency", "k5_subsample", "f5_extract_amounts",
+    "f22_parse_time_range", "j16_rows_in_phrase", "a25_profile", "m8_rule_baseline", "w1_group_lines", "w4_label_boxes",
+    "w15_total_amount", "j11_match_items",
 ]
 
 
