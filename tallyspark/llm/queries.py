@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact, mixing, packing, tokenfile
+from tallyspark.llm import exact, mixing, packing, secrets, tokenfile
 from tallyspark.llm.common import documents
 from tallyspark.llm.tokens import tokenizer_path
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": lambda spark, folder: exact.exact_dedup(documents(spark, folder)),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
+    "op9_secrets": lambda spark, folder: secrets.report(secrets.scan_secrets(documents(spark, folder))),
     "op10_mix_sources": lambda spark, folder: mixing.mix(documents(spark, folder)),
 }
 
@@ -21,5 +22,6 @@ ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
+    "op9_secrets": secrets.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
