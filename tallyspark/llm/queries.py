@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact, mixing, packing, secrets, tokenfile
+from tallyspark.llm import exact, mixing, packing, pii, secrets, tokenfile
 from tallyspark.llm.common import documents
 from tallyspark.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": lambda spark, folder: exact.exact_dedup(documents(spark, folder)),
+    "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
     "op9_secrets": lambda spark, folder: secrets.report(secrets.scan_secrets(documents(spark, folder))),
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
+    "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
     "op9_secrets": secrets.ORACLE,
