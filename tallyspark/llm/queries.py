@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact, mixing, packing, pii, secrets, tokenfile
+from tallyspark.llm import exact, mixing, packing, pii, quality, secrets, tokenfile, toxicity
 from tallyspark.llm.common import documents
 from tallyspark.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_robust_outliers": lambda spark, folder: quality.report(quality.judged(documents(spark, folder))),
+    "op2_toxicity_chain": lambda spark, folder: toxicity.classify(
+        documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")),
     "op3_exact_dedup": lambda spark, folder: exact.exact_dedup(documents(spark, folder)),
     "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
