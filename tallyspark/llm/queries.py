@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact, mixing, packing, pii, quality, secrets, tokenfile, toxicity
+from tallyspark.llm import exact, lines, mixing, packing, pii, quality, secrets, tokenfile, toxicity
 from tallyspark.llm.common import documents
 from tallyspark.llm.tokens import tokenizer_path
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
+    "op8_line_dedup": lambda spark, folder: lines.dedup_lines(documents(spark, folder)),
     "op9_secrets": lambda spark, folder: secrets.report(secrets.scan_secrets(documents(spark, folder))),
     "op10_mix_sources": lambda spark, folder: mixing.mix(documents(spark, folder)),
 }
@@ -27,6 +28,7 @@ ORACLE: dict[str, str] = {
     "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
+    "op8_line_dedup": lines.ORACLE,
     "op9_secrets": secrets.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
