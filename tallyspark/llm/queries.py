@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact, lines, mixing, packing, pii, quality, secrets, tokenfile, toxicity
+from tallyspark.llm import exact, lines, mixing, packing, partenum, pii, quality, secrets, tokenfile, toxicity
 from tallyspark.llm.common import documents
 from tallyspark.llm.tokens import tokenizer_path
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_chain": lambda spark, folder: toxicity.classify(
         documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")),
     "op3_exact_dedup": lambda spark, folder: exact.exact_dedup(documents(spark, folder)),
+    "op4_partenum_join": lambda spark, folder: partenum.report(partenum.jaccard_join(documents(spark, folder))),
     "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
+    "op4_partenum_join": lambda spark, folder: partenum.report(partenum.jaccard_join(documents(spark, folder))),
     "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
     "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
     "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
