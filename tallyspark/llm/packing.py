@@ -91,6 +91,7 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
+        size = tokens.Encoder.of(path).size
         sequence = 0
         steps = dict.fromkeys(tiers, 0)
         out: list[tuple] = []
@@ -102,16 +103,17 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
             steps[window] += 1
             offset = 0
             for doc_id, start, ids, total in pieces:
-                n = len(ids) // 4
+                n = len(ids) // size
+                ids = tokens.wide(ids, size)
                 row = (doc_id, start, n, zlib.crc32(ids), total, (task << 36) + sequence, offset, window,
                        (((task << 4) + tiers.index(window)) << 28) + group)
-                out.append((*row, bytes(ids)) if with_ids else row)
+                out.append((*row, ids) if with_ids else row)
                 offset += n
             sequence += 1
 
         def pack_rests(last: bool) -> list[tuple]:
-            windows, left = pack_pool([len(r[2]) // 4 for r in rests], tiers)
-            part = lambda i, a, b: (rests[i][0], rests[i][1] + a, rests[i][2][4 * a:4 * b], rests[i][3])
+            windows, left = pack_pool([len(r[2]) // size for r in rests], tiers)
+            part = lambda i, a, b: (rests[i][0], rests[i][1] + a, rests[i][2][size * a:size * b], rests[i][3])
             for window, inside in windows:
                 emit(window, [part(*x) for x in inside])
             kept = [part(*x) for x in left]
@@ -126,14 +128,14 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                 out.clear()
 
-        for doc_ids, encoded in tokens.encoded(batches, path):
+        for doc_ids, encoded, _ in tokens.encoded(batches, path):
             for doc_id, ids in zip(doc_ids, encoded):
-                view, total = memoryview(ids), len(ids) // 4
+                view, total = memoryview(ids), len(ids) // size
                 for at in range(0, total - longest + 1, longest):
-                    emit(longest, [(doc_id, at, view[4 * at:4 * (at + longest)], total)])
+                    emit(longest, [(doc_id, at, view[size * at:size * (at + longest)], total)])
                 if total % longest:
                     at = total - total % longest
-                    rests.append((doc_id, at, bytes(view[4 * at:]), total))
+                    rests.append((doc_id, at, bytes(view[size * at:]), total))
             if len(rests) >= pool:
                 rests = pack_rests(False)
             if len(out) >= 4096:

@@ -1,4 +1,4 @@
-"""Token files: flat unsigned 32-bit ids with 64-bit document offsets, written in parts and memory-mapped."""
+"""Token files: flat unsigned 16- or 32-bit ids with 64-bit document offsets, written in parts and memory-mapped."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from tallyspark.llm import tokens
 from tallyspark.session import scratch
 
 MANIFEST = "manifest.json"
-_SUMMARY = "part long, name string, docs long, nulls long, tokens long"
+_SUMMARY = "part long, name string, docs long, nulls long, tokens long, size long"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -40,7 +40,8 @@ def _buffer(store, path: str):
 def write_token_file(docs: DataFrame, folder: str, path: str, partitions: int | None = None) -> list[dict]:
     """Writes ``docs`` (``doc_id``, ``text``) in ascending ``doc_id`` order below ``folder`` and returns the manifest.
 
-    A range partition of the ids is one part: ``NAME.bin`` (ids of its documents, each with the end id), ``NAME.doc``
+    A range partition of the ids is one part: ``NAME.bin`` (ids of its documents, each with the end id, unsigned
+    little-endian, 2 bytes wide where the vocabulary fits, else 4; the manifest has the ``size``), ``NAME.doc``
     (64-bit document ids) and ``NAME.idx`` (64-bit offsets into all ids of the file set, one more than documents). A
     part's base is the sum of the ids in the parts before it; there is one manifest row per partition, so the prefix
     sum is small at any size. Names carry the task attempt: a repeated or speculative task writes files of its own and
@@ -62,18 +63,19 @@ def write_token_file(docs: DataFrame, folder: str, path: str, partitions: int |
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store, root = _store(folder)
-        ids, counts, nulls = array("q"), array("Q"), 0
+        ids, counts, nulls, size = array("q"), array("Q"), 0, tokens.Encoder.of(path).size
         with store.open_output_stream(f"{root}/{name}.bin") as out:
-            for doc_ids, encoded in tokens.encoded(batches, path):
+            for doc_ids, encoded, _ in tokens.encoded(batches, path):
                 out.write(b"".join(encoded))
                 nulls += doc_ids.count(None)
                 ids.extend(0 if i is None else i for i in doc_ids)
-                counts.extend(len(e) // 4 for e in encoded)
+                counts.extend(len(e) // size for e in encoded)
         for kind, data in (("doc", ids), ("len", counts)):
             with store.open_output_stream(f"{root}/{name}.{kind}") as out:
                 out.write(data.tobytes())
         yield pa.RecordBatch.from_pylist([{
-            "part": task.partitionId(), "name": name, "docs": len(ids), "nulls": nulls, "tokens": sum(counts)}])
+            "part": task.partitionId(), "name": name, "docs": len(ids), "nulls": nulls,
+            "tokens": sum(counts), "size": size}])
 
     manifest, base = [], 0
     for row in sorted(dealt.mapInArrow(write, _SUMMARY).collect(), key=lambda r: r.part):
@@ -119,10 +121,10 @@ def read_token_file(spark: SparkSession, folder: str, rows: int = 4096) -> DataF
                 ids = np.frombuffer(_buffer(store, f"{path}.doc"), dtype="<i8")
                 offsets = np.frombuffer(_buffer(store, f"{path}.idx"), dtype="<u8").astype("int64")
                 data = memoryview(_buffer(store, f"{path}.bin")) if entry["tokens"] else memoryview(b"")
-                local = (offsets - entry["base"]) * 4
+                local = (offsets - entry["base"]) * entry["size"]
                 for at in range(0, entry["docs"], rows):
                     to = min(at + rows, entry["docs"])
-                    crc = [zlib.crc32(data[local[i]:local[i + 1]]) for i in range(at, to)]
+                    crc = [zlib.crc32(tokens.wide(data[local[i]:local[i + 1]], entry["size"])) for i in range(at, to)]
                     doc = pa.array(ids[at:to], mask=np.arange(at, to) >= entry["docs"] - entry["nulls"])
                     yield pa.RecordBatch.from_arrays(
                         [doc, pa.array(offsets[at:to]), pa.array(np.diff(offsets[at:to + 1])), pa.array(crc, pa.int64())],

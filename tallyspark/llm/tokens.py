@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+
+import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _encoders: dict[str, Encoder] = {}
 
@@ -19,8 +21,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def wide(ids: bytes | memoryview, size: int) -> bytes:
+    """Ids of ``size`` bytes as little-endian unsigned 32-bit bytes."""
+    return bytes(ids) if size == 4 else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes, equal to encoding each whole text with the library.
+    """Ids of whole texts as bytes, equal to encoding each text with the library.
+
+    An id takes ``size`` bytes, 2 if the vocabulary fits, else 4 (unsigned, little-endian).
 
     The tokenizer's pattern starts a new unit at a single space between two other characters, so the ids of a text are
     the ids of its pieces, each with its leading space. Pieces are encoded once and kept; a text whose pieces are empty
@@ -33,8 +42,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.size == 2 else "I"
         self.pieces: dict[str, bytes | None] = {}
-        self.units: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -45,35 +56,38 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+        return [array(self.code, e.ids).tobytes() for e in got]
 
-    def _learn(self, missing: Iterable[str]) -> None:
-        cores, units = {}, set()
+    def _learn(self, missing: set[str]) -> None:
+        pieces = self.pieces
+        whole, cores, new = [], [], set()
         for piece in missing:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.pieces[piece] = None
+            if len(piece.strip()) < len(piece) or not piece:
+                pieces[piece] = None
                 continue
             core = piece.rstrip(_PUNCTUATION)
-            if not core or not core[-1].isalpha() or "<|" in piece:
-                core = piece
-            cores[piece] = (" " + core, piece[len(core):])
-            units.update(cores[piece])
-        units.discard("")
-        units = list(units - self.units.keys())
-        self.units.update(zip(units, self._encode(units)))
-        self.units[""] = b""
-        for piece, (core, tail) in cores.items():
-            self.pieces[piece] = self.units[core] + self.units[tail]
+            if len(core) < len(piece) and core and core[-1].isalpha() and "<|" not in piece:
+                whole.append(piece)
+                cores.append(core)
+                if core not in pieces:
+                    new.add(core)
+            else:
+                new.add(piece)
+        new = list(new)
+        pieces.update(zip(new, self._encode([" " + p for p in new])))
+        tails = list({piece[len(core):] for piece, core in zip(whole, cores)}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails)))
+        for piece, core in zip(whole, cores):
+            pieces[piece] = pieces[core] + self.tails[piece[len(core):]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE_PIECES or len(self.units) > CACHE_PIECES:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-            self.units.clear()
         split = [text.split(" ") for text in texts]
         missing = set()
         for pieces in split:
             missing.update(pieces[1:])
-        self._learn(missing - self.pieces.keys())
+        self._learn(missing.difference(self.pieces))
         heads = self._encode([pieces[0] for pieces in split])
         known = self.pieces.__getitem__
         out, whole = [], []
@@ -91,12 +105,12 @@ class Encoder:
         return out
 
 
-def encoded(batches: Iterator, path: str, rows: int = 128) -> Iterator[tuple[list, list[bytes]]]:
-    """(doc ids, ids of each text with the end id) for a few rows at a time of Arrow batches of (doc_id, text)."""
+def encoded(batches: Iterator, path: str, rows: int = 256) -> Iterator[tuple[list, list[bytes], int]]:
+    """(doc ids, ids of each text with the end id, bytes per id) for a few rows at a time of batches of (doc_id, text)."""
     encoder = Encoder.of(path)
-    end = array("I", [END]).tobytes()
+    end = array(encoder.code, [END]).tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             texts = [t or "" for t in part.column(1).to_pylist()]
-            yield part.column(0).to_pylist(), [ids + end for ids in encoder.encode(texts)]
+            yield part.column(0).to_pylist(), [ids + end for ids in encoder.encode(texts)], encoder.size
