@@ -75,50 +75,43 @@ def variants(line: Column, n: Column, block: int = BLOCK) -> Column:
 
 
 def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``row``, ``doc_id``, ``line_no`` (from 0), ``line`` (normal form) of the lines of at least ``min_chars`` code points."""
-    lines = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("row", "doc_id", "line_no", F.explode(F.array(normal(F.col("raw")))).alias("line"))
+    """``at`` (row and ``line_no`` from 0) and ``line`` (normal form) of the lines of at least ``min_chars`` code points."""
+    lines = docs.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    lines = lines.select(F.struct("row", "line_no").alias("at"), F.explode(F.array(normal(F.col("raw")))).alias("line"))
     return lines.filter(F.length("line") >= min_chars)
 
 
-def order_of(doc_id: Column, row: Column, line_no: Column) -> Column:
-    """The place of a line in the corpus: by id (null last), row and line."""
-    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), row.alias("row"), line_no.alias("line_no"))
-
-
 def repeated_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``row``, ``line_no`` of every line that an earlier line of the corpus equals or is one edit away from.
+    """``at`` of every line that an earlier line of the corpus equals or is one edit away from.
 
-    ``docs``: ``row``, ``doc_id``, ``text``. Equal lines meet by digest and shrink in the map tasks. Of the different
-    lines only those that share a frame with another are spelled into variants. Lines that share a variant are one edit
-    apart if they left out the same place, or if one of them left out nothing; so the earliest line per variant and
-    place, and per variant of the shorter line, is found by aggregation and no pair within a group is emitted. What a
-    line is paired with is its earliest partner; the distance of that pair is checked on the texts.
+    ``docs``: ``row``, ``text``. Equal lines meet by digest and shrink in the map tasks. Of the different lines only
+    those that share a frame with another are spelled into variants. Lines that share a variant are one edit apart if
+    they left out the same place, or if one of them left out nothing; so the earliest line per variant and place, and
+    per variant of the shorter line, is found by aggregation and no pair within a group is emitted. What a line is
+    paired with is its earliest partner; the distance of that pair is checked on the texts.
     """
     lines = split_lines(docs, min_chars)
-    n = F.length("line")
-    hashed = lines.select("row", "line_no", F.unhex(F.md5("line")).alias("digest"), order_of(F.col("doc_id"), F.col("row"), F.col("line_no")).alias("at"),
-                          *([frames(F.col("line"), n).alias("frames")] if max_edits else []))
+    hashed = lines.select("at", F.unhex(F.md5("line")).alias("digest"),
+                          *([frames(F.col("line"), F.length("line")).alias("frames")] if max_edits else []))
     hashed = written(hashed, "lines")
     first = hashed.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    equal = (hashed.select("row", "line_no", "digest", "at").join(first.filter("n > 1").drop("n"), "digest")
-             .filter(F.col("at") != F.col("first")).select("row", "line_no"))
+    equal = hashed.select("digest", "at").join(first.filter("n > 1").drop("n"), "digest").filter(F.col("at") != F.col("first")).select("at")
     if not max_edits:
         return equal
 
     single = hashed.join(first.select("digest", "first"), "digest").filter(F.col("at") == F.col("first"))
     single = single.select("digest", "at", F.explode(F.array_distinct("frames")).alias("frame"))
     shared = single.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("frame")
-    open_lines = written(single.join(shared, "frame", "left_semi").select("digest", "at").distinct(), "open-lines")
+    open_lines = written(single.join(shared, "frame", "left_semi").select("at").distinct(), "open-lines")
 
     wanted = open_lines.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.line_no").alias("nos"))
-    texts = docs.join(wanted, "row").select("row", "doc_id", F.explode("nos").alias("line_no"), F.split("text", "\n", -1).alias("all"))
-    texts = texts.select("line_no", "row", "doc_id", normal(F.get("all", F.col("line_no"))).alias("line"))
-    texts = written(texts.withColumn("at", order_of(F.col("doc_id"), F.col("row"), F.col("line_no"))).select("at", "line"), "open-texts")
+    texts = docs.dropDuplicates(["row"]).join(wanted, "row").select("row", F.explode("nos").alias("line_no"), F.split("text", "\n", -1).alias("all"))
+    texts = texts.select(F.struct("row", "line_no").alias("at"), normal(F.get("all", F.col("line_no"))).alias("line"))
+    texts = written(texts, "open-texts")
 
     spelled = texts.select("at", F.explode(variants(F.col("line"), F.length("line"))).alias("v")).select("at", "v.*")
     spelled = written(spelled, "variants")
-    same = spelled.groupBy("k1", "k2", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    same = spelled.groupBy("k1", "k2", "place").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     same = written(same, "variant-firsts")
     crowd = same.groupBy("k1", "k2").agg(
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("short"),
@@ -132,39 +125,39 @@ def repeated_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHA
     left = texts.select("at", F.col("line").alias("a"))
     right = texts.select(F.col("at").alias("before"), F.col("line").alias("b"))
     close = pairs.join(left, "at").join(right, "before").filter(F.levenshtein("a", "b", max_edits).between(0, max_edits))
-    gone = close.select("at").distinct()
-    later = hashed.select("digest", "at").join(gone, "at", "left_semi").select("digest")
-    return hashed.select("row", "line_no", "digest").join(later, "digest", "left_semi").select("row", "line_no").union(equal).distinct()
+    later = hashed.select("digest", "at").join(close.select("at").distinct(), "at", "left_semi").select("digest")
+    return hashed.select("at", "digest").join(later, "digest", "left_semi").select("at").union(equal).distinct()
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with ``row``, their place in the scan, which tells repeated and null ids apart."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def placed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with ``row``: their order (id, null last, then a hash of the text) and key in one."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("text"))
+    return docs.select(row.alias("row"), "doc_id", "text", F.struct(F.lit(0), *carry).alias("carried"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id``, ``text`` without repeated lines, ``n_lines`` and ``n_dropped`` of every row of ``docs``.
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``text`` without repeated lines, ``n_lines``, ``n_dropped`` and the ``carry`` columns of every row.
 
     Lines are parts between newlines in normal form (``normal``). A line of at least ``min_chars`` code points goes if
     an earlier one of the corpus (by ``doc_id``, then line) equals it or, with ``max_edits`` 1, is one inserted, left
     out or changed character away; shorter lines stay. The earliest line always stays; what is close only to a line
     that goes itself still goes. Kept lines are written as they were.
 
-    Null text stays null, with 0 lines. Null ids come after all others; repeated ids are told apart by their place in
-    the scan. Very long lines are compared whole. Other columns are ignored. An empty table gives an empty result.
-    Python is not used.
+    Null text stays null, with 0 lines. Null ids come after all others. Rows of one id are ordered by a hash of their
+    texts; rows that repeat id and text are one document and get the same result. Very long lines are compared whole.
+    Other columns are ignored. An empty table gives an empty result. Python is not used.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
-    rows = numbered(docs)
-    gone = repeated_lines(rows, max_edits, min_chars).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
-    all_rows = rows.join(gone, "row", "left")
+    if max_edits not in (0, 1) or min_chars < 2:
+        raise ValueError("max_edits is 0 or 1 and min_chars at least 2")
+    rows = placed(docs, carry)
+    gone = repeated_lines(rows.select("row", "text"), max_edits, min_chars)
+    gone = gone.groupBy("at.row").agg(F.collect_set("at.line_no").alias("gone"))
     kept = bind(F.struct(F.split("text", "\n", -1).alias("lines"), F.col("gone").alias("gone")), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x.lines) - 1), x.gone), lambda i: F.get(x.lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    return all_rows.select(
+    return rows.join(gone, "row", "left").select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines.alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
 ORACLE = r"""

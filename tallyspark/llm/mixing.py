@@ -57,8 +57,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return sources.withColumn("target", target).withColumn("goal", F.least(F.round("target").cast("long"), F.col("cap")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and ``epochs`` (whole repetitions) of every row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``epochs`` (whole repetitions) and the ``carry``
+    columns of every row.
 
     A row is repeated ``floor(target / source_size)`` times. The rest of the target is filled in the order of a seeded
     draw of the ids: a row before the rest's end is taken once more, the row at its end in part, later rows not. So
@@ -69,26 +71,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     Repeated rows are dealt one after the other; rows of one id and size are interchangeable. A source of size 0 takes
     nothing. Other columns are ignored. An empty table gives an empty result.
     """
-    sizes = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sizes = written(sizes.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, DIGITS)), "sizes")
+    dealt = docs.select("doc_id", "source", key.alias("_key"), words(F.col("text")).alias("size"), draw.alias("_draw"),
+                        F.substring(draw, 1, DIGITS).alias("_bucket"), F.struct(F.lit(0), *carry).alias("_carried"))
+    sizes = written(dealt.drop("_carried"), "sizes")
     targets = written(source_targets(sizes, weights, max_epochs), "targets")
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target", "goal")
+    targets = targets.select(key.alias("_key"), "source_size", "target", "goal")
 
-    buckets = sizes.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sizes.groupBy("_key", "_bucket").agg(F.sum("size").alias("_words"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = written(buckets.select(
-        F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before")), "buckets")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sizes.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(bounded_broadcast(buckets, 200_000), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    rows = rows.join(bounded_broadcast(targets), F.col("source").eqNullSafe(F.col("_source")))
+        "_key", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before")), "buckets")
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (dealt if carry else sizes).withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(buckets, ["_key", "_bucket"]).join(bounded_broadcast(targets), "_key")
     whole = F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0))
     rest = F.col("goal") - F.col("_whole") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_inside")))
     return rows.withColumn("_whole", whole).select(
         "doc_id", "size", "source_size", "target", (F.col("_whole") * F.col("size") + part).cast("long").alias("taken"),
-        F.col("_whole").cast("long").alias("epochs"))
+        F.col("_whole").cast("long").alias("epochs"), *[F.col("_carried")[c].alias(c) for c in carry])
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    return F.regexp_substr(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+")))
+
+
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The mix itself: the rows of a ``mix`` that carries ``text``, as often as they are taken, a part as its first words."""
+    whole = F.col("taken") - F.col("taken") % F.greatest(F.col("size"), F.lit(1))
+    part = (F.col("taken") - whole).alias("_part")
+    rows = mixed.filter("taken > 0").withColumn("_part", part).withColumn("_copy", F.explode(
+        F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    cut = (F.col("_part") > 0) & (F.col("_copy") * F.col("size") > F.col("taken"))
+    return rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text"))).drop("_part", "_copy")
 
 
 ORACLE = r"""
