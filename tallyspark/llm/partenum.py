@@ -22,8 +22,10 @@ PERCENT = 75
 #: sets with up to ``FEW`` differences take one first-level partition and all pairs of second-level ones.
 SECOND, DIFFER = 2, 1
 FEW = 5
-SLACK = 0.2
-SEEDS = 4
+#: Partitions beyond the differences, as a share of them, under one seed after the other. The first row counts common
+#: shingles as weak, the second only empty partitions.
+SLACKS = (0.2, 0.5, 1.0, 2.0, 3.0)
+LATE_SLACKS = (0.2, 0.5, 1.0)
 #: A shingle in at least so many sets is common; at most so many are told to the tasks. Both decide the cost only.
 COMMON = 256
 MAX_COMMON = 200_000
@@ -60,20 +62,21 @@ def bands(percent: int, top: int) -> list[int]:
 
 
 @cache
-def layout(end: int, percent: int) -> tuple[int, int, int]:
-    """(differences, partitions, partitions per signature) of the band that ends at ``end``.
+def layout(end: int, percent: int, seed: int) -> tuple[int, int, int]:
+    """(differences, partitions, partitions per signature) of the band that ends at ``end``, under a seed.
 
     Sets linked at ``percent`` differ in at most ``(100 - percent) / (100 + percent)`` of their summed sizes.
     """
     differ = (100 - percent) * 2 * end // (100 + percent)
     if differ <= FEW:
-        return differ, differ + 3, 2
-    first = differ // (DIFFER + 1) + 1 + math.ceil(SLACK * differ / SECOND)
+        return differ, differ + 3 + min(seed, 3), 2
+    slack = (*SLACKS, *LATE_SLACKS, 0)[seed]
+    first = differ // (DIFFER + 1) + 1 + math.ceil(slack * differ / SECOND)
     return differ, first * SECOND, SECOND - DIFFER
 
 
-def signatures(hashes: np.ndarray, band: int, end: int, percent: int, common: np.ndarray) -> np.ndarray:
-    """Signatures of one set in one band instance.
+def signatures(hashes: np.ndarray, band: int, end: int, percent: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Signatures of one set in one band instance: (signatures, seed, shared) per seed.
 
     A seed deals the shingle domain into N partitions. Two linked sets differ in at most d shingles, so at least N - d
     partitions hold the same in both, and so does a subset of them. A signature is the content of such a subset
@@ -82,33 +85,36 @@ def signatures(hashes: np.ndarray, band: int, end: int, percent: int, common: np
     A partition whose shingles are all common, or that is empty, is weak; a signature of weak partitions alone would
     join strangers. As long as a set has fewer than N - d weak partitions, one of the partitions that agree is strong,
     and its strong signatures suffice. A set with more emits them under the next seed as well, and so on; of two sets
-    the one that is done first is safe under a seed that both use. Sets made of common shingles come to the second
-    run of seeds, in which only empty partitions are weak, and at last to one in which none is: they emit all. So every
-    linked pair shares a signature.
+    the one that is done first is safe under a seed that both use. Later seeds deal into more partitions, of which
+    fewer need to be strong. Sets made of common shingles come to the second row of seeds, in which only empty
+    partitions are weak, and at last to one in which none is: they emit all. So every linked pair shares a signature.
+
+    ``shared`` says how many signatures of this seed any linked set that emits under it shares at least; 0 if unsafe.
     """
-    differ, parts, take = layout(end, percent)
     known = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(len(hashes), bool)
-    size = len(hashes)
-    out = []
-    for seed in range(2 * SEEDS + 1):
+    last_seed = len(SLACKS) + len(LATE_SLACKS)
+    for seed in range(last_seed + 1):
+        differ, parts, take = layout(end, percent, seed)
         x = mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (seed * 4096 + band + 1) % (1 << 64)))
         part = (x >> np.uint64(40)).astype(np.int64) % parts
         y = mixed(x)
         low = np.bincount(part, weights=(y & np.uint64(0xFFFFFFFF)).astype(float), minlength=parts).astype(np.uint64)
         high = np.bincount(part, weights=(y >> np.uint64(32)).astype(float), minlength=parts).astype(np.uint64)
         content = mixed(low + (high << np.uint64(32)) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        filled = np.bincount(part[~known] if seed < SEEDS else part, minlength=parts) > 0
-        last = seed == 2 * SEEDS
+        strong = np.bincount(part[~known] if seed < len(SLACKS) else part, minlength=parts) > 0
+        if seed == last_seed:
+            strong[:] = True
+        agree, weak = parts - differ, parts - int(strong.sum())
         salt = np.uint64((band * 64 + seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         if take == 1:
-            out.append(mixed((content if last else content[filled]) ^ salt))
+            found, shared = content[strong], agree - weak
         else:
             a, b = np.array(list(combinations(range(parts), take))).T
-            strong = np.ones(len(a), bool) if last else filled[a] | filled[b]
-            out.append(mixed(mixed(content[a[strong]] * np.uint64(3) + content[b[strong]]) ^ salt))
-        if parts - int(filled.sum()) < parts - differ and size:
+            found = mixed(content[a] * np.uint64(3) + content[b])[strong[a] | strong[b]]
+            shared = math.comb(agree, 2) - math.comb(min(weak, agree), 2)
+        yield mixed(found ^ salt), seed, max(0, shared)
+        if shared > 0:
             break
-    return np.concatenate(out)
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
@@ -147,7 +153,8 @@ def _common_shingles(summaries: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(``sig``, ``id``) rows of the representatives: each in its own band and as the smaller set of the next."""
+    """(``sig``, ``id``, ``run``, ``shared``) rows of the representatives: each in its own band and as the smaller set of
+    the next. ``run`` names the band instance and the seed."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -155,22 +162,40 @@ def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common:
             ids = batch.column(0).to_pylist()
             at = 0
             for part in chunks(batch.column(1).to_pylist()):
-                sigs, owners = [], []
+                sigs, rows = [np.zeros(0, np.uint64)], [(0, 0, 0, 0)]
                 for doc_id, s in zip(ids[at:at + len(part)], shingle_sets(part, words)):
                     if not len(s):
                         continue
                     ends = bands(percent, 1 << len(s).bit_length() + 2)
                     own = bisect_left(ends, len(s))
                     for band in (own, own + 1):
-                        got = np.unique(signatures(s, band, ends[band], percent, common))
-                        sigs.append(got)
-                        owners.append(np.full(len(got), doc_id, dtype=np.int64))
+                        for got, seed, shared in signatures(s, band, ends[band], percent, common):
+                            sigs.append(got)
+                            rows.append((doc_id, band * 16 + seed, shared, len(got)))
                 at += len(part)
-                if sigs:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "id"])
+                doc, tag, shared, n = np.array(rows, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(doc, n)),
+                     pa.array(np.repeat(tag, n).astype(np.int32)), pa.array(np.repeat(shared, n).astype(np.int32))],
+                    ["sig", "id", "run", "shared"])
+
+    return _chosen(docs, reps).mapInArrow(run, "sig long, id long, run int, shared int")
 
-    return _chosen(docs, reps).mapInArrow(run, "sig long, id long")
+
+def _groups(signed: DataFrame) -> DataFrame:
+    """``sig``, ``id``, ``run``, ``shared``, ``first`` of the signatures that join documents.
+
+    Of signatures that a document must share at least t of with any partner it may leave out t - 1; it leaves out
+    those of the largest groups, an order that all documents follow, so a linked pair keeps one it shares.
+    """
+    of_sig = Window.partitionBy("sig").orderBy("id")
+    met = signed.select("*", F.first("id").over(of_sig).alias("first"), F.lead("id").over(of_sig).alias("next"))
+    met = written(met.filter("id > first or next > id").select("sig", "id", "run", "shared"), "met")
+    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("id", "run").orderBy(F.desc("n"), "sig"))
+    kept = met.join(sizes, "sig").withColumn("place", place).filter("place >= shared").select("sig", "id")
+    met = kept.select("*", F.first("id").over(of_sig).alias("first"), F.lead("id").over(of_sig).alias("next"))
+    return written(met.filter("id > first or next > id").select("sig", "id", "first"), "grouped")
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -225,10 +250,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     reps = written(classes.select(F.col("class_id").alias("id")).distinct(), "representatives")
     sizes = classes.groupBy(F.col("class_id").alias("id")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
 
-    signed = _signed(docs, reps, words, percent, _common_shingles(seen))
-    of_sig = Window.partitionBy("sig").orderBy("id")
-    grouped = signed.select("sig", "id", F.first("id").over(of_sig).alias("first"), F.lead("id").over(of_sig).alias("next"))
-    grouped = written(grouped.filter("id > first or next > id").select("sig", "id", "first"), "grouped")
+    grouped = _groups(_signed(docs, reps, words, percent, _common_shingles(seen)))
     sets = written(_sets(docs, written(grouped.select("id").distinct(), "candidates"), words), "sets")
     pairs = written(grouped.filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = written(_linked(pairs, sets, percent), "links")
@@ -241,11 +263,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     open_sigs = split.filter("low <> high and n > 2").select("sig")
     rest = written(member.join(open_sigs, "sig").filter("id <> first").join(sizes, "id"), "open-groups")
     if rest.limit(1).count():
-        a = rest.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
-        b = rest.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-        near = a.join(b, "sig").filter("a < b and ca <> cb").filter(
-            (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la")))
-        more = written(near.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        side = lambda x: rest.select("sig", *[F.col(c).alias(x + c) for c in ("id", "component", "low", "high")])
+        near = side("a").join(side("b"), "sig").filter("aid < bid and acomponent <> bcomponent").filter(
+            (100 * F.col("ahigh") >= percent * F.col("blow")) & (100 * F.col("bhigh") >= percent * F.col("alow")))
+        more = written(near.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         links = written(links.union(_linked(more, sets, percent)), "links")
     reached = components(links.union(same_id)) if _ids_repeat(summaries) else components(links)
     reached = written(reached, "components").select(F.col("id").alias("class_id"), "component")
