@@ -9,7 +9,7 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import bounded_broadcast, written
@@ -182,8 +182,8 @@ def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common:
     return _chosen(docs, reps).mapInArrow(run, "sig long, id long, run int, shared int")
 
 
-def _groups(signed: DataFrame) -> DataFrame:
-    """``sig``, ``id``, ``run``, ``shared``, ``first`` of the signatures that join documents.
+def _groups(signed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``sig``, ``id``, ``size``, ``first`` of the signatures that join documents; ``first`` has the smallest set.
 
     Of signatures that a document must share at least t of with any partner it may leave out t - 1; it leaves out
     those of the largest groups, an order that all documents follow, so a linked pair keeps one it shares.
@@ -191,11 +191,12 @@ def _groups(signed: DataFrame) -> DataFrame:
     of_sig = Window.partitionBy("sig").orderBy("id")
     met = signed.select("*", F.first("id").over(of_sig).alias("first"), F.lead("id").over(of_sig).alias("next"))
     met = written(met.filter("id > first or next > id").select("sig", "id", "run", "shared"), "met")
-    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    counts = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("id", "run").orderBy(F.desc("n"), "sig"))
-    kept = met.join(sizes, "sig").withColumn("place", place).filter("place >= shared").select("sig", "id")
-    met = kept.select("*", F.first("id").over(of_sig).alias("first"), F.lead("id").over(of_sig).alias("next"))
-    return written(met.filter("id > first or next > id").select("sig", "id", "first"), "grouped")
+    kept = met.join(counts, "sig").withColumn("place", place).filter("place >= shared").select("sig", "id").join(sizes, "id")
+    by_size = Window.partitionBy("sig").orderBy("size", "id")
+    met = kept.select("sig", "id", "size", F.first("id").over(by_size).alias("first"), F.lead("id").over(by_size).alias("next"))
+    return written(met.filter("id <> first or next is not null").drop("next"), "grouped")
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,27 +205,96 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
         bounded_broadcast(ids.select(F.col("id").alias("doc_id")), BROADCAST_IDS), "doc_id", "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, words: int, common: np.ndarray) -> DataFrame:
+    """``id``, ``shingles`` and ``rare`` (those that are not common) of the documents named by ``ids``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kind = pa.list_(pa.int64())
         for batch in batches:
             ids, at = batch.column(0), 0
             for part in chunks(batch.column(1).to_pylist()):
-                sets = [s.view(np.int64) for s in shingle_sets(part, words)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+                sets = shingle_sets(part, words)
+                rare = [s[~np.isin(s, common, assume_unique=True)].view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(part)), pa.array([s.view(np.int64) for s in sets], kind), pa.array(rare, kind)], ["id", "shingles", "rare"])
                 at += len(part)
 
-    return _chosen(docs, ids).mapInArrow(run, "id long, shingles array<long>")
+    return _chosen(docs, ids).mapInArrow(run, "id long, shingles array<long>, rare array<long>")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) with their sizes (``m``, ``n``), shared shingles and shared rare ones, and ``linked``."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("rare").alias("xr"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("rare").alias("yr"))
+    met = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"),
+        F.size(F.array_intersect("xr", "yr")).alias("rare_both"))
+    return met.withColumn("linked", 100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both")))
+
+
+def _ends(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose whole sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), both.alias("both"))
-    return met.filter(100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+def _centres(grouped: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of the groups that do not hang together: ``sig``, ``id``, ``smallest`` (size in the group) and ``centre``, of the
+    component with most members the set with the fewest rare shingles."""
+    rare = sets.groupBy("id").agg(F.min(F.size("rare")).alias("rare"))
+    member = grouped.join(labels, "id", "left").join(rare, "id").select("sig", "id", "size", "rare", F.coalesce("component", "id").alias("component"))
+    parts = member.groupBy("sig", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min(F.struct("rare", "id")).alias("lead"))
+    whole = parts.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.min("size").alias("smallest"),
+        F.max(F.struct("n", -F.col("lead.rare"), -F.col("lead.id"))).alias("most"))
+    whole = whole.filter("parts > 1 and all > 2").select("sig", "smallest", (-F.col("most.col3")).alias("centre"))
+    return member.select("sig", "id").join(whole, "sig")
+
+
+def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of one group and different components that may still be linked.
+
+    Of two such members at least one, z, does not hang together with the group's centre; all these are looked at. Let c
+    be any set, b a set linked to z and at least ``smallest`` large. What b and z share inside c cannot make up for what
+    z differs from c, so b and z share outside c at least half of |z delta c| - |c| + (smallest * (100 + percent)
+    - (|z| + smallest) * (100 - percent)) / (100 + percent), where that is positive. So z finds b by its shingles outside
+    c, and may leave out as many less one; common ones are left out first. As c serves whatever z has been compared
+    with, or the empty set, for which this is the usual prefix; z takes the one that leaves it the fewest common ones.
+    """
+    component = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
+    known = centred.join(component("id"), "id", "left").join(component("centre"), "centre", "left")
+    apart = known.filter(F.coalesce("id_component", "id") != F.coalesce("centre_component", "centre"))
+    apart = apart.groupBy(F.col("id").alias("z")).agg(F.min("smallest").alias("smallest"))
+    sizes = sets.select(F.col("id").alias("z"), F.size("shingles").alias("m"), F.size("rare").alias("rare"))
+    apart = written(apart.join(sizes, "z"), "apart")
+
+    both_ways = checked.select(F.col("a").alias("z"), F.col("b").alias("c"), "n", "both", "rare_both").union(
+        checked.select("b", "a", "m", "both", "rare_both"))
+    offers = apart.join(both_ways, "z").unionByName(apart.select("*", *[F.lit(None if x == "c" else 0).cast(t).alias(x) for x, t in (
+        ("c", "long"), ("n", "int"), ("both", "int"), ("rare_both", "int"))]))
+    up, down = 100 + percent, 100 - percent
+    delta = F.col("m") + F.col("n") - 2 * F.col("both")
+    least = F.ceil((up * (delta - F.col("n") + F.col("smallest")) - down * (F.col("m") + F.col("smallest"))) / F.lit(2 * up)).cast("int")
+    shown = F.greatest(F.lit(0), F.col("m") - F.col("both") - F.col("least") + 1)
+    common = F.greatest(F.lit(0), F.col("shown") - (F.col("rare") - F.col("rare_both")))
+    offers = offers.withColumn("least", least).filter("least > 0").withColumn("shown", shown).withColumn("common", common)
+    chosen = offers.groupBy("z").agg(F.min(F.struct("common", "shown", F.col("c").isNull().alias("none"), "c")).alias("o"))
+    chosen = chosen.select("z", "o.c", "o.shown")
+
+    z = sets.select(F.col("id").alias("z"), F.col("shingles").alias("x"), "rare")
+    c = sets.select(F.col("id").alias("c"), F.col("shingles").alias("y"))
+    outside = chosen.join(z, "z").join(c, "c", "left").withColumn("y", F.coalesce("y", F.array().cast("array<long>"))).select(
+        "z", "shown", F.array_except("rare", "y").alias("first"), F.array_except(F.array_except("x", "rare"), "y").alias("then"))
+    wanted = outside.select("z", F.size("first").alias("n_rare"), F.posexplode(F.slice(F.concat("first", "then"), F.lit(1), F.col("shown"))).alias("i", "shingle"))
+    wanted = written(wanted.select("z", "shingle", (F.col("i") >= F.col("n_rare")).alias("common")), "wanted")
+    held = sets.join(centred.select("id").distinct(), "id", "left_semi")
+    found = held.select("id", F.explode("rare").alias("shingle")).join(wanted.filter("not common"), "shingle")
+    if wanted.filter("common").limit(1).count():
+        rest = held.select("id", F.explode(F.array_except("shingles", "rare")).alias("shingle"))
+        found = found.unionByName(rest.join(wanted.filter("common"), "shingle"))
+    met = found.filter("id <> z").select(*_ends("id", "z")).distinct()
+    labelled = met.join(component("a"), "a", "left").join(component("b"), "b", "left")
+    return labelled.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -234,10 +304,11 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     form a class (``class_id``: its smallest id); links are looked for between classes.
 
     1. Sizes and digests of all sets; classes by digest, combined in the map tasks.
-    2. PartEnum signatures of one document per class, grouped by signature; each member is paired with the first of
-       its group, and the pairs are checked on whole sets.
-    3. Groups whose members do not all hang together by then: the remaining pairs between different components are
-       checked as well. Pairs inside a component need no check, they cannot change the result.
+    2. PartEnum signatures of one document per class, grouped by signature; each member is paired with the smallest
+       set of its group, and the pairs are checked on whole sets.
+    3. Groups that do not hang together by then: the rest is held against the centre of its group, and what still
+       stands apart against the others by what it has beside a near set (``_outsiders``). Pairs inside a component need
+       no check, they cannot change the result.
 
     Null or blank text: no set, linked with nothing, its own component. A null id: ``class_id`` and ``component_id``
     null, linked with nothing. Rows of one id count as one document that links through any of its texts. Very long
@@ -247,29 +318,26 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     summaries = seen.filter("n_shingles is not null").select("doc_id", "n_shingles", "d1", "d2")
     full = summaries.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = written(classes.select(F.col("class_id").alias("id")).distinct(), "representatives")
-    sizes = classes.groupBy(F.col("class_id").alias("id")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-
-    grouped = _groups(_signed(docs, reps, words, percent, _common_shingles(seen)))
-    sets = written(_sets(docs, written(grouped.select("id").distinct(), "candidates"), words), "sets")
-    pairs = written(grouped.filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = written(_linked(pairs, sets, percent), "links")
-
-    same_id = full.join(classes, ["n_shingles", "d1", "d2"]).filter("doc_id <> class_id").select(
-        F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    labels = written(components(links), "labels")
-    member = grouped.join(labels, "id", "left").select("sig", "id", "first", F.coalesce("component", "id").alias("component"))
-    split = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    open_sigs = split.filter("low <> high and n > 2").select("sig")
-    rest = written(member.join(open_sigs, "sig").filter("id <> first").join(sizes, "id"), "open-groups")
-    if rest.limit(1).count():
-        side = lambda x: rest.select("sig", *[F.col(c).alias(x + c) for c in ("id", "component", "low", "high")])
-        near = side("a").join(side("b"), "sig").filter("aid < bid and acomponent <> bcomponent").filter(
-            (100 * F.col("ahigh") >= percent * F.col("blow")) & (100 * F.col("bhigh") >= percent * F.col("alow")))
-        more = written(near.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        links = written(links.union(_linked(more, sets, percent)), "links")
-    reached = components(links.union(same_id)) if _ids_repeat(summaries) else components(links)
-    reached = written(reached, "components").select(F.col("id").alias("class_id"), "component")
+    sizes = written(classes.groupBy(F.col("class_id").alias("id")).agg(F.min("n_shingles").alias("size")), "representatives")
+
+    common = _common_shingles(seen)
+    grouped = _groups(_signed(docs, sizes.select("id"), words, percent, common), sizes)
+    sets = written(_sets(docs, written(grouped.select("id").distinct(), "candidates"), words, common), "sets")
+    first = written(grouped.filter("id <> first").select(*_ends("first", "id")).distinct(), "pairs")
+    checked = written(_compared(first, sets, percent), "compared")
+    linked = lambda df: df.filter("linked").select("a", "b")
+
+    labels = written(components(linked(checked)), "labels")
+    centred = written(_centres(grouped, labels, sets), "centred")
+    second = centred.filter("id <> centre").select(*_ends("centre", "id")).distinct().join(first, ["a", "b"], "left_anti")
+    checked = written(checked.union(_compared(written(second, "pairs"), sets, percent)), "compared")
+    labels = written(components(linked(checked)), "labels")
+    third = _outsiders(centred, labels, checked, sets, percent).join(checked, ["a", "b"], "left_anti")
+    links = written(linked(checked).union(linked(_compared(written(third, "pairs"), sets, percent))), "links")
+    if _ids_repeat(summaries):
+        links = links.union(full.join(classes, ["n_shingles", "d1", "d2"]).filter("doc_id <> class_id").select(
+            F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
+    reached = written(components(links), "components").select(F.col("id").alias("class_id"), "component")
     keyed = summaries.join(classes, ["n_shingles", "d1", "d2"], "left").withColumn(
         "class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     return keyed.join(reached, "class_id", "left").select(
