@@ -86,16 +86,28 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, near: DataFrame) -> Da
     ``GENERALISE``: pointwise mutual information over self-information, from document frequencies of the whole corpus.
 
     A pair needs ``MIN_CONTEXTS`` different neighbourhoods, none with more than ``ONE_CONTEXT`` of its documents; so
-    copies of one passage reveal nothing by being copied. Every count is combined in the map tasks first.
+    copies of one passage reveal nothing by being copied. A term stands in at least the documents in which it is near
+    some entity, so pairs that fall short even with that count are left out before terms are counted in all texts.
+    Every count is combined in the map tasks first.
     """
     total = docs.count()
+
+    def share(n_term: str):
+        joint = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col(n_term) * F.col("n_entity")))
+        own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+        return F.when(own > 0, joint / own).otherwise(0.0)
+
     single = near.groupBy("entity", "term", "context", "row").agg(F.lit(1).alias("_one"))
     by_context = single.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     pairs = by_context.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.sum("n").alias("seen"))
     pairs = pairs.filter((F.col("contexts") >= MIN_CONTEXTS) & (F.col("most") <= ONE_CONTEXT * F.col("seen")))
-    both = written(
-        single.groupBy("entity", "term", "row").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-        .join(pairs.select("entity", "term"), ["entity", "term"]), "pairs")
+    n_entity = (entities.select("row", F.explode("base").alias("s"))
+                .select("row", F.xxhash64("s.kind", F.lower("s.match")).alias("entity")).distinct()
+                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    n_near = single.groupBy("term", "row").agg(F.lit(1).alias("_one")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    both = (single.groupBy("entity", "term", "row").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+            .join(pairs.select("entity", "term"), ["entity", "term"]).join(n_entity, "entity").join(n_near, "term"))
+    both = written(both.filter(share("n_near") >= GENERALISE).drop("n_near"), "pairs")
     terms = written(both.select("term").distinct(), "terms")
     if terms.limit(1).count():
         words = docs.select(F.explode(F.array_distinct(F.transform(
@@ -103,13 +115,7 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, near: DataFrame) -> Da
         n_term = words.join(bounded_broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     else:
         n_term = terms.withColumn("n_term", F.lit(0).cast("long"))
-    n_entity = (entities.select("row", F.explode("base").alias("s"))
-                .select("row", F.xxhash64("s.kind", F.lower("s.match")).alias("entity")).distinct()
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
-    joint = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    share = F.when(own > 0, joint / own).otherwise(0.0)
-    return both.join(n_term, "term").join(n_entity, "entity").withColumn("share", share).filter(F.col("share") >= GENERALISE)
+    return both.join(n_term, "term").withColumn("share", share("n_term")).filter(F.col("share") >= GENERALISE)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
