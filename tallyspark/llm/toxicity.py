@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, folds: in
         models, held_out = fit_chain(texts, labels, fold, folds)
         return pd.DataFrame({"model": [pickle.dumps((models, threshold_of(held_out[:, 0], toxic)))]})
 
-    got = training_rows(docs, labels, limit).groupBy(F.lit(1)).applyInPandas(fit, "model binary").collect()
+    got = training_rows(docs, labels, limit).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "model binary").collect()
     return bytes(got[0].model) if got else None
 
 
