@@ -31,8 +31,9 @@ def _whole(col: Column) -> Column:
 
 
 def parse_plain_amount(token: Column) -> Column:
-    """Digits with dot or comma grouping; NULL unless positive."""
-    digits = F.regexp_replace(strip(token), "[.,]", "").try_cast("bigint")
+    """Digits with dot or comma grouping; NULL unless positive, and if a dot follows the last of the commas."""
+    mixed = token.contains(",") & F.substring_index(token, ",", -1).contains(".")
+    digits = F.when(~mixed, F.regexp_replace(strip(token), "[.,]", "").try_cast("bigint"))
     return F.when(digits > 0, digits)
 
 

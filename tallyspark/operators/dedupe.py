@@ -97,12 +97,14 @@ def dislike_corrections(log: DataFrame) -> DataFrame:
 def merge_feedback(corpus: DataFrame, log: DataFrame) -> DataFrame:
     """Corpus after corrections: update in place, move to another intent table, or insert.
 
-    ``corpus`` has row_id, text, intent (its table) and category_code. A row that moves keeps its data,
-    and only its first copy moves.
+    ``corpus`` has row_id, text, intent (its table) and category_code. Of the tables that hold a text only the first
+    (Record, Action, Chitchat) is touched. A row that moves keeps its data, and only its first copy moves.
     """
     fixes = dislike_corrections(log).drop("row_id")
-    base = corpus.withColumn("text_key", F.lower(tx.strip(F.col("text"))))
-    hit = base.join(fixes, "text_key", "left")
+    place = F.coalesce(F.nullif(F.array_position(F.array(F.lit("Record"), F.lit("Action"), F.lit("Chitchat")), F.col("intent")), F.lit(0)), F.lit(4))
+    base = corpus.withColumn("text_key", F.lower(tx.strip(F.col("text")))).withColumn("_place", place)
+    first = base.join(fixes.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.min("_place").alias("_place"))
+    hit = base.join(fixes.join(first, "text_key"), ["text_key", "_place"], "left").drop("_place")
     moved = F.col("target").isNotNull() & (F.col("intent") != F.col("target"))
     updated = hit.withColumn("op", F.when(F.col("target").isNull(), "keep").when(moved, "move").otherwise("update"))
     copies = updated.filter("op = 'move'")

@@ -9,30 +9,40 @@ from tallyspark.functions import timeparse
 
 
 def rows_in_phrase(ledger: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Ledger rows inside the period of the user's phrase; ``phrases`` has user_id, phrase, anchor."""
+    """Ledger rows inside the period of the user's phrase; ``phrases`` has user_id, phrase, anchor.
+
+    Rows meet by user and month, so a busy user's history is read only where a period touches it.
+    """
     ranges = timeparse.with_time_range(phrases, F.col("phrase"), F.col("anchor"), "_r").filter("_r IS NOT NULL")
     low, high = timeparse.bounds(F.col("_r"))
     ranges = ranges.select("user_id", F.col("_r.granularity").alias("granularity"), low.alias("_from"), high.alias("_to"))
-    return ledger.join(ranges, "user_id").filter(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    ranges = ranges.withColumn("_month", F.explode(F.when(
+        F.col("_to") >= F.col("_from"), F.sequence(month("_from"), month("_to"), F.expr("INTERVAL 1 MONTH")))))
+    inside = ledger.withColumn("_month", month("ts")).join(ranges, ["user_id", "_month"])
+    return inside.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_from", "_to", "_month")
 
 
 def compare_periods(ledger: DataFrame, slots: DataFrame) -> DataFrame:
-    """Expense of two periods per user with difference and percent; ``slots`` has user_id, slot ("A vs B"), anchor."""
+    """Expense of two periods per request with difference and percent.
+
+    ``slots`` has request_id, user_id, slot ("A vs B") and anchor; a user may ask for any number of comparisons.
+    """
     parts = F.split("slot", r"(?iU)\s+vs\s+|\s+với\s+")
     rows = slots.withColumn("_p", parts)
     for i in (0, 1):
         rows = timeparse.with_time_range(rows, F.trim(F.get("_p", F.lit(i))), F.col("anchor"), f"_{i}")
     (a0, a1), (b0, b1) = timeparse.bounds(F.col("_0")), timeparse.bounds(F.col("_1"))
-    rows = rows.select("user_id", a0.alias("_a0"), a1.alias("_a1"), b0.alias("_b0"), b1.alias("_b1"))
+    rows = rows.select("request_id", "user_id", a0.alias("_a0"), a1.alias("_a1"), b0.alias("_b0"), b1.alias("_b1"))
     spent = ledger.filter("type = 'expense'").select("user_id", "ts", "amount").join(rows, "user_id").filter(
         F.col("ts").between(F.col("_a0"), F.col("_a1")) | F.col("ts").between(F.col("_b0"), F.col("_b1")))
 
     def total(x: str, y: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("ts").between(F.col(x), F.col(y)), F.col("amount"))), F.lit(0))
 
-    sums = spent.groupBy("user_id").agg(total("_a0", "_a1").alias("first"), total("_b0", "_b1").alias("second"))
+    sums = spent.groupBy("request_id", "user_id").agg(total("_a0", "_a1").alias("first"), total("_b0", "_b1").alias("second"))
     diff = F.col("first") - F.col("second")
-    return sums.select("user_id", "first", "second", diff.alias("delta"),
+    return sums.select("request_id", "user_id", "first", "second", diff.alias("delta"),
                        F.round(F.try_divide(100.0 * diff, F.col("second")), 2).alias("percent"))
 
 

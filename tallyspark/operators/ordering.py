@@ -73,10 +73,16 @@ def rank_by_draw(df: DataFrame, keys: str | Sequence[str], key: str = "row_id",
 
 
 def rank_by_id(df: DataFrame, keys: str | Sequence[str], key: str = "row_id", rank: str = "rank",
-               width: int = 4096) -> DataFrame:
-    """Exact 1-based rank inside a group in id order, sorted only inside id ranges of ``width``."""
+               buckets: int = 64) -> DataFrame:
+    """Exact 1-based rank inside a group in id order, sorted only inside ranges of ids.
+
+    The ranges are cut at measured quantiles of the ids, so sparse and hashed ids fill them evenly. The quantiles may
+    be rough: ids are compared with them as they are, so they decide the balance and not the ranks.
+    """
     keys = _names(keys)
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / width))
+    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    rows = df.join(F.broadcast(cuts))  # one-row side
+    rows = rows.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(key)))).drop("_cuts")
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -28,7 +28,9 @@ def cap_per_label(df: DataFrame, label: str, cap: int) -> DataFrame:
 
 
 def global_cap(df: DataFrame, cap: int) -> DataFrame:
-    return df.orderBy(draw("row_id"), "row_id").limit(cap)
+    """At most ``cap`` rows in draw order; ranks are exact at any cap and no task sorts all rows."""
+    ranked = rank_by_draw(df.withColumn("_all", F.lit(1)), "_all", rank="_rank")
+    return ranked.filter(F.col("_rank") <= cap).drop("_all", "_rank")
 
 
 def subsample_by_label(df: DataFrame, label: str, max_rows: int) -> DataFrame:
@@ -38,7 +40,7 @@ def subsample_by_label(df: DataFrame, label: str, max_rows: int) -> DataFrame:
     ranked = rank_by_draw(df, label, rank="_rank").join(F.broadcast(share))  # one-row side
     per = F.greatest(F.lit(1), F.floor(F.lit(max_rows) / F.col("_labels")))
     kept = ranked.filter((F.col("_total") <= max_rows) | (F.col("_rank") <= per)).drop("_rank", "_total", "_labels")
-    return global_cap(kept, max_rows) if max_rows <= 100_000 else kept
+    return global_cap(kept, max_rows)
 
 
 def oversample(df: DataFrame, column: str, value: str, target: Column) -> DataFrame:

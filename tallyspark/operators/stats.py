@@ -70,15 +70,15 @@ def dataset_stats(df: DataFrame, top: int = 6, weak: int = 10, threshold: int =
         F.sum("n").alias("rows"), F.sum(F.when(F.col("type") == "expense", F.col("n")).otherwise(0)).alias("expense"),
         F.sum(F.when(F.col("type") == "income", F.col("n")).otherwise(0)).alias("income"))
     labels = pairs.filter("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "label", "n")))
 
-    def show(entries: Column) -> Column:
-        return F.array_join(F.transform(entries, lambda e: F.concat(e["label"], F.lit("="), e["n"].cast("string"))), ",")
+    def first(rows: DataFrame, k: int, name: str) -> DataFrame:
+        """The first ``k`` labels by size as one text; only they are gathered."""
+        entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "label", "n")))
+        text = F.transform(entries, lambda e: F.concat(e["label"], F.lit("="), e["n"].cast("string")))
+        return rows.orderBy(F.desc("n"), "label").limit(k).agg(F.array_join(text, ",").alias(name))
 
-    lists = labels.agg(ordered.alias("o")).select(
-        show(F.slice("o", 1, top)).alias("label_top"),
-        show(F.slice(F.filter("o", lambda e: e["n"] < threshold), 1, weak)).alias("label_weak"))
-    return kinds.join(F.broadcast(lists))  # one row on each side
+    tops, weaks = first(labels, top, "label_top"), first(labels.filter(F.col("n") < threshold), weak, "label_weak")
+    return kinds.join(F.broadcast(tops)).join(F.broadcast(weaks))  # one row on each side
 
 
 def sample_rare(df: DataFrame, n: int, labels: int) -> DataFrame:

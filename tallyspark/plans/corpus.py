@@ -424,7 +424,8 @@ CASE row_id % 3 WHEN 0 THEN 'Record' WHEN 1 THEN 'Action' ELSE 'Chitchat' END AS
 CASE WHEN row_id % 4 = 0 THEN 'cat_old' END AS category_code FROM"""
 
 
-@query("j4_merge_feedback", f"""WITH c AS ({CORPUS_SQL} @A a),
+@query("j4_merge_feedback", f"""WITH c AS (SELECT *, min(CASE intent WHEN 'Record' THEN 1 WHEN 'Action' THEN 2 ELSE 3 END) OVER (PARTITION BY lower(trim(text))) AS place
+      FROM ({CORPUS_SQL} @A a) y),
 d AS (SELECT *, lower(trim(text_input)) AS k FROM @F f WHERE log_type = 'dislike'
       QUALIFY row_number() OVER (PARTITION BY lower(trim(text_input)) ORDER BY row_id) = 1),
 x AS (SELECT k, text_input, {duck.canon_intent("json_extract_string(payload, '$.corrected_intent')")} AS ni,
@@ -435,7 +436,7 @@ g AS (SELECT *, CASE WHEN ni IN ('Record', 'Action', 'Chitchat') THEN ni ELSE 'R
       WHERE ni IS NOT NULL OR nc IS NOT NULL),
 h AS (SELECT c.*, lower(trim(c.text)) AS ck, g.target, g.nc,
       CASE WHEN g.target IS NULL THEN 'keep' WHEN g.target <> c.intent THEN 'move' ELSE 'update' END AS op
-      FROM c LEFT JOIN g ON lower(trim(c.text)) = g.k)
+      FROM c LEFT JOIN g ON lower(trim(c.text)) = g.k AND place = CASE intent WHEN 'Record' THEN 1 WHEN 'Action' THEN 2 ELSE 3 END)
 SELECT row_id, text, coalesce(target, intent) AS intent, coalesce(nc, category_code) AS category_code, op FROM h
 QUALIFY op <> 'move' OR row_number() OVER (PARTITION BY ck, op ORDER BY row_id) = 1
 UNION ALL

@@ -58,10 +58,10 @@ def _(t):
     return t.U.select("row_id", F.array_join(F.transform(money.extract_amounts(F.col("text")), lambda v: v.cast("string")), ",").alias("amounts"))
 
 
-PLAIN = "CASE row_id % 4 WHEN 0 THEN concat(row_id % 900 + 1, '.000') WHEN 1 THEN concat(row_id % 9, ',000,000') WHEN 2 THEN concat(row_id % 7, '.500,00') ELSE 'x' END"
+PLAIN = "CASE row_id % 4 WHEN 0 THEN concat(row_id % 900 + 1, '.000') WHEN 1 THEN concat(row_id % 9, ',000,000') WHEN 2 THEN concat(row_id % 7, '.500,00') ELSE CASE WHEN row_id % 8 = 3 THEN concat(row_id % 9, ',234.567') ELSE 'x' END END"
 
 
-@query("f6_parse_plain_amount", f"SELECT row_id, CASE WHEN v > 0 THEN v END AS amount FROM (SELECT row_id, TRY_CAST(replace(replace({PLAIN}, '.', ''), ',', '') AS BIGINT) AS v FROM @U u) x")
+@query("f6_parse_plain_amount", f"SELECT row_id, CASE WHEN v > 0 THEN v END AS amount FROM (SELECT row_id, CASE WHEN strpos(p, ',') > 0 AND strpos(reverse(p), '.') BETWEEN 1 AND strpos(reverse(p), ',') THEN NULL ELSE TRY_CAST(replace(replace(p, '.', ''), ',', '') AS BIGINT) END AS v FROM (SELECT row_id, {PLAIN} AS p FROM @U u) y) x")
 def _(t):
     return t.U.select("row_id", money.parse_plain_amount(F.expr(PLAIN)).alias("amount"))
 
@@ -159,9 +159,11 @@ def _(t):
 x AS (SELECT l.user_id, CAST(coalesce(sum(amount) FILTER (ts >= {M} AND ts < d + INTERVAL 1 DAY), 0) AS BIGINT) AS first,
 CAST(coalesce(sum(amount) FILTER (ts >= {M} - INTERVAL 1 MONTH AND ts < {M}), 0) AS BIGINT) AS second FROM @L l JOIN p ON l.user_id = p.user_id
 WHERE type = 'expense' AND ts >= {M} - INTERVAL 1 MONTH AND ts < d + INTERVAL 1 DAY GROUP BY 1)
-SELECT user_id, first, second, first - second AS delta, round(100.0 * (first - second) / nullif(second, 0), 2) AS percent FROM x""")
+SELECT 1 AS request_id, user_id, first, second, first - second AS delta, round(100.0 * (first - second) / nullif(second, 0), 2) AS percent FROM x
+UNION ALL SELECT 2, user_id, second, first, second - first, round(100.0 * (second - first) / nullif(first, 0), 2) FROM x""")
 def _(t):
-    slots = _phrases(t).select("user_id", F.lit("tháng này vs tháng trước").alias("slot"), "anchor")
+    asked = F.posexplode(F.array(F.lit("tháng này vs tháng trước"), F.lit("tháng trước vs tháng này"))).alias("i", "slot")
+    slots = _phrases(t).select("user_id", "anchor", asked).select((F.col("i") + 1).alias("request_id"), "user_id", "slot", "anchor")
     return ledger.compare_periods(t.L, slots)
 
 

@@ -39,6 +39,16 @@ def _(t):
     return io.read_jsonl(t.spark, path, schemas.RECORDS)
 
 
+@query("s4_read_json_array", "SELECT row_id % 16 AS part, row_id, text, label FROM @U u")
+def _(t):
+    """One array file per hash bucket, read back."""
+    path = scratch(t.spark, "json-array")
+    entries = F.to_json(F.collect_list(F.struct("row_id", "text", "label")))
+    arrays = t.U.groupBy((F.col("row_id") % 16).alias("part")).agg(entries.alias("value"))
+    arrays.repartition(16, "part").write.partitionBy("part").text(path)
+    return io.read_json_array(t.spark, path, "row_id LONG, text STRING, label STRING, part LONG").select("part", "row_id", "text", "label")
+
+
 @query("s5_logs_of_type", "SELECT row_id, text_input, payload FROM @F f WHERE log_type = 'dislike'")
 def _(t):
     return io.logs_of_type(t.F, "dislike").select("row_id", "text_input", "payload")

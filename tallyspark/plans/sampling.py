@@ -105,7 +105,7 @@ THEMES = list(rules.THEME_QUOTAS_10K)
 @query("k14_theme_quotas", f"""WITH u AS (SELECT row_id, text, [{', '.join(duck.lit(x) for x in THEMES)}][row_id % 16 + 1] AS theme
 FROM @U u)
 SELECT row_id, theme FROM u QUALIFY row_number() OVER (PARTITION BY theme ORDER BY row_id)
-<= {duck.case_map('theme', {}, '0') if not THEMES else 'CASE theme ' + ' '.join(f"WHEN '{k}' THEN {v // 2}" for k, v in rules.THEME_QUOTAS_10K.items()) + ' END'}""")
+<= {'CASE theme ' + ' '.join(f"WHEN '{k}' THEN {v // 2}" for k, v in rules.THEME_QUOTAS_10K.items()) + ' END'}""")
 def _(t):
     quotas = t.spark.createDataFrame([(k, v // 2) for k, v in rules.THEME_QUOTAS_10K.items()], "key STRING, quota BIGINT")
     theme = F.element_at(F.array(*map(F.lit, THEMES)), (F.col("row_id") % 16 + 1).cast("int"))

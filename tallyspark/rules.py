@@ -363,7 +363,6 @@ PRICES = [
 BALANCE_AMOUNTS = [
     "25k", "50k", "88k", "120k", "200k", "350k", "500k", "1tr", "1.5tr", "2tr", "2.5tr", "3tr",
 ]
-BALANCE_SUFFIXES = ["", " nha", " nhé", " rồi", " đó", " ha"]
 COMPANIONS = [
     "ba mẹ", "mẹ", "bố", "cha mẹ", "ông bà", "anh trai", "chị gái", "em út", "con", "bé", "người yêu", "bồ",
     "bạn gái", "bạn trai", "bạn thân", "đồng nghiệp", "sếp",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_CONF, base)
@@ -50,10 +51,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df, name: str):
-    """Write a table to the shared folder and read it back; survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

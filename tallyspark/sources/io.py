@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.functions import text as tx
-from tallyspark.functions.text import first_match
 from tallyspark.operators.dedupe import append_new
 
+#: Quoted line breaks make a file one task; they are read only where the caller asks for them.
 CSV = {"quote": '"', "escape": '"', "multiLine": "false"}
 
 
-def read_labelled(spark: SparkSession, path: str, schema: str, columns: Sequence[str]) -> DataFrame:
-    """Headed CSV (a byte-order mark is skipped by the reader), chosen columns only."""
-    return spark.read.options(**CSV).option("header", True).schema(schema).csv(path).select(*columns)
+def read_labelled(spark: SparkSession, path: str, schema: str, columns: Sequence[str], line_breaks: bool = False) -> DataFrame:
+    """Headed CSV (a byte-order mark is skipped by the reader), chosen columns only. ``line_breaks``: fields may hold some."""
+    return spark.read.options(**CSV).option("multiLine", line_breaks).option("header", True).schema(schema).csv(path).select(*columns)
 
 
-def read_headerless(spark: SparkSession, path: str, names: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
-    """CSV without header; rows with too few fields have no last value and are filtered out."""
-    text = ", ".join(f"{n} STRING" for n in names)
-    rows = spark.read.options(**CSV).schema(text).csv(path).filter(F.col(names[-1]).isNotNull())
+def read_headerless(spark: SparkSession, path: str, names: Sequence[str], casts: dict[str, str] | None = None,
+                    line_breaks: bool = False) -> DataFrame:
+    """CSV without header; rows with too few fields are filtered out, an empty field counts as null.
+
+    The reader marks a row whose number of fields is off; with too few of them the last one is missing.
+    """
+    text = ", ".join(f"{n} STRING" for n in (*names, "_off"))
+    options = CSV | {"multiLine": str(line_breaks).lower(), "columnNameOfCorruptRecord": "_off"}
+    rows = spark.read.options(**options).schema(text).csv(path).filter(F.col("_off").isNull() | F.col(names[-1]).isNotNull())
     casts = casts or {}
     return rows.select(*[F.col(n).try_cast(casts[n]).alias(n) if n in casts else F.col(n) for n in names])
 
@@ -119,13 +124,15 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """The path is there; any other fault of the store is raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_fresh(spark: SparkSession, path: str, batch: DataFrame, schema: str) -> None:
     """Append the rows whose text the sink does not hold yet."""
-    try:
-        sink = spark.read.schema(schema).parquet(path)
-        sink.limit(1).collect()
-    except Exception:  # noqa: BLE001 - no sink yet
-        sink = spark.createDataFrame([], schema)
+    sink = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
     append_new(sink, batch).write.mode("append").parquet(path)
 
 
@@ -146,9 +153,3 @@ def tag_lines(tokens: DataFrame, doc: str = "receipt_id") -> DataFrame:
     """Predicted tags of a document joined by blanks, in order."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "tag")))
     return tokens.groupBy(doc).agg(F.array_join(F.transform(parts, lambda p: p["tag"]), " ").alias("tags"))
-
-
-def reason_counts(df: DataFrame) -> DataFrame:
-    """Rows per rejection reason of a validated table."""
-    return df.groupBy(first_match([(F.col("reason").isNull(), "good")], F.col("reason")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-

@@ -162,8 +162,3 @@ def budget_alerts(stream: DataFrame, budget: float) -> DataFrame:
     return stream.select("user_id", "amount").groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=FirstCrossing(budget), outputStructType=StructType([StructField("user_id", LongType())]),
         outputMode="Append", timeMode="None")
-
-
-def corrections_of(batch: DataFrame) -> DataFrame:
-    """Batch twin of the intake."""
-    return dislike_corrections(batch)

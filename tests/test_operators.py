@@ -4,8 +4,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyspark.functions import money
 from tallyspark.functions import text as tx
-from tallyspark.operators import baseline, curate, dedupe, evaluate, ordering, receipts, sample, scan, stats
+from tallyspark.operators import baseline, curate, dedupe, evaluate, ledger, ordering, receipts, sample, scan, stats
 from tallyspark.views import Inputs
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,7 +64,7 @@ def test_exact_percentile(spark):
 
 def test_ranks_in_skewed_groups(spark):
     df = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
-    for ranked in (ordering.rank_by_draw(df, "k", rank="r"), ordering.rank_by_id(df, "k", rank="r", width=64)):
+    for ranked in (ordering.rank_by_draw(df, "k", rank="r"), ordering.rank_by_id(df, "k", rank="r", buckets=16)):
         per = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("r").alias("d"), F.min("r").alias("a"), F.max("r").alias("b")).collect()
         assert all((p.n, 1, p.n) == (p.d, p.a, p.b) for p in per)
     top = ordering.first_k(df, "k", ["row_id"], 3)
@@ -206,3 +207,40 @@ def test_shorten_keeps_what_and_how_much(spark):
                                 ("Nay có khoản về từ bán đồ cũ online, 500k chuyển khoản cái rẹt", "Business", "income")], "t STRING, l STRING, k STRING")
     got = [r["x"] for r in df.select(curate.shorten(F.col("t"), F.col("l"), F.col("k")).alias("x")).collect()]
     assert got == ["mua cà phê sữa đá 45k", "mua gạo 20k", "bán đồ cũ online 500k"]
+
+
+def test_several_comparisons_of_one_user(spark):
+    spent = spark.createDataFrame([(7, "expense", "2024-05-03 10:00:00", 100), (7, "expense", "2024-04-03 10:00:00", 40)],
+                                  "user_id LONG, type STRING, ts STRING, amount LONG").withColumn("ts", F.to_timestamp("ts"))
+    slots = spark.createDataFrame([(i, 7, "tháng này vs tháng trước", "2024-05-20 00:00:00") for i in (1, 2)],
+                                  "request_id LONG, user_id LONG, slot STRING, anchor STRING").withColumn("anchor", F.to_timestamp("anchor"))
+    got = ledger.compare_periods(spent, slots).orderBy("request_id").collect()
+    assert [(r.request_id, r.first, r.second) for r in got] == [(1, 100, 40), (2, 100, 40)]
+
+
+def test_feedback_touches_the_first_table_only(spark):
+    corpus = spark.createDataFrame([(1, "Mua gạo", "Record", None), (2, "mua gạo ", "Action", None)],
+                                   "row_id LONG, text STRING, intent STRING, category_code STRING")
+    log = spark.createDataFrame([(1, "mua gạo", "dislike", '{"intent_disliked": true, "corrected_intent": "Record", "corrected_category": "cat_food"}')],
+                                "row_id LONG, text_input STRING, log_type STRING, payload STRING")
+    got = sorted((r.row_id, r.intent, r.category_code, r.op) for r in dedupe.merge_feedback(corpus, log).collect())
+    assert got == [(1, "Record", "cat_food", "update"), (2, "Action", None, "keep")]
+
+
+def test_plain_amounts(spark):
+    rows = spark.createDataFrame([("1,234.567", None), ("1.234,567", 1234567), ("12.000", 12000), ("1,000,000", 1000000), ("0", None)], "t STRING, v LONG")
+    assert all(r.v == r.got for r in rows.withColumn("got", money.parse_plain_amount(F.col("t"))).collect())
+
+
+def test_cap_holds_at_every_size(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("label"))
+    for cap in (1000, 2999, 200_000):
+        assert sample.subsample_by_label(rows, "label", cap).count() == min(cap, 3000)
+
+
+def test_rank_of_hashed_ids(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("row_id"), (F.col("id") % 2).alias("k"))
+    got = ordering.rank_by_id(rows, "k").collect()
+    for k in (0, 1):
+        mine = sorted((r.row_id, r["rank"]) for r in got if r.k == k)
+        assert [r for _, r in mine] == list(range(1, len(mine) + 1))

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 
 from tallyspark import schemas
 from tallyspark.sources import io
@@ -17,6 +18,32 @@ def test_headerless_drops_short_rows(spark, tmp_path):
     assert [tuple(r) for r in got] == [("mua gạo", "Food", "expense", 1), ("xăng", "Transport", "expense", None)]
 
 
+def test_headerless_tells_empty_from_missing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("mua gạo,Food,expense,\nthiếu,Food,expense\n", encoding="utf-8")
+    got = io.read_headerless(spark, str(tmp_path), ["text", "label", "type", "is_money"]).collect()
+    assert [tuple(r) for r in got] == [("mua gạo", "Food", "expense", None)]
+
+
+def test_line_breaks_in_fields(spark, tmp_path):
+    rows = spark.createDataFrame([("a\nb", "Food"), ('say "x",\ny', "Other")], "text STRING, label STRING")
+    io.write_csv(rows, str(tmp_path / "t"))
+    got = io.read_labelled(spark, str(tmp_path / "t"), "text STRING, label STRING", ["text", "label"], line_breaks=True)
+    assert sorted(map(tuple, got.collect())) == [("a\nb", "Food"), ('say "x",\ny', "Other")]
+    io.write_csv(rows, str(tmp_path / "h"), header=False)
+    assert io.read_headerless(spark, str(tmp_path / "h"), ["text", "label"], line_breaks=True).count() == 2
+
+
+def test_append_fresh(spark, tmp_path):
+    schema, path = "row_id LONG, text STRING", str(tmp_path / "sink")
+    for batch in ([(1, "a"), (2, "b")], [(3, " b "), (4, "c")]):
+        io.append_fresh(spark, path, spark.createDataFrame(batch, schema), schema)
+    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("broken")
+    with pytest.raises(Exception, match="."):
+        io.append_fresh(spark, str(tmp_path / "bad"), spark.createDataFrame([(1, "a")], schema), schema)
+
+
 def test_json_array(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"text": "a", "intent": "x"}, {"text": "b"}]), encoding="utf-8")
     assert io.read_json_array(spark, str(tmp_path), schemas.CHITCHAT).count() == 2
