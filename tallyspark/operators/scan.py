@@ -13,19 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BAND = 4096
+BANDS = 256
 LARGE_GROUP = 200_000
 FIRST, BEFORE, HERE = Window.unboundedPreceding, -1, Window.currentRow
 
 
 def width_for(df: DataFrame, group: str, limit: int = LARGE_GROUP) -> int | None:
-    """None if every group fits one task, else the band width to use."""
+    """None if every group fits one task, else the number of bands to use."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return None if sizes.filter(F.col("n") > limit).isEmpty() else BAND
+    return None if sizes.filter(F.col("n") > limit).isEmpty() else BANDS
 
 
 def _banded(df: DataFrame, order: Sequence[str], width: int) -> DataFrame:
-    return df.withColumn("_band", F.floor(F.col(order[0]) / width))
+    """Rows with ``_band``: ``width`` ranges of the first order column, cut at measured quantiles.
+
+    So a crowded page splits by its rows and not by its pixels; rows that tie in that column share a band.
+    """
+    cuts = df.agg(F.percentile_approx(order[0], [i / width for i in range(1, width)], 10_000).alias("_cuts"))
+    rows = df.join(F.broadcast(cuts))  # one-row side
+    return rows.withColumn("_band", F.size(F.filter("_cuts", lambda c: c <= F.col(order[0])))).drop("_cuts")
 
 
 def _bands(group: str):

@@ -161,7 +161,7 @@ def test_banded_scans_equal_plain_windows(spark):
     assert rows(receipts.label_boxes(df, width=50), "receipt_id", "box_id") == labelled
     words = receipts.box_words(df, F.lit("TIMESTAMP"))
     assert rows(receipts.limit_timestamps(words, width=16), "receipt_id", "pos") == rows(receipts.limit_timestamps(words), "receipt_id", "pos")
-    assert scan.width_for(df, "receipt_id", limit=10) == scan.BAND and scan.width_for(df, "receipt_id") is None
+    assert scan.width_for(df, "receipt_id", limit=10) == scan.BANDS and scan.width_for(df, "receipt_id") is None
 
 
 def test_total_fallbacks(spark):
@@ -244,3 +244,11 @@ def test_rank_of_hashed_ids(spark):
     for k in (0, 1):
         mine = sorted((r.row_id, r["rank"]) for r in got if r.k == k)
         assert [r for _, r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_crowded_group_splits(spark):
+    boxes = spark.range(30_000).select(F.lit(1).alias("g"), (F.xxhash64("id") % 1500 + 1500).alias("y1"), "id")
+    assert scan._banded(boxes, ["y1", "id"], 32).select("_band").distinct().count() == 32
+    for width in (None, 32):
+        rows = scan.running_sum(boxes, "g", ["y1", "id"], F.lit(1), "n", width).collect()
+        assert [r.n for r in sorted(rows, key=lambda r: (r.y1, r.id))] == list(range(1, 30_001))
