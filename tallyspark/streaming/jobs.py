@@ -19,6 +19,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from tallyspark.functions import text as tx
 from tallyspark.operators.dedupe import append_new, dislike_corrections, merge_feedback
 from tallyspark.session import scratch
+from tallyspark.sources import io
 from tallyspark.views import FEEDBACK
 
 # Workers need not have the package installed: the state processor travels with the task.
@@ -46,8 +47,9 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    path = scratch(stream.sparkSession, name)
+def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], mode: str = "append", state: str | None = None) -> None:
+    """Run ``step`` per batch to the end of the available data; with ``state`` a later call goes on after the last batch."""
+    path = state or scratch(stream.sparkSession, name)
     query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", path).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -60,36 +62,51 @@ def intake(log: DataFrame, horizon: str = "60 days") -> DataFrame:
     return rows.withWatermark("at", horizon).dropDuplicatesWithinWatermark(["text_key"]).select("text_key")
 
 
-def apply_corrections(corpus: DataFrame, stream: DataFrame, schema: str) -> DataFrame:
-    """Each batch merges its corrections into the latest version of the corpus and writes the next version."""
+def apply_corrections(corpus: DataFrame, stream: DataFrame, schema: str, path: str | None = None) -> DataFrame:
+    """Each batch merges its corrections into the latest version of the corpus and writes the next version.
+
+    The first dislike of a text counts, in whatever batch it comes: keys of earlier batches are kept beside the versions.
+    With a ``path`` of the caller's the job resumes: batch n reads version n and writes version n + 1, so a repeated
+    batch replaces what it wrote.
+    """
     spark = stream.sparkSession
-    path = scratch(spark, "corpus")
-    corpus.write.parquet(f"{path}/v0")
+    path = path or scratch(spark, "corpus")
+    if not io.exists(spark, f"{path}/v0"):
+        corpus.write.mode("overwrite").parquet(f"{path}/v0")
 
     def step(batch: DataFrame, number: int) -> None:
         current = spark.read.schema(schema).parquet(f"{path}/v{number}")
-        merge_feedback(current, batch).drop("op").write.mode("overwrite").parquet(f"{path}/v{number + 1}")
-        step.latest = number + 1
-
-    step.latest = 0
-    run_batches(stream, "corrections", step)
-    return spark.read.schema(schema).parquet(f"{path}/v{step.latest}")
-
-
-def append_stream(stream: DataFrame, schema: str) -> DataFrame:
-    """Each batch appends only texts the sink does not hold."""
+        keyed = batch.withColumn("_k", F.lower(tx.strip(F.col("text_input"))))
+        fresh = keyed
+        if io.exists(spark, f"{path}/seen"):
+            seen = spark.read.schema("_k STRING, batch INT").parquet(f"{path}/seen").filter(F.col("batch") < number)
+            fresh = keyed.join(seen.select("_k").distinct(), "_k", "left_anti")
+        merge_feedback(current, fresh.drop("_k")).drop("op").write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+        keyed.filter("log_type = 'dislike'").select("_k").distinct().write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    run_batches(stream, "corrections", step, state=f"{path}/_state")
+    latest = 0
+    while io.exists(spark, f"{path}/v{latest + 1}/_SUCCESS"):
+        latest += 1
+    return spark.read.schema(schema).parquet(f"{path}/v{latest}")
+
+
+def append_stream(stream: DataFrame, schema: str, path: str | None = None) -> DataFrame:
+    """Each batch appends only texts the sink does not hold; with a ``path`` of the caller's the job resumes."""
     spark = stream.sparkSession
-    path = scratch(spark, "sink")
+    path = path or scratch(spark, "sink")
+
+    def held() -> DataFrame:
+        if not io.exists(spark, f"{path}/rows"):
+            return spark.createDataFrame([], f"{schema}, batch INT")
+        return spark.read.schema(f"{schema}, batch INT").parquet(f"{path}/rows")
 
     def step(batch: DataFrame, number: int) -> None:
-        done = [f"{path}/batch={i}" for i in range(number)]
-        sink = spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
-        append_new(sink, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        step.batches = number + 1
-
-    step.batches = 0
-    run_batches(stream, "append", step)
-    return spark.read.schema(schema).parquet(*[f"{path}/batch={i}" for i in range(step.batches)])
+        sink = held().filter(F.col("batch") < number).drop("batch")
+        append_new(sink, batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    run_batches(stream, "append", step, state=f"{path}/_state")
+    return held().drop("batch")
 
 
 # --- ST4-ST8: windows -------------------------------------------------------------------------------
