@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import bind
-from tallyspark.llm.common import written
+from tallyspark.llm.common import bounded_broadcast, written
 
 MIN_CHARS = 20
 #: Code points of the middle part of a line in which deletions are tried at once.
 BLOCK = 64
+#: Documents with lines to spell that may be broadcast to find their texts; more are joined by a shuffle.
+WANTED_ROWS = 100_000
 
 
 def normal(line: Column) -> Column:
     """A line for comparison: without white space at the ends, runs of white space as one space."""
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-
-
-def _key(*parts: Column) -> list[Column]:
-    """96 bits of a variant: two hashes of different families, so chance agreement is left to the check of the distance."""
-    return [F.xxhash64(*parts).alias("k1"), F.hash(*parts).alias("k2")]
+    runs = reduce(or_, [line.contains(x) for x in ("  ", "\t", "\r", "\x0b", "\x0c", "\n")])
+    return F.trim(F.when(runs, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
 def frames(line: Column, n: Column) -> Column:
@@ -40,38 +41,39 @@ def frames(line: Column, n: Column) -> Column:
     return F.transform(keys, lambda k: F.xxhash64(k.side % 2, k.total, k.part))
 
 
-def variants(line: Column, n: Column, block: int = BLOCK) -> Column:
-    """All variants within one deletion, as (``k1``, ``k2``, ``place``).
+def blocks(line: Column, n: Column, block: int = BLOCK) -> Column:
+    """The line cut into blocks, for its own length and for one more: ``low``, ``size``, ``short`` (1 for the larger
+    length, whose block is one short already), ``middle`` (the block) and ``r1``, ``r2`` (hashes of what stands around it).
 
-    The line is cut into blocks for its own length and for one more. A variant is what stands before a block, what
-    stands after it, and the block with one character left out, hashed; for the larger length the block is one short
-    already (``place`` is -1). Hashes of what stands around a block are made once per block, so a line of n characters
-    costs n variants and n / block passes.
+    Lines one edit apart agree around the block of the edit, so only blocks with equal surroundings need variants.
     """
     def around(total):
         def one(b):
             low = (b * block).cast("int")
             size = F.least(F.lit(block), total - low).cast("int")
             short = (total - n).cast("int")
+            before, after = F.substring(line, F.lit(1), low), F.substring(line, low + size - short + 1, n)
             return F.struct(
-                low.alias("low"), size.alias("size"), short.alias("short"),
-                F.substring(line, low + 1, size - short).alias("middle"),
-                F.xxhash64(total, low, F.substring(line, F.lit(1), low), F.substring(line, low + size - short + 1, n)).alias("r1"),
-                F.hash(total, low, F.substring(line, F.lit(1), low), F.substring(line, low + size - short + 1, n)).alias("r2"))
+                low.alias("low"), size.alias("size"), short.alias("short"), F.substring(line, low + 1, size - short).alias("middle"),
+                F.xxhash64(total, low, before, after).alias("r1"), F.hash(total, low, before, after).alias("r2"))
 
         return F.transform(F.sequence(F.lit(0), F.floor((total - 1) / block).cast("int")), one)
 
-    def rest(frame, i):
-        return F.concat(F.substring(frame.middle, F.lit(1), i), F.substring(frame.middle, i + 2, frame.size))
+    return F.concat(around(n), around(n + 1))
 
-    def row(frame, text, place):
-        return F.struct(F.xxhash64(frame.r1, text).alias("k1"), F.hash(frame.r2, text).alias("k2"), place.cast("int").alias("place"))
 
-    def spread(frame):
-        cut = F.transform(F.sequence(F.lit(0), frame.size - 1), lambda i: row(frame, rest(frame, i), frame.low + i))
-        return F.when(frame.short == 1, F.array(row(frame, frame.middle, F.lit(-1)))).otherwise(cut)
+def variants(frame: Column) -> Column:
+    """All variants of a block within one deletion, as (``k1``, ``k2``, ``place``): what stands around the block and the
+    block with one character left out, hashed. A block that is one short already is its own variant, ``place`` -1.
+
+    ``k1`` and ``k2`` are of different families, 96 bits together; chance agreement is left to the check of the distance.
+    """
+    def row(text, place):
+        return F.struct(F.xxhash64(frame.r1, text).alias("k1"), F.hash(frame.r2, text).alias("k2"), place.cast("int").alias("place"))
 
-    return F.flatten(F.transform(F.concat(around(n), around(n + 1)), spread))
+    cut = F.transform(F.sequence(F.lit(0), frame.size - 1), lambda i: row(
+        F.concat(F.substring(frame.middle, F.lit(1), i), F.substring(frame.middle, i + 2, frame.size)), frame.low + i))
+    return F.when(frame.short == 1, F.array(row(frame.middle, F.lit(-1)))).otherwise(cut)
 
 
 def split_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -85,7 +87,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHA
     """``at`` of every line that an earlier line of the corpus equals or is one edit away from.
 
     ``docs``: ``row``, ``text``. Equal lines meet by digest and shrink in the map tasks. Of the different lines only
-    those that share a frame with another are spelled into variants. Lines that share a variant are one edit apart if
+    those that share a frame with another are cut into blocks, and of these only those with the surroundings of another
+    line's block are spelled into variants. Lines that share a variant are one edit apart if
     they left out the same place, or if one of them left out nothing; so the earliest line per variant and place, and
     per variant of the shorter line, is found by aggregation and no pair within a group is emitted. What a line is
     paired with is its earliest partner; the distance of that pair is checked on the texts.
@@ -105,11 +108,15 @@ def repeated_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHA
     open_lines = written(single.join(shared, "frame", "left_semi").select("at").distinct(), "open-lines")
 
     wanted = open_lines.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.line_no").alias("nos"))
-    texts = docs.dropDuplicates(["row"]).join(wanted, "row").select("row", F.explode("nos").alias("line_no"), F.split("text", "\n", -1).alias("all"))
+    wanted = bounded_broadcast(written(wanted, "wanted"), WANTED_ROWS)
+    texts = docs.join(wanted, "row").select("row", F.explode("nos").alias("line_no"), F.split("text", "\n", -1).alias("all"))
     texts = texts.select(F.struct("row", "line_no").alias("at"), normal(F.get("all", F.col("line_no"))).alias("line"))
-    texts = written(texts, "open-texts")
+    texts = written(texts.dropDuplicates(["at"]), "open-texts")
 
-    spelled = texts.select("at", F.explode(variants(F.col("line"), F.length("line"))).alias("v")).select("at", "v.*")
+    around = written(texts.select("at", F.explode(blocks(F.col("line"), F.length("line"))).alias("f")).select("at", "f.*"), "blocks")
+    meeting = around.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("r1", "r2")
+    frame = F.struct("low", "size", "short", "middle", "r1", "r2")
+    spelled = around.join(meeting, ["r1", "r2"], "left_semi").select("at", F.explode(bind(frame, variants)).alias("v")).select("at", "v.*")
     spelled = written(spelled, "variants")
     same = spelled.groupBy("k1", "k2", "place").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     same = written(same, "variant-firsts")
