@@ -27,7 +27,7 @@ FEW = 5
 SLACKS = (0.2, 0.5, 1.0, 2.0, 3.0)
 LATE_SLACKS = (0.2, 0.5, 1.0)
 #: A shingle in at least so many sets is common; at most so many are told to the tasks. Both decide the cost only.
-COMMON = 256
+COMMON = 64
 MAX_COMMON = 200_000
 #: Ids that may be broadcast when the sets of candidate documents are made.
 BROADCAST_IDS = 1_000_000
@@ -75,8 +75,15 @@ def layout(end: int, percent: int, seed: int) -> tuple[int, int, int]:
     return differ, first * SECOND, SECOND - DIFFER
 
 
-def signatures(hashes: np.ndarray, band: int, end: int, percent: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Signatures of one set in one band instance: (signatures, seed, shared) per seed.
+def members(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` stand in the sorted ``common``."""
+    if not len(common):
+        return np.zeros(len(hashes), bool)
+    return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+
+
+def signatures(hashes: np.ndarray, known: np.ndarray, band: int, end: int, percent: int) -> Iterator[np.ndarray]:
+    """Signatures of one set in one band instance, seed by seed; ``known`` marks its common shingles.
 
     A seed deals the shingle domain into N partitions. Two linked sets differ in at most d shingles, so at least N - d
     partitions hold the same in both, and so does a subset of them. A signature is the content of such a subset
@@ -88,10 +95,7 @@ def signatures(hashes: np.ndarray, band: int, end: int, percent: int, common: np
     the one that is done first is safe under a seed that both use. Later seeds deal into more partitions, of which
     fewer need to be strong. Sets made of common shingles come to the second row of seeds, in which only empty
     partitions are weak, and at last to one in which none is: they emit all. So every linked pair shares a signature.
-
-    ``shared`` says how many signatures of this seed any linked set that emits under it shares at least; 0 if unsafe.
     """
-    known = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(len(hashes), bool)
     last_seed = len(SLACKS) + len(LATE_SLACKS)
     for seed in range(last_seed + 1):
         differ, parts, take = layout(end, percent, seed)
@@ -107,13 +111,12 @@ def signatures(hashes: np.ndarray, band: int, end: int, percent: int, common: np
         agree, weak = parts - differ, parts - int(strong.sum())
         salt = np.uint64((band * 64 + seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         if take == 1:
-            found, shared = content[strong], agree - weak
+            found = content[strong]
         else:
             a, b = np.array(list(combinations(range(parts), take))).T
             found = mixed(content[a] * np.uint64(3) + content[b])[strong[a] | strong[b]]
-            shared = math.comb(agree, 2) - math.comb(min(weak, agree), 2)
-        yield mixed(found ^ salt), seed, max(0, shared)
-        if shared > 0:
+        yield mixed(found ^ salt)
+        if weak < agree:
             break
 
 
@@ -153,8 +156,7 @@ def _common_shingles(summaries: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(``sig``, ``id``, ``run``, ``shared``) rows of the representatives: each in its own band and as the smaller set of
-    the next. ``run`` names the band instance and the seed."""
+    """(``sig``, ``id``, ``size``) rows of the representatives: each in its own band and as the smaller set of the next."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -162,41 +164,31 @@ def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common:
             ids = batch.column(0).to_pylist()
             at = 0
             for part in chunks(batch.column(1).to_pylist()):
-                sigs, rows = [np.zeros(0, np.uint64)], [(0, 0, 0, 0)]
+                sigs, rows = [np.zeros(0, np.uint64)], [(0, 0, 0)]
                 for doc_id, s in zip(ids[at:at + len(part)], shingle_sets(part, words)):
                     if not len(s):
                         continue
-                    ends = bands(percent, 1 << len(s).bit_length() + 2)
+                    ends, known = bands(percent, 1 << len(s).bit_length() + 2), members(s, common)
                     own = bisect_left(ends, len(s))
                     for band in (own, own + 1):
-                        for got, seed, shared in signatures(s, band, ends[band], percent, common):
+                        for got in signatures(s, known, band, ends[band], percent):
                             sigs.append(got)
-                            rows.append((doc_id, band * 16 + seed, shared, len(got)))
+                            rows.append((doc_id, len(s), len(got)))
                 at += len(part)
-                doc, tag, shared, n = np.array(rows, dtype=np.int64).T
+                doc, size, n = np.array(rows, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(doc, n)),
-                     pa.array(np.repeat(tag, n).astype(np.int32)), pa.array(np.repeat(shared, n).astype(np.int32))],
-                    ["sig", "id", "run", "shared"])
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(doc, n)), pa.array(np.repeat(size, n).astype(np.int32))],
+                    ["sig", "id", "size"])
 
-    return _chosen(docs, reps).mapInArrow(run, "sig long, id long, run int, shared int")
+    return _chosen(docs, reps).mapInArrow(run, "sig long, id long, size int")
 
 
-def _groups(signed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``sig``, ``id``, ``size``, ``first`` of the signatures that join documents; ``first`` has the smallest set.
-
-    Of signatures that a document must share at least t of with any partner it may leave out t - 1; it leaves out
-    those of the largest groups, an order that all documents follow, so a linked pair keeps one it shares.
-    """
-    of_sig = Window.partitionBy("sig").orderBy("id")
-    met = signed.select("*", F.first("id").over(of_sig).alias("first"), F.lead("id").over(of_sig).alias("next"))
-    met = written(met.filter("id > first or next > id").select("sig", "id", "run", "shared"), "met")
-    counts = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("id", "run").orderBy(F.desc("n"), "sig"))
-    kept = met.join(counts, "sig").withColumn("place", place).filter("place >= shared").select("sig", "id").join(sizes, "id")
+def _groups(signed: DataFrame) -> DataFrame:
+    """``sig``, ``id``, ``size``, ``first`` and ``n`` (members) of the signatures that join documents; ``first`` has the smallest set."""
     by_size = Window.partitionBy("sig").orderBy("size", "id")
-    met = kept.select("sig", "id", "size", F.first("id").over(by_size).alias("first"), F.lead("id").over(by_size).alias("next"))
-    return written(met.filter("id <> first or next is not null").drop("next"), "grouped")
+    met = signed.select("sig", "id", "size", F.first("id").over(by_size).alias("first"), F.lead("id").over(by_size).alias("next"))
+    met = met.filter("id <> first or next <> id").drop("next")
+    return written(met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))), "grouped")
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,31 +198,45 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """``id``, ``shingles`` and ``rare`` (those that are not common) of the documents named by ``ids``."""
+    """``id``, ``common`` and ``rare`` shingles, and a ``sketch`` (their leading 16 bits) of the documents named by ``ids``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.int64())
+        long, short = pa.list_(pa.int64()), pa.list_(pa.int16())
         for batch in batches:
             ids, at = batch.column(0), 0
             for part in chunks(batch.column(1).to_pylist()):
                 sets = shingle_sets(part, words)
-                rare = [s[~np.isin(s, common, assume_unique=True)].view(np.int64) for s in sets]
+                known = [members(s, common) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array([s.view(np.int64) for s in sets], kind), pa.array(rare, kind)], ["id", "shingles", "rare"])
+                    [ids.slice(at, len(part)), pa.array([s[k].view(np.int64) for s, k in zip(sets, known)], long),
+                     pa.array([s[~k].view(np.int64) for s, k in zip(sets, known)], long),
+                     pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in sets], short)],
+                    ["id", "common", "rare", "sketch"])
                 at += len(part)
 
-    return _chosen(docs, ids).mapInArrow(run, "id long, shingles array<long>, rare array<long>")
+    return _chosen(docs, ids).mapInArrow(run, "id long, common array<long>, rare array<long>, sketch array<short>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) with their sizes (``m``, ``n``), shared shingles and shared rare ones, and ``linked``."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("rare").alias("xr"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("rare").alias("yr"))
-    met = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"),
-        F.size(F.array_intersect("xr", "yr")).alias("rare_both"))
-    return met.withColumn("linked", 100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both")))
+    """The pairs (``a``, ``b``) with their sizes (``m``, ``n``), a bound on the shared shingles (``both``) and ``linked``.
+
+    Sketches are compared first: shared shingles are at most the shared sketch values and what collisions inside the
+    smaller loss hide. Only pairs that may reach the similarity are compared on whole sets.
+    """
+    size = F.size("common") + F.size("rare")
+    left = sets.select(F.col("id").alias("a"), size.alias("m"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("id").alias("b"), size.alias("n"), F.col("sketch").alias("y"))
+    hidden = F.least(F.col("m") - F.size("x"), F.col("n") - F.size("y"))
+    both = F.least(F.size(F.array_intersect("x", "y")) + hidden, "m", "n")
+    bounded = written(pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", both.alias("both")), "sketched")
+    enough = 100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both"))
+    x = sets.select(F.col("id").alias("a"), F.concat("common", "rare").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.concat("common", "rare").alias("y"))
+    exact = bounded.filter(enough).select("a", "b").join(x, "a").join(y, "b").select(
+        "a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    links = exact.filter(enough).select("a", "b", F.lit(True).alias("linked")).distinct()
+    return bounded.join(links, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
 def _ends(a: str, b: str) -> tuple[Column, Column]:
@@ -240,14 +246,14 @@ def _ends(a: str, b: str) -> tuple[Column, Column]:
 def _centres(grouped: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows of the groups that do not hang together: ``sig``, ``id``, ``smallest`` (size in the group) and ``centre``, of the
     component with most members the set with the fewest rare shingles."""
-    rare = sets.groupBy("id").agg(F.min(F.size("rare")).alias("rare"))
-    member = grouped.join(labels, "id", "left").join(rare, "id").select("sig", "id", "size", "rare", F.coalesce("component", "id").alias("component"))
+    rare = bounded_broadcast(written(sets.groupBy("id").agg(F.min(F.size("rare")).alias("rare")), "rare-counts"), BROADCAST_IDS)
+    member = grouped.filter("n > 2").join(bounded_broadcast(labels, BROADCAST_IDS), "id", "left").join(rare, "id").select("sig", "id", "size", "rare", F.coalesce("component", "id").alias("component"))
     parts = member.groupBy("sig", "component").agg(
         F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min(F.struct("rare", "id")).alias("lead"))
     whole = parts.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.min("size").alias("smallest"),
+        F.count(F.lit(1)).alias("parts"), F.min("size").alias("smallest"),
         F.max(F.struct("n", -F.col("lead.rare"), -F.col("lead.id"))).alias("most"))
-    whole = whole.filter("parts > 1 and all > 2").select("sig", "smallest", (-F.col("most.col3")).alias("centre"))
+    whole = whole.filter("parts > 1").select("sig", "smallest", (-F.col("most.col3")).alias("centre"))
     return member.select("sig", "id").join(whole, "sig")
 
 
@@ -259,39 +265,43 @@ def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets:
     z differs from c, so b and z share outside c at least half of |z delta c| - |c| + (smallest * (100 + percent)
     - (|z| + smallest) * (100 - percent)) / (100 + percent), where that is positive. So z finds b by its shingles outside
     c, and may leave out as many less one; common ones are left out first. As c serves whatever z has been compared
-    with, or the empty set, for which this is the usual prefix; z takes the one that leaves it the fewest common ones.
+    with, or the empty set, for which this is the usual prefix; z takes the one that shares most with it.
     """
+    labels = bounded_broadcast(labels, BROADCAST_IDS)
     component = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
     known = centred.join(component("id"), "id", "left").join(component("centre"), "centre", "left")
     apart = known.filter(F.coalesce("id_component", "id") != F.coalesce("centre_component", "centre"))
     apart = apart.groupBy(F.col("id").alias("z")).agg(F.min("smallest").alias("smallest"))
-    sizes = sets.select(F.col("id").alias("z"), F.size("shingles").alias("m"), F.size("rare").alias("rare"))
+    sizes = sets.select(F.col("id").alias("z"), (F.size("common") + F.size("rare")).alias("m"))
     apart = written(apart.join(sizes, "z"), "apart")
 
-    both_ways = checked.select(F.col("a").alias("z"), F.col("b").alias("c"), "n", "both", "rare_both").union(
-        checked.select("b", "a", "m", "both", "rare_both"))
-    offers = apart.join(both_ways, "z").unionByName(apart.select("*", *[F.lit(None if x == "c" else 0).cast(t).alias(x) for x, t in (
-        ("c", "long"), ("n", "int"), ("both", "int"), ("rare_both", "int"))]))
+    both_ways = checked.select(F.col("a").alias("z"), F.col("b").alias("c"), "n", "both").union(checked.select("b", "a", "m", "both"))
+    offers = apart.join(both_ways, "z").unionByName(apart.select(
+        "*", F.lit(None).cast("long").alias("c"), F.lit(0).alias("n"), F.lit(0).alias("both")))
     up, down = 100 + percent, 100 - percent
-    delta = F.col("m") + F.col("n") - 2 * F.col("both")
-    least = F.ceil((up * (delta - F.col("n") + F.col("smallest")) - down * (F.col("m") + F.col("smallest"))) / F.lit(2 * up)).cast("int")
-    shown = F.greatest(F.lit(0), F.col("m") - F.col("both") - F.col("least") + 1)
-    common = F.greatest(F.lit(0), F.col("shown") - (F.col("rare") - F.col("rare_both")))
-    offers = offers.withColumn("least", least).filter("least > 0").withColumn("shown", shown).withColumn("common", common)
-    chosen = offers.groupBy("z").agg(F.min(F.struct("common", "shown", F.col("c").isNull().alias("none"), "c")).alias("o"))
-    chosen = chosen.select("z", "o.c", "o.shown")
-
-    z = sets.select(F.col("id").alias("z"), F.col("shingles").alias("x"), "rare")
-    c = sets.select(F.col("id").alias("c"), F.col("shingles").alias("y"))
+
+    def least(m: Column, n: Column, both: Column) -> Column:
+        delta = m + n - 2 * both
+        return F.ceil((up * (delta - n + F.col("smallest")) - down * (m + F.col("smallest"))) / F.lit(2 * up)).cast("int")
+
+    offers = offers.filter(least(F.col("m"), F.col("n"), F.col("both")) > 0)
+    chosen = offers.groupBy("z", "smallest").agg(F.max(F.struct("both", "c")).alias("o")).select("z", "smallest", "o.c")
+
+    z = sets.select(F.col("id").alias("z"), F.col("common").alias("xc"), F.col("rare").alias("xr"))
+    c = sets.select(F.col("id").alias("c"), F.concat("common", "rare").alias("y"))
     outside = chosen.join(z, "z").join(c, "c", "left").withColumn("y", F.coalesce("y", F.array().cast("array<long>"))).select(
-        "z", "shown", F.array_except("rare", "y").alias("first"), F.array_except(F.array_except("x", "rare"), "y").alias("then"))
-    wanted = outside.select("z", F.size("first").alias("n_rare"), F.posexplode(F.slice(F.concat("first", "then"), F.lit(1), F.col("shown"))).alias("i", "shingle"))
+        "z", "smallest", F.array_except("xr", "y").alias("first"), F.array_except("xc", "y").alias("then"),
+        (F.size("xc") + F.size("xr")).alias("m"), F.size("y").alias("n"))
+    own = F.size("first") + F.size("then")
+    shown = F.greatest(F.lit(0), own - F.greatest(F.lit(1), least(F.col("m"), F.col("n"), F.col("m") - own)) + 1)
+    wanted = outside.select("z", F.size("first").alias("n_rare"), F.posexplode(F.slice(F.concat("first", "then"), F.lit(1), shown)).alias("i", "shingle"))
     wanted = written(wanted.select("z", "shingle", (F.col("i") >= F.col("n_rare")).alias("common")), "wanted")
-    held = sets.join(centred.select("id").distinct(), "id", "left_semi")
-    found = held.select("id", F.explode("rare").alias("shingle")).join(wanted.filter("not common"), "shingle")
+    asked = lambda rows: bounded_broadcast(wanted.filter(rows), BROADCAST_IDS)
+    held = sets.join(bounded_broadcast(written(centred.select("id").distinct(), "held"), BROADCAST_IDS), "id", "left_semi")
+    found = held.select("id", F.explode("rare").alias("shingle")).join(asked("not common"), "shingle")
     if wanted.filter("common").limit(1).count():
-        rest = held.select("id", F.explode(F.array_except("shingles", "rare")).alias("shingle"))
-        found = found.unionByName(rest.join(wanted.filter("common"), "shingle"))
+        rest = held.select("id", F.explode(F.col("common")).alias("shingle"))
+        found = found.unionByName(rest.join(asked("common"), "shingle"))
     met = found.filter("id <> z").select(*_ends("id", "z")).distinct()
     labelled = met.join(component("a"), "a", "left").join(component("b"), "b", "left")
     return labelled.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
@@ -318,10 +328,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     summaries = seen.filter("n_shingles is not null").select("doc_id", "n_shingles", "d1", "d2")
     full = summaries.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
-    sizes = written(classes.groupBy(F.col("class_id").alias("id")).agg(F.min("n_shingles").alias("size")), "representatives")
+    reps = written(classes.select(F.col("class_id").alias("id")).distinct(), "representatives")
 
     common = _common_shingles(seen)
-    grouped = _groups(_signed(docs, sizes.select("id"), words, percent, common), sizes)
+    grouped = _groups(_signed(docs, reps, words, percent, common))
     sets = written(_sets(docs, written(grouped.select("id").distinct(), "candidates"), words, common), "sets")
     first = written(grouped.filter("id <> first").select(*_ends("first", "id")).distinct(), "pairs")
     checked = written(_compared(first, sets, percent), "compared")

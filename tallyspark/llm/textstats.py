@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 WINDOW = 8
-CHUNK = 2_000_000
+CHUNK = 6_000_000
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))

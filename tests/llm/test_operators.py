@@ -188,7 +188,7 @@ def test_signatures_lose_no_pair():
             h = np.array(sorted(s), dtype=np.uint64)
             ends = partenum.bands(75, 1 << len(h).bit_length() + 2)
             own = next(i for i, e in enumerate(ends) if e >= len(h))
-            found.append({(band, int(x)) for band in (own, own + 1) for got, _, _ in partenum.signatures(h, band, ends[band], 75, common) for x in got})
+            found.append({(band, int(x)) for band in (own, own + 1) for got in partenum.signatures(h, partenum.members(h, common), band, ends[band], 75) for x in got})
         assert found[0] & found[1], (len(a), len(b), len(common))
 
 
