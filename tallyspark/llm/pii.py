@@ -18,8 +18,6 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 TERM = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
-#: Code points on either side of an entity in which terms count as occurring with it.
-REACH = 160
 MIN_LETTERS = 4
 MIN_CONTEXTS = 3
 #: Largest share of a term's occurrences with an entity that may come from one context (copies repeat a context).
@@ -27,6 +25,8 @@ ONE_CONTEXT = 0.5
 #: Share of an entity's information that a term gives away: from here on generalised, from there on removed.
 GENERALISE = 0.6
 REMOVE = 0.9
+#: Revealing terms that may be broadcast to mark the texts; more are joined by a shuffle.
+MARKED_TERMS = 300_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -56,90 +56,96 @@ def _long_enough(text: Column) -> Column:
     return F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), find(text, CARD)).otherwise(find(F.lit(None).cast("string"), CARD))
 
 
-def co_occurrences(entities: DataFrame) -> DataFrame:
-    """Rows (``row``, ``entity``, ``term``, ``start``, ``end``, ``context``): terms near an entity of the same text.
+def entity_keys(base: Column) -> Column:
+    """The protected entities of a text, hashed: kind and value of each base span."""
+    return F.transform(base, lambda s: F.xxhash64(s.kind, F.lower(s.match)))
 
-    ``entities``: ``row``, ``text``, ``base``, one row per text with entities. Terms come from a fixed reach around
-    each span, so their number is linear in the spans; words that touch a base span or the reach's edges are no terms.
+
+def words_at(text: Column) -> Column:
+    """Terms of a text with their places, as an array of (``start``, ``end``, ``match``)."""
+    return find(text, TERM, 16)
+
+
+def entity_terms(entities: DataFrame) -> DataFrame:
+    """Rows (``row``, ``term``, ``context``): the different terms of every text with entities, each once.
+
+    Words that touch a base span are no terms. The context is what stands around the term where it comes first, so
+    copies of a passage repeat it.
     """
-    rows = entities.select("row", "text", "base", F.explode("base").alias("s"))
-    low = F.greatest(F.lit(0), F.col("s.start") - REACH)
-    rows = rows.select(
-        "row", "base", F.xxhash64("s.kind", F.lower("s.match")).alias("entity"), low.alias("low"),
-        F.col("s.start").alias("at"), F.col("s.end").alias("to"),
-        F.expr(f"substring(text, cast(greatest(0, s.start - {REACH}) + 1 as int), cast(s.end - greatest(0, s.start - {REACH}) + {REACH} as int))").alias("near"),
-        F.length("text").alias("size"))
-    found = rows.select("*", F.explode(F.array(find(F.col("near"), TERM))).alias("words"))
-    found = found.select("row", "base", "entity", "low", "size", F.posexplode("words").alias("i", "w"), "words", F.length("near").alias("reach"))
+    found = entities.select("row", "base", F.explode(F.array(words_at(F.col("text")))).alias("words"))
+    found = found.select("row", "base", "words", F.posexplode("words").alias("i", "w"))
     neighbour = lambda step: F.lower(F.get("words", F.col("i") + step).match)
-    start, end = F.col("low") + F.col("w.start"), F.col("low") + F.col("w.end")
-    found = found.select(
-        "row", "base", "entity", F.lower("w.match").alias("term"), start.alias("start"), end.alias("end"),
-        F.xxhash64(neighbour(-1), neighbour(1)).alias("context"),
-        (((F.col("w.start") > 0) | (F.col("low") == 0)) & ((F.col("w.end") < F.col("reach")) | (end == F.col("size")))).alias("whole"))
-    free = ~F.exists("base", lambda b: (b.start < F.col("end")) & (F.col("start") < b.end))
-    return found.filter(F.col("whole") & free & (F.length("term") >= MIN_LETTERS)).drop("base", "whole")
+    free = ~F.exists("base", lambda b: (b.start < F.col("w.end")) & (F.col("w.start") < b.end))
+    found = found.filter(free).select("row", F.lower("w.match").alias("term"), F.struct(
+        F.col("i").alias("i"), F.xxhash64(neighbour(-1), neighbour(1)).alias("context")).alias("first"))
+    found = found.filter(F.length("term") >= MIN_LETTERS)
+    return found.groupBy("row", "term").agg(F.min("first").context.alias("context"))
+
+
+def document_counts(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """``term`` and ``n_term``, the documents of the whole corpus that hold it outside base spans."""
+    plain = rows.filter(F.size("base") == 0).select(F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    return plain.filter(F.length("term") >= MIN_LETTERS).union(near.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
-def revealing_terms(docs: DataFrame, entities: DataFrame, near: DataFrame) -> DataFrame:
-    """Per (``entity``, ``term``) the share of the entity's information that the term gives away, where it reaches
+def revealing_terms(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """``term`` and ``share``: the largest share of an entity's information that the term gives away, where it reaches
     ``GENERALISE``: pointwise mutual information over self-information, from document frequencies of the whole corpus.
 
     A pair needs ``MIN_CONTEXTS`` different neighbourhoods, none with more than ``ONE_CONTEXT`` of its documents; so
-    copies of one passage reveal nothing by being copied. A term stands in at least the documents in which it is near
-    some entity, so pairs that fall short even with that count are left out before terms are counted in all texts.
-    Every count is combined in the map tasks first.
+    copies of one passage reveal nothing by being copied. Terms too common for the share are left out before pairs are
+    made. Every count is combined in the map tasks first.
     """
-    total = docs.count()
-
-    def share(n_term: str):
-        joint = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col(n_term) * F.col("n_entity")))
-        own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-        return F.when(own > 0, joint / own).otherwise(0.0)
-
-    single = near.groupBy("entity", "term", "context", "row").agg(F.lit(1).alias("_one"))
-    by_context = single.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_context.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.sum("n").alias("seen"))
-    pairs = pairs.filter((F.col("contexts") >= MIN_CONTEXTS) & (F.col("most") <= ONE_CONTEXT * F.col("seen")))
-    n_entity = (entities.select("row", F.explode("base").alias("s"))
-                .select("row", F.xxhash64("s.kind", F.lower("s.match")).alias("entity")).distinct()
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
-    n_near = single.groupBy("term", "row").agg(F.lit(1).alias("_one")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    both = (single.groupBy("entity", "term", "row").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-            .join(pairs.select("entity", "term"), ["entity", "term"]).join(n_entity, "entity").join(n_near, "term"))
-    both = written(both.filter(share("n_near") >= GENERALISE).drop("n_near"), "pairs")
-    terms = written(both.select("term").distinct(), "terms")
-    if terms.limit(1).count():
-        words = docs.select(F.explode(F.array_distinct(F.transform(
-            F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-        n_term = words.join(bounded_broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    else:
-        n_term = terms.withColumn("n_term", F.lit(0).cast("long"))
-    return both.join(n_term, "term").withColumn("share", share("n_term")).filter(F.col("share") >= GENERALISE)
+    total = rows.count()
+    holders = rows.filter(F.size("base") > 0).select("row", F.explode(entity_keys(F.col("base"))).alias("entity")).distinct()
+    n_entity = written(holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entity-counts")
+    # A term in n_both <= n_entity documents reaches the share only below this many documents.
+    cap = F.lit(float(total)) * F.pow(F.col("n_entity") / F.lit(float(total)), F.lit(GENERALISE))
+    shared = written(n_entity.filter("n_entity > 1"), "entities-shared")
+    holders = holders.join(bounded_broadcast(shared), "entity", "left").withColumn("n_entity", F.coalesce("n_entity", F.lit(1)))
+    # Entities that stand in one document only, and in the same one, have the same counts: one stands for all.
+    holders = holders.withColumn("entity", F.when(F.col("n_entity") > 1, F.col("entity"))).groupBy("row", "entity").agg(F.max("n_entity").alias("n_entity"))
+    holders = holders.withColumn("cap", cap).groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity", "cap")).alias("of"), F.max("cap").alias("cap"))
+    most = holders.agg(F.max("cap")).first()[0] or 0.0
+    rare = document_counts(rows, near).filter(F.col("n_term") <= F.lit(most * (1 + 1e-9)))
+    pairs = near.join(rare, "term").join(holders, "row").select("row", "term", "context", "n_term", F.explode("of").alias("e"))
+    pairs = pairs.filter(F.col("n_term") <= F.col("e.cap") * (1 + 1e-9)).select(
+        "row", "term", "context", "n_term", F.coalesce("e.entity", F.col("row")).alias("entity"), F.col("e.n_entity").alias("n_entity"))
+    by_context = pairs.groupBy("entity", "term", "n_entity", "n_term", "context").agg(F.count(F.lit(1)).alias("n"))
+    pairs = by_context.groupBy("entity", "term", "n_entity", "n_term").agg(
+        F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.sum("n").alias("n_both"))
+    joint = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    enough = (F.col("contexts") >= MIN_CONTEXTS) & (F.col("most") <= ONE_CONTEXT * F.col("n_both"))
+    pairs = pairs.filter(enough).select("term", F.when(own > 0, joint / own).otherwise(0.0).alias("share"))
+    return pairs.filter(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` of every row of ``docs`` (``doc_id``, ``text``).
 
-    Protected entities are the base spans (e-mail, address, card and phone patterns). A term near an entity is added
-    as a span ``term`` (to be generalised) or ``drop`` (to be removed) if the corpus says that it reveals the entity;
-    see ``revealing_terms``. Base spans always stay. ``redacted`` writes the spans into the text.
+    Protected entities are the base spans (e-mail, address, card and phone patterns). If the corpus says that a term of
+    a document with an entity reveals it, every occurrence of the term in every text, with or without the entity, is
+    added as a span ``term`` (to be generalised) or ``drop`` (to be removed); see ``revealing_terms``. Base spans always
+    stay, and no added span touches one. ``redacted`` writes the spans into the text.
 
     Null text: no spans. Rows are told apart by their place in the scan, so null and repeated ids are no matter. Other
     columns are ignored. An empty table gives an empty result. Python is not used.
     """
     text = F.col("text")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(base_spans(text))).alias("base"), text)
-    rows = written(rows.withColumn("text", F.when(F.size("base") > 0, text)), "entities")
-    entities = rows.filter(F.size("base") > 0)
-    near = written(co_occurrences(entities), "near")
-    shares = written(revealing_terms(docs, entities, near).select("entity", "term", "share"), "shares")
-    added = near.join(bounded_broadcast(shares), ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    rows = written(rows, "entities")
+    near = written(entity_terms(rows.filter(F.size("base") > 0)), "near")
+    shares = written(revealing_terms(rows, near), "shares")
+    found = rows.select("row", F.explode(words_at(text)).alias("w")).select("row", F.lower("w.match").alias("term"), "w.start", "w.end")
+    added = found.join(bounded_broadcast(shares, MARKED_TERMS), "term")
     kind = F.when(F.col("share") >= REMOVE, F.struct(F.lit(5).alias("place"), F.lit("drop").alias("kind"))).otherwise(
         F.struct(F.lit(4).alias("place"), F.lit("term").alias("kind")))
     added = added.withColumn("k", kind).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k.place", "k.kind", "start", "end"))).alias("added"))
     plain = F.transform("base", lambda s: F.struct(s.place, s.kind, s.start, s.end))
-    spans = F.concat(plain, F.coalesce("added", F.array().cast(added.schema["added"].dataType)))
+    free = F.filter("added", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
+    spans = F.concat(plain, F.coalesce(free, F.array().cast(added.schema["added"].dataType)))
     return rows.join(added, "row", "left").select("row", "doc_id", "base", spans.alias("spans"))
 
 

@@ -33,16 +33,16 @@ def running_sum(values: Column, block: int = BLOCK) -> Column:
     return bind(values, lambda arr: F.when(F.size(arr) > 0, places(arr)).otherwise(F.array().cast("array<long>")))
 
 
-def find(text: Column, pattern: str) -> Column:
+def find(text: Column, pattern: str, block: int = BLOCK) -> Column:
     """All leftmost non-overlapping matches with start and end in code points, as an array; null text gives none.
 
     The pattern must not match the empty string. Pieces between matches and the matches themselves alternate, so their
-    running lengths are the places.
+    running lengths are the places; ``block`` is that of ``running_sum``.
     """
     def spans(found, pieces):
         lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found,
                              lambda piece, match: (F.length(piece) + F.length(match)).cast("long"))
-        joined = F.zip_with(found, running_sum(lengths), lambda match, before: F.struct(match.alias("m"), before.alias("b")))
+        joined = F.zip_with(found, running_sum(lengths, block), lambda match, before: F.struct(match.alias("m"), before.alias("b")))
         return F.zip_with(joined, F.slice(pieces, F.lit(1), F.size(found)), lambda x, piece: F.struct(
             (x.b + F.length(piece)).alias("start"), (x.b + F.length(piece) + F.length(x.m)).alias("end"), x.m.alias("match")))
 

@@ -246,6 +246,16 @@ def test_revealing_terms_are_found_and_written(spark):
     assert "joe@" not in clean[0] and "Zanthorius" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == texts[100]
 
 
+def test_revealing_terms_are_marked_far_away_and_without_the_entity(spark):
+    rows = [(i, f"{words(i, 12)} Zanthorius {words(50 + i, 80)} joe@corp.example {words(90 + i, 80)} zanthorius") for i in range(8)]
+    rows += [(100 + i, words(200 + i, 40)) for i in range(60)] + [(300, f"{words(300, 9)} ZANTHORIUS {words(301, 9)}")]
+    got = {r.doc_id: r.spans for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    marked = {i: [texts[i][s.start:s.end] for s in got[i] if s.kind in ("term", "drop")] for i in got}
+    assert all(marked[i] == ["Zanthorius", "zanthorius"] for i in range(8)) and marked[300] == ["ZANTHORIUS"]
+    assert not any(marked[100 + i] for i in range(60))
+
+
 def test_token_file(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     manifest = tokenfile.write_token_file(odd[0], folder, PATH, 3)
