@@ -19,14 +19,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 TERM = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 MIN_LETTERS = 4
-MIN_CONTEXTS = 3
-#: Largest share of a term's occurrences with an entity that may come from one context (copies repeat a context).
-ONE_CONTEXT = 0.5
+#: Bits of evidence a pair needs: its different contexts (copies repeat a context), each worth the term's information in
+#: the whole corpus. So a term of one document in 4 096 counts at once, a common one only from several contexts.
+EVIDENCE = 12.0
 #: Share of an entity's information that a term gives away: from here on generalised, from there on removed.
 GENERALISE = 0.6
 REMOVE = 0.9
-#: Revealing terms that may be broadcast to mark the texts; more are joined by a shuffle.
-MARKED_TERMS = 300_000
+#: Hashes of revealing terms that may be broadcast, so that only words that agree with one are dealt out to be marked;
+#: with more of them all words are.
+MARKED_TERMS = 2_000_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -57,8 +58,13 @@ def _long_enough(text: Column) -> Column:
 
 
 def entity_keys(base: Column) -> Column:
-    """The protected entities of a text, hashed: kind and value of each base span."""
-    return F.transform(base, lambda s: F.xxhash64(s.kind, F.lower(s.match)))
+    """The protected entities of a text, hashed: kind and value of each base span, and what values share: the local
+    part and the domain of an e-mail, the first three numbers of an address."""
+    key = lambda kind, value: F.xxhash64(F.lit(kind), F.lower(value))
+    part = lambda kind, name, pattern: F.transform(F.filter(base, lambda s: s.kind == kind), lambda s: key(name, F.regexp_extract(s.match, pattern, 1)))
+    return F.array_distinct(F.concat(
+        F.transform(base, lambda s: F.xxhash64(s.kind, F.lower(s.match))), part("email", "local", "^(.*)@"), part("email", "domain", "@(.*)$"),
+        part("ip", "network", r"^(.*)\.[0-9]+$")))
 
 
 def words_at(text: Column) -> Column:
@@ -69,17 +75,22 @@ def words_at(text: Column) -> Column:
 def entity_terms(entities: DataFrame) -> DataFrame:
     """Rows (``row``, ``term``, ``context``): the different terms of every text with entities, each once.
 
-    Words that touch a base span are no terms. The context is what stands around the term where it comes first, so
-    copies of a passage repeat it.
+    Words that touch a base span are no terms. The context is what stands around the term, at the place where its hash is
+    smallest, so copies of a passage repeat it. Neighbours are set beside each word before the words become rows: no row
+    carries the text's other words.
     """
-    found = entities.select("row", "base", F.explode(F.array(words_at(F.col("text")))).alias("words"))
-    found = found.select("row", "base", "words", F.posexplode("words").alias("i", "w"))
-    neighbour = lambda step: F.lower(F.get("words", F.col("i") + step).match)
-    free = ~F.exists("base", lambda b: (b.start < F.col("w.end")) & (F.col("w.start") < b.end))
-    found = found.filter(free).select("row", F.lower("w.match").alias("term"), F.struct(
-        F.col("i").alias("i"), F.xxhash64(neighbour(-1), neighbour(1)).alias("context")).alias("first"))
-    found = found.filter(F.length("term") >= MIN_LETTERS)
-    return found.groupBy("row", "term").agg(F.min("first").context.alias("context"))
+    none = F.array(F.lit(None).cast("string"))
+
+    def beside(words):
+        match = F.transform(words, lambda w: F.lower(w.match))
+        return bind(match, lambda m: F.zip_with(
+            F.zip_with(words, m, lambda w, term: F.struct(w.start.alias("start"), w.end.alias("end"), term.alias("term"))),
+            F.zip_with(F.concat(none, m), F.concat(F.slice(m, F.lit(2), F.size(m)), none), lambda before, after: F.xxhash64(before, after)),
+            lambda w, context: F.struct(w.start.alias("start"), w.end.alias("end"), w.term.alias("term"), context.alias("context"))))
+
+    free = lambda w: (F.length(w.term) >= MIN_LETTERS) & ~F.exists("base", lambda b: (b.start < w.end) & (w.start < b.end))
+    found = entities.select("row", F.explode(F.filter(bind(words_at(F.col("text")), beside), free)).alias("w"))
+    return found.select("row", "w.term", "w.context").groupBy("row", "term").agg(F.min("context").alias("context"))
 
 
 def document_counts(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -93,8 +104,9 @@ def revealing_terms(rows: DataFrame, near: DataFrame) -> DataFrame:
     """``term`` and ``share``: the largest share of an entity's information that the term gives away, where it reaches
     ``GENERALISE``: pointwise mutual information over self-information, from document frequencies of the whole corpus.
 
-    A pair needs ``MIN_CONTEXTS`` different neighbourhoods, none with more than ``ONE_CONTEXT`` of its documents; so
-    copies of one passage reveal nothing by being copied. Terms too common for the share are left out before pairs are
+    A pair needs ``EVIDENCE``: the number of its different neighbourhoods, times the information of the term. So a pair
+    of one document counts if the term is rare in the whole corpus, and copies of a passage neither help nor harm it.
+    Terms too common for the share are left out before pairs are
     made. Every count is combined in the map tasks first.
     """
     total = rows.count()
@@ -112,12 +124,12 @@ def revealing_terms(rows: DataFrame, near: DataFrame) -> DataFrame:
     pairs = near.join(rare, "term").join(holders, "row").select("row", "term", "context", "n_term", F.explode("of").alias("e"))
     pairs = pairs.filter(F.col("n_term") <= F.col("e.cap") * (1 + 1e-9)).select(
         "row", "term", "context", "n_term", F.coalesce("e.entity", F.col("row")).alias("entity"), F.col("e.n_entity").alias("n_entity"))
+    # Different contexts per pair without a distinct count: first one row per context, then one per pair.
     by_context = pairs.groupBy("entity", "term", "n_entity", "n_term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_context.groupBy("entity", "term", "n_entity", "n_term").agg(
-        F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.sum("n").alias("n_both"))
+    pairs = by_context.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_both"))
     joint = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    enough = (F.col("contexts") >= MIN_CONTEXTS) & (F.col("most") <= ONE_CONTEXT * F.col("n_both"))
+    enough = F.col("contexts") * F.log2(F.lit(float(total)) / F.col("n_term")) >= EVIDENCE
     pairs = pairs.filter(enough).select("term", F.when(own > 0, joint / own).otherwise(0.0).alias("share"))
     return pairs.filter(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
 
@@ -139,7 +151,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     near = written(entity_terms(rows.filter(F.size("base") > 0)), "near")
     shares = written(revealing_terms(rows, near), "shares")
     found = rows.select("row", F.explode(words_at(text)).alias("w")).select("row", F.lower("w.match").alias("term"), "w.start", "w.end")
-    added = found.join(bounded_broadcast(shares, MARKED_TERMS), "term")
+    marks = written(shares.select(F.xxhash64("term").alias("mark")).distinct(), "marks")
+    if marks.limit(MARKED_TERMS + 1).count() <= MARKED_TERMS:
+        found = found.join(F.broadcast(marks), F.xxhash64("term") == F.col("mark"), "left_semi")
+    added = found.join(shares, "term")
     kind = F.when(F.col("share") >= REMOVE, F.struct(F.lit(5).alias("place"), F.lit("drop").alias("kind"))).otherwise(
         F.struct(F.lit(4).alias("place"), F.lit("term").alias("kind")))
     added = added.withColumn("k", kind).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k.place", "k.kind", "start", "end"))).alias("added"))

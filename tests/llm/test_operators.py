@@ -256,6 +256,21 @@ def test_revealing_terms_are_marked_far_away_and_without_the_entity(spark):
     assert not any(marked[100 + i] for i in range(60))
 
 
+def test_rare_entities_and_copied_passages_reveal_terms(spark):
+    rows = [(i, f"plain common filler line {i % 7}") for i in range(5000)]
+    rows += [(9000, "common Quombley writes from rare.one@corp.example plain"), (9001, "filler Vexiland asks +49 30 1234567 plain")]
+    rows += [(9100 + i, "common line with Dorvanel next to ann@other.example plain") for i in range(9)]
+    rows += [(9200 + i, f"{w} Dorvanel {w} filler ann@other.example plain") for i, w in enumerate(["line", "plain", "common"])]
+    rows += [(9300 + i, f"line {w} Sharedhost {i} u{i}@host.example plain") for i, w in enumerate(["common", "filler", "plain"])]
+    texts = dict(rows)
+    got = {r.doc_id: r.spans for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marked = {i: [texts[i][s.start:s.end] for s in got[i] if s.kind in ("term", "drop")] for i in got}
+    assert "Quombley" in marked[9000] and "Vexiland" in marked[9001]
+    assert all("Dorvanel" in marked[i] for i in [*range(9100, 9109), *range(9200, 9203)])
+    assert all("Sharedhost" in marked[9300 + i] for i in range(3))
+    assert not any(marked[i] for i in range(5000)) and not any({"common", "filler", "plain"} & set(m) for m in marked.values())
+
+
 def test_token_file(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     manifest = tokenfile.write_token_file(odd[0], folder, PATH, 3)
