@@ -26,10 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact.ORACLE,
-    "op4_partenum_join": lambda spark, folder: partenum.report(partenum.jaccard_join(documents(spark, folder))),
-    "op5_sanitise": lambda spark, folder: pii.report(pii.sanitise(documents(spark, folder))),
-    "op6_pack": lambda spark, folder: packing.pack(documents(spark, folder), tokenizer_path()),
-    "op7_token_file": lambda spark, folder: tokenfile.token_file_round_trip(documents(spark, folder), tokenizer_path()),
     "op8_line_dedup": lines.ORACLE,
     "op9_secrets": secrets.ORACLE,
     "op10_mix_sources": mixing.ORACLE,

@@ -18,6 +18,10 @@ def test_every_twin_has_a_query():
     assert len(contract.queries()) > 200
 
 
+def test_every_twin_is_sql():
+    assert [name for name, sql in contract.oracle_sql().items() if not isinstance(sql, str)] == []
+
+
 def test_entry(spark):
     got = contract.entry(spark)
     assert got.columns == ["label", "count", "target", "gap", "type"] and got.count() > 0
