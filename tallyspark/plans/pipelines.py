@@ -15,6 +15,8 @@ from tallyspark.sources import io
 from tallyspark.streaming import jobs
 
 U4 = ["text", "label", "type", "is_money"]
+#: Row ids whose rows may share a JSON array.
+ARRAY_IDS = 160_000
 
 
 # --- files -----------------------------------------------------------------------------------------
@@ -41,11 +43,12 @@ def _(t):
 
 @query("s4_read_json_array", "SELECT row_id % 16 AS part, row_id, text, label FROM @U u")
 def _(t):
-    """One array file per hash bucket, read back."""
+    """Array files of bounded length below one folder per hash bucket, read back."""
     path = scratch(t.spark, "json-array")
     entries = F.to_json(F.collect_list(F.struct("row_id", "text", "label")))
-    arrays = t.U.groupBy((F.col("row_id") % 16).alias("part")).agg(entries.alias("value"))
-    arrays.repartition(16, "part").write.partitionBy("part").text(path)
+    block = F.floor(F.col("row_id") / ARRAY_IDS)
+    arrays = t.U.groupBy((F.col("row_id") % 16).alias("part"), block.alias("block")).agg(entries.alias("value"))
+    arrays.drop("block").write.option("maxRecordsPerFile", 1).partitionBy("part").text(path)
     return io.read_json_array(t.spark, path, "row_id LONG, text STRING, label STRING, part LONG").select("part", "row_id", "text", "label")
 
 

@@ -1,3 +1,5 @@
+import json
+
 import duckdb
 import pytest
 
@@ -22,6 +24,19 @@ def test_every_twin_is_sql():
     assert [name for name, sql in contract.oracle_sql().items() if not isinstance(sql, str)] == []
 
 
+def test_json_arrays_stay_bounded(spark, tmp_path, monkeypatch):
+    from tallyspark.plans import pipelines
+
+    folder = str(tmp_path / "arrays")
+    monkeypatch.setattr(pipelines, "scratch", lambda spark, name: folder)
+    monkeypatch.setattr(pipelines, "ARRAY_IDS", 160)
+    rows = contract.queries()["s4_read_json_array"](spark, SMALL)
+    got = [(r.part, r.row_id) for r in rows.collect()]
+    sizes = [len(json.loads(r.value)) for r in spark.read.text(folder).collect()]
+    assert sum(sizes) == len(got) and all(part == row_id % 16 for part, row_id in got)
+    assert max(sizes) <= 10 and len(sizes) > 16
+
+
 def test_entry(spark):
     got = contract.entry(spark)
     assert got.columns == ["label", "count", "target", "gap", "type"] and got.count() > 0
