@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import exact, gridjoin, lines, mixing, packing, partenum, pii, quality, secrets, tokenfile, toxicity, trie
+from tallyspark.llm import exact, gridjoin, lines, mixing, packing, partenum, pii, quality, secrets, spelling, tokenfile, toxicity, trie
 from tallyspark.llm.common import documents
 from tallyspark.llm.tokens import tokenizer_path
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": lambda spark, folder: secrets.report(secrets.scan_secrets(documents(spark, folder))),
     "op10_mix_sources": lambda spark, folder: mixing.mix(documents(spark, folder)),
     "op11_grid_order_join": lambda spark, folder: gridjoin.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet")),
+    "op12_spelling_variants": lambda spark, folder: spelling.variants(documents(spark, folder)),
     "op13_prefix_trie": lambda spark, folder: trie.report(trie.build(spark.read.parquet(f"{folder}/conversations.parquet"))),
 }
 
@@ -32,5 +33,6 @@ ORACLE: dict[str, str] = {
     "op9_secrets": secrets.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
     "op11_grid_order_join": gridjoin.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_prefix_trie": trie.ORACLE,
 }
