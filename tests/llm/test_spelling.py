@@ -15,6 +15,9 @@ SCHEMA = "doc_id long, text string, word string, n string, list string, head str
 
 def edits_one(a, b):
     """Whether exactly one inserted, deleted or replaced letter lies between two words; the plain matrix."""
+    if max(len(a), len(b)) > 50:  # what is left between the common ends
+        k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return (a[k + 1:] == b[k + 1:] or a[k + 1:] == b[k:] or a[k:] == b[k + 1:]) and a != b
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
