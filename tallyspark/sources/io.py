@@ -130,6 +130,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    if not exists(spark, path):
+        return []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)]
+
+
 def append_fresh(spark: SparkSession, path: str, batch: DataFrame, schema: str) -> None:
     """Append the rows whose text the sink does not hold yet."""
     sink = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

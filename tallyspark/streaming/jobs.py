@@ -17,9 +17,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from tallyspark.functions import text as tx
-from tallyspark.operators.dedupe import append_new, dislike_corrections, merge_feedback
+from tallyspark.operators.dedupe import append_new, merge_feedback
 from tallyspark.session import scratch
 from tallyspark.sources import io
+from tallyspark.streaming.buckets import BUCKET_ROWS, BucketStore
 from tallyspark.views import FEEDBACK
 
 # Workers need not have the package installed: the state processor travels with the task.
@@ -62,51 +63,57 @@ def intake(log: DataFrame, horizon: str = "60 days") -> DataFrame:
     return rows.withWatermark("at", horizon).dropDuplicatesWithinWatermark(["text_key"]).select("text_key")
 
 
-def apply_corrections(corpus: DataFrame, stream: DataFrame, schema: str, path: str | None = None) -> DataFrame:
-    """Each batch merges its corrections into the latest version of the corpus and writes the next version.
+def apply_corrections(corpus: DataFrame, stream: DataFrame, schema: str, path: str | None = None, limit: int = BUCKET_ROWS) -> DataFrame:
+    """Each batch merges its corrections into the buckets of the corpus that hold their texts.
 
-    The first dislike of a text counts, in whatever batch it comes: keys of earlier batches are kept beside the versions.
-    With a ``path`` of the caller's the job resumes: batch n reads version n and writes version n + 1, so a repeated
-    batch replaces what it wrote.
+    The corpus lies in hash buckets by text; batch n turns version n into n + 1 and rewrites only the buckets that its
+    texts fall into. The first dislike of a text counts, in whatever batch it comes: keys of earlier batches are kept in a
+    second table of buckets. With a ``path`` of the caller's the job resumes; a repeated batch changes nothing.
     """
     spark = stream.sparkSession
     path = path or scratch(spark, "corpus")
-    if not io.exists(spark, f"{path}/v0"):
-        corpus.write.mode("overwrite").parquet(f"{path}/v0")
+    text_key, log_key = F.lower(tx.strip(F.col("text"))), F.lower(tx.strip(F.col("text_input")))
+    table = BucketStore(spark, f"{path}/corpus", schema, text_key, F.col("row_id"), limit)
+    seen = BucketStore(spark, f"{path}/seen", "_k STRING", F.col("_k"), limit=limit)
+    table.create(corpus)
+    seen.create(spark.createDataFrame([], "_k STRING"))
 
     def step(batch: DataFrame, number: int) -> None:
-        current = spark.read.schema(schema).parquet(f"{path}/v{number}")
-        keyed = batch.withColumn("_k", F.lower(tx.strip(F.col("text_input"))))
-        fresh = keyed
-        if io.exists(spark, f"{path}/seen"):
-            seen = spark.read.schema("_k STRING, batch INT").parquet(f"{path}/seen").filter(F.col("batch") < number)
-            fresh = keyed.join(seen.select("_k").distinct(), "_k", "left_anti")
-        merge_feedback(current, fresh.drop("_k")).drop("op").write.mode("overwrite").parquet(f"{path}/v{number + 1}")
-        keyed.filter("log_type = 'dislike'").select("_k").distinct().write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        keyed = batch.filter("log_type = 'dislike'").withColumn("_k", log_key).filter("_k <> ''").persist()
+        try:
+            looked, places = seen.touched(number, keyed, F.col("_k")), table.touched(number, keyed, F.col("_k"))
+            fresh = keyed.join(seen.rows(number, looked), "_k", "left_anti").drop("_k")
+            table.update(number, places, lambda rows: merge_feedback(rows, fresh).drop("op"))
+            seen.update(number, looked, lambda rows: rows.union(keyed.select("_k")).distinct())
+        finally:
+            keyed.unpersist()
 
     run_batches(stream, "corrections", step, state=f"{path}/_state")
-    latest = 0
-    while io.exists(spark, f"{path}/v{latest + 1}/_SUCCESS"):
-        latest += 1
-    return spark.read.schema(schema).parquet(f"{path}/v{latest}")
+    return table.rows(table.latest())
 
 
-def append_stream(stream: DataFrame, schema: str, path: str | None = None) -> DataFrame:
-    """Each batch appends only texts the sink does not hold; with a ``path`` of the caller's the job resumes."""
+def append_stream(stream: DataFrame, schema: str, path: str | None = None, limit: int = BUCKET_ROWS) -> DataFrame:
+    """Each batch appends only texts the sink does not hold; with a ``path`` of the caller's the job resumes.
+
+    Which texts it holds is asked of an index in hash buckets, of which a batch reads and rewrites only those that its
+    texts fall into; the sink itself is written and not read.
+    """
     spark = stream.sparkSession
     path = path or scratch(spark, "sink")
-
-    def held() -> DataFrame:
-        if not io.exists(spark, f"{path}/rows"):
-            return spark.createDataFrame([], f"{schema}, batch INT")
-        return spark.read.schema(f"{schema}, batch INT").parquet(f"{path}/rows")
+    index = BucketStore(spark, f"{path}/index", "text STRING", F.col("text"), limit=limit)
+    index.create(spark.createDataFrame([], "text STRING"))
 
     def step(batch: DataFrame, number: int) -> None:
-        sink = held().filter(F.col("batch") < number).drop("batch")
-        append_new(sink, batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        keys = batch.select(tx.strip(F.col("text")).alias("text")).filter("text <> ''").distinct()
+        looked = index.touched(number, keys, F.col("text"))
+        held = index.rows(number, looked)
+        append_new(held, batch).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        index.update(number, looked, lambda rows: rows.union(keys).distinct())
 
     run_batches(stream, "append", step, state=f"{path}/_state")
-    return held().drop("batch")
+    if not io.exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch INT").parquet(f"{path}/rows").drop("batch")
 
 
 # --- ST4-ST8: windows -------------------------------------------------------------------------------
