@@ -1,10 +1,10 @@
-"""Rule baseline, multi-record split, span choice and similarity lookup."""
+"""Rule baseline, multi-record split and span choice."""
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import rules
@@ -95,39 +95,3 @@ def longest_span(spans: Column) -> Column:
     """Longest non-blank span; the later one on ties."""
     ranked = F.transform(spans, lambda s, i: F.struct(F.length(tx.strip(s)).alias("l"), i.alias("i"), tx.strip(s).alias("s")))
     return F.array_max(F.filter(ranked, lambda r: r["l"] > 0))["s"]
-
-
-def similar_corrections(log: DataFrame, corrections: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Most similar correction of the same user by TF-IDF cosine, at least ``threshold``.
-
-    Only the heaviest words of a correction are joined on: once the words left out weigh less than the
-    threshold in norm, any pair that reaches it shares one of the joined words. Dot products then run over the
-    candidate pairs alone.
-    """
-    def words(df: DataFrame, key: str) -> DataFrame:
-        tokens = tx.letter_tokens(tx.clean_category_text(F.col("text")))
-        return df.select(key, "user_id", F.explode(tokens).alias("w")).groupBy(key, "user_id", "w").agg(F.count(F.lit(1)).alias("tf"))
-
-    right, left = words(corrections, "correction_id"), words(log, "row_id")
-    docs = corrections.agg(F.count(F.lit(1)).alias("_n"))
-    df = right.groupBy("w").agg(F.count(F.lit(1)).alias("_df"))
-    idf = df.join(F.broadcast(docs)).select("w", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))  # one-row side
-
-    def weigh(df: DataFrame, key: str) -> DataFrame:
-        rows = df.join(idf, "w").withColumn("x", F.col("tf") * F.col("idf"))
-        norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
-        return rows.join(norms, key).select(key, "user_id", "w", (F.col("x") / F.col("_norm")).alias("x"))
-
-    a, b = weigh(left, "row_id"), weigh(right, "correction_id")
-    heavy = Window.partitionBy("correction_id").orderBy(F.desc("x"), "w").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.col("x") * F.col("x")).over(heavy), F.lit(0.0))
-    prefix = b.withColumn("_spent", spent).filter(1.0 - F.col("_spent") >= threshold * threshold - 1e-9)
-    pairs = a.select("row_id", "user_id", "w").join(prefix.select("correction_id", "user_id", "w"), ["user_id", "w"]).select(
-        "row_id", "correction_id").distinct()
-    dots = pairs.join(b.select("correction_id", "w", F.col("x").alias("bx")), "correction_id").join(
-        a.select("row_id", "w", F.col("x").alias("ax")), ["row_id", "w"])
-    sims = dots.groupBy("row_id", "correction_id").agg(F.sum(F.col("ax") * F.col("bx")).alias("score")).filter(
-        F.col("score") >= threshold)
-    best = sims.groupBy("row_id").agg(F.max_by(F.struct("correction_id", "score"), F.struct(
-        F.round("score", 9).alias("s"), (-F.col("correction_id")).alias("c"))).alias("b"))
-    return best.select("row_id", F.col("b.correction_id").alias("correction_id"), F.round("b.score", 6).alias("score"))

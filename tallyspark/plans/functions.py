@@ -8,7 +8,7 @@ from tallyspark import rules
 from tallyspark.functions import context as cx
 from tallyspark.functions import money, payload, timeparse
 from tallyspark.functions import text as tx
-from tallyspark.operators import baseline, ledger
+from tallyspark.operators import baseline, ledger, similarity
 from tallyspark.plans import duck
 from tallyspark.plans.registry import query
 
@@ -434,7 +434,33 @@ def _(t):
     return baseline.plain_receipts(texts)
 
 
-@query("j6_similar_correction")
+J6_LOG = """concat(text_input, CASE row_id % 7 WHEN 0 THEN ' hoàng kim thượng hạng' WHEN 1 THEN ' ở chợ' WHEN 2 THEN ' ngon ở chợ đầu mối' WHEN 3 THEN ' nếp'
+WHEN 4 THEN concat(' lô ', row_id % 40) ELSE '' END) AS text"""
+J6_FIX = """lower(concat(text_input, CASE row_id % 5 WHEN 0 THEN ' ngon ở chợ' WHEN 1 THEN ' ở chợ đầu mối' WHEN 2 THEN concat(' lô ', row_id % 40) WHEN 3 THEN ' hoàng kim' ELSE '' END)) AS text"""
+
+
+def _words(x: str) -> str:
+    kept = f"trim(regexp_replace(regexp_replace(lower({duck.clean_category(x)}), '[^\\pL\\pM\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"[w for w in string_split({kept}, ' ') if w <> '']"
+
+
+_J6_GRAMS = "list_concat(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))]), [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)])"
+
+
+@query("j6_similar_correction", f"""WITH l AS (SELECT row_id, user_id, lower({duck.clean_category('text')}) AS clean, {_words('text')} AS t FROM (SELECT row_id, user_id, {J6_LOG} FROM @F f) z),
+r AS (SELECT row_id AS correction_id, user_id, lower(trim(text)) AS clean, {_words('text')} AS t FROM (SELECT row_id, user_id, {J6_FIX} FROM @F f WHERE log_type = 'dislike') z),
+n AS (SELECT count(*) AS n FROM @U u), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_J6_GRAMS})) AS term FROM (SELECT {_words('text')} AS t FROM @U u) z) y GROUP BY term),
+d AS (SELECT t FROM l UNION SELECT t FROM r), g AS (SELECT t, term, count(*) AS tf FROM (SELECT t, unnest({_J6_GRAMS}) AS term FROM d) z GROUP BY t, term),
+w AS (SELECT t, g.term, tf * (ln((1.0 + n.n) / (1.0 + coalesce(df, 0))) + 1.0) AS x FROM g CROSS JOIN n LEFT JOIN df USING (term)),
+v AS (SELECT t, term, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS x FROM w),
+e AS (SELECT l.row_id, min(correction_id) AS correction_id FROM l JOIN r ON l.user_id = r.user_id AND l.clean = r.clean WHERE l.clean <> '' GROUP BY 1),
+p AS (SELECT DISTINCT l.t AS a, r.t AS b FROM l JOIN r ON l.user_id = r.user_id),
+s AS (SELECT a, b, round(sum(v.x * u.x), 9) AS score FROM p JOIN v ON v.t = a JOIN v AS u ON u.t = b AND u.term = v.term GROUP BY a, b HAVING round(sum(v.x * u.x), 9) >= 0.85),
+m AS (SELECT l.row_id, r.correction_id, score FROM l JOIN r ON l.user_id = r.user_id JOIN s ON s.a = l.t AND s.b = r.t WHERE l.row_id NOT IN (SELECT row_id FROM e)
+QUALIFY row_number() OVER (PARTITION BY l.row_id ORDER BY score DESC, r.correction_id) = 1)
+SELECT row_id, correction_id, 'exact' AS match_type, 1.0 AS score FROM e UNION ALL SELECT row_id, correction_id, 'similarity', round(score, 6) FROM m""")
 def _(t):
-    fixes = t.F.filter("log_type = 'dislike'").selectExpr("row_id AS correction_id", "user_id", "lower(text_input) AS text")
-    return baseline.similar_corrections(t.F.selectExpr("row_id", "user_id", "concat(text_input, ' nha') AS text"), fixes)
+    fixes = t.F.filter("log_type = 'dislike'").selectExpr("row_id AS correction_id", "user_id", J6_FIX)
+    weights = similarity.gram_weights(t.U, F.col("text"))
+    found = similarity.similar_corrections(t.F.selectExpr("row_id", "user_id", J6_LOG), fixes, weights)
+    return found.withColumn("score", F.round("score", 6))

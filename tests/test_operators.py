@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import money
 from tallyspark.functions import text as tx
-from tallyspark.operators import baseline, curate, dedupe, evaluate, ledger, ordering, receipts, sample, scan, stats
+from tallyspark.operators import baseline, curate, dedupe, evaluate, ledger, ordering, receipts, sample, scan, similarity, stats
 from tallyspark.views import Inputs
 
 SMALL = "/root/testdata/sf0.001"
@@ -172,33 +172,53 @@ def test_total_fallbacks(spark):
 
 
 # --- similarity ------------------------------------------------------------------------------------
-def test_similar_corrections(spark):
-    fixes = [(1, 7, "mua gạo ngon ở chợ"), (2, 7, "mua gạo ở chợ"), (3, 7, "đi xe ôm về nhà"), (4, 8, "mua gạo ở chợ")]
-    log = [(10, 7, "mua gạo ngon ở chợ 50k"), (11, 7, "đi xe ôm về nhà bạn"), (12, 7, "xem phim"), (13, 9, "mua gạo ở chợ"), (14, 8, "mua gạo chợ")]
-    left = spark.createDataFrame(log, "row_id BIGINT, user_id BIGINT, text STRING")
-    right = spark.createDataFrame(fixes, "correction_id BIGINT, user_id BIGINT, text STRING")
-    got = {r.row_id: (r.correction_id, r.score) for r in baseline.similar_corrections(left, right, 0.5).collect()}
+def plain_words(spark, texts):
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "text STRING")
+    return {r.text: r.w.split() for r in df.select("text", similarity.normal_text(F.col("text")).alias("w")).collect()}
+
 
-    def words(text):
-        col = tx.letter_tokens(tx.clean_category_text(F.lit(text)))
-        return spark.range(1).select(col.alias("w")).first()["w"]
+def plain_grams(words):
+    return [" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
 
-    docs = {c: words(t) for c, _, t in fixes}
-    idf = {w: math.log((1 + len(docs)) / (1 + sum(w in d for d in docs.values()))) + 1 for d in docs.values() for w in d}
 
-    def vector(tokens):
-        v = {w: tokens.count(w) * idf[w] for w in set(tokens) if w in idf}
+def test_similar_corrections(spark):
+    """Against plain cosines over every pair of one user; unknown grams weigh most and count in the norm."""
+    rng = random.Random(4)
+    words = ["mua", "gạo", "ngon", "ở", "chợ", "đầu", "mối", "xe", "ôm", "về", "nhà", "phim"]
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    corpus = [sentence(rng.randint(1, 6)) for _ in range(80)] + ["gạo", "gạo", "mua gạo"]
+    fixes = [(1, 7, "gạo"), (2, 7, "Mua gạo ở chợ "), (3, 7, "mua gạo ở chợ"), (4, 8, "mua gạo ở chợ"), (5, 7, ""), (6, 7, None), (7, 7, "xe ôm về nhà")]
+    fixes += [(20 + i, rng.choice([7, 8]), sentence(rng.randint(2, 7))) for i in range(60)]
+    log = [(10, 7, "gạo hoàng kim thượng hạng"), (11, 7, "mua gạo ở chợ 50k"), (12, 9, "gạo"), (13, 7, None), (14, 7, "50k"), (15, 8, "mua gạo chợ"), (16, 7, "xe ôm về nhà nhà")]
+    log += [(100 + i, rng.choice([7, 8]), f[2] + rng.choice(["", " nhà", " hoàng"])) for i, f in enumerate(fixes) if f[2]]
+    data = [spark.createDataFrame(rows, f"{key} BIGINT, user_id BIGINT, text STRING") for rows, key in ((log, "row_id"), (fixes, "correction_id"))]
+    weights = similarity.gram_weights(spark.createDataFrame([(t,) for t in corpus], "text STRING"), F.col("text"))
+    got = {r.row_id: (r.correction_id, r.match_type, round(r.score, 7)) for r in similarity.similar_corrections(*data, weights, 0.8).collect()}
+
+    plain = plain_words(spark, {t for _, _, t in log + fixes if t} | set(corpus))
+    df = {}
+    for t in corpus:
+        for g in set(plain_grams(plain[t])):
+            df[g] = df.get(g, 0) + 1
+
+    def vector(text):
+        grams = plain_grams(plain.get(text, []))
+        v = {g: grams.count(g) * (math.log((1 + len(corpus)) / (1 + df.get(g, 0))) + 1) for g in set(grams)}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1
-        return {w: x / norm for w, x in v.items()}
+        return {g: x / norm for g, x in v.items()}
 
+    want = {}
     for row, user, text in log:
-        a = vector(words(text))
-        scores = [(sum(a.get(w, 0) * x for w, x in vector(docs[c]).items()), -c) for c, u, _ in fixes if u == user]
-        best = max(scores, default=(0, 0))
-        if best[0] >= 0.5:
-            assert got[row][0] == -best[1] and math.isclose(got[row][1], best[0], abs_tol=1e-5)
-        else:
-            assert row not in got
+        mine = [(c, t) for c, u, t in fixes if u == user and t and t.strip()]
+        same = [c for c, t in mine if text and " ".join(plain[text]) == t.strip().lower()]
+        if same:
+            want[row] = (min(same), "exact", 1.0)
+            continue
+        a = vector(text)
+        best = max(((round(sum(a.get(g, 0) * x for g, x in vector(t).items()), 9), -c) for c, t in mine), default=(0, 0))
+        if best[0] >= 0.8:
+            want[row] = (-best[1], "similarity", round(best[0], 7))
+    assert got == want and 10 not in got and {k for _, k, _ in want.values()} == {"exact", "similarity"}
 
 
 def test_shorten_keeps_what_and_how_much(spark):
