@@ -1,20 +1,16 @@
-"""Models on Spark ML (M1-M6, M9) and routing by confidence (M7)."""
+"""Models on Spark ML (M1-M4, M9) and routing by confidence (M7)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import money
 from tallyspark.functions import text as tx
-from tallyspark.operators.ordering import keep_first
 
 # Model parameters are bounded by vocabulary size x classes, whatever the number of rows.
 
@@ -89,53 +85,6 @@ def predict(model: PipelineModel, df: DataFrame, text: Column, out: str = "label
     return rows.drop("grams", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction")
 
 
-def embedding_classifier(df: DataFrame, label: str = "label", folds: int = 2) -> DataFrame:
-    """Classifier over an embedding column with sigmoid calibration on held-out margins.
-
-    Each fold is scored by a model fitted on the other one; per class a one-feature logistic regression maps the
-    margin to a probability.
-    """
-    rows = df.select("vec_id", F.col(label).cast("double").alias("y"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-                     (F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("bigint") % folds).alias("fold"))
-    parts = []
-    for fold in range(folds):
-        model = LogisticRegression(maxIter=20, regParam=0.01, labelCol="y").fit(rows.filter(F.col("fold") != fold))
-        held = model.transform(rows.filter(F.col("fold") == fold))
-        parts.append(held.select("vec_id", "y", vector_to_array("rawPrediction").alias("margin"), "prediction"))
-    held = parts[0]
-    for part in parts[1:]:
-        held = held.unionByName(part)
-    top = F.element_at("margin", (F.col("prediction") + 1).cast("int"))
-    held = held.withColumn("m", top).withColumn("hit", (F.col("y") == F.col("prediction")).cast("double"))
-    vector = VectorAssembler(inputCols=["m"], outputCol="mv")
-    platt = LogisticRegression(featuresCol="mv", labelCol="hit", maxIter=20, predictionCol="_p", rawPredictionCol="_r", probabilityCol="platt")
-    scored = platt.fit(vector.transform(held)).transform(vector.transform(held))
-    confidence = F.round(F.element_at(vector_to_array("platt"), -1), 4)
-    return scored.select("vec_id", F.col("y").cast("int").alias("label"), F.col("prediction").cast("int").alias("label_pred"), confidence.alias("confidence"))
-
-
-def predict_slots(train: DataFrame, rows: DataFrame, fields: Sequence[str], vocabulary: int = 500) -> DataFrame:
-    """Slot values per text: exact text first, then a classifier per field; amounts by log-scale regression."""
-    out = rows
-    for field in fields:
-        known = train.filter(tx.blank_to_null(F.col(field)).isNotNull()).select("row_id", "text", tx.blank_to_null(F.col(field)).alias(field))
-        exact = keep_first(known, "text").select(F.col("text").alias("_t"), F.col(field).alias("_exact"))
-        joined = out.join(exact, F.col("text") == F.col("_t"), "left").drop("_t")
-        if field == "value":
-            numbers = known.withColumn("log", F.log1p(F.col("value").try_cast("double"))).filter("log IS NOT NULL")
-            model = Pipeline(stages=[*feature_stages(vocabulary), LinearRegression(labelCol="log", regParam=0.01, maxIter=20)]).fit(
-                with_grams(numbers, F.col("text")))
-            scored = model.transform(with_grams(joined, F.col("text")))
-            amount = F.get(money.extract_amounts(F.col("text")), F.lit(0))
-            guess = F.coalesce(amount, F.bround(F.expm1("prediction")).cast("bigint")).cast("string")
-        else:
-            model = fit_text_classifier(known, F.col("text"), field, vocabulary, iterations=10)
-            scored = predict(model, joined, F.col("text"), "_guess")
-            guess = F.col("_guess")
-        out = scored.withColumn(f"{field}_pred", F.coalesce("_exact", guess)).select(*out.columns, f"{field}_pred")
-    return out
-
-
 def review_route(df: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Low or missing confidence goes to review."""
     low = F.coalesce(F.col("confidence") < threshold, F.lit(True))

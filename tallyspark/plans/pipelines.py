@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark import schemas
+from tallyspark import rules, schemas
 from tallyspark.functions import text as tx
-from tallyspark.operators import evaluate, ml, sample
+from tallyspark.operators import calibrated, evaluate, ml, sample, slots
+from tallyspark.operators.ordering import keep_first
+from tallyspark.plans import duck
 from tallyspark.plans import receipts as rq
 from tallyspark.plans.metrics import AVERAGES, HIER, class_sql
 from tallyspark.plans.registry import ORACLE, query
@@ -279,13 +281,38 @@ def _(t):
 
 @query("m5_embedding_classifier")
 def _(t):
-    return ml.embedding_classifier(t.table("embeddings"))
+    rows = t.table("embeddings")
+    train = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(5)) > 0
+    model = calibrated.fit_calibrated(rows.filter(train), "vec_id", "label")
+    scored = model.score(rows.select("vec_id", "label", "embedding"))
+    return scored.select("vec_id", "label", "label_pred", F.round("confidence", 4).alias("confidence"), (~train).alias("held_out"))
+
+
+def _slot_rows(t):
+    canon = F.coalesce(tx.lookup(F.col("action_type"), rules.ACTION_ALIASES), F.col("action_type"))
+    return t.A.withColumn("action_type", canon).withColumn("amount_span", F.regexp_extract(F.lower("text"), "[0-9]+k$", 0))
 
 
 @query("m6_predict_slots")
 def _(t):
-    rows = ml.predict_slots(t.A.filter("row_id % 5 <> 0"), t.A.select("row_id", "text"), ["category_code", "value"])
-    return rows.select("row_id", "category_code_pred", "value_pred")
+    rows = _slot_rows(t)
+    model = slots.fit_slots(rows.filter("row_id % 5 <> 0"))
+    return slots.predict_slots(rows, model).withColumn("time", F.array_join("time", ",")).withColumn("held_out", F.col("row_id") % 5 == 0)
+
+
+_ASKED = " UNION ALL ".join(f"SELECT '{a}' AS action, '{f}' AS field" for a, fields in rules.SLOTS_BY_ACTION.items() for f in fields)
+
+
+@query("m6_exact_slots", f"""WITH a AS (SELECT row_id, text, CASE upper({duck.case_map('action_type', rules.ACTION_ALIASES, 'action_type')}) WHEN 'SETTING' THEN 'SYSTEM_SETTING'
+ELSE upper({duck.case_map('action_type', rules.ACTION_ALIASES, 'action_type')}) END AS action, verb, category_code, value, goal_name, enabled, theme, verbal_style, time_range, query FROM @A a),
+u AS ({" UNION ALL ".join(f"SELECT row_id, text, '{f}' AS field, {duck.blank(f)} AS value FROM a" for f in rules.SLOT_COLUMNS if f != "note")}),
+e AS (SELECT field, text, value FROM u WHERE value IS NOT NULL AND (field <> 'value' OR TRY_CAST(value AS DOUBLE) IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY field, text ORDER BY row_id) = 1)
+SELECT a.row_id, k.field, e.value FROM a JOIN ({_ASKED}) k ON k.action = a.action JOIN e ON e.field = k.field AND e.text = a.text""")
+def _(t):
+    rows = _slot_rows(t)
+    cells = slots.labelled_slots(rows)
+    known = slots.SlotModel(keep_first(cells, F.struct("field", "text"), "row_id").select("field", "text", "value"), {}, None, None)
+    return slots.exact_slots(rows, known)
 
 
 @query("m9_understand")
