@@ -10,14 +10,15 @@ from tallyspark.llm.common import bounded_broadcast, written
 from tallyspark.llm.spans import count_of, find, labelled, written_out
 
 # The kinds and their base patterns. The look-behinds keep a search from starting inside a run it has
-# already tried; a match is the same without them.
+# already tried; a match is the same without them. Repeated groups are possessive: they cannot give anything back, and
+# Java runs them as a loop where it would else call itself once per repeat.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-TERM = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+TERM = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
 MIN_LETTERS = 4
 #: Bits of evidence a pair needs: its different contexts (copies repeat a context), each worth the term's information in
 #: the whole corpus. So a term of one document in 4 096 counts at once, a common one only from several contexts.
