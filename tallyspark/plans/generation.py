@@ -199,12 +199,50 @@ def _(t):
     return rows.select("row_id", "prompt", F.get_json_object("response", "$.category").alias("category"), F.get_json_object("response", "$.amount").alias("amount"))
 
 
-@query("g17_bucket_notes")
+NOTE_TOPIC = "concat(CASE p_partkey % 9 WHEN 0 THEN 'trà ' WHEN 1 THEN 'vé xe ' WHEN 2 THEN 'tiền điện ' WHEN 3 THEN 'áo ' WHEN 4 THEN 'serum ' WHEN 5 THEN 'thuốc ' WHEN 6 THEN 'sách ' ELSE '' END, lower(p_name)) AS topic"
+_EVERY_PLACE = [p for places in rules.NOTE_PLACES.values() for p in places]
+
+
+def _place(label: str, index: str) -> str:
+    of = {k: [c for c, kind in rules.PLACE_OF_LABEL.items() if kind == k] for k in rules.NOTE_PLACES}
+    return "CASE " + " ".join(f"WHEN {label} IN {duck.in_list(of[k])} THEN {_pick(places, index)}" for k, places in rules.NOTE_PLACES.items()) + f" ELSE {_pick(_EVERY_PLACE, index)} END"
+
+
+def _fill(pattern: str, **values: str) -> str:
+    for name, value in values.items():
+        pattern = f"replace({pattern}, '{{{name}}}', {value})"
+    return pattern
+
+
+_SLOTS = "CASE label " + " ".join(f"WHEN '{c}' THEN {_lst(ps)}" for c, ps in rules.BUCKET_PATTERNS.items()) + " ELSE ['{t}: {m}'] END"
+_G17_TEXT = _fill("pattern", t="topic", v=_pick(rules.NOTE_VERBS, _idx("n", 11)), p=_place("label", _idx("n", 12)), m=_money("(" + _idx("n", 13) + " % 1000000)"))
+
+
+@query("g17_bucket_notes", f"""WITH t AS (SELECT p_partkey AS row_id, {NOTE_TOPIC} FROM part), l AS (SELECT *, {_topic_label('topic')} AS label FROM t),
+s AS (SELECT *, unnest({_SLOTS}) AS pattern, unnest(range(len({_SLOTS}))) AS pos FROM l), c AS (SELECT *, row_id * 4 + pos AS slot, unnest(range(6)) AS j FROM s),
+d AS (SELECT *, slot * 16 + j AS n FROM c), x AS (SELECT n AS row_id, slot, {_G17_TEXT} AS text, label FROM d),
+f AS (SELECT * FROM x WHERE text NOT IN (SELECT trim(text) FROM @U u) QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY row_id) = 1),
+k AS (SELECT row_id, text, label FROM f QUALIFY row_number() OVER (PARTITION BY slot ORDER BY row_id) <= 3),
+m AS (SELECT (SELECT count(*) FROM part) * 5 - (SELECT count(*) FROM k) AS missing),
+p AS (SELECT 1099511627776 + i AS row_id, replace({_pick([x for x, _ in rules.PAD_PATTERNS], 'i')}, '{{m}}', {_money('i')}) AS text, {_pick([c for _, c in rules.PAD_PATTERNS], 'i')} AS label
+FROM (SELECT unnest(range(4 * missing + 1000)) AS i FROM m) z),
+q AS (SELECT * FROM p WHERE text NOT IN (SELECT text FROM k) QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1),
+r AS (SELECT * FROM q QUALIFY row_number() OVER (ORDER BY row_id) <= (SELECT missing FROM m)) SELECT * FROM k UNION ALL SELECT * FROM r""")
 def _(t):
-    return generate.bucket_notes(_topics(t), t.U)
+    topics = t.table("part").selectExpr("p_partkey AS row_id", NOTE_TOPIC)
+    return generate.bucket_notes(topics, t.U, total=5 * topics.count())
+
+
+_NOTE = {"p": _place("label", _idx("row_id", 9)), "w": _pick(rules.NOTE_WAYS, _idx("row_id", 10)), "f": _pick(rules.NOTE_FILLERS, _idx("row_id", 14))}
+G18_ITEM = "trim(regexp_replace(text, '[0-9].*$', '')) AS item"
 
 
-@query("g18_pattern_notes")
+@query("g18_pattern_notes", f"""WITH r AS (SELECT row_id, {G18_ITEM}, label, type, {_pick(rules.PRICES, _idx('row_id', 5))} AS price, type IN ('income', 'expense') AS paid FROM @U u WHERE label IS NOT NULL),
+m AS (SELECT *, {_fill("CASE type WHEN 'income' THEN " + _pick(rules.EARN_PATTERNS, _idx('row_id', 6)) + " WHEN 'expense' THEN " + _pick(rules.SPEND_PATTERNS, _idx('row_id', 6)) + " ELSE " + _pick(rules.NOISE_PATTERNS, _idx('row_id', 6)) + " END", t="item", m="price", **_NOTE)} AS base,
+CASE WHEN NOT paid THEN '' WHEN label = 'Transport' AND {_idx('row_id', 7)} % 4 = 0 THEN concat(', đổ ', {_idx('row_id', 15)} % 9 + 1, ' lít')
+WHEN label IN ('Shopping', 'Housing') AND {_idx('row_id', 7)} % 5 = 0 THEN concat(', giao từ ', {_pick(rules.NOTE_PLACES['office'], _idx('row_id', 16))}) ELSE '' END AS more,
+CASE WHEN paid AND label IN ('Education', 'Housing') AND {_idx('row_id', 8)} % 4 = 0 THEN ', trả hằng tháng' ELSE '' END AS regular FROM r)
+SELECT row_id, concat(base, more, regular) AS text, label, type, CASE WHEN paid THEN price ELSE '0k' END AS amount FROM m
+QUALIFY row_number() OVER (PARTITION BY concat(base, more, regular) ORDER BY row_id) = 1""")
 def _(t):
-    rows = t.U.filter("label IS NOT NULL").select("row_id", F.trim(F.regexp_replace("text", "[0-9].*$", "")).alias("item"), "label", "type")
-    return generate.pattern_notes(rows)
+    return generate.pattern_notes(t.U.filter("label IS NOT NULL").selectExpr("row_id", G18_ITEM, "label", "type"))

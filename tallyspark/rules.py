@@ -395,3 +395,45 @@ THEME_QUOTAS_10K = {
     "record_housing": 550, "record_transport": 700, "record_food_general": 700, "social_gift": 500,
     "entertainment_drink": 550, "health_education": 500, "shopping_essentials": 500,
 }
+
+# --- note patterns (wording of our own; {t} item, {v} verb, {p} place, {m} money, {w} way of paying, {f} filler) ---
+NOTE_VERBS = ["mua", "lấy", "đặt", "gọi", "sắm"]
+NOTE_PLACES = {
+    "street": ["quán đầu ngõ", "chợ sáng", "bến xe", "phố đi bộ"],
+    "office": ["cửa hàng trên mạng", "tầng trệt công ty", "trung tâm quận"],
+    "home": ["tiệm gần nhà", "siêu thị khu phố", "nhà ngoại"],
+}
+PLACE_OF_LABEL = {
+    "Food": "street", "Transport": "street", "Entertainment": "street", "Shopping": "office", "Beauty": "office", "Education": "office",
+    "Housing": "home", "Essentials": "home", "Health": "home",
+}
+NOTE_WAYS = ["quét mã", "thẻ", "tiền lẻ", "ví điện tử"]
+NOTE_FILLERS = ["thế là hết ngày", "ghi lại kẻo quên", "tạm ổn", "lần sau ít hơn"]
+BUCKET_PATTERNS = {
+    "Food": ["{v} {t} ở {p}, tốn {m}", "bữa này có {t}, {m}"],
+    "Transport": ["{t} cho chuyến này: {m}"],
+    "Housing": ["kỳ này {t} phải trả {m}"],
+    "Shopping": ["{v} {t} trên {p}, giá {m}"],
+    "Beauty": ["{t} để chăm da {m}"],
+    "Health": ["{t} theo toa, {m}"],
+    "Education": ["{t} cho lớp mới {m}"],
+    "Entertainment": ["tối qua {t}, tiêu {m}"],
+    "Social": ["góp {t} với mọi người {m}"],
+    "Essentials": ["{v} {t} dùng trong nhà {m}", "{t} lấy ở {p}, {m}"],
+}
+PAD_PATTERNS = [
+    ("khoản lặt vặt trong ngày {m}", "Others"), ("gửi xe và phí đường {m}", "Transport"), ("nạp lại gói mạng {m}", "Housing"),
+    ("đồ ăn nhẹ giữa giờ {m}", "Food"), ("một buổi học thử {m}", "Education"),
+]
+SPEND_PATTERNS = [
+    "{t} ở {p} vừa tốn {m}, trả bằng {w}", "ghé {p} lấy {t}, {m} theo {w}", "{m} cho {t}, {f}", "hóa đơn {p}: {t} {m}",
+    "{w} {m} tiền {t} tại {p}", "{t} xong ở {p}, bớt {m}, {f}", "{p} bán {t} giá {m}, {w}", "{t} {m} nhé, {f}",
+    "dat {t} o {p} gia {m}", "paid {m} for {t} near {p}",
+]
+EARN_PATTERNS = [
+    "{t} đem về {m}, nhận qua {w}", "cộng {m} nhờ {t}", "khách trả {m} cho {t} ở {p}", "khoản {t} đã về {m}, {f}",
+    "{w} báo có {m} từ {t}", "got {m} for {t}", "tien {t} ve {m}",
+]
+NOISE_PATTERNS = [
+    "lát nữa gặp ở {p}", "{p} hôm nay đông quá", "nhớ gọi cho tôi, {f}", "ai rảnh ghé {p} không", "trời mưa rồi, {f}",
+]
