@@ -218,7 +218,21 @@ def topic_label(col: Column) -> Column:
 
 
 def topic_variants(col: Column) -> Column:
-    """The topic, its accent-free form and a common misspelling, in that order."""
-    plain = strip_accents(F.lower(col))
+    """The topic, short forms of the first key word it has, its accent-free form and a common misspelling, in that order."""
+    low = F.lower(col)
+    short = first_match([(low.contains(key), F.array(*map(F.lit, forms))) for key, forms in rules.ABBREVIATIONS.items()], F.array().cast("array<string>"))
+    known = F.concat(F.array(strip(col)), short)
+    plain = F.lower(strip_accents(col))
+    plain = F.when(~F.exists(known, lambda x: F.lower(x) == plain), plain)
     typo = F.when(col.contains("sữa"), F.replace(col, F.lit("sữa"), F.lit("sửa")))
-    return F.array_distinct(F.array_compact(F.array(strip(col), plain, typo)))
+    return F.array_distinct(F.filter(F.concat(known, F.array(plain, typo)), lambda x: x.isNotNull() & (x != "")))
+
+
+def short_topic_label(col: Column) -> Column:
+    """Label of a short record's topic: key words in order, then food words, then beauty words."""
+    low = F.lower(col)
+    words = F.split(low, "[^a-zA-Z\\u00E0-\\u1EF90-9]+")
+    food = contains_any(low, rules.SHORT_FOOD_TOPICS) | F.array_contains(words, "cf") | (F.array_contains(words, "hu") & F.array_contains(words, "tieu"))
+    food = food | F.arrays_overlap(words, F.array(*map(F.lit, rules.SHORT_FOOD_WORDS)))
+    cases = [(low.contains(key), label) for key, label in rules.SHORT_TOPIC_LABELS]
+    return first_match([*cases, (food, "Food"), (contains_any(low, rules.SHORT_BEAUTY), "Beauty")], "Essentials")

@@ -27,6 +27,12 @@ def _pick(values, index: str) -> str:
     return f"{_lst(values)}[({index}) % {len(values)} + 1]"
 
 
+def _fill(pattern: str, **values: str) -> str:
+    for name, value in values.items():
+        pattern = f"replace({pattern}, '{{{name}}}', {value})"
+    return pattern
+
+
 def _topic_label(x: str) -> str:
     low = f"lower({x})"
     return "CASE " + " ".join(f"WHEN {duck.contains_any(low, w)} THEN '{c}'" for c, w in rules.TOPIC_LABELS) + " ELSE 'Essentials' END"
@@ -71,15 +77,29 @@ def _(t):
     return generate.with_suffixes(rows, rules.BUDGET_SUFFIXES)
 
 
-SPELL = f"""sp AS (SELECT row_id, topic, v, s FROM (SELECT row_id, topic, unnest([1, 2, 3]) AS v, unnest([topic, strip_accents(lower(topic)),
-CASE WHEN contains(topic, 'sữa') THEN replace(topic, 'sữa', 'sửa') END]) AS s FROM (SELECT o_orderkey AS row_id, {TOPIC} AS topic FROM orders) o) y WHERE s IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY row_id, s ORDER BY v) = 1),
-spell AS (SELECT row_id, topic, CAST(row_number() OVER (PARTITION BY row_id ORDER BY v) - 1 AS INT) AS variant, s AS spelling FROM sp)"""
+SHORT_TOPIC = "CASE o_custkey % 11 WHEN 0 THEN 'trà sữa' WHEN 1 THEN 'gạo' WHEN 2 THEN 'vé xe' WHEN 3 THEN 'áo khoác' WHEN 4 THEN 'đi grab về quê' WHEN 5 THEN 'Phở bò' WHEN 6 THEN 'tiền điện' WHEN 7 THEN 'cf sáng' WHEN 8 THEN 'kem chống nắng' WHEN 9 THEN 'đổ Xăng' ELSE 'siêu thị' END"
+_ABBREV = "CASE " + " ".join(f"WHEN contains(lower(topic), {duck.lit(k)}) THEN {_lst(v)}" for k, v in rules.ABBREVIATIONS.items()) + " ELSE [] END"
+SPELL = f"""s0 AS (SELECT o_orderkey AS row_id, {SHORT_TOPIC} AS topic FROM orders), s1 AS (SELECT *, list_concat([trim(topic)], {_ABBREV}) AS known, strip_accents(lower(topic)) AS plain FROM s0),
+s2 AS (SELECT *, list_concat(list_concat(known, CASE WHEN list_contains([lower(x) for x in known], plain) THEN [] ELSE [plain] END),
+CASE WHEN contains(topic, 'sữa') THEN [replace(topic, 'sữa', 'sửa')] ELSE [] END) AS l FROM s1),
+s3 AS (SELECT row_id, topic, [l[i] for i in range(1, len(l) + 1) if list_position(l, l[i]) = i] AS l FROM s2),
+spell AS (SELECT row_id, topic, CAST(unnest(range(len(l))) AS INT) AS variant, unnest(l) AS spelling FROM s3)"""
+
+
+def _short_label(x: str) -> str:
+    low, words = f"lower({x})", f"string_split_regex(lower({x}), '[^a-zA-Zà-ỹ0-9]+')"
+    food = f"{duck.contains_any(low, rules.SHORT_FOOD_TOPICS)} OR list_contains({words}, 'cf') OR (list_contains({words}, 'hu') AND list_contains({words}, 'tieu')) OR list_has_any({words}, {_lst(rules.SHORT_FOOD_WORDS)})"
+    return ("CASE " + " ".join(f"WHEN contains({low}, {duck.lit(k)}) THEN '{c}'" for k, c in rules.SHORT_TOPIC_LABELS)
+            + f" WHEN {food} THEN 'Food' WHEN {duck.contains_any(low, rules.SHORT_BEAUTY)} THEN 'Beauty' ELSE 'Essentials' END")
+
+
+def _short_topics(t):
+    return t.table("orders").selectExpr("o_orderkey AS row_id", f"{SHORT_TOPIC} AS topic")
 
 
 @query("g3_topic_variants", f"WITH {SPELL} SELECT row_id, variant, spelling FROM spell")
 def _(t):
-    return generate.topic_variants(_topics(t)).drop("topic")
+    return generate.topic_variants(_short_topics(t)).drop("topic")
 
 
 @query("g4_topic_label", f"SELECT row_id, {_topic_label('topic')} AS label FROM (SELECT o_orderkey AS row_id, {TOPIC} AS topic FROM orders) o")
@@ -87,16 +107,23 @@ def _(t):
     return _topics(t).select("row_id", tx.topic_label(F.col("topic")).alias("label"))
 
 
-_G5_KEY = "row_id * 1000 + variant * 20 + tp"
+_G5_KEY = "(row_id * 1000 + variant * 20 + tp)"
+_G5_ALL = rules.EXPENSE_TEMPLATES + rules.PLACE_TEMPLATES
+
+
+def _g5_fixed(pairs, place: int, kind: str, shift: int) -> str:
+    return (f"SELECT o_orderkey * 1000 + {place} AS row_id, replace({_pick([x for x, _ in pairs], 'o_orderkey')}, '{{m}}', {_money(f'(o_orderkey + {shift})')}) AS text, "
+            f"{_pick([c for _, c in pairs], 'o_orderkey')} AS label, '{kind}' AS type, 1 AS is_money FROM orders")
 
 
-@query("g5_short_records", f"""WITH {SPELL}, e AS (SELECT {_G5_KEY} AS row_id, replace(replace({_lst(rules.EXPENSE_TEMPLATES)}[tp + 1], '{{t}}', spelling), '{{m}}', {_money(_G5_KEY)}) AS text,
-{_topic_label('topic')} AS label, 'expense' AS type FROM (SELECT *, unnest(range({len(rules.EXPENSE_TEMPLATES)})) AS tp FROM spell) z),
-i AS (SELECT o_orderkey * 1000 + 999 AS row_id, replace({_pick([x for x, _ in rules.INCOME_TEMPLATES], 'o_orderkey')}, '{{m}}', {_money('(o_orderkey + 500000)')}) AS text,
-{_pick([c for _, c in rules.INCOME_TEMPLATES], 'o_orderkey')} AS label, 'income' AS type FROM orders)
-SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM i) b WHERE length(text) BETWEEN 1 AND 72 QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1""")
+@query("g5_short_records", f"""WITH {SPELL}, z AS (SELECT *, unnest(range({len(_G5_ALL)})) AS tp FROM spell),
+e AS (SELECT {_G5_KEY} AS row_id, {_fill(_lst(_G5_ALL) + '[tp + 1]', t='spelling', m=_money(_G5_KEY), p=_pick(rules.SHORT_PLACES, '(row_id + variant)'))} AS text,
+{_short_label('topic')} AS label, 'expense' AS type, 1 AS is_money FROM z WHERE tp < {len(rules.EXPENSE_TEMPLATES)} OR (row_id + variant) % 3 = 0),
+b AS (SELECT row_id * 1000 + variant * 20 + 19 AS row_id, spelling AS text, {_short_label('topic')} AS label, 'expense' AS type, 0 AS is_money FROM spell WHERE (row_id + variant) % 17 = 0)
+SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL {_g5_fixed(rules.SHORT_TEMPLATES, 998, 'expense', 0)} UNION ALL {_g5_fixed(rules.INCOME_TEMPLATES, 999, 'income', 500000)}) y
+WHERE length(text) BETWEEN 1 AND 72 QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1""")
 def _(t):
-    return generate.short_records(_topics(t))
+    return generate.short_records(_short_topics(t))
 
 
 @query("g6_contrast_pairs", f"""SELECT row_id, concat(CASE k WHEN 0 THEN 'mua ' ELSE 'bán ' END, topic, ' ', a) AS text, CASE k WHEN 0 THEN {_topic_label('topic')} ELSE 'Business' END AS label,
@@ -121,18 +148,39 @@ def _(t):
     return rows.select("row_id", F.col("s")[0]["start"].alias("start"), F.col("s")[0]["end"].alias("end"))
 
 
-G9_BASE = "b AS (SELECT row_id, text, coalesce(CASE label WHEN 'Saving' THEN 'Savings' ELSE label END, 'Others') AS label, type FROM @U u WHERE row_id % 2 = 0)"
+G9_LABEL = "coalesce(CASE label WHEN 'Saving' THEN 'Savings' ELSE label END, 'Others')"
+G9_BASE = f"b AS (SELECT row_id, text, {G9_LABEL} AS label, type FROM @U u WHERE row_id % 2 = 0)"
+_G9_KEY = "(row_id * 16 + i + 1099511627776)"
+_INCOME_OF = "CASE label " + " ".join(f"WHEN '{c}' THEN {_lst([x for x, d in rules.INCOME_TEMPLATES if d == c])}" for c in sorted({c for _, c in rules.INCOME_TEMPLATES})) + " END"
+_INCOME_ALL = [x for x, _ in rules.INCOME_TEMPLATES]
 
 
 @query("g9_supplement", f"""WITH {G9_BASE}, c AS (SELECT label, count(*) AS n FROM b WHERE type IN ('expense', 'income') GROUP BY 1), m AS (SELECT quantile_cont(n, 0.5) AS med FROM c),
-w AS (SELECT label, least(greatest(2500, floor(med * 0.85)) - n, CASE label WHEN 'Others' THEN 3200 ELSE 1200 END) AS gap FROM c, m WHERE greatest(2500, floor(med * 0.85)) > n ORDER BY gap DESC LIMIT 20),
-p AS (SELECT row_id, {duck.strip_hash('text')} AS text, coalesce(CASE label WHEN 'Saving' THEN 'Savings' ELSE label END, 'Others') AS label FROM @U u WHERE row_id % 2 = 1),
+w AS (SELECT label, CASE WHEN label IN {duck.in_list(rules.INCOME_LABELS)} THEN 'income' ELSE 'expense' END AS wtype, CAST(least(greatest(2500, floor(med * 0.85)) - n, CASE label WHEN 'Others' THEN 3200 ELSE 1200 END) AS BIGINT) AS gap
+FROM c, m WHERE greatest(2500, floor(med * 0.85)) > n ORDER BY greatest(2500, floor(med * 0.85)) - n DESC, label LIMIT 20),
+p AS (SELECT row_id, {duck.strip_hash('text')} AS text, {G9_LABEL} AS label, type FROM @U u WHERE row_id % 2 = 1),
 f AS (SELECT * FROM p WHERE text NOT IN (SELECT trim(text) FROM b) QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY row_id) = 1),
-r AS (SELECT f.*, row_number() OVER (PARTITION BY f.label ORDER BY row_id) AS rn, gap FROM f JOIN w USING (label))
-SELECT row_id, text, label FROM r WHERE rn <= gap QUALIFY row_number() OVER (PARTITION BY {duck.mask('text')} ORDER BY row_id) = 1""")
+r AS (SELECT f.row_id, text, f.label, type FROM f JOIN w USING (label) QUALIFY row_number() OVER (PARTITION BY f.label ORDER BY row_id) <= gap),
+h AS (SELECT w.label, wtype, gap - coalesce(n, 0) AS gap FROM w LEFT JOIN (SELECT label, count(*) AS n FROM r GROUP BY 1) a USING (label) WHERE gap > coalesce(n, 0)),
+t AS (SELECT o_orderkey AS row_id, concat({SHORT_TOPIC}, ' ', o_orderkey % 500) AS topic FROM orders), tl AS (SELECT *, {_short_label('topic')} AS label FROM t),
+tk AS (SELECT tl.*, wtype, gap FROM tl JOIN h USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_id) <= gap),
+te AS (SELECT *, unnest(range({len(rules.EXPENSE_TEMPLATES)})) AS i FROM tk WHERE wtype = 'expense'),
+s1 AS (SELECT {_G9_KEY} AS row_id, {_fill(_lst(rules.EXPENSE_TEMPLATES) + '[i + 1]', t='topic', m=_pick(rules.BALANCE_AMOUNTS, _idx(_G9_KEY, 21)))} AS text, label, wtype AS type, gap FROM te),
+ti AS (SELECT label, gap, {_INCOME_OF} AS ts, unnest(range(2 * gap + 1)) AS i FROM h WHERE wtype = 'income' AND {_INCOME_OF} IS NOT NULL),
+s2 AS (SELECT i + 4398046511104 AS row_id, replace(ts[i % len(ts) + 1], '{{m}}', {_money('i')}) AS text, label, 'income' AS type, gap FROM ti),
+k AS (SELECT trim(text) AS text FROM b UNION SELECT trim(text) FROM r),
+s3 AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) z WHERE text NOT IN (SELECT text FROM k) QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1),
+s AS (SELECT row_id, text, label, type FROM s3 QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_id) <= gap),
+ig AS (SELECT least(greatest(0, CAST(floor(count(*) FILTER (type = 'expense') * 0.18) AS BIGINT) - count(*) FILTER (type = 'income')), 1500) AS gap FROM b),
+l1 AS (SELECT i + 8796093022208 AS row_id, replace({_pick(_INCOME_ALL, '(i + 77)')}, '{{m}}', {_money('(i + 77)')}) AS text, {_pick([c for _, c in rules.INCOME_TEMPLATES], '(i + 77)')} AS label, 'income' AS type FROM (SELECT unnest(range(3000)) AS i) z),
+l2 AS (SELECT * FROM l1 WHERE text NOT IN (SELECT text FROM k) AND text NOT IN (SELECT text FROM s) QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1),
+l AS (SELECT * FROM l2 QUALIFY row_number() OVER (ORDER BY row_id) <= (SELECT gap FROM ig))
+SELECT row_id, text, label, type FROM (SELECT * FROM r UNION ALL SELECT * FROM s UNION ALL SELECT * FROM l) y QUALIFY row_number() OVER (PARTITION BY {duck.mask('text')} ORDER BY row_id) = 1""")
 def _(t):
-    rows = t.U.withColumn("label", F.coalesce(F.when(F.col("label") == "Saving", "Savings").otherwise(F.col("label")), F.lit("Others")))
-    return generate.supplement(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1").select("row_id", "text", "label"))
+    rows = t.U.withColumn("label", F.expr(G9_LABEL))
+    topics = t.table("orders").selectExpr("o_orderkey AS row_id", f"concat({SHORT_TOPIC}, ' ', o_orderkey % 500) AS topic")
+    topics = topics.withColumn("label", tx.short_topic_label(F.col("topic")))
+    return generate.supplement(rows.filter("row_id % 2 = 0"), t.U.filter("row_id % 2 = 1").withColumn("label", F.coalesce("label", F.lit("Others"))), topics)
 
 
 @query("g10_balance_income", f"""WITH u AS (SELECT * FROM @U u), h AS (SELECT count(*) FILTER (type = 'income') AS n FROM u),
@@ -208,12 +256,6 @@ def _place(label: str, index: str) -> str:
     return "CASE " + " ".join(f"WHEN {label} IN {duck.in_list(of[k])} THEN {_pick(places, index)}" for k, places in rules.NOTE_PLACES.items()) + f" ELSE {_pick(_EVERY_PLACE, index)} END"
 
 
-def _fill(pattern: str, **values: str) -> str:
-    for name, value in values.items():
-        pattern = f"replace({pattern}, '{{{name}}}', {value})"
-    return pattern
-
-
 _SLOTS = "CASE label " + " ".join(f"WHEN '{c}' THEN {_lst(ps)}" for c, ps in rules.BUCKET_PATTERNS.items()) + " ELSE ['{t}: {m}'] END"
 _G17_TEXT = _fill("pattern", t="topic", v=_pick(rules.NOTE_VERBS, _idx("n", 11)), p=_place("label", _idx("n", 12)), m=_money("(" + _idx("n", 13) + " % 1000000)"))
 

@@ -379,12 +379,46 @@ EXPENSE_TEMPLATES = [
     "{t} {m}", "{m} cho {t}", "{t} hết {m}", "{t},{m}", "mua {t} {m}", "chi {t} {m}", "order {t} {m}",
     "trả {t} {m}", "đi {t} {m}", "{t} {m} nha", "{t} tầm {m}", "vừa {t} {m}", "{t} ~{m}", "spend {t} {m}",
 ]
+PLACE_TEMPLATES = ["mua {t} ở {p} {m}", "{t} {p} {m}", "order {t} {p} {m}", "{p}: {t} {m}", "quẹt {p} {t} {m}"]
+SHORT_PLACES = ["Grab", "GF", "ShopeeFood", "st", "chợ", "BHX", "Coopmart", "Tiki", "Lazada", "quán", "tiktok shop", "Momo"]
 INCOME_TEMPLATES = [
-    ("lg {m}", "Salary"), ("lương {m}", "Salary"), ("lương về {m}", "Salary"), ("nhận lương {m}", "Salary"),
-    ("thưởng {m}", "Bonus"), ("lì xì {m}", "Bonus"), ("mẹ cho {m}", "Bonus"), ("gia đình cho {m}", "Bonus"),
-    ("hoàn {m}", "Business"), ("refund {m}", "Business"), ("fl nhận {m}", "Business"), ("tip {m}", "Business"),
-    ("cổ tức {m}", "Investment"), ("lãi {m}", "Investment"),
+    ("lg {m}", "Salary"), ("lương {m}", "Salary"), ("lương về {m}", "Salary"), ("nhận lương {m}", "Salary"), ("thg {m}", "Bonus"),
+    ("thưởng {m}", "Bonus"), ("lì xì {m}", "Bonus"), ("{m} về tk", "Salary"), ("ck về {m}", "Business"), ("mẹ ck {m}", "Bonus"),
+    ("me cho {m}", "Bonus"), ("mẹ cho {m}", "Bonus"), ("gia đình cho {m}", "Bonus"), ("nhận {m}", "Business"), ("hoàn {m}", "Business"),
+    ("refund {m}", "Business"), ("được hoàn {m}", "Business"), ("fl nhận {m}", "Business"), ("cổ tức {m}", "Investment"),
+    ("lãi tk {m}", "Investment"), ("lãi {m}", "Investment"), ("tip {m}", "Business"), ("bán đồ cũ {m}", "Business"),
 ]
+SHORT_TEMPLATES = [
+    ("đi grab {m}", "Transport"), ("bắt grab {m}", "Transport"), ("book grab {m}", "Transport"), ("grab {m}", "Transport"), ("grb {m}", "Transport"),
+    ("ăn sáng {m}", "Food"), ("an sang {m}", "Food"), ("cf đen {m}", "Food"), ("cf sữa {m}", "Food"), ("cà phê sửa {m}", "Food"), ("ts {m}", "Food"),
+    ("phở {m}", "Food"), ("ăn vặt {m}", "Food"), ("điện {m}", "Housing"), ("net {m}", "Housing"), ("4g {m}", "Housing"), ("xăng {m}", "Transport"),
+]
+ABBREVIATIONS = {
+    "grab": ["grab", "grb", "di grab", "bắt grab", "book grab", "cuốc grab"],
+    "trà sữa": ["ts", "tra sua", "trà sữa"],
+    "cà phê": ["cf", "ca phe", "cafe", "cà phê"],
+    "phở": ["phở", "pho"],
+    "hủ tiếu": ["hủ tiếu", "hu tieu", "ht"],
+    "ăn sáng": ["ăn sáng", "an sang", "bk sáng"],
+    "ăn vặt": ["ăn vặt", "an vat", "snack"],
+    "siêu thị": ["st", "siêu thị", "sieu thi"],
+    "shopee": ["shopee", "shoppe", "spx"],
+    "tiền điện": ["điện", "tien dien", "evn"],
+    "tiền nước": ["nước", "tien nuoc"],
+    "xăng": ["xăng", "xang", "đổ xăng"],
+}
+SHORT_TOPIC_LABELS = [
+    ("grab", "Transport"), ("xăng", "Transport"), ("grabfood", "Food"), ("grab bike", "Transport"), ("tiền điện", "Housing"), ("tiền nước", "Housing"),
+    ("tiền internet", "Housing"), ("tiền wifi", "Housing"), ("tiền wif", "Housing"), ("tiền data", "Housing"), ("tiền 4g", "Housing"), ("gas", "Housing"),
+    ("netflix", "Entertainment"), ("spotify", "Entertainment"), ("xem phim", "Entertainment"), ("shopee", "Shopping"), ("shoppe", "Shopping"),
+    ("lazada", "Shopping"), ("tiktok", "Shopping"), ("spa", "Beauty"), ("nail", "Beauty"), ("cắt tóc", "Beauty"), ("mỹ phẩm", "Beauty"),
+    ("mua thuốc", "Health"), ("học phí", "Education"),
+]
+SHORT_FOOD_WORDS = [
+    "ăn", "phở", "bún", "cơm", "mì", "bánh", "trà", "sữa", "thịt", "cá", "tôm", "trứng", "chuối", "cam", "gạo", "vặt", "nui", "chả", "xoài", "ổi",
+]
+SHORT_FOOD_TOPICS = ["cà phê", "hủ tiếu"]
+SHORT_BEAUTY = ["spa", "nail", "tóc", "kem", "son", "mặt nạ"]
 BUDGET_CORES = [
     "gợi ý chi tiêu", "gợi ý tiết kiệm", "goi y chi tieu tuan nay", "đề xuất ngân sách tuần này",
 ]
