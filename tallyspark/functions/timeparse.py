@@ -39,39 +39,46 @@ def _int(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("int")
 
 
+def parsed_phrases(phrases: DataFrame) -> DataFrame:
+    """What a phrase (``_phrase``) says by itself, whatever the day: numbers of ranges, days back, first key word."""
+    text = F.col("_text")
+    rows = let(phrases, _text=fold(F.col("_phrase")))
+    word = first_match([
+        (text.rlike(r"\bhom nay\b"), "day"), (text.rlike(r"\bhom qua\b"), "yesterday"),
+        (text.rlike(r"\btuan truoc\b|\btuan vua roi\b"), "last_week"), (text.rlike(r"\btuan nay\b"), "week"),
+        (text.rlike(r"\bthang truoc\b"), "last_month"), (text.rlike(r"\bthang nay\b"), "month"),
+        (text.rlike(r"\bquy nay\b"), "quarter"), (_int(text, DAYS_BACK, 1).isNotNull(), "rolling"),
+        (text.rlike(r"\b7 ngay\b"), "rolling_7d"), (text.rlike(r"\b30 ngay\b"), "rolling_30d"),
+        (text.rlike(r"\bcuoi tuan\b"), "weekend"), (text.rlike(r"\bngay thuong\b"), "weekday"), (text.rlike(r"\bngay le\b"), "holiday"),
+        *[(text.rlike(p), name) for p, name, _ in WEEKDAYS],
+        (text.rlike(r"\bthang\b"), "month"), (text.rlike(r"\btuan\b"), "week"), (text.rlike(r"\bngay\b"), "day"),
+        (text.rlike(r"\bnam\b"), "year")])
+    return rows.select(
+        "_phrase", *[_int(text, DAY_RANGE, k).alias(f"_d{k}") for k in (1, 2, 3)], (F.regexp_extract(text, DAY_RANGE, 4) == "truoc").alias("_before"),
+        (~text.rlike("[0-9]{1,2}/[0-9]{1,2}")).alias("_plain"), *[_int(text, SLASH_RANGE, k).alias(f"_s{k}") for k in range(1, 7)],
+        _int(text, DAYS_BACK, 1).alias("_n"), word.alias("_word"))
+
+
 def with_time_range(df: DataFrame, phrase: Column, anchor: Column, out: str) -> DataFrame:
     """``out`` = struct(granularity, start, end, label) of dates; NULL when no rule matches.
 
-    The first matching rule is named in one step, its dates are computed in the next.
+    Patterns run once per distinct phrase; its numbers and key word are joined back (broadcast by Spark as long as the
+    phrases are few) and a row only adds its day. A range whose days do not exist leaves the turn to the next rule.
     """
-    text, today = F.col("_text"), F.col("_today")
-    rows = let(df, _text=fold(phrase), _today=anchor.cast("date"))
-    named = _int(text, DAY_RANGE, 3)
-    before = F.regexp_extract(text, DAY_RANGE, 4) == "truoc"
-    base = F.when(named.isNull() & before, F.date_sub(F.trunc(today, "month"), 1)).otherwise(today)
-    rows = let(rows, _y=F.year(base), _m=F.coalesce(named, F.month(base)), _n=_int(text, DAYS_BACK, 1))
-    days_range = F.when(~text.rlike("[0-9]{1,2}/[0-9]{1,2}"), F.struct(
-        _date(F.col("_y"), F.col("_m"), _int(text, DAY_RANGE, 1)).alias("a"),
-        _date(F.col("_y"), F.col("_m"), _int(text, DAY_RANGE, 2)).alias("b")))
+    today = F.col("_today")
+    rows = df.withColumns({"_phrase": phrase, "_today": anchor.cast("date")})
+    rows = rows.join(parsed_phrases(rows.select("_phrase").distinct()), "_phrase", "left")
+    base = F.when(F.col("_d3").isNull() & F.col("_before"), F.date_sub(F.trunc(today, "month"), 1)).otherwise(today)
+    rows = let(rows, _y=F.year(base), _m=F.coalesce("_d3", F.month(base)))
+    days_range = F.when(F.col("_plain"), F.struct(_date(F.col("_y"), F.col("_m"), F.col("_d1")).alias("a"), _date(F.col("_y"), F.col("_m"), F.col("_d2")).alias("b")))
     slash_range = F.struct(
-        _date(F.coalesce(_int(text, SLASH_RANGE, 3), F.year(today)), _int(text, SLASH_RANGE, 2), _int(text, SLASH_RANGE, 1)).alias("a"),
-        _date(F.coalesce(_int(text, SLASH_RANGE, 6), F.year(today)), _int(text, SLASH_RANGE, 5), _int(text, SLASH_RANGE, 4)).alias("b"))
+        _date(F.coalesce("_s3", F.year(today)), F.col("_s2"), F.col("_s1")).alias("a"), _date(F.coalesce("_s6", F.year(today)), F.col("_s5"), F.col("_s4")).alias("b"))
     rows = let(rows, _d=days_range, _s=slash_range)
 
     def both(r: str) -> Column:
         return F.col(f"{r}.a").isNotNull() & F.col(f"{r}.b").isNotNull()
 
-    rule = first_match([
-        (F.coalesce(both("_d"), F.lit(False)), "days"), (both("_s"), "slashes"),
-        (text.rlike(r"\bhom nay\b"), "day"), (text.rlike(r"\bhom qua\b"), "yesterday"),
-        (text.rlike(r"\btuan truoc\b|\btuan vua roi\b"), "last_week"), (text.rlike(r"\btuan nay\b"), "week"),
-        (text.rlike(r"\bthang truoc\b"), "last_month"), (text.rlike(r"\bthang nay\b"), "month"),
-        (text.rlike(r"\bquy nay\b"), "quarter"), (F.col("_n").isNotNull(), "rolling"),
-        (text.rlike(r"\b7 ngay\b"), "rolling_7d"), (text.rlike(r"\b30 ngay\b"), "rolling_30d"),
-        (text.rlike(r"\bcuoi tuan\b"), "weekend"), (text.rlike(r"\bngay thuong\b"), "weekday"), (text.rlike(r"\bngay le\b"), "holiday"),
-        *[(text.rlike(p), name) for p, name, _ in WEEKDAYS],
-        (text.rlike(r"\bthang\b"), "month"), (text.rlike(r"\btuan\b"), "week"), (text.rlike(r"\bngay\b"), "day"),
-        (text.rlike(r"\bnam\b"), "year")])
+    rule = first_match([(F.coalesce(both("_d"), F.lit(False)), "days"), (both("_s"), "slashes")], F.col("_word"))
     rows = let(rows, _rule=rule, _week=F.date_trunc("week", today).cast("date"), _month=F.trunc(today, "month"))
     week, month, back = F.col("_week"), F.col("_month"), F.greatest(F.col("_n") - 1, F.lit(0))
     days = {name: i for i, (_, name, _) in enumerate(WEEKDAYS)}
@@ -97,7 +104,8 @@ def with_time_range(df: DataFrame, phrase: Column, anchor: Column, out: str) ->
              .when(F.col("_rule") == "rolling", F.concat(count, F.lit(" ngày qua"))).otherwise(lookup(F.col("_rule"), LABELS)))
     value = F.struct(granularity.alias("granularity"), F.col("_start").alias("start"), F.col("_end").alias("end"), label.alias("label"))
     return rows.withColumn(out, F.when(F.col("_rule").isNotNull(), value)).drop(
-        "_text", "_today", "_y", "_m", "_d", "_s", "_n", "_rule", "_week", "_month", "_start", "_end")
+        "_phrase", "_today", "_y", "_m", "_d", "_s", "_n", "_rule", "_week", "_month", "_start", "_end", "_before", "_plain", "_word",
+        *[f"_d{k}" for k in (1, 2, 3)], *[f"_s{k}" for k in range(1, 7)])
 
 
 def period_label(r: Column) -> Column:

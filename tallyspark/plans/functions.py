@@ -132,10 +132,15 @@ def _(t):
     return timeparse.with_time_range(t.L, F.expr(PHRASE), F.col("ts"), "r").select("row_id", F.col("r.granularity").alias("granularity"), F.col("r.start").cast("string").alias("start"), F.col("r.end").cast("string").alias("end"))
 
 
-@query("f22_period_label", f"""SELECT row_id, concat('Tuần này (', CASE WHEN s = e THEN '' ELSE concat(strftime(s, '%d/%m'), ' - ') END, strftime(e, '%d/%m/%Y'), ')') AS label
-FROM ({RANGES}) x WHERE row_id % 17 = 3""")
+_LABEL_OF = "CASE " + " ".join(f"WHEN granularity = {duck.lit(k)} THEN {duck.lit(v)}" for k, v in timeparse.LABELS.items()) + (
+    " WHEN granularity = 'custom' THEN concat('Từ ', strftime(s, '%d/%m'), ' đến ', strftime(e, '%d/%m/%Y')) WHEN starts_with(granularity, 'rolling_') "
+    "THEN concat(regexp_extract(granularity, '[0-9]+'), ' ngày qua') END")
+
+
+@query("f22_period_label", f"""SELECT row_id, concat({_LABEL_OF}, ' (', CASE WHEN s = e THEN '' ELSE concat(strftime(s, '%d/%m'), ' - ') END, strftime(e, '%d/%m/%Y'), ')') AS label
+FROM ({RANGES}) x WHERE granularity IS NOT NULL""")
 def _(t):
-    rows = timeparse.with_time_range(t.L.filter("row_id % 17 = 3"), F.expr(PHRASE), F.col("ts"), "r")
+    rows = timeparse.with_time_range(t.L, F.expr(PHRASE), F.col("ts"), "r").filter("r IS NOT NULL")
     return rows.select("row_id", timeparse.period_label(F.col("r")).alias("label"))
 
 

@@ -81,10 +81,11 @@ ib AS (SELECT mb.*, regexp_matches(text, '\\b[0-9]{{1,3}}(?:[.,][0-9]{{3}})+\\b|
        FROM mb JOIN iw USING (receipt_id)),
 ip AS (SELECT receipt_id, (x1 + x2) / 2.0 AS px, (y1 + y2) / 2.0 AS py, CAST(replace(text, '.', '') AS BIGINT) AS amount
        FROM ib WHERE is_price),
-im AS (SELECT receipt_id, y1 AS ny1, (x1 + x2) / 2.0 AS nx, (y1 + y2) / 2.0 AS ny, y2 - y1 AS h, {name(_LEAD)} AS name
-       FROM ib WHERE NOT is_price),
+il AS (SELECT text, {_LEAD} AS lead FROM (SELECT DISTINCT text FROM ib WHERE NOT is_price) z), iq AS (SELECT lead, {name('lead')} AS name FROM (SELECT DISTINCT lead FROM il) z),
+im AS (SELECT receipt_id, y1 AS ny1, (x1 + x2) / 2.0 AS nx, (y1 + y2) / 2.0 AS ny, y2 - y1 AS h, name
+       FROM ib JOIN il USING (text) JOIN iq USING (lead) WHERE NOT is_price AND name IS NOT NULL),
 items AS (SELECT im.receipt_id, ny1, name, coalesce(amount, 0) AS price FROM im
-          LEFT JOIN ip ON im.receipt_id = ip.receipt_id AND px > nx AND abs(py - ny) < 1.5 * h WHERE name IS NOT NULL)"""
+          LEFT JOIN ip ON im.receipt_id = ip.receipt_id AND px > nx AND abs(py - ny) < 1.5 * h)"""
 TOTALS = f""",
 ts AS (SELECT tl.*, {score('line')} AS score, {amounts('line')} AS am, max(line_no) OVER (PARTITION BY receipt_id) AS n FROM tl),
 tc AS (SELECT *, coalesce(list_max([v for v in am if len([u for u in am if u = v]) >= 2]), list_max(am)) AS picked FROM ts),
@@ -435,7 +436,7 @@ def _item_cat(x: str) -> tuple[str, str]:
 
 CAT, CONF = _item_cat("name")
 VOTES = f""",
-ic AS (SELECT *, {CAT} AS category, {CONF} AS confidence FROM items),
+cn AS (SELECT name, {CAT} AS category, {CONF} AS confidence FROM (SELECT DISTINCT name FROM items) z), ic AS (SELECT items.*, category, confidence FROM items JOIN cn USING (name)),
 iv AS (SELECT receipt_id, CASE WHEN confidence >= 0.6 THEN category ELSE 'Others' END AS category, CAST(sum(price) AS BIGINT) AS amount,
        sum(price * confidence) AS vote, min(ny1) AS fy FROM ic GROUP BY 1, 2),
 vo AS (SELECT receipt_id, first(category ORDER BY vote DESC, fy) AS top, max(vote) AS best, sum(vote) AS al, CAST(sum(amount) AS BIGINT) AS amount FROM iv GROUP BY 1),
