@@ -338,10 +338,9 @@ def _(t):
 
 
 # --- brands, merchants, lexicon --------------------------------------------------------------------
-@query("j7_brand_category", f"""SELECT receipt_id, {cascade(duck.fold_marks('text'), [(c, p) for c, p in rules.BRANDS])} AS category
-FROM @R r WHERE box_id = 0""")
+@query("j7_brand_category", f"""SELECT receipt_id, box_id, {cascade(duck.fold_marks('text'), [(c, p) for c, p in rules.BRANDS])} AS category FROM @R r""")
 def _(t):
-    return t.R.filter("box_id = 0").select("receipt_id", ln.brand_category(F.col("text")).alias("category"))
+    return t.R.select("receipt_id", "box_id", ln.brand_category(F.col("text")).alias("category"))
 
 
 PLAUSIBLE = f"""NOT {duck.rx('line', rules.MERCHANT_SKIP)} AND NOT regexp_matches(line, '^[0-9]+$') AND length(line) BETWEEN 3 AND 50
@@ -718,9 +717,9 @@ def _(t):
 
 
 # --- receipt functions on boxes --------------------------------------------------------------------
-@query("f13_parse_amount", "SELECT receipt_id, box_id, TRY_CAST(replace(text, '.', '') AS BIGINT) AS amount FROM @R r WHERE box_id % 10 = 1 AND box_id > 2")
+@query("f13_parse_amount", "SELECT receipt_id, box_id, TRY_CAST(replace(text, '.', '') AS BIGINT) AS amount FROM @R r")
 def _(t):
-    return t.R.filter("box_id % 10 = 1 AND box_id > 2").select("receipt_id", "box_id", money.parse_receipt_amount(F.col("text")).alias("amount"))
+    return t.R.select("receipt_id", "box_id", money.parse_receipt_amount(F.col("text")).alias("amount"))
 
 
 NOISE = """concat(CASE box_id % 3 WHEN 0 THEN 'so HD ' ELSE '' END, CASE box_id % 4 WHEN 0 THEN '900' WHEN 1 THEN '12345678' WHEN 2 THEN '60.000.000' ELSE '1234567890' END)"""
@@ -763,19 +762,19 @@ def _(t):
 
 
 @query("f40_bill_label", f"""SELECT receipt_id, CASE WHEN label IN {duck.in_list(rules.RECEIPT_CATEGORIES)} THEN label ELSE 'Others' END AS bill_category,
-TRY_CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT) AS total_cost FROM (SELECT receipt_id, text,
-CASE receipt_id % 3 WHEN 0 THEN 'Food' WHEN 1 THEN 'food' ELSE 'Salary' END AS label FROM @R r WHERE box_id = 1001) x""")
+TRY_CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT) AS total_cost, box_id FROM (SELECT receipt_id, box_id, text,
+CASE receipt_id % 3 WHEN 0 THEN 'Food' WHEN 1 THEN 'food' ELSE 'Salary' END AS label FROM @R r) x""")
 def _(t):
     label = F.expr("CASE receipt_id % 3 WHEN 0 THEN 'Food' WHEN 1 THEN 'food' ELSE 'Salary' END")
-    return t.R.filter("box_id = 1001").select("receipt_id", ln.bill_label(label, F.col("text")).alias("b")).select("receipt_id", "b.*")
+    return t.R.select("receipt_id", "box_id", ln.bill_label(label, F.col("text")).alias("b")).select("receipt_id", "box_id", "b.*")
 
 
 ALIAS_LABEL = "CASE receipt_id % 6 WHEN 0 THEN 'Food' WHEN 1 THEN 'Ăn uống' WHEN 2 THEN 'linh tinh khac' WHEN 3 THEN '' WHEN 4 THEN 'zzz' ELSE 'mua sắm' END"
 
 
-@query("f45_canonical_category", f"SELECT receipt_id, CASE receipt_id % 6 WHEN 0 THEN 'Food' WHEN 1 THEN 'Food' WHEN 5 THEN 'Shopping' ELSE 'Others' END AS category FROM @R r WHERE box_id = 0")
+@query("f45_canonical_category", f"SELECT receipt_id, box_id, CASE receipt_id % 6 WHEN 0 THEN 'Food' WHEN 1 THEN 'Food' WHEN 5 THEN 'Shopping' ELSE 'Others' END AS category FROM @R r")
 def _(t):
-    return t.R.filter("box_id = 0").select("receipt_id", ln.canonical_category(F.expr(ALIAS_LABEL)).alias("category"))
+    return t.R.select("receipt_id", "box_id", ln.canonical_category(F.expr(ALIAS_LABEL)).alias("category"))
 
 
 _SN = "regexp_replace(lower(trim(name)), '[^\\pL\\pN_\\s+]', '', 'g')"
