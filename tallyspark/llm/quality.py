@@ -179,13 +179,36 @@ def mcd(rows: DataFrame, core: float = CORE, steps: int = MAX_STEPS) -> DataFram
     return _reweighted(rows, model)
 
 
+#: Names of the pools beyond one language; strata are named by JSON objects.
+_REST, _CORPUS = "small languages", "corpus"
+
+
+def _pools(rows: DataFrame, min_rows: int) -> DataFrame:
+    """``own``, ``key``: the stratum that each language and source is judged in, from the smallest that is large enough.
+
+    Counts have one row per language and source. Without ``min_rows`` rows in all there is no key.
+    """
+    counts = rows.groupBy("own", "pool").agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") < min_rows
+    of_pool = counts.filter(small).groupBy("pool").agg(F.sum("n").alias("in_pool"))
+    counts = counts.join(of_pool, "pool", "left")
+    rest = counts.filter(small & (F.col("in_pool") < min_rows)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_rest"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_all"))
+    counts = counts.join(F.broadcast(rest)).join(F.broadcast(total))  # one row each
+    key = (F.when(~small, F.col("own")).when(F.col("in_pool") >= min_rows, F.concat(F.lit("pool "), "pool"))
+           .when(F.col("in_rest") >= min_rows, F.lit(_REST)).when(F.col("in_all") >= min_rows, F.lit(_CORPUS)))
+    return counts.select("own", key.alias("key"))
+
+
 def judged(docs: DataFrame, min_rows: int = MIN_ROWS, core: float = CORE, reject: float = REJECT) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``distance`` (squared, null without estimate) and ``kept`` of every row.
 
     Base rules: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEATED`` per cent of the words in repeated
     windows. Rows that pass them are held against the estimate of their language and source, or, where that stratum
-    has fewer than ``min_rows`` rows, of all such small strata of the language; strata that stay too small reject
-    nothing. Estimates come from all rows that pass the base rules.
+    has fewer than ``min_rows`` rows, of all such small strata of the language; languages that stay below it are one
+    pool, and if that is small as well its rows are held against the whole corpus. So every such row has a distance as
+    soon as ``min_rows`` rows pass the base rules. Estimates come from all rows that pass the base rules; a stratum that
+    has not settled after the last step keeps the estimate of that step.
 
     Null text: no words, fails the base rules. Null language or source: a stratum of its own. Repeated rows and ids
     are judged row by row. Other columns are ignored. An empty table gives an empty result.
@@ -196,11 +219,13 @@ def judged(docs: DataFrame, min_rows: int = MIN_ROWS, core: float = CORE, reject
     stats = stats.select("*", failed.alias("base_failed"), *vector,
                          F.to_json(F.struct("lang", "source")).alias("own"), F.to_json(F.struct("lang")).alias("pool"))
     stats = written(stats, "statistics")
-    counts = stats.filter(~F.col("base_failed")).groupBy("own").agg(F.count(F.lit(1)).alias("_n"))
-    large = written(counts.filter(F.col("_n") >= min_rows).select("own", F.col("own").alias("key")), "strata")
-    stats = stats.join(bounded_broadcast(large), "own", "left").withColumn("key", F.coalesce("key", F.concat(F.lit("pool "), "pool")))
-    fitted = stats.filter(~F.col("base_failed")).select("key", *_X)
-    model = mcd(fitted, core).filter(F.col("rows") >= F.lit(min_rows * core)).select("key", "mean", "weight")
+    keys = written(_pools(stats.filter(~F.col("base_failed")), min_rows), "strata")
+    stats = stats.join(bounded_broadcast(keys), "own", "left")
+    passed = stats.filter(~F.col("base_failed"))
+    fitted = passed.select("key", *_X).filter(F.col("key") != _CORPUS)
+    if keys.filter(F.col("key") == _CORPUS).head() is not None:
+        fitted = fitted.union(passed.select(F.lit(_CORPUS), *_X))
+    model = mcd(fitted, core).select("key", "mean", "weight")
     limit = reject * chi2_quantile(0.999, P)
     seen = stats.join(bounded_broadcast(written(model, "mcd-used")), "key", "left")
     distance = F.when(F.col("mean").isNotNull(), _distance())

@@ -62,7 +62,51 @@ def test_outliers_are_found_and_clean_rows_kept(spark):
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_rows=100).collect()}
     assert not any(got[1000 + i].kept for i in range(40))
     assert sum(got[i].kept for i in range(400)) >= 398
-    assert all(got[2000 + i].kept and got[2000 + i].distance is None for i in range(3))
+    assert all(got[2000 + i].kept and got[2000 + i].distance is not None for i in range(3))  # judged in the whole corpus
+
+
+def test_every_passing_row_is_judged(spark):
+    """Small strata are pooled by language, then over languages, then judged in the corpus; below that there is no estimate."""
+    rows = [(i, words(i, 60 + i % 50), "en", "a") for i in range(120)]
+    rows += [(1000 + i, words(1000 + i, 60 + i % 50), "de", f"s{i % 4}") for i in range(120)]
+    rows += [(2000 + i, words(2000 + i, 60 + i % 50), f"l{i % 8}", None) for i in range(160)]
+    rows += [(3000, " ".join(w + "###" for w in words(7, 80).split()), "l1", None), (3001, " ".join(w + "###" for w in words(8, 80).split()), "de", "s1")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.judged(data, min_rows=100).collect()
+    assert all(r.distance is not None for r in got) and {r.doc_id for r in got if not r.kept} >= {3000, 3001}
+    assert sum(r.kept for r in got) >= 392
+    few = quality.judged(data.filter("doc_id < 1000 OR doc_id >= 3000"), min_rows=121).collect()
+    assert all(r.distance is not None for r in few)
+    assert all(r.distance is None and r.kept for r in quality.judged(data.filter("doc_id < 90"), min_rows=100).collect())
+
+
+def mcd_by_search(x, core):
+    """Plain minimum-determinant search: concentration steps from many random starts, then the consistency factor."""
+    rng, best = np.random.default_rng(0), (np.inf, None, None)
+    h = int(np.ceil(core * len(x)))
+    for _ in range(60):
+        at = rng.choice(len(x), x.shape[1] + 1, replace=False)
+        for _ in range(30):
+            mean, cov = x[at].mean(axis=0), np.cov(x[at].T, bias=True) + np.eye(x.shape[1]) * 1e-9
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            at = np.argsort(d)[:h]
+        det = np.linalg.slogdet(np.cov(x[at].T, bias=True))[1]
+        if det < best[0]:
+            best = (det, x[at].mean(axis=0), at)
+    return best
+
+
+def test_estimate_against_plain_search(spark):
+    """The core's center lies where a search over random starts finds it, away from a fifth of gross outliers."""
+    rng = np.random.default_rng(5)
+    x = np.rint(rng.standard_normal((300, quality.P)) @ np.diag(np.linspace(300, 900, quality.P)) + 5000).astype(int)
+    x[:60] += 6000
+    names = [f"x{i}" for i in range(quality.P)]
+    data = spark.createDataFrame([("k", *map(int, r)) for r in x], "key string, " + ", ".join(f"{n} long" for n in names))
+    got = quality.mcd(data).collect()[0]
+    _, center, at = mcd_by_search(x.astype(float), quality.CORE)
+    assert not set(at.tolist()) & set(range(60))
+    assert np.abs(np.array(got["mean"]) - center).max() <= 0.35 * 900
 
 
 def test_chi_square_quantile():
