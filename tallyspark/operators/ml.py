@@ -1,4 +1,4 @@
-"""Models on Spark ML (M1-M4, M9) and routing by confidence (M7)."""
+"""Models on Spark ML (M1-M4) and routing by confidence (M7)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions import money
 from tallyspark.functions import text as tx
 
 # Model parameters are bounded by vocabulary size x classes, whatever the number of rows.
@@ -89,24 +88,3 @@ def review_route(df: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Low or missing confidence goes to review."""
     low = F.coalesce(F.col("confidence") < threshold, F.lit(True))
     return df.withColumn("route", F.when(low, "review").otherwise("accept"))
-
-
-def understand(rows: DataFrame, intent_model: PipelineModel, category_model: PipelineModel, corrections: DataFrame | None = None) -> DataFrame:
-    """Result row per utterance: intent, amounts, content, category.
-
-    The category of the whole sentence goes before the category of its content where they differ; a correction
-    (row_id, category_code) goes before both.
-    """
-    text = F.col("text")
-    staged = predict(intent_model, rows, text, "intent").withColumnRenamed("confidence", "intent_confidence").drop("distribution")
-    staged = tx.let(staged, amounts=money.extract_amounts(text), content=money.clean_content(text))
-    staged = predict(category_model, staged, tx.clean_category_text(text), "_sentence").drop("confidence")
-    staged = predict(category_model, staged, F.col("content"), "_span").drop("confidence")
-    if corrections is None:
-        staged = staged.withColumn("_fix", F.lit(None).cast("string"))
-    else:
-        staged = staged.join(corrections.select("row_id", F.col("category_code").alias("_fix")), "row_id", "left")
-    category = F.coalesce("_fix", F.when(F.lower("_sentence") != F.lower("_span"), F.col("_sentence")), "_span", "_sentence")
-    record = F.col("intent") == "Record"
-    return staged.select("row_id", "intent", "intent_confidence", F.when(record, F.get("amounts", F.lit(0))).alias("amount"),
-                         "content", F.when(record, category).alias("category"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tallyspark import rules, schemas
 from tallyspark.functions import text as tx
-from tallyspark.operators import calibrated, evaluate, ml, sample, slots
+from tallyspark.operators import calibrated, evaluate, ml, sample, similarity, slots, understand
 from tallyspark.operators.ordering import keep_first
 from tallyspark.plans import duck
 from tallyspark.plans import receipts as rq
+from tallyspark.plans.functions import amounts_sql
 from tallyspark.plans.metrics import AVERAGES, HIER, class_sql
 from tallyspark.plans.registry import ORACLE, query
 from tallyspark.session import scratch
@@ -317,7 +318,54 @@ def _(t):
 
 @query("m9_understand")
 def _(t):
-    intents = ml.fit_text_classifier(_intents(t), F.col("text"), "intent", 2000, iterations=10)
-    categories = ml.fit_text_classifier(_category_rows(t), tx.clean_category_text(F.col("text")), "label", 2000, iterations=10)
-    return ml.understand(t.U.select("row_id", "text"), intents, categories)
-
+    spend = t.U.withColumns({"user_id": F.col("row_id") % 50, "item_spans": F.split("text", " "), "amount_span": F.lit(None).cast("string")})
+    asked = t.A.select((-F.col("row_id")).alias("row_id"), "text", (F.col("row_id") % 50).alias("user_id"), F.lit(None).cast("array<string>").alias("item_spans"),
+                       F.regexp_extract(F.lower("text"), "[0-9]+k$", 0).alias("amount_span"))
+    rows = spend.select(*asked.columns).unionByName(asked).withColumn("ts", F.lit("1998-08-02 10:00:00"))
+    fixes = t.U.filter("row_id % 40 = 0").select(
+        F.col("row_id").alias("correction_id"), (F.col("row_id") % 50).alias("user_id"), similarity.normal_text(F.col("text")).alias("text"),
+        F.expr("CASE row_id % 3 WHEN 0 THEN 'log' WHEN 1 THEN 'system' END").alias("intent"), F.expr("CASE WHEN row_id % 80 = 0 THEN 'cat_food' END").alias("category_code"),
+        F.expr("CASE WHEN row_id % 7 = 0 THEN 'thu' END").alias("record_type"))
+    fit = lambda data, text, label: ml.fit_text_classifier(data, text, label, 2000, iterations=8)
+    words = tx.clean_category_text(F.col("text"))
+    models = understand.Models(
+        fit(_intents(t), F.col("text"), "intent"), fit(t.U.filter("type IN ('expense', 'income')"), words, "type"), fit(_category_rows(t), words, "label"),
+        fit(_slot_rows(t), F.col("text"), "action_type"), slots.fit_slots(_slot_rows(t), iterations=15), similarity.gram_weights(t.U, F.col("text")))
+    found = understand.understand(rows, models, fixes)
+    return found.select("row_id", "intent", "intent_confidence", "intent_backend", "clean_content", "amount_spent", "record_type", "record_type_backend", "income_type",
+                        "item", "category", "category_backend", "category_ner", "category_agreement", "action_type", "action_param", "multi_record_task",
+                        F.size("multi_records").alias("n_records"), F.col("action_details.target").alias("target"), F.col("action_details.value").alias("value"),
+                        F.col("time_range.granularity").alias("granularity"))
+
+
+M9_SAID = {
+    "intent_pred": "CASE row_id % 5 WHEN 0 THEN 'Action' WHEN 1 THEN 'Chitchat' ELSE 'Record' END", "intent_prob": "0.5 + (row_id % 4) * 0.125",
+    "record_type_pred": "CASE row_id % 7 WHEN 0 THEN 'income' WHEN 1 THEN 'Income' WHEN 2 THEN NULL ELSE 'expense' END",
+    "category_pred": "CASE row_id % 6 WHEN 0 THEN 'Salary' WHEN 1 THEN NULL WHEN 2 THEN 'food' ELSE 'Food' END",
+    "category_item": "CASE row_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Bonus' ELSE 'Food' END", "item": "CASE WHEN row_id % 4 > 0 THEN 'gạo' END",
+    "action_type_pred": "CASE WHEN row_id % 2 = 0 THEN 'SET_LIMIT' END", "match_type": "CASE row_id % 9 WHEN 0 THEN 'exact' WHEN 1 THEN 'similarity' END",
+    "match_score": "CASE row_id % 9 WHEN 0 THEN 1.0 WHEN 1 THEN 0.875 END",
+    "match_intent": "CASE WHEN row_id % 9 < 2 THEN CASE row_id % 4 WHEN 0 THEN 'log' WHEN 1 THEN 'system' WHEN 2 THEN '' ELSE 'gì đó' END END",
+    "match_category": "CASE WHEN row_id % 9 < 2 AND row_id % 5 < 3 THEN 'Business' END",
+    "match_record_type": "CASE WHEN row_id % 9 < 2 THEN CASE row_id % 3 WHEN 0 THEN ' Thu' WHEN 1 THEN 'spending' END END",
+}
+_M9_CASTS = {"intent_prob": "DOUBLE", "match_score": "DOUBLE"}
+_M9_SAID = ", ".join(f"CAST({x} AS {_M9_CASTS[c]}) AS {c}" if c in _M9_CASTS else f"{x} AS {c}" for c, x in M9_SAID.items())
+
+
+@query("m9_rule_fields", f"""WITH a AS ({amounts_sql('@U u', 'text', 'row_id, text')}), s AS (SELECT *, {_M9_SAID} FROM a),
+i AS (SELECT *, CASE WHEN match_type IS NOT NULL AND coalesce(match_intent, '') <> '' THEN {duck.canon_intent('match_intent', 'Record')} END AS fixed,
+CASE WHEN match_record_type IS NOT NULL AND match_record_type <> '' THEN {duck.case_map('lower(trim(match_record_type))', rules.TYPE_ALIASES, 'match_record_type')}
+WHEN lower(record_type_pred) = 'income' THEN 'Income' WHEN record_type_pred IS NOT NULL THEN 'Expense' END AS kind, coalesce(nullif(match_category, ''), category_pred) AS raw FROM s),
+j AS (SELECT *, coalesce(fixed, intent_pred) AS intent, CASE WHEN raw IS NOT NULL AND category_item IS NOT NULL AND lower(raw) <> lower(category_item) THEN raw ELSE coalesce(category_item, raw) END AS cat FROM i)
+SELECT row_id, intent, CASE WHEN fixed IS NOT NULL THEN match_score ELSE intent_prob END AS intent_confidence, CASE WHEN fixed IS NOT NULL THEN 'user_' || match_type ELSE 'tfidf' END AS intent_backend,
+CASE WHEN intent = 'Record' THEN CAST(am[1] AS BIGINT) END AS amount_spent, CASE WHEN intent = 'Record' THEN kind END AS record_type,
+CASE WHEN intent = 'Record' THEN CASE WHEN nullif(match_record_type, '') IS NOT NULL THEN 'user_' || match_type ELSE 'tfidf' END END AS record_type_backend,
+CASE WHEN intent = 'Record' AND kind = 'Income' AND lower(cat) IN ('salary', 'bonus', 'investment', 'business') THEN lower(cat) END AS income_type,
+CASE WHEN intent = 'Record' THEN item END AS item, CASE WHEN intent = 'Record' THEN cat END AS category,
+CASE WHEN intent = 'Record' THEN CASE WHEN nullif(match_category, '') IS NOT NULL THEN 'user_' || match_type ELSE 'tfidf' END END AS category_backend,
+CASE WHEN intent = 'Record' THEN category_item END AS category_ner, CASE WHEN intent = 'Record' THEN lower(cat) = lower(category_item) END AS category_agreement,
+CASE WHEN intent = 'Action' THEN action_type_pred END AS action_type, CASE WHEN intent = 'Action' THEN CAST(am[1] AS BIGINT) END AS action_param FROM j""")
+def _(t):
+    said = t.U.select("row_id", "text", *[F.expr(f"CAST({x} AS {_M9_CASTS.get(c, 'STRING')})").alias(c) for c, x in M9_SAID.items()])
+    return understand.decided(said).drop("text", "clean_content")
