@@ -16,6 +16,7 @@ from tallyspark.operators.baseline import longest_span, multi_records
 from tallyspark.operators.curate import canon_intent
 from tallyspark.operators.ml import predict
 from tallyspark.operators.similarity import GramWeights, similar_corrections
+from tallyspark.session import scratch
 
 INCOME_TYPES = ["salary", "bonus", "investment", "business"]
 #: Columns that the rules read: what the models and the user's correction say.
@@ -39,6 +40,13 @@ def _label(model: PipelineModel, rows: DataFrame, text: Column, out: str) -> Dat
     return predict(model, rows, text, out).drop("confidence", "distribution")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def predicted(rows: DataFrame, models: Models, corrections: DataFrame | None = None) -> DataFrame:
     """``rows`` (row_id, user_id, text, item_spans) with the ``PREDICTED`` columns, ``item`` and without spans.
 
@@ -97,8 +105,10 @@ def understand(rows: DataFrame, models: Models, corrections: DataFrame | None =
 
     Beside the fields of ``decided``: ``multi_records`` and ``multi_record_task`` of records with several amounts, each with
     its own category and type, and ``action_details`` and ``time_range`` (from the time slot, else the text) of actions.
+    What the models say and what is decided is written once; three branches read it.
     """
-    out = decided(predicted(rows.select("row_id", "user_id", "text", "item_spans"), models, corrections))
+    said = _kept(predicted(rows.select("row_id", "user_id", "text", "item_spans"), models, corrections), "predicted")
+    out = _kept(decided(said), "decided")
     parts = multi_records(out.filter("intent = 'Record'").select("row_id", "text"))
     parts = _label(models.category, parts, tx.clean_category_text(F.col("segment")), "category")
     parts = _label(models.record_type, parts, tx.clean_category_text(F.col("segment")), "_kind")

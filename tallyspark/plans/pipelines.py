@@ -326,7 +326,7 @@ def _(t):
         F.col("row_id").alias("correction_id"), (F.col("row_id") % 50).alias("user_id"), similarity.normal_text(F.col("text")).alias("text"),
         F.expr("CASE row_id % 3 WHEN 0 THEN 'log' WHEN 1 THEN 'system' END").alias("intent"), F.expr("CASE WHEN row_id % 80 = 0 THEN 'cat_food' END").alias("category_code"),
         F.expr("CASE WHEN row_id % 7 = 0 THEN 'thu' END").alias("record_type"))
-    fit = lambda data, text, label: ml.fit_text_classifier(data, text, label, 2000, iterations=8)
+    fit = lambda data, text, label: ml.fit_text_classifier(data, text, label, 2000, iterations=5)
     words = tx.clean_category_text(F.col("text"))
     models = understand.Models(
         fit(_intents(t), F.col("text"), "intent"), fit(t.U.filter("type IN ('expense', 'income')"), words, "type"), fit(_category_rows(t), words, "label"),
