@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tallyspark.operators import calibrated, slots
+from tallyspark.operators import calibrated, slots, understand
 
 VECTORS = "vec_id LONG, embedding ARRAY<FLOAT>, label INT"
 
@@ -143,3 +143,23 @@ def test_slots_without_training_rows(spark):
     data = spark.createDataFrame([(1, "đặt hạn mức 50k", "SET_LIMIT", "50k"), (2, "đặt hạn mức", "SET_LIMIT", None)], "row_id LONG, text STRING, action_type STRING, amount_span STRING")
     got = {r.row_id: r.value for r in slots.predict_slots(data, model).collect()}
     assert got == {1: "50000", 2: None}
+
+
+SAID = "row_id LONG, text STRING, item STRING, intent_pred STRING, intent_prob DOUBLE, record_type_pred STRING, category_pred STRING, category_item STRING, action_type_pred STRING, match_type STRING, match_score DOUBLE, match_intent STRING, match_category STRING, match_record_type STRING"
+
+
+def test_corrections_go_before_models(spark):
+    rows = [(1, "mua gạo 50k", "gạo", "Record", 0.9, "expense", "Food", "Essentials", None, None, None, None, None, None),
+            (2, "lương về 5tr", "lương", "Record", 0.8, "income", "Salary", "SALARY", None, None, None, None, None, None),
+            (3, "gạo 20k", "gạo", "Chitchat", 0.7, "expense", "Food", None, None, "similarity", 0.9, "log", "Business", "thu"),
+            (4, "đặt hạn mức 500k", None, "Action", 0.6, "expense", "Food", None, "SET_LIMIT", None, None, None, None, None),
+            (5, "chào", None, "Record", 0.6, None, None, None, None, "exact", 1.0, "chat", None, None),
+            (6, None, None, "Record", 0.5, None, None, "Food", None, "exact", 1.0, "", "", "")]
+    got = {r.row_id: r for r in understand.decided(spark.createDataFrame(rows, SAID)).collect()}
+    assert (got[1].category, got[1].category_agreement, got[1].amount_spent, got[1].record_type, got[1].income_type) == ("Food", False, 50_000, "Expense", None)
+    assert (got[2].category, got[2].category_agreement, got[2].income_type, got[2].amount_spent) == ("SALARY", True, "salary", 5_000_000)
+    assert (got[3].intent, got[3].intent_backend, got[3].intent_confidence, got[3].category, got[3].category_backend, got[3].record_type, got[3].income_type) == (
+        "Record", "user_similarity", 0.9, "Business", "user_similarity", "Income", "business")
+    assert (got[4].action_type, got[4].action_param, got[4].category, got[4].amount_spent) == ("SET_LIMIT", 500_000, None, None)
+    assert (got[5].intent, got[5].intent_backend, got[5].category) == ("Chitchat", "user_exact", None)
+    assert (got[6].intent, got[6].intent_backend, got[6].category, got[6].category_agreement, got[6].record_type) == ("Record", "tfidf", "Food", True, None)
