@@ -63,7 +63,8 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
     Null or blank text: empty content, one group. Null ids lose ties and get ``keep_id`` null only if all ids of the
     group are null; ``kept`` compares null-safely. Repeated rows of the winner's id are all marked kept, ``winners``
-    has one row for them. Other columns are ignored. An empty table gives an empty result.
+    has one row for them. A text of any length is compared whole; its content travels as one value. Other columns are
+    ignored. An empty table gives an empty result.
     """
     best = winners(docs, salts, digest).select(F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size")
     rows = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))

@@ -69,7 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
     Null text: size 0, taken 0. A null source is a source of its own, last in order. Null ids are drawn as one id.
     Repeated rows are dealt one after the other; rows of one id and size are interchangeable. A source of size 0 takes
-    nothing. Other columns are ignored. An empty table gives an empty result.
+    nothing. A text of any length counts with all its words and may be taken in part. Other columns are ignored. An empty
+    table gives an empty result.
     """
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))

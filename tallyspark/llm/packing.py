@@ -82,7 +82,8 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
     with the task's number; they follow from the split of the input, so a repeated task gives the same rows.
 
     Null or empty text: the end id alone. Null and repeated ids are allowed, each row is packed for itself. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. A text of any length is cut into as many whole windows as it fills; of rests of one length the
+    later one of the task is taken first. An empty table gives an empty result.
     """
     longest = tiers[0]
 

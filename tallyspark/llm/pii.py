@@ -143,8 +143,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     added as a span ``term`` (to be generalised) or ``drop`` (to be removed); see ``revealing_terms``. Base spans always
     stay, and no added span touches one. ``redacted`` writes the spans into the text.
 
-    Null text: no spans. Rows are told apart by their place in the scan, so null and repeated ids are no matter. Other
-    columns are ignored. An empty table gives an empty result. Python is not used.
+    Null text: no spans. Rows are told apart by their place in the scan, so null and repeated ids are no matter. A text of
+    any length is searched whole; patterns run as loops, so long chains of short words cost no stack. Other columns are
+    ignored. An empty table gives an empty result. Python is not used.
     """
     text = F.col("text")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(base_spans(text))).alias("base"), text)

@@ -211,7 +211,8 @@ def judged(docs: DataFrame, min_rows: int = MIN_ROWS, core: float = CORE, reject
     has not settled after the last step keeps the estimate of that step.
 
     Null text: no words, fails the base rules. Null language or source: a stratum of its own. Repeated rows and ids
-    are judged row by row. Other columns are ignored. An empty table gives an empty result.
+    are judged row by row; rows at equal distance get the same verdict. A text of any length is read whole in the task
+    that holds it. Other columns are ignored. An empty table gives an empty result.
     """
     stats = with_counts(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))

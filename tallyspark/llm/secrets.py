@@ -63,8 +63,9 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repo: Column | No
     live. Values leave the scan as SHA-256 digests only.
 
     Null text: no spans. Null owners or repositories count as one of their own. Rows are told apart by their place in
-    the scan, so null, equal and repeated ids are no matter. Other columns are ignored. An empty table gives an empty
-    result. Python is not used.
+    the scan, so null, equal and repeated ids are no matter. A text of any length is searched whole; a value that stands
+    in it many times counts once for its owner. Other columns are ignored. An empty table gives an empty result. Python is
+    not used.
     """
     owner = F.col("source") if owner is None else owner
     repo = F.struct("source", "lang") if repo is None else repo

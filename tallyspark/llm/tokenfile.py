@@ -48,7 +48,8 @@ def write_token_file(docs: DataFrame, folder: str, path: str, partitions: int |
     the manifest lists those of the attempt that counted.
 
     Null text: empty, the end id alone. Null ids come last, in one run. Rows of one id are ordered by text. Other
-    columns are ignored. An empty table gives parts without documents.
+    columns are ignored. All rows of one id, and all null ids, lie in one part. A text of any length is one run of ids in
+    its part. An empty table gives parts without documents.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

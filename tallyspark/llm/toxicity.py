@@ -208,7 +208,8 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Dat
 
     Null text counts as empty. Labels without document, null labels and null ids in ``labels`` are ignored; of repeated
     label rows the toxic one counts, of repeated training documents the first. Without any labelled document
-    probabilities are null and every row is kept. Other columns are ignored. An empty table gives an empty result.
+    probabilities are null and every row is kept. A probability at the threshold counts as toxic. A text of any length is
+    scored whole. Other columns are ignored. An empty table gives an empty result.
     """
     blob = train(docs, labels, limit)
     models, threshold = pickle.loads(blob) if blob else ([], 1.0)
