@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import bounded_broadcast, written
 from tallyspark.llm.components import components
-from tallyspark.llm.textstats import chunks, codes, mixed, rolling
+from tallyspark.llm.textstats import chunks, mixed, rolling
 
 WORDS = 5
 PERCENT = 75
@@ -33,18 +34,57 @@ MAX_COMMON = 200_000
 BROADCAST_IDS = 1_000_000
 
 
+#: Bytes hashed at a time, and the value of each byte (A-Z as a-z) at each of the first places of a word.
+BLOCK = 1 << 17
+_PLACES = 64
+_PLACED = mixed(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(1))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts one after the other, and the number of words of each text.
+
+    A word's hash is the sum of a mixed value per byte and its place in the word (A-Z count as a-z), so it is computed
+    for all words of a block at once. Blocks end at white space, a longer word makes a longer block.
+    """
+    joined = b" ".join(texts) + b" "
+    found, starts, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    data = np.frombuffer(joined, dtype=np.uint8)
+    while low < len(data):
+        high = min(low + BLOCK, len(data))
+        while not _IS_SPACE[data[high - 1]]:
+            more = data[high:high + BLOCK]
+            gap = np.flatnonzero(_IS_SPACE[more])
+            high += int(gap[0]) + 1 if len(gap) else len(more)
+        block = data[low:high]
+        space = _IS_SPACE[block]
+        first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        if len(first):
+            at = np.arange(len(block), dtype=np.int32)
+            begin = np.zeros(len(block), np.int32)
+            begin[first] = first
+            place = at - np.maximum.accumulate(begin)
+            value = _PLACED[np.minimum(place, _PLACES - 1) * 256 + _LOWER[block]]
+            value[space] = 0
+            far = np.flatnonzero((place >= _PLACES) & ~space)
+            value[far] = mixed(place[far].astype(np.uint64) * np.uint64(256) + _LOWER[block[far]] + np.uint64(1))
+            found.append(np.add.reduceat(value, first))
+            starts.append(first + low)
+        low = high
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(starts), begins))
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct word shingles of each text; A-Z count as a-z."""
-    import xxhash
-
-    found, counts, unique = codes([t.encode("utf-8", "surrogatepass").lower() for t in texts])
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in unique), dtype=np.uint64, count=len(unique))
-    flat = hashed[found] if len(found) else np.zeros(0, np.uint64)
+    flat, counts = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
     runs = rolling(flat, words)
     out, at = [], 0
     for n in counts.tolist():
         if n >= words:
-            out.append(np.unique(runs[at:at + n - words + 1]))
+            run = np.sort(runs[at:at + n - words + 1])
+            out.append(run[np.concatenate(([True], run[1:] != run[:-1]))])
         else:
             out.append(rolling(flat[at:at + n], n) if n else np.zeros(0, np.uint64))
         at += n
@@ -83,7 +123,13 @@ def members(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, known: np.ndarray, band: int, end: int, percent: int) -> Iterator[np.ndarray]:
-    """Signatures of one set in one band instance, seed by seed; ``known`` marks its common shingles.
+    """Signatures of one set in one band instance, seed by seed; ``known`` marks its common shingles."""
+    return (found for found, _ in band_signatures([hashes], [known], band, end, percent))
+
+
+def band_signatures(sets: list[np.ndarray], known: list[np.ndarray], band: int, end: int,
+                    percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of several sets in one band instance, seed by seed, each with the number of its set.
 
     A seed deals the shingle domain into N partitions. Two linked sets differ in at most d shingles, so at least N - d
     partitions hold the same in both, and so does a subset of them. A signature is the content of such a subset
@@ -97,27 +143,35 @@ def signatures(hashes: np.ndarray, known: np.ndarray, band: int, end: int, perce
     partitions are weak, and at last to one in which none is: they emit all. So every linked pair shares a signature.
     """
     last_seed = len(SLACKS) + len(LATE_SLACKS)
+    live = np.arange(len(sets))
+    owner = np.repeat(live, [len(s) for s in sets])
+    hashes, rare = np.concatenate(sets), ~np.concatenate(known)
     for seed in range(last_seed + 1):
         differ, parts, take = layout(end, percent, seed)
+        cells = len(live) * parts
         x = mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (seed * 4096 + band + 1) % (1 << 64)))
-        part = (x >> np.uint64(40)).astype(np.int64) % parts
+        cell = (x >> np.uint64(40)).astype(np.int64) % parts + owner * parts
         y = mixed(x)
-        low = np.bincount(part, weights=(y & np.uint64(0xFFFFFFFF)).astype(float), minlength=parts).astype(np.uint64)
-        high = np.bincount(part, weights=(y >> np.uint64(32)).astype(float), minlength=parts).astype(np.uint64)
-        content = mixed(low + (high << np.uint64(32)) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        strong = np.bincount(part[~known] if seed < len(SLACKS) else part, minlength=parts) > 0
+        low = np.bincount(cell, weights=(y & np.uint64(0xFFFFFFFF)).astype(float), minlength=cells).astype(np.uint64)
+        high = np.bincount(cell, weights=(y >> np.uint64(32)).astype(float), minlength=cells).astype(np.uint64)
+        place = np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        content = mixed((low + (high << np.uint64(32))).reshape(-1, parts) + place)
+        strong = np.bincount(cell[rare] if seed < len(SLACKS) else cell, minlength=cells).reshape(-1, parts) > 0
         if seed == last_seed:
             strong[:] = True
-        agree, weak = parts - differ, parts - int(strong.sum())
+        agree, weak = parts - differ, parts - strong.sum(axis=1)
         salt = np.uint64((band * 64 + seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         if take == 1:
-            found = content[strong]
+            chosen, found = strong, content
         else:
             a, b = np.array(list(combinations(range(parts), take))).T
-            found = mixed(content[a] * np.uint64(3) + content[b])[strong[a] | strong[b]]
-        yield mixed(found ^ salt)
-        if weak < agree:
+            chosen, found = strong[:, a] | strong[:, b], mixed(content[:, a] * np.uint64(3) + content[:, b])
+        yield mixed(found[chosen] ^ salt), live[np.nonzero(chosen)[0]]
+        again = weak >= agree
+        if not again.any():
             break
+        kept = again[owner]
+        hashes, rare, owner, live = hashes[kept], rare[kept], (np.cumsum(again) - 1)[owner[kept]], live[again]
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
@@ -161,23 +215,28 @@ def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common:
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            at = 0
+            ids, at = batch.column(0).to_pylist(), 0
             for part in chunks(batch.column(1).to_pylist()):
-                sigs, rows = [np.zeros(0, np.uint64)], [(0, 0, 0)]
-                for doc_id, s in zip(ids[at:at + len(part)], shingle_sets(part, words)):
-                    if not len(s):
-                        continue
-                    ends, known = bands(percent, 1 << len(s).bit_length() + 2), members(s, common)
-                    own = bisect_left(ends, len(s))
-                    for band in (own, own + 1):
-                        for got in signatures(s, known, band, ends[band], percent):
-                            sigs.append(got)
-                            rows.append((doc_id, len(s), len(got)))
+                sets = shingle_sets(part, words)
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                doc = np.array(ids[at:at + len(part)], dtype=np.int64)
                 at += len(part)
-                doc, size, n = np.array(rows, dtype=np.int64).T
+                known = np.split(members(np.concatenate(sets), common), np.cumsum(sizes)[:-1])
+                ends = bands(percent, 1 << int(sizes.max()).bit_length() + 2)
+                banded = defaultdict(list)
+                for i in np.flatnonzero(sizes).tolist():
+                    own = bisect_left(ends, len(sets[i]))
+                    banded[own].append(i)
+                    banded[own + 1].append(i)
+                sigs, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for band, inside in banded.items():
+                    of = np.array(inside)
+                    for found, number in band_signatures([sets[i] for i in inside], [known[i] for i in inside], band, ends[band], percent):
+                        sigs.append(found)
+                        which.append(of[number])
+                which = np.concatenate(which)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(doc, n)), pa.array(np.repeat(size, n).astype(np.int32))],
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(doc[which]), pa.array(sizes[which].astype(np.int32))],
                     ["sig", "id", "size"])
 
     return _chosen(docs, reps).mapInArrow(run, "sig long, id long, size int")
