@@ -12,6 +12,8 @@ SPACE = "\t\n\x0b\f\r "
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table of groups that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Session setting: shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,10 +21,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written below the shared folder and read again: lineage ends there and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table, written below the shared folder and read again: lineage ends there and lost executors cost nothing.
+
+    The shuffles of the write have no reader after it, so their files are removed at its end and a job of many steps
+    takes the disk of its largest step.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
