@@ -32,6 +32,8 @@ COMMON = 64
 MAX_COMMON = 200_000
 #: Ids that may be broadcast when the sets of candidate documents are made.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of the bitmap that stands for a set in a first look at a pair.
+BITMAP = 16
 
 
 #: Bytes hashed at a time, and the value of each byte (A-Z as a-z) at each of the first places of a word.
@@ -257,10 +259,16 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """``id``, ``common`` and ``rare`` shingles, and a ``sketch`` (their leading 16 bits) of the documents named by ``ids``."""
+    """``id``, ``common`` and ``rare`` shingles, a ``sketch`` (their leading 16 bits) and a bitmap (``bits``) of the documents
+    named by ``ids``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def bits(s: np.ndarray) -> np.ndarray:
+            on = np.zeros(BITMAP * 64, np.uint8)
+            on[(s % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
+            return np.packbits(on).view(np.int64)
+
         long, short = pa.list_(pa.int64()), pa.list_(pa.int16())
         for batch in batches:
             ids, at = batch.column(0), 0
@@ -270,11 +278,23 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, common: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(part)), pa.array([s[k].view(np.int64) for s, k in zip(sets, known)], long),
                      pa.array([s[~k].view(np.int64) for s, k in zip(sets, known)], long),
-                     pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in sets], short)],
-                    ["id", "common", "rare", "sketch"])
+                     pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in sets], short),
+                     pa.array([bits(s) for s in sets], long)],
+                    ["id", "common", "rare", "sketch", "bits"])
                 at += len(part)
 
-    return _chosen(docs, ids).mapInArrow(run, "id long, common array<long>, rare array<long>, sketch array<short>")
+    return _chosen(docs, ids).mapInArrow(run, "id long, common array<long>, rare array<long>, sketch array<short>, bits array<long>")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose bitmaps allow the similarity: each bit that only one set has is a shingle that the
+    other lacks. So few bytes of a set travel with a pair that cannot be linked."""
+    size = F.size("common") + F.size("rare")
+    left = sets.select(F.col("id").alias("a"), size.alias("m"), F.col("bits").alias("x"))
+    right = sets.select(F.col("id").alias("b"), size.alias("n"), F.col("bits").alias("y"))
+    lacks = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITMAP)), F.lit(0))
+    both = F.least(F.col("m") - lacks("x", "y"), F.col("n") - lacks("y", "x"))
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("m") + F.col("n") - both)).select("a", "b")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,15 +373,17 @@ def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets:
         (F.size("xc") + F.size("xr")).alias("m"), F.size("y").alias("n"))
     own = F.size("first") + F.size("then")
     shown = F.greatest(F.lit(0), own - F.greatest(F.lit(1), least(F.col("m"), F.col("n"), F.col("m") - own)) + 1)
-    wanted = outside.select("z", F.size("first").alias("n_rare"), F.posexplode(F.slice(F.concat("first", "then"), F.lit(1), shown)).alias("i", "shingle"))
-    wanted = written(wanted.select("z", "shingle", (F.col("i") >= F.col("n_rare")).alias("common")), "wanted")
+    wanted = outside.select("z", "m", F.size("first").alias("n_rare"), F.posexplode(F.slice(F.concat("first", "then"), F.lit(1), shown)).alias("i", "shingle"))
+    wanted = written(wanted.select("z", "m", "shingle", (F.col("i") >= F.col("n_rare")).alias("common")), "wanted")
     asked = lambda rows: bounded_broadcast(wanted.filter(rows), BROADCAST_IDS)
     held = sets.join(bounded_broadcast(written(centred.select("id").distinct(), "held"), BROADCAST_IDS), "id", "left_semi")
-    found = held.select("id", F.explode("rare").alias("shingle")).join(asked("not common"), "shingle")
+    held = held.withColumn("n", F.size("common") + F.size("rare"))
+    found = held.select("id", "n", F.explode("rare").alias("shingle")).join(asked("not common"), "shingle")
     if wanted.filter("common").limit(1).count():
-        rest = held.select("id", F.explode(F.col("common")).alias("shingle"))
+        rest = held.select("id", "n", F.explode(F.col("common")).alias("shingle"))
         found = found.unionByName(rest.join(asked("common"), "shingle"))
-    met = found.filter("id <> z").select(*_ends("id", "z")).distinct()
+    met = found.filter(F.col("id") != F.col("z")).filter(
+        100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select(*_ends("id", "z")).distinct()
     labelled = met.join(component("a"), "a", "left").join(component("b"), "b", "left")
     return labelled.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
@@ -402,7 +424,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     checked = written(checked.union(_compared(written(second, "pairs"), sets, percent)), "compared")
     labels = written(components(linked(checked)), "labels")
     third = _outsiders(centred, labels, checked, sets, percent).join(checked, ["a", "b"], "left_anti")
-    links = written(linked(checked).union(linked(_compared(written(third, "pairs"), sets, percent))), "links")
+    third = written(_possible(written(third, "pairs"), sets, percent), "possible")
+    links = written(linked(checked).union(linked(_compared(third, sets, percent))), "links")
     if _ids_repeat(summaries):
         links = links.union(full.join(classes, ["n_shingles", "d1", "d2"]).filter("doc_id <> class_id").select(
             F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
