@@ -46,3 +46,31 @@ def test_width_counts_only_full_buckets(spark):
 def test_summary_reads_the_items_once(spark):
     plan = catalog.QUERIES["f33_receipt_confidence"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2
+
+
+def test_totals_reconciled_by_scans(pages):
+    from pyspark.sql import functions as F
+    rows = pages.withColumn("text", F.expr("CASE WHEN box_id % 5 = 0 THEN 'Tong cong' WHEN x1 = 700 THEN concat(1 + box_id % 3, '.000') ELSE text END"))
+    rows = rows.withColumn("entity", F.expr("CASE WHEN box_id % 2 = 0 THEN 'TOTAL_COST' ELSE 'OTHER' END"))
+    totals = rows.select("receipt_id").distinct().withColumn("amount", (1 + F.col("receipt_id") % 3) * 1000)
+    scans, joins = receipts.reconcile_total(rows, totals), receipts.reconcile_total(rows, totals, 4)
+    want = sorted(map(tuple, joins.select("receipt_id", "box_id", "entity").collect()))
+    assert sorted(map(tuple, scans.select("receipt_id", "box_id", "entity").collect())) == want
+    assert {e for _, _, e in want} == {"TOTAL_COST", "OTHER"}
+    plan = scans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # the totals; every other step stays with the receipt
+
+
+def test_lexicon_reads_a_line_once(spark):
+    lines = spark.createDataFrame([(1, 1, "com"), (1, 2, "ca"), (1, 3, "phe sua"), (1, 4, "ca phe"), (2, 1, "hoa don ca phe")], "receipt_id BIGINT, line_no BIGINT, line STRING")
+    frame = receipts.lexicon_scores(lines)
+    from tallyspark import rules
+    lows = {1: ["com", "ca", "phe sua", "ca phe"], 2: ["hoa don ca phe"]}
+    want = set()
+    for receipt, texts in lows.items():
+        for category, words in rules.CATEGORY_KEYWORDS.items():
+            score = sum(w in " ".join(texts) for w in words) + 3 * sum(w in t for t in texts for w in words if "hoa don" not in t)
+            if score:
+                want.add((receipt, category, score))
+    assert set(map(tuple, frame.collect())) == want and want
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 0
