@@ -74,3 +74,16 @@ def test_lexicon_reads_a_line_once(spark):
                 want.add((receipt, category, score))
     assert set(map(tuple, frame.collect())) == want and want
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 0
+
+
+def test_words_are_neither_sorted_nor_sent(spark, pages):
+    from pyspark.sql import functions as F
+    words = receipts.box_words(pages, F.expr("CASE WHEN box_id % 3 = 0 THEN 'TOTAL_COST' ELSE 'O' END"))
+    wide = receipts.box_words(pages, F.expr("CASE WHEN box_id % 3 = 0 THEN 'TOTAL_COST' ELSE 'O' END"), 4)
+    got = sorted(map(tuple, words.collect()))
+    assert got == sorted(map(tuple, wide.collect()))
+    assert [r[1] for r in got if r[0] == got[0][0]] == list(range(1, sum(r[0] == got[0][0] for r in got) + 1))
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and plan.index("posexplode") < plan.index("Window ")  # words spread above the only sort
+    near, far = receipts.limit_totals(words, small=True), receipts.limit_totals(words)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
