@@ -267,8 +267,8 @@ f AS (SELECT * FROM x WHERE text NOT IN (SELECT trim(text) FROM @U u) QUALIFY ro
 k AS (SELECT row_id, text, label FROM f QUALIFY row_number() OVER (PARTITION BY slot ORDER BY row_id) <= 3),
 m AS (SELECT (SELECT count(*) FROM part) * 5 - (SELECT count(*) FROM k) AS missing),
 p AS (SELECT 1099511627776 + i AS row_id, replace({_pick([x for x, _ in rules.PAD_PATTERNS], 'i')}, '{{m}}', {_money('i')}) AS text, {_pick([c for _, c in rules.PAD_PATTERNS], 'i')} AS label
-FROM (SELECT unnest(range(4 * missing + 1000)) AS i FROM m) z),
-q AS (SELECT * FROM p WHERE text NOT IN (SELECT text FROM k) QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1),
+FROM (SELECT unnest(range(CASE WHEN missing > 0 THEN {generate.PAD_NUMBERS} ELSE 0 END)) AS i FROM m) z),
+q AS (SELECT * FROM p WHERE text NOT IN (SELECT text FROM k) AND text NOT IN (SELECT trim(text) FROM @U u) QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1),
 r AS (SELECT * FROM q QUALIFY row_number() OVER (ORDER BY row_id) <= (SELECT missing FROM m)) SELECT * FROM k UNION ALL SELECT * FROM r""")
 def _(t):
     topics = t.table("part").selectExpr("p_partkey AS row_id", NOTE_TOPIC)
