@@ -8,12 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+#: Rows per task where each row costs much or becomes many.
+DEALT_ROWS = 50_000
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """The rows dealt over tasks by the hash of ``keys``, at least one per core.
+
+    A small file is read by one task, and whatever is made of its rows would stay there; the number of tasks is fixed,
+    so Spark does not merge them again. ``df`` is counted, so it should be cheap.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows), *keys)
+
+
 def keep_first(df: DataFrame, key: Column | str, order: str | Sequence = "row_id") -> DataFrame:
     """First row per key. The rank filter is pushed below the shuffle, so each map task sends one row per key."""
     key = F.col(key) if isinstance(key, str) else key
