@@ -17,7 +17,7 @@ def _names(keys: str | Sequence[str]) -> list[str]:
 
 
 def dealt(df: DataFrame, *keys: str, rows: int = DEALT_ROWS) -> DataFrame:
-    """The rows dealt over tasks by the hash of ``keys``, at least one per core.
+    """The rows dealt over tasks, at least one per core, by the hash of ``keys`` or in turn.
 
     A small file is read by one task, and whatever is made of its rows would stay there; the number of tasks is fixed,
     so Spark does not merge them again. ``df`` is counted, so it should be cheap.
@@ -25,6 +25,14 @@ def dealt(df: DataFrame, *keys: str, rows: int = DEALT_ROWS) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows), *keys)
 
 
+def repeated(df: DataFrame, n: str, chunk: int = DEALT_ROWS) -> DataFrame:
+    """Every row as often as its ``n`` says, without that column; rows of a large count are dealt over tasks."""
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk))
+    cut = df.withColumn("_at", F.explode(parts)).withColumn("_of", F.least(F.lit(chunk).cast("long"), F.col(n) - F.col("_at") * chunk))
+    shared = cut.repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_of"))))
+    return shared.drop("_at", "_of", "_one", n)
+
+
 def keep_first(df: DataFrame, key: Column | str, order: str | Sequence = "row_id") -> DataFrame:
     """First row per key. The rank filter is pushed below the shuffle, so each map task sends one row per key."""
     key = F.col(key) if isinstance(key, str) else key

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +19,8 @@ from tallyspark.functions import money
 from tallyspark.functions import text as tx
 from tallyspark.operators.dedupe import keep_first
 from tallyspark.operators.ml import class_weights, ngrams
+from tallyspark.operators.ordering import dealt, repeated
+from tallyspark.session import kept
 
 #: Hashed features of all blocks together; with the classes it bounds the size of the model.
 FEATURES = 1 << 14
@@ -75,6 +79,18 @@ def _features() -> list:
     return [HashingTF(inputCol="grams", outputCol="tf", numFeatures=FEATURES), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")]
 
 
+def _fitted(made: DataFrame, fit, balanced: bool = False) -> PipelineModel:
+    """Features and model from different rows (``grams``, ``y``) and how often each stands (``n``).
+
+    Features are made once per different row, the fits see every row: document frequencies and losses are those of all.
+    """
+    tf, idf, unit = _features()
+    counted = kept(tf.transform(made).drop("grams"), "slot-tf")
+    weighed = idf.fit(repeated(counted, "n"))
+    rows = repeated(kept(unit.transform(weighed.transform(counted)).select("features", "y", "n"), "slot-features"), "n")
+    return PipelineModel([tf, weighed, unit, fit.fit(class_weights(rows, "y") if balanced else rows)])
+
+
 def fit_slots(train: DataFrame, iterations: int = 30) -> SlotModel:
     """Models from rows of ``row_id``, ``text``, ``action_type`` and slot columns.
 
@@ -82,25 +98,24 @@ def fit_slots(train: DataFrame, iterations: int = 30) -> SlotModel:
     once more in a block of field and action, so weights depend on the action and a field without enough rows under one
     action leans on the others. The classes are the pairs of field and value; only those of the asked field compete later.
     """
-    cells = labelled_slots(train).persist()
-    try:
-        exact = keep_first(cells, F.struct("field", "text"), "row_id").select("field", "text", "value")
-        sizes = cells.filter("field <> 'value'").select("field", "value").distinct().groupBy("field").count()
-        closed = [r.field for r in sizes.filter(F.col("count") <= MAX_CLASSES).collect()]
-        pairs = cells.filter(F.col("field").isin(closed)).select("field", "value").distinct().collect()  # MAX_CLASSES per field
-        classes = {f: sorted(v for g, v in pairs if g == f) for f in sorted(closed)}
-        order = [(f, v) for f, values in classes.items() for v in values]
-        classifier = amounts = None
-        if len(order) > 1:
-            numbers = cells.sparkSession.createDataFrame([(f, v, float(k)) for k, (f, v) in enumerate(order)], "field STRING, value STRING, y DOUBLE")
-            rows = class_weights(_blocks(cells.join(F.broadcast(numbers), ["field", "value"])), "y")
-            fit = LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", maxIter=iterations, regParam=0.0005)
-            classifier = Pipeline(stages=[*_features(), fit]).fit(rows)
-        known = cells.filter("field = 'value'").withColumn("log", F.log1p(F.col("value").try_cast("double"))).filter("log IS NOT NULL AND NOT isnan(log)")
-        if known.head() is not None:
-            amounts = Pipeline(stages=[*_features(), LinearRegression(labelCol="log", regParam=0.01, maxIter=iterations)]).fit(_blocks(known))
-    finally:
-        cells.unpersist()
+    same = ["text", "action", "field", "value"]
+    cells = kept(labelled_slots(train).groupBy(*same).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n")), "slots")
+    exact = keep_first(cells, F.struct("field", "text"), "row_id").select("field", "text", "value")
+    sizes = cells.filter("field <> 'value'").select("field", "value").distinct().groupBy("field").count()
+    closed = [r.field for r in sizes.filter(F.col("count") <= MAX_CLASSES).collect()]
+    pairs = cells.filter(F.col("field").isin(closed)).select("field", "value").distinct().collect()  # MAX_CLASSES per field
+    classes = {f: sorted(v for g, v in pairs if g == f) for f in sorted(closed)}
+    order = [(f, v) for f, values in classes.items() for v in values]
+    classifier = amounts = None
+    if len(order) > 1:
+        numbers = cells.sparkSession.createDataFrame([(f, v, float(k)) for k, (f, v) in enumerate(order)], "field STRING, value STRING, y DOUBLE")
+        made = kept(_blocks(cells.join(F.broadcast(numbers), ["field", "value"])).select("grams", "y", "n"), "slot-grams")
+        fit = LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", maxIter=iterations, regParam=0.0005)
+        classifier = _fitted(made, fit, balanced=True)
+    known = cells.filter("field = 'value'").withColumn("y", F.log1p(F.col("value").try_cast("double"))).filter("y IS NOT NULL AND NOT isnan(y)")
+    if known.head() is not None:
+        made = kept(_blocks(known).select("grams", "y", "n"), "amount-grams")
+        amounts = _fitted(made, LinearRegression(labelCol="y", regParam=0.01, maxIter=iterations))
     return SlotModel(exact, classes, classifier, amounts)
 
 
@@ -133,8 +148,19 @@ def predict_slots(rows: DataFrame, model: SlotModel) -> DataFrame:
     Only the fields of the action are filled: from a training row of the same text, else by the classifier among the
     field's values. A goal is also the target; a category is the target; a time range becomes the list of times. The value
     comes from the amount span if it has an amount, else from a training row, else from the regression on the log
-    scale; a user name falls back to the known names. ``amount_span`` may be null.
+    scale; a user name falls back to the known names. ``amount_span`` may be null. Rows that agree in text, action and
+    amount span get one prediction, joined back.
     """
+    given = ["text", "action_type", "amount_span"]
+    asked = kept(rows.select(*given).distinct().withColumn("row_id", F.monotonically_increasing_id()), "asked")
+    found = kept(_predicted(dealt(asked), model), "asked-slots").withColumnRenamed("row_id", "_q")
+    numbered = asked.select(F.col("row_id").alias("_q"), *[F.col(c).alias(f"_{c}") for c in given])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given]
+    return rows.select("row_id", *given).join(numbered.join(found, "_q"), reduce(and_, same)).select("row_id", "action", *DETAILS)
+
+
+def _predicted(rows: DataFrame, model: SlotModel) -> DataFrame:
+    """``predict_slots`` of rows that all differ."""
     asked = _asked(rows)
     exact = asked.join(model.exact, ["field", "text"]).select("row_id", "field", F.col("value").alias("_exact"))
     guessed = _guessed(asked, model)
