@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import generate, ordering, slots
+from tallyspark.operators import generate, ml, ordering, slots
 
 
 def test_a_file_of_one_part_is_dealt(spark):
@@ -37,3 +37,12 @@ def test_slots_make_grams_once_per_different_row(spark, monkeypatch):
     got = slots.predict_slots(train, model).collect()
     assert len(seen) >= 3 and max(seen) <= 10
     assert sorted(r.row_id for r in got) == list(range(60)) and {r.value for r in got} == {"100000"}
+
+
+def test_classifier_makes_grams_once_per_different_text(spark, monkeypatch):
+    rows = spark.createDataFrame([(("mua gạo", "Food"), ("đi grab", "Transport"))[i % 2] for i in range(60)], "text STRING, label STRING")
+    seen, grams = [], ml.with_grams
+    monkeypatch.setattr(ml, "with_grams", lambda df, text: (seen.append(df.count()), grams(df, text))[1])
+    model = ml.fit_text_classifier(rows, F.col("text"), "label", 100, iterations=5)
+    assert seen == [2]
+    assert ml.predict(model, rows, F.col("text")).filter("label_pred <> label").count() == 0
