@@ -34,6 +34,10 @@ MAX_COMMON = 200_000
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of the bitmap that stands for a set in a first look at a pair.
 BITMAP = 16
+#: Shingles whose signatures make one bucket, and the bits of a signature kept beside the number of its bucket. A chance
+#: agreement of two signatures costs one comparison.
+BUCKET_SHINGLES = 1_500_000
+KEY_BITS = 40
 
 
 #: Bytes hashed at a time, and the value of each byte (A-Z as a-z) at each of the first places of a word.
@@ -126,12 +130,13 @@ def members(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def signatures(hashes: np.ndarray, known: np.ndarray, band: int, end: int, percent: int) -> Iterator[np.ndarray]:
     """Signatures of one set in one band instance, seed by seed; ``known`` marks its common shingles."""
-    return (found for found, _ in band_signatures([hashes], [known], band, end, percent))
+    return (found for found, *_ in band_signatures([hashes], [known], band, end, percent))
 
 
 def band_signatures(sets: list[np.ndarray], known: list[np.ndarray], band: int, end: int,
-                    percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures of several sets in one band instance, seed by seed, each with the number of its set.
+                    percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Signatures of several sets in one band instance, seed by seed, each with the number of its set and how many of that
+    set's signatures under this seed it shares with any linked set (0: maybe none).
 
     A seed deals the shingle domain into N partitions. Two linked sets differ in at most d shingles, so at least N - d
     partitions hold the same in both, and so does a subset of them. A signature is the content of such a subset
@@ -143,6 +148,9 @@ def band_signatures(sets: list[np.ndarray], known: list[np.ndarray], band: int,
     the one that is done first is safe under a seed that both use. Later seeds deal into more partitions, of which
     fewer need to be strong. Sets made of common shingles come to the second row of seeds, in which only empty
     partitions are weak, and at last to one in which none is: they emit all. So every linked pair shares a signature.
+
+    A partition that agrees is weak in both sets or in none. So of w weak partitions at most w agree, and a linked pair
+    shares at least N - d - w signatures of single partitions.
     """
     last_seed = len(SLACKS) + len(LATE_SLACKS)
     live = np.arange(len(sets))
@@ -163,12 +171,15 @@ def band_signatures(sets: list[np.ndarray], known: list[np.ndarray], band: int,
             strong[:] = True
         agree, weak = parts - differ, parts - strong.sum(axis=1)
         salt = np.uint64((band * 64 + seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        shared = np.maximum(0, agree - weak)
         if take == 1:
             chosen, found = strong, content
         else:
             a, b = np.array(list(combinations(range(parts), take))).T
             chosen, found = strong[:, a] | strong[:, b], mixed(content[:, a] * np.uint64(3) + content[:, b])
-        yield mixed(found[chosen] ^ salt), live[np.nonzero(chosen)[0]]
+            shared = np.minimum(1, shared)
+        inside = np.nonzero(chosen)[0]
+        yield mixed(found[chosen] ^ salt), live[inside], shared[inside]
         again = weak >= agree
         if not again.any():
             break
@@ -211,11 +222,38 @@ def _common_shingles(summaries: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(``sig``, ``id``, ``size``) rows of the representatives: each in its own band and as the smaller set of the next."""
+def packed(keys: np.ndarray, at: np.ndarray) -> bytes:
+    """Sorted keys below 2 ** ``KEY_BITS`` as steps, and numbers below 2 ** 24 beside them, byte place by byte place."""
+    import pyarrow as pa
+
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BITS // 8]
+    places = at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return pa.compress(np.concatenate([steps.T.ravel(), places.T.ravel()]).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` made of ``n`` keys and numbers."""
+    import pyarrow as pa
+
+    width = KEY_BITS // 8 + 3
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    steps, places = np.zeros((n, 8), np.uint8), np.zeros((n, 4), np.uint8)
+    steps[:, :KEY_BITS // 8], places[:, :3] = raw[:KEY_BITS // 8].T, raw[KEY_BITS // 8:].T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), places.view("<u4").ravel().astype(np.int64)
+
+
+def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
+    """Signatures of the representatives, each in its own band and as the smaller set of the next, dealt into buckets.
+
+    A row holds the signatures of one bucket that some documents emit: ``n`` signatures as ``packed``, with numbers that
+    point into the lists ``id``, ``size``, ``part`` (band and seed) and ``shared`` (see ``band_signatures``).
+    """
+    lists = {"id": "long", "size": "int", "part": "short", "shared": "int"}
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int16(), pa.int32())]
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for part in chunks(batch.column(1).to_pylist()):
@@ -228,28 +266,76 @@ def _signed(docs: DataFrame, reps: DataFrame, words: int, percent: int, common:
                 banded = defaultdict(list)
                 for i in np.flatnonzero(sizes).tolist():
                     own = bisect_left(ends, len(sets[i]))
-                    banded[own].append(i)
-                    banded[own + 1].append(i)
-                sigs, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                    banded[own].append((i, 0))
+                    banded[own + 1].append((i, 1))
+                sigs, whose, known_of, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)], 0
                 for band, inside in banded.items():
                     of = np.array(inside)
-                    for found, number in band_signatures([sets[i] for i in inside], [known[i] for i in inside], band, ends[band], percent):
+                    found_in = band_signatures([sets[i] for i, _ in inside], [known[i] for i, _ in inside], band, ends[band], percent)
+                    for seed, (found, number, shared) in enumerate(found_in):
+                        set_of, first, place = np.unique(number, return_index=True, return_inverse=True)
                         sigs.append(found)
-                        which.append(of[number])
-                which = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(doc[which]), pa.array(sizes[which].astype(np.int32))],
-                    ["sig", "id", "size"])
-
-    return _chosen(docs, reps).mapInArrow(run, "sig long, id long, size int")
-
+                        whose.append(last + place)
+                        known_of.append(np.column_stack([of[set_of, 0], of[set_of, 1] * 16 + seed, shared[first]]))
+                        last += len(set_of)
+                sigs, whose, known_of = np.concatenate(sigs), np.concatenate(whose), np.concatenate(known_of)
+                bucket, keys = (sigs % np.uint64(buckets)).astype(np.int64), sigs >> np.uint64(64 - KEY_BITS)
+                order = np.lexsort((keys, bucket))
+                bucket, keys, whose = bucket[order], keys[order], whose[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = []
+                for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+                    used, number = np.unique(whose[low:high], return_inverse=True)
+                    i, tag, shared = known_of[used].T
+                    rows.append((int(bucket[low]), high - low, packed(keys[low:high], number), doc[i], sizes[i], tag, shared))
+                if rows:
+                    number, n, data, *rest = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(number, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary()),
+                         *[pa.array([x.astype(t.value_type.to_pandas_dtype()) for x in c], t) for c, t in zip(rest, kinds)]],
+                        ["bucket", "n", "data", *lists])
+
+    return _chosen(docs, reps).mapInArrow(run, "bucket int, n int, data binary, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()))
+
+
+def _met(signed: DataFrame, buckets: int) -> DataFrame:
+    """``sig``, ``id``, ``size``, ``part``, ``shared`` and ``n`` (rows) of the signatures that several documents emit."""
+    def meet(table):  # noqa: ANN001, ANN202
+        import pyarrow as pa
 
-def _groups(signed: DataFrame) -> DataFrame:
-    """``sig``, ``id``, ``size``, ``first`` and ``n`` (members) of the signatures that join documents; ``first`` has the smallest set."""
+        bucket, counts = table.column("bucket")[0].as_py(), table.column("n").to_pylist()
+        found = [unpacked(data.as_py(), n) for data, n in zip(table.column("data"), counts)]
+        lists = {c: table.column(c).combine_chunks() for c in ("id", "size", "part", "shared")}
+        starts = np.cumsum([0, *[len(x) for x in lists["id"]]])
+        keys = np.concatenate([k for k, _ in found])
+        whose = np.concatenate([place + start for (_, place), start in zip(found, starts.tolist())])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        n = np.diff(np.append(first, len(keys)))
+        at = np.flatnonzero(np.repeat(n > 1, n))
+        whose = whose[order[at]]
+        column = lambda c: pa.array(lists[c].flatten().to_numpy()[whose])
+        return pa.table({
+            "sig": pa.array(keys[at].astype(np.int64) * buckets + bucket), "id": column("id"), "size": column("size"), "part": column("part"),
+            "shared": column("shared"), "n": pa.array(np.repeat(n, n)[at].astype(np.int32))})
+
+    return signed.groupBy("bucket").applyInArrow(meet, "sig long, id long, size int, part short, shared int, n int")
+
+
+def _groups(met: DataFrame) -> DataFrame:
+    """``sig``, ``id``, ``size``, ``first`` and ``n`` (members) of the signatures that join documents; ``first`` has the smallest set.
+
+    A set that shares at least k signatures with every linked one leaves out its k - 1 commonest. A linked pair still meets
+    in the rarest signature that it shares: as many more are commoner, and neither set leaves that one out. So strangers
+    with a passage in common mostly do not meet. The order is the same for all sets: by ``n``, then ``sig``.
+    """
+    commonest = Window.partitionBy("id", "part").orderBy(F.desc("n"), "sig")
+    kept = met.withColumn("place", F.row_number().over(commonest)).filter("place >= shared").select("sig", "id", "size")
     by_size = Window.partitionBy("sig").orderBy("size", "id")
-    met = signed.select("sig", "id", "size", F.first("id").over(by_size).alias("first"), F.lead("id").over(by_size).alias("next"))
-    met = met.filter("id <> first or next <> id").drop("next")
-    return written(met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))), "grouped")
+    kept = kept.select("sig", "id", "size", F.first("id").over(by_size).alias("first"), F.lead("id").over(by_size).alias("next"))
+    kept = kept.filter("id <> first or next <> id").drop("next")
+    return written(kept.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))), "grouped")
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -343,7 +429,7 @@ def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets:
     be any set, b a set linked to z and at least ``smallest`` large. What b and z share inside c cannot make up for what
     z differs from c, so b and z share outside c at least half of |z delta c| - |c| + (smallest * (100 + percent)
     - (|z| + smallest) * (100 - percent)) / (100 + percent), where that is positive. So z finds b by its shingles outside
-    c, and may leave out as many less one; common ones are left out first. As c serves whatever z has been compared
+    c, and may leave out as many less one: those that most of the sets hold. As c serves whatever z has been compared
     with, or the empty set, for which this is the usual prefix; z takes the one that shares most with it.
     """
     labels = bounded_broadcast(labels, BROADCAST_IDS)
@@ -366,22 +452,23 @@ def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets:
     offers = offers.filter(least(F.col("m"), F.col("n"), F.col("both")) > 0)
     chosen = offers.groupBy("z", "smallest").agg(F.max(F.struct("both", "c")).alias("o")).select("z", "smallest", "o.c")
 
-    z = sets.select(F.col("id").alias("z"), F.col("common").alias("xc"), F.col("rare").alias("xr"))
-    c = sets.select(F.col("id").alias("c"), F.concat("common", "rare").alias("y"))
+    whole = F.concat("common", "rare")
+    z = sets.select(F.col("id").alias("z"), whole.alias("x"))
+    c = sets.select(F.col("id").alias("c"), whole.alias("y"))
     outside = chosen.join(z, "z").join(c, "c", "left").withColumn("y", F.coalesce("y", F.array().cast("array<long>"))).select(
-        "z", "smallest", F.array_except("xr", "y").alias("first"), F.array_except("xc", "y").alias("then"),
-        (F.size("xc") + F.size("xr")).alias("m"), F.size("y").alias("n"))
-    own = F.size("first") + F.size("then")
+        "z", "smallest", F.array_except("x", "y").alias("own"), F.size("x").alias("m"), F.size("y").alias("n"))
+    own = F.size("own")
     shown = F.greatest(F.lit(0), own - F.greatest(F.lit(1), least(F.col("m"), F.col("n"), F.col("m") - own)) + 1)
-    wanted = outside.select("z", "m", F.size("first").alias("n_rare"), F.posexplode(F.slice(F.concat("first", "then"), F.lit(1), shown)).alias("i", "shingle"))
-    wanted = written(wanted.select("z", "m", "shingle", (F.col("i") >= F.col("n_rare")).alias("common")), "wanted")
-    asked = lambda rows: bounded_broadcast(wanted.filter(rows), BROADCAST_IDS)
     held = sets.join(bounded_broadcast(written(centred.select("id").distinct(), "held"), BROADCAST_IDS), "id", "left_semi")
-    held = held.withColumn("n", F.size("common") + F.size("rare"))
-    found = held.select("id", "n", F.explode("rare").alias("shingle")).join(asked("not common"), "shingle")
-    if wanted.filter("common").limit(1).count():
-        rest = held.select("id", "n", F.explode(F.col("common")).alias("shingle"))
-        found = found.unionByName(rest.join(asked("common"), "shingle"))
+    held = held.select("id", whole.alias("x")).withColumn("n", F.size("x"))
+    # What only one set holds finds none; it is shown first and needs no row.
+    holders = held.select(F.explode("x").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    asked = outside.select("z", "m", own.alias("own"), shown.alias("shown"), F.explode("own").alias("shingle")).join(holders, "shingle")
+    order = Window.partitionBy("z", "m", "own", "shown")
+    asked = asked.withColumn("alone", F.col("own") - F.count(F.lit(1)).over(order)).withColumn(
+        "place", F.row_number().over(order.orderBy("holders", "shingle")))
+    wanted = written(asked.filter("alone + place <= shown").select("z", "m", "shingle"), "wanted")
+    found = held.select("id", "n", F.explode("x").alias("shingle")).join(bounded_broadcast(wanted, BROADCAST_IDS), "shingle")
     met = found.filter(F.col("id") != F.col("z")).filter(
         100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select(*_ends("id", "z")).distinct()
     labelled = met.join(component("a"), "a", "left").join(component("b"), "b", "left")
@@ -412,7 +499,9 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     reps = written(classes.select(F.col("class_id").alias("id")).distinct(), "representatives")
 
     common = _common_shingles(seen)
-    grouped = _groups(_signed(docs, reps, words, percent, common))
+    shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
+    grouped = _groups(_met(_signed(docs, reps, words, percent, common, buckets), buckets))
     sets = written(_sets(docs, written(grouped.select("id").distinct(), "candidates"), words, common), "sets")
     first = written(grouped.filter("id <> first").select(*_ends("first", "id")).distinct(), "pairs")
     checked = written(_compared(first, sets, percent), "compared")

@@ -236,6 +236,56 @@ def test_signatures_lose_no_pair():
         assert found[0] & found[1], (len(a), len(b), len(common))
 
 
+def test_sets_meet_without_their_commonest_signatures():
+    rng, left_out = random.Random(6), 0
+    for trial in range(150):
+        a = {rng.getrandbits(63) for _ in range(rng.randint(20, 400))}
+        b = set(sorted(a)[rng.randint(0, len(a) // 7):]) | {rng.getrandbits(63) for _ in range(rng.randint(0, len(a) // 9))}
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        common = np.array(sorted(x for x in a & b if rng.random() < trial % 10 / 9), dtype=np.uint64)
+        kept = []
+        for s in (a, b):
+            h, mine = np.array(sorted(s), dtype=np.uint64), set()
+            ends = partenum.bands(75, 1 << len(h).bit_length() + 2)
+            own = next(i for i, e in enumerate(ends) if e >= len(h))
+            for band in (own, own + 1):
+                for found, _, shared in partenum.band_signatures([h], [partenum.members(h, common)], band, ends[band], 75):
+                    commonest = sorted(found.tolist(), key=lambda x: (x * (trial + 3)) % 1009)  # any order that both sets agree on
+                    drop = max(0, int(shared[0]) - 1) if len(found) else 0
+                    left_out += drop
+                    mine |= {(band, x) for x in commonest[drop:]}
+            kept.append(mine)
+        assert kept[0] & kept[1], (len(a), len(b), len(common))
+    assert left_out > 500
+
+
+def test_packed_signatures_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5000):
+        keys = np.sort(rng.integers(0, 1 << partenum.KEY_BITS, n).astype(np.uint64))
+        at = rng.integers(0, 1 << 24, n)
+        got = partenum.unpacked(partenum.packed(keys, at), n)
+        assert (got[0] == keys).all() and (got[1] == at).all()
+
+
+def test_strangers_with_a_passage_in_common_are_not_compared(spark, monkeypatch):
+    rows = [words(2000 + i, 150) + " " + words(78, 25) + " " + words(3000 + i, 150) for i in range(60)]
+    rows += [rows[0] + " more", rows[1].replace(words(78, 25), words(79, 25))]
+    seen, written = {}, partenum.written
+
+    def watched(df, name):
+        out = written(df, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "written", watched)
+    got = {r.doc_id: r.component_id for r in partenum.jaccard_join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == brute_components(list(enumerate(rows)))
+    assert seen["candidates"] < 45
+    assert seen["wanted"] < 200
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
