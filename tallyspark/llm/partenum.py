@@ -429,7 +429,8 @@ def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets:
     be any set, b a set linked to z and at least ``smallest`` large. What b and z share inside c cannot make up for what
     z differs from c, so b and z share outside c at least half of |z delta c| - |c| + (smallest * (100 + percent)
     - (|z| + smallest) * (100 - percent)) / (100 + percent), where that is positive. So z finds b by its shingles outside
-    c, and may leave out as many less one: those that most of the sets hold. As c serves whatever z has been compared
+    c, and may leave out as many less one: those that most of the sets hold. Once b is known, its own size stands for
+    ``smallest``, and z may leave out more. As c serves whatever z has been compared
     with, or the empty set, for which this is the usual prefix; z takes the one that shares most with it.
     """
     labels = bounded_broadcast(labels, BROADCAST_IDS)
@@ -466,11 +467,12 @@ def _outsiders(centred: DataFrame, labels: DataFrame, checked: DataFrame, sets:
     asked = outside.select("z", "m", own.alias("own"), shown.alias("shown"), F.explode("own").alias("shingle")).join(holders, "shingle")
     order = Window.partitionBy("z", "m", "own", "shown")
     asked = asked.withColumn("alone", F.col("own") - F.count(F.lit(1)).over(order)).withColumn(
-        "place", F.row_number().over(order.orderBy("holders", "shingle")))
-    wanted = written(asked.filter("alone + place <= shown").select("z", "m", "shingle"), "wanted")
+        "place", F.col("alone") + F.row_number().over(order.orderBy("holders", "shingle")))
+    wanted = written(asked.filter("place <= shown").select("z", "m", "own", "shingle", "place"), "wanted")
     found = held.select("id", "n", F.explode("x").alias("shingle")).join(bounded_broadcast(wanted, BROADCAST_IDS), "shingle")
-    met = found.filter(F.col("id") != F.col("z")).filter(
-        100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select(*_ends("id", "z")).distinct()
+    of_size = F.ceil((up * (2 * F.col("own") - F.col("m") + F.col("n")) - down * (F.col("m") + F.col("n"))) / F.lit(2 * up)).cast("int")
+    met = found.filter(F.col("id") != F.col("z")).filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).filter(
+        F.col("place") <= F.col("own") - F.greatest(F.lit(1), of_size) + 1).select(*_ends("id", "z")).distinct()
     labelled = met.join(component("a"), "a", "left").join(component("b"), "b", "left")
     return labelled.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
