@@ -87,3 +87,11 @@ def test_words_are_neither_sorted_nor_sent(spark, pages):
     assert plan.count("Window ") == 1 and plan.index("posexplode") < plan.index("Window ")  # words spread above the only sort
     near, far = receipts.limit_totals(words, small=True), receipts.limit_totals(words)
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+
+
+def test_texts_of_items_are_read_once(spark, pages):
+    """Patterns and keywords run over the different texts, not in the plan over boxes and items."""
+    items = receipts.match_items(pages, small=True)
+    named = receipts.item_categories(items)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (items, named)]
+    assert not any(word in plan for plan in plans for word in ("rlike", "regexp", "contains(name"))
