@@ -90,8 +90,12 @@ def test_words_are_neither_sorted_nor_sent(spark, pages):
 
 
 def test_texts_of_items_are_read_once(spark, pages):
-    """Patterns and keywords run over the different texts, not in the plan over boxes and items."""
+    """Patterns and keywords run over the different texts, not in the plan over boxes, items and lines."""
+    from pyspark.sql import functions as F
     items = receipts.match_items(pages, small=True)
     named = receipts.item_categories(items)
-    plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (items, named)]
+    lines = pages.select("receipt_id", (F.col("box_id") + 1).alias("line_no"), F.col("text").alias("line"))
+    rows = receipts.expense_rows(lines, named.groupBy("receipt_id").agg(F.sum("price").alias("amount"), F.max("category").alias("category")))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (items, named, rows)]
     assert not any(word in plan for plan in plans for word in ("rlike", "regexp", "contains(name"))
+    assert rows.count() == lines.filter("line_no <= 6").select("receipt_id").distinct().count()
