@@ -99,3 +99,16 @@ def test_texts_of_items_are_read_once(spark, pages):
     plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (items, named, rows)]
     assert not any(word in plan for plan in plans for word in ("rlike", "regexp", "contains(name"))
     assert rows.count() == lines.filter("line_no <= 6").select("receipt_id").distinct().count()
+
+
+def test_annotations_of_small_receipts_stay_with_the_receipt(spark, pages):
+    boxes = pages.repartition(3, "receipt_id")
+    segs = boxes.selectExpr("receipt_id", "box_id AS seg_id", "x1 - 5 AS sx1", "y1 - 4 AS sy1", "x2 + 60 AS sx2", "y2 + 9 AS sy2",
+                            "CASE box_id % 3 WHEN 0 THEN 'SELLER' WHEN 1 THEN 'TIMESTAMPS' ELSE 'O' END AS label").filter("seg_id % 4 <> 1")
+    near, far = receipts.match_annotations(boxes, segs, small=True), receipts.match_annotations(boxes, segs)
+    want = sorted(map(tuple, far.collect()), key=str)
+    assert near.columns == far.columns and sorted(map(tuple, near.collect()), key=str) == want
+    assert {r[-1][:2] for r in want} == {"B-", "I-", "O"} and any(r[-3] != r[1] for r in want)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert all(part.startswith("receipt_id") for part in plan.split("hashpartitioning(")[1:])
+    assert "_band" in far._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(", 1)[1]
