@@ -28,3 +28,14 @@ def test_patterns_do_not_recurse(texts):
 def test_secrets_in_long_texts(texts):
     docs = texts.withColumns({"doc_id": F.xxhash64("name"), "lang": F.lit("en"), "source": F.lit("s")})
     assert secrets.report(secrets.scan_secrets(docs)).count() == len(GROUPS)
+
+
+def test_places_of_marked_words_only(spark):
+    """Places are those of all words, in any block, beside letters outside the basic plane, in empty and null texts."""
+    texts = ["", None, "...", "one", " ".join(f"w\U0001F600 wort{i % 7} É{i}\n" for i in range(150)), "A-b-c " * 200]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    words = rows.select("row", F.explode(pii.words_at(F.col("text"))).alias("w")).select("row", F.lower("w.match").alias("term"), "w.start", "w.end")
+    marks = words.filter("term in ('one', 'wort3', 'é149', 'a-b-c')").select(F.xxhash64("term").alias("mark")).distinct()
+    got = pii.marked_words(rows, marks)
+    want = sorted(map(tuple, words.join(marks, F.xxhash64("term") == F.col("mark"), "left_semi").collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 200
